@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, licenses, mixing, quality_neighbours, quality_rules, token_counts, toxicity
+from tidewater.llm import decontaminate, licenses, mixing, ngram_join, quality_neighbours, quality_rules, token_counts, toxicity
 from tidewater.llm.common import held_out
 
 
@@ -48,5 +48,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_mixing, op6_tokens, op7_rules, op8_decontaminate, op9_licenses)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_mixing, op6_tokens, op7_rules, op8_decontaminate, op9_licenses, op10_ngram_join)}
 ORACLE: dict[str, str] = {}
