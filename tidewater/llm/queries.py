@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, licenses, mixing, ngram_join, quality_neighbours, quality_rules, token_counts, toxicity
+from tidewater.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, quality_neighbours, quality_rules, token_counts, toxicity
 from tidewater.llm.common import held_out
 
 
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(_table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_mixing, op6_tokens, op7_rules, op8_decontaminate, op9_licenses, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_mixing, op5_line_dedup, op6_tokens, op7_rules, op8_decontaminate, op9_licenses, op10_ngram_join)}
 ORACLE: dict[str, str] = {}
