@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, quality_neighbours, quality_rules, token_counts, toxicity
+from tidewater.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, quality_neighbours, quality_rules, repeats, token_counts, toxicity
 from tidewater.llm.common import held_out
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = held_out("doc_id", 4, 2)
@@ -56,5 +60,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_mixing, op5_line_dedup, op6_tokens, op7_rules, op8_decontaminate, op9_licenses, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_toxicity, op3_quality, op4_mixing, op5_line_dedup, op6_tokens, op7_rules, op8_decontaminate, op9_licenses, op10_ngram_join)}
 ORACLE: dict[str, str] = {}
