@@ -40,7 +40,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def time_profile(df: DataFrame, date: str) -> DataFrame:
     """Rows (grain, period, n): monthly, quarterly and by-weekday counts in one pass."""
     d = F.col(date)
-    grains = F.array(F.struct(F.lit("month").alias("grain"), F.date_format(d, "yyyy-MM").alias("period")), F.struct(F.lit("quarter"), F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string"))), F.struct(F.lit("weekday"), F.weekday(d).cast("string")))
+    grains = F.array(F.struct(F.lit("month").alias("grain"), F.date_format(d, "yyyy-MM").alias("period")), F.struct(F.lit("quarter").alias("grain"), F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string")).alias("period")), F.struct(F.lit("weekday").alias("grain"), F.weekday(d).cast("string").alias("period")))
     return df.where(d.isNotNull()).select(F.explode(grains).alias("g")).groupBy("g.grain", "g.period").agg(F.count(F.lit(1)).alias("n"))
 
 
