@@ -141,8 +141,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     lines = saved(rows.select("id", F.explode(sketch(F.col("text"), counts, percent)).alias("s")).select("id", "s.*"))
     place = F.struct("id", "line")
     classes = saved(lines.groupBy("cls").agg(F.min(place).alias("first"), F.first("n").alias("n")))
-    found = shared_counts(lines, "cls", "cls", "pre")
-    alive = saved(classes.join(found.select(F.col("id").alias("cls")), "cls"))
+    found = shared_counts(lines, "cls", "pre")
+    alive = saved(classes.join(found.select("cls"), "cls"))
     few = F.broadcast if alive.count() <= BROADCAST_IDS else (lambda d: d)
     heads = alive.select("cls", "first.*")
     pre = lines.join(few(heads), ["cls", "id", "line"]).select("cls", "n", F.struct("id", "line").alias("at"), F.posexplode("pre").alias("p", "t"))

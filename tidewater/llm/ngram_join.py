@@ -30,6 +30,8 @@ ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 BROADCAST_IDS = 500_000
 #: Tokens, in percent of a set, by which the first prefix is lengthened.
 LONGER = 6
+#: 64-bit maps that mark what a set lacks of a group's centre.
+LANES = 4
 
 
 def _sets(texts: pa.Array, size: int):
@@ -83,51 +85,87 @@ def whole(text: Column, size: int, percent: int) -> Column:
     return run(text)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share prefix tokens under the other orders and whose exact similarity suffices."""
-    left = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "tok", "p1", "p2")])
-    right = sets.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "tok", "p1", "p2")])
-    both = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2"))
-    common = F.size(F.array_intersect("a_tok", "b_tok"))
-    return both.withColumn("common", common).where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
+def _pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both sets beside them and ``common``, their intersection's size."""
+    left = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "shared", "tok", "p1", "p2")])
+    right = sets.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "shared", "tok", "p1", "p2")])
+    return pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_tok", "b_tok")))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+def _similar(percent: int) -> Column:
+    """Prefixes meet under the other orders as well, and the exact similarity suffices."""
+    return F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2") & (F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent)
+
+
+def _marks(tokens: Column) -> list[Column]:
+    """Four 64-bit maps of hashed tokens: the bits of a union are at most as many as its tokens."""
+    out = []
+    for lane in range(LANES):
+        mine = F.filter(tokens, _in_lane(lane))
+        out.append(F.aggregate(mine, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))))
+    return out
+
+
+def _in_lane(lane: int):
+    return lambda t: F.shiftrightunsigned(t, 50).bitwiseAND(LANES - 1) == lane
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(members, edges)``: (id, n, cls, rep) of every row, and verified links (a, b) between class representatives
     that connect whatever any link connects.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = saved(rows.select("id", sketch(F.col("text"), size, percent).alias("s")).select("id", "s.n", "s.cls", "s.pre"))
     classes = base.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"))
-    members = base.select("id", "n", "cls").join(classes, ["cls", "n"], "left").select("id", "n", "cls", F.coalesce("rep", "id").alias("rep"))
-    members = saved(members)
-    found = shared_counts(base.where("n > 0"), "id", "cls", "pre")
-    alive = members.where("id = rep").join(found, "id").where(F.col("shared") >= _extra(F.col("n"), percent)).select("id", "n")
-    alive = saved(alive.distinct())
+    members = saved(base.select("id", "n", "cls").join(classes, ["cls", "n"], "left").select("id", "n", "cls", F.coalesce("rep", "id").alias("rep")))
+    found = shared_counts(base.where("n > 0"), "cls", "pre")
+    alive = saved(members.where("id = rep").join(found, "cls").where(F.col("shared") >= _extra(F.col("n"), percent)).select("id", "n").distinct())
     few = F.broadcast if alive.count() <= BROADCAST_IDS else (lambda d: d)
-    sets = rows.join(few(alive), "id").select("id", "n", whole(F.col("text"), size, percent).alias("s")).select("id", "n", "s.*")
-    sets = saved(sets.dropDuplicates(["id"]))
-    full = shared_counts(sets, "id", "id", "tok")
-    sets = saved(sets.join(full, "id").where(F.col("shared") * 100 >= F.col("n") * percent))
-    post = sets.select("id", "n", "shared", F.explode("p0").alias("t"))
-    # First against the most central member of each token's group: the one with the most shared tokens.
-    central = post.groupBy("t").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("r"), (-F.col("id")).alias("i"), F.col("n").alias("m"), F.col("shared").alias("e"))).alias("c"))
-    cap = F.least("shared", "e")
-    close = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent) & (cap * 100 >= (F.col("n") + F.col("m") - cap) * percent)
-    star = post.join(central.select("t", (-F.col("c.i")).alias("b"), "c.m", "c.e"), "t").where((F.col("id") != F.col("b")) & close)
-    star = star.groupBy(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).agg(F.count("*").alias("k")).select("a", "b")
-    edges = saved(_verified(star, sets, percent))
-    comp = components(edges)
-    # Then whatever still crosses components.
-    post = saved(post.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    groups = post.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi")
-    mixed = saved(post.join(groups.select("t", "main"), "t"))
-    out = mixed.where("component <> main").select("t", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xs"), F.col("component").alias("xc"))
-    o, m = out.alias("o"), mixed.alias("m")
-    low = F.least("m.shared", "o.xs")
-    near = (F.col("o.xc") != F.col("m.component")) & (F.col("m.n") * 100 >= F.col("o.xn") * percent) & (F.col("o.xn") * 100 >= F.col("m.n") * percent) & (low * 100 >= (F.col("m.n") + F.col("o.xn") - low) * percent)
-    cross = o.join(m, (F.col("o.t") == F.col("m.t")) & near).select(F.least("o.x", "m.id").alias("a"), F.greatest("o.x", "m.id").alias("b")).distinct()
-    return members, edges.unionByName(saved(_verified(cross, sets, percent)))
+    sets = saved(rows.join(few(alive), "id").select("id", "n", whole(F.col("text"), size, percent).alias("s")).select("id", "n", "s.*"))
+    # Tokens that no other survivor has cannot be common. Twice: what goes makes more tokens unshared.
+    for _ in range(2):
+        full = saved(shared_counts(sets, "id", "tok").withColumnRenamed("cls", "id"))
+        sets = sets.drop("shared").join(few(full), "id").where(F.col("shared") * 100 >= F.col("n") * percent)
+    sets = saved(sets)
+    post = saved(sets.select("id", "n", "shared", F.explode("p0").alias("t")))
+    # The most central member of a token's group has the most frequent tokens.
+    often = post.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    central = post.join(often, "t").groupBy("id").agg(F.sum(F.log("c")).alias("w"))
+    post = saved(post.join(often.select("t"), "t").join(central, "id").withColumn("w", F.col("w") / F.col("n")))
+    edges, comp, done = None, post.select("id", F.col("id").alias("component")).distinct(), None
+    for k in range(rounds):
+        held = post.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        groups = held.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi")
+        open_ = saved(held.join(groups.select("t", "main"), "t"))
+        # Later rounds take the centre of the largest component, and members outside it.
+        inside = F.lit(True) if k == 0 else F.col("component") == F.col("main")
+        lead = open_.where(inside).groupBy("t").agg(F.max(F.struct("w", (-F.col("id")).alias("i"), "n")).alias("c"))
+        star = open_.join(lead.select("t", (-F.col("c.i")).alias("r"), F.col("c.n").alias("rn")), "t").where(F.col("id") != F.col("r"))
+        star = star.where((F.col("rn") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("rn") * percent)).select(F.col("id").alias("a"), F.col("r").alias("b")).distinct()
+        if done is not None:
+            star = star.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        lost = F.array_except("b_tok", "a_tok")
+        seen = _pairs(star, sets).select("a", "b", _similar(percent).alias("linked"), (F.col("a_shared") - F.col("common")).alias("extra"), F.col("b_n").alias("rn"), *[m.alias(f"m{x}") for x, m in enumerate(_marks(lost))])
+        done = saved(seen if done is None else done.unionByName(seen))
+        edges = done.where("linked").select("a", "b")
+        comp = components(edges)
+    # Whatever still crosses components.
+    held = post.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = held.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi")
+    mixed = held.join(groups.select("t", "main"), "t")
+    # What a member lacks of a group's centre bounds what two members can have in common.
+    lead = mixed.where("component = main").groupBy("t").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("c")).select("t", (-F.col("c.i")).alias("r"))
+    facts = done.select(F.col("a").alias("id"), F.col("b").alias("r"), "extra", "rn", *[f"m{x}" for x in range(LANES)])
+    mixed = saved(mixed.join(lead, "t").join(facts, ["id", "r"], "left"))
+    keep = ["id", "n", "shared", "component", "extra", "rn", *[f"m{x}" for x in range(LANES)]]
+    out = mixed.where("component <> main").select("t", *[F.col(c).alias(f"x_{c}") for c in keep])
+    low = F.least("shared", "x_shared")
+    lacking = sum((F.bit_count(F.col(f"m{x}").bitwiseOR(F.col(f"x_m{x}"))) for x in range(1, LANES)), F.bit_count(F.col("m0").bitwiseOR(F.col("x_m0"))))
+    most = F.col("rn") - lacking + F.least("extra", "x_extra")
+    can = lambda c: c * 100 >= (F.col("n") + F.col("x_n") - c) * percent
+    near = (F.col("component") != F.col("x_component")) & (F.col("n") * 100 >= F.col("x_n") * percent) & (F.col("x_n") * 100 >= F.col("n") * percent) & can(low) & F.coalesce(can(most), F.lit(True))
+    cross = out.join(mixed.select("t", *keep).withColumnRenamed("t", "t2"), (F.col("t") == F.col("t2")) & near).select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
+    return members, edges.unionByName(saved(_pairs(cross, sets).where(_similar(percent)).select("a", "b")))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:

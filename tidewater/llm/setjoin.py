@@ -19,6 +19,8 @@ from tidewater.llm.common import saved
 
 #: Tokens that a task sorts at once, and tokens a bucket is meant to hold.
 FLUSH, BUCKET = 3_000_000, 1_500_000
+#: Stands for any class where a token is known to be shared.
+SETTLED = -(1 << 63)
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -26,92 +28,79 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - (-(-n * percent // 100)) + 1
 
 
-def _pack(token: np.ndarray, owner: np.ndarray, klass: np.ndarray, buckets: int) -> tuple[list, dict]:
-    """Rows (bucket, packed) of one sorted run, and local counts by owner."""
-    order = np.argsort(token, kind="stable")
-    token, owner, klass = token[order], owner[order], klass[order]
+def _pack(token: np.ndarray, klass: np.ndarray, buckets: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Rows (bucket, tokens, classes) of one sorted run, and its local counts by class."""
+    order = np.lexsort((klass, token))
+    token, klass = token[order], klass[order]
+    # Equal sets of one class are one set.
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (klass[1:] != klass[:-1])])
+    token, klass = token[new], klass[new]
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     size = np.diff(np.append(first, len(token)))
-    mixed = (np.maximum.reduceat(klass, first) != np.minimum.reduceat(klass, first)) if len(first) else np.empty(0, bool)
-    here = np.repeat(mixed, size)
-    counts: dict = {}
-    own, n = np.unique(owner[here], return_counts=True)
-    counts = (own, n)
-    # A token of one class may have several equal sets of it here; they all wait for the others' answer.
-    keep = ~here
-    t, o, k = token[keep], owner[keep], klass[keep]
-    lead = first[mixed]
-    t = np.concatenate([t, token[lead], token[lead]])
-    o = np.concatenate([o, np.full(2 * len(lead), -1, np.int64)])
-    k = np.concatenate([k, np.zeros(len(lead), np.int64), np.ones(len(lead), np.int64)])
+    here = np.repeat(size > 1, size)
+    own, n = np.unique(klass[here], return_counts=True)
+    lead = first[size > 1]
+    # A settled token goes out once, under no class; that tells the others that it is shared.
+    t = np.concatenate([token[~here], token[lead]])
+    k = np.concatenate([klass[~here], np.full(len(lead), SETTLED, np.int64)])
     bucket = (t >> np.uint64(40)).astype(np.int64) * buckets >> 24
     order = np.argsort(bucket, kind="stable")
-    bucket, t, o, k = bucket[order], t[order], o[order], k[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+    bucket, t, k = bucket[order], t[order], k[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     ends = np.append(cuts[1:], len(bucket))
-    rows = [(int(bucket[a]), t[a:z].tobytes(), o[a:z].tobytes(), k[a:z].tobytes()) for a, z in zip(cuts, ends, strict=True)]
-    return rows, counts
+    return [(int(bucket[a]), t[a:z].tobytes(), k[a:z].tobytes()) for a, z in zip(cuts, ends, strict=True)], own, n
 
 
-def shared_counts(sets: DataFrame, id_col: str, class_col: str, tokens_col: str, total: int | None = None) -> DataFrame:
-    """Rows (id, shared) for ids with a token that another class has too; repeated ids add up.
+def shared_counts(sets: DataFrame, class_col: str, tokens_col: str, total: int | None = None) -> DataFrame:
+    """Rows (cls, shared): how many of a class's tokens another class has too, for classes with any.
 
-    ``id_col`` is a non-negative long, ``class_col`` a long that equal sets have in common.
+    Equal sets have one class, a long. Copies in several tasks may count a token more than once: the result is an
+    upper bound, and exact where each class is one row.
     """
     if total is None:
         total = sets.agg(F.sum(F.size(tokens_col))).first()[0] or 0
     buckets = int(max(8, -(-total // BUCKET)))
-    # The count of partitions follows too: AQE may still merge small ones.
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        n = 0
+        n = turn = 0
 
         def flush():
-            token, owner, klass = (np.concatenate([h[k] for h in held]) for k in range(3))
-            rows, (own, cnt) = _pack(token, owner, klass, buckets)
+            rows, own, cnt = _pack(*(np.concatenate([h[k] for h in held]) for k in range(2)), buckets)
             held.clear()
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-                ["bucket", "t", "o", "k"],
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([own.tobytes()], pa.binary()), pa.array([cnt.astype(np.int32).tobytes()], pa.binary())], ["bucket", "t", "o", "k"])
+            rows.append((-1 - turn % buckets, own.tobytes(), cnt.astype(np.int64).tobytes()))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "t", "k"])
 
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(1)
             size = np.diff(lists.offsets.to_numpy())
             token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            held.append((token, np.repeat(b.column(0).to_numpy(zero_copy_only=False), size), np.repeat(b.column(1).to_numpy(zero_copy_only=False), size)))
+            held.append((token, np.repeat(b.column(0).to_numpy(zero_copy_only=False), size)))
+            turn = turn or int(token[0] % np.uint64(1 << 30)) if len(token) else turn
             n += len(token)
             if n >= FLUSH:
                 yield from flush()
-                n = 0
+                n, turn = 0, turn + 1
         if n:
             yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        t, o, k = (np.frombuffer(b"".join(table.column(c).to_pylist()), dt) for c, dt in (("t", np.uint64), ("o", np.int64), ("k", np.int64)))
-        order = np.argsort(t, kind="stable")
-        t, o, k = t[order], o[order], k[order]
+        t, k = (np.frombuffer(b"".join(table.column(c).to_pylist()), dt) for c, dt in (("t", np.uint64), ("k", np.int64)))
+        if table.column("bucket")[0].as_py() < 0:  # local counts
+            return pa.table({"cls": pa.array(t.view(np.int64)), "shared": pa.array(k)})
+        order = np.lexsort((k, t))
+        t, k = t[order], k[order]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        mixed = np.maximum.reduceat(k, first) != np.minimum.reduceat(k, first)
-        here = np.repeat(mixed, np.diff(np.append(first, len(t)))) & (o >= 0)
-        own, cnt = np.unique(o[here], return_counts=True)
-        return pa.table({"id": pa.array(own, pa.int64()), "shared": pa.array(cnt.astype(np.int64))})
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in range(b.num_rows):
-                own = np.frombuffer(b.column(0)[x].as_py(), np.int64)
-                cnt = np.frombuffer(b.column(1)[x].as_py(), np.int32).astype(np.int64)
-                for a in range(0, len(own), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 100_000]), pa.array(cnt[a : a + 100_000])], ["id", "shared"])
-
-    packed = saved(sets.select(id_col, class_col, tokens_col).mapInArrow(ship, "bucket int, t binary, o binary, k binary"))
-    far = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "id long, shared long")
-    near = packed.where("bucket < 0").select("o", "k").mapInArrow(local, "id long, shared long")
-    return far.unionByName(near).groupBy("id").agg(F.sum("shared").alias("shared"))
+        last = np.append(first[1:], len(t)) - 1
+        # Shared: two classes, or settled somewhere.
+        mixed = (k[first] != k[last]) | (k[first] == SETTLED)
+        here = np.repeat(mixed, last - first + 1) & (k != SETTLED)
+        own, cnt = np.unique(k[here], return_counts=True)
+        return pa.table({"cls": pa.array(own, pa.int64()), "shared": pa.array(cnt.astype(np.int64))})
+
+    packed = sets.select(class_col, tokens_col).mapInArrow(ship, "bucket int, t binary, k binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
