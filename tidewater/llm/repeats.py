@@ -67,49 +67,59 @@ def anchors(text: Column, width: int, gram: int) -> Column:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in the order of their first ``depth`` values (prefix doubling from 8 bytes)."""
+    """Suffixes of ``text`` in the order of their first ``depth`` values: prefix doubling from 8 bytes; each round sorts only
+    the suffixes that are not yet told apart. A rank is the first place of a suffix's group.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    rank = np.zeros(n + depth, np.int64)  # places beyond the end rank lowest
+    live, slots, key = order, np.arange(n), key[order]
     step = 8
-    rank = np.empty(n, np.int64)
     while True:
-        s = key[order]
-        new = np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)])
-        r = np.cumsum(new)
-        rank[order] = r
-        if step >= depth or r[-1] == n - 1:
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(live)))
+        rank[live] = np.repeat(slots[first], size) + 1
+        tied = np.repeat(size > 1, size)
+        live, slots = live[tied], slots[tied]
+        if step >= depth or not len(live):
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        key = (rank[live].astype(np.uint64) << np.uint64(32)) | rank[live + step].astype(np.uint64)
+        o = np.argsort(key)
+        live, key = live[o], key[o]
+        order[slots] = live
         step *= 2
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Lengths of the longest common prefixes of pairs of suffixes, up to ``limit``: binary search on hashes."""
-    prefix = B.prefix_hash(text)
-    n = len(text)
-    low = np.zeros(len(a), np.int64)
-    high = np.minimum(limit, n - np.maximum(a, b))
+def _common(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, limit: int) -> np.ndarray:
+    """Lengths of the longest common prefixes of pairs of suffixes, up to ``limit``; 0 for those under ``least``.
+    One hash tells most pairs off; the rest take a binary search.
+    """
+    out = np.zeros(len(a), np.int64)
+    top = np.minimum(limit, len(prefix) - 1 - np.maximum(a, b))
+    long = np.flatnonzero(top >= least)
+    live = long[B.span_hash(prefix, a[long], a[long] + least) == B.span_hash(prefix, b[long], b[long] + least)]
+    low, high = np.full(len(live), least), top[live]
     while True:
-        live = np.flatnonzero(low < high)
-        if not len(live):
-            return low
-        mid = (low[live] + high[live] + 1) // 2
-        x, y = a[live], b[live]
+        todo = np.flatnonzero(low < high)
+        if not len(todo):
+            out[live] = low
+            return out
+        mid = (low[todo] + high[todo] + 1) // 2
+        x, y = a[live[todo]], b[live[todo]]
         same = B.span_hash(prefix, x, x + mid) == B.span_hash(prefix, y, y + mid)
-        low[live[same]] = mid[same]
-        high[live[~same]] = mid[~same] - 1
+        low[todo[same]] = mid[same]
+        high[todo[~same]] = mid[~same] - 1
 
 
-def matching_statistics(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+def matching_statistics(text: np.ndarray, starts: np.ndarray, least: int, depth: int) -> np.ndarray:
     """For each position the longest match (to ``depth``) with any other position, from samples at the ends of the
-    runs of the Burrows-Wheeler transform. ``starts``: where the contexts begin; those positions are sampled too.
+    runs of the Burrows-Wheeler transform; matches under ``least`` may show as shorter. ``starts``: where the contexts
+    begin; those positions are sampled too.
     """
     n = len(text)
     order = suffix_order(text, depth)
@@ -125,11 +135,12 @@ def matching_statistics(text: np.ndarray, starts: np.ndarray, depth: int) -> np.
     sampled[1:] |= own[:-1]
     sampled[[0, -1]] = True
     ranks = np.flatnonzero(sampled)
+    prefix = B.prefix_hash(text)
     best = np.zeros(len(ranks), np.int64)
     up = ranks > 0
-    best[up] = _common(text, order[ranks[up] - 1], order[ranks[up]], depth)
+    best[up] = _common(prefix, order[ranks[up] - 1], order[ranks[up]], least, depth)
     down = ranks < n - 1
-    best[down] = np.maximum(best[down], _common(text, order[ranks[down]], order[ranks[down] + 1], depth))
+    best[down] = np.maximum(best[down], _common(prefix, order[ranks[down]], order[ranks[down] + 1], least, depth))
     reach = np.zeros(n, np.int64)
     reach[order[ranks]] = best + order[ranks]
     return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
@@ -156,7 +167,7 @@ def index_bucket(ids: np.ndarray, starts: np.ndarray, bodies: list[bytes], width
     size = np.array([len(j[2]) for j in joined])
     begin = np.concatenate([[0], np.cumsum(size + 1)])
     text = np.frombuffer(b"\0".join(bytes(j[2]) for j in joined) + b"\0", np.uint8)
-    stats = matching_statistics(text, begin[:-1], int(size.max()) + 1)
+    stats = matching_statistics(text, begin[:-1], width, int(size.max()) + 1)
     left = np.repeat(begin[:-1] + size, size + 1) - np.arange(len(text))
     hit = np.minimum(stats, left) >= width
     a, z = _ranges(hit)
