@@ -394,10 +394,11 @@ def x1_guarded(spark, d):
     return link.guarded_join(_t(spark, d, "orders"), c, ["o_custkey"], "customer")[0].select("o_orderkey", "customer__c_mktsegment")
 
 
-@query("SELECT l_orderkey, round(sum(l_quantity), 4) AS l_quantity, max(l_shipdate) AS l_shipdate, arg_min(l_returnflag, l_extendedprice) AS l_returnflag FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, round(sum(l_quantity), 4) AS l_quantity, strftime(max(l_shipdate), '%Y-%m-%d') AS shipped, arg_min(l_returnflag, l_extendedprice) AS l_returnflag FROM lineitem GROUP BY 1")
 def x2_collapse(spark, d):
     li = _t(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate", "l_returnflag", "l_extendedprice")
-    return _rounded(link.collapse(li, ["l_orderkey"], "l_extendedprice"), 4)
+    out = link.collapse(li, ["l_orderkey"], "l_extendedprice")
+    return _rounded(out.select("l_orderkey", "l_quantity", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), "l_returnflag"), 4)
 
 
 @query("""WITH u AS (SELECT o_custkey, 'completed' AS s, 0 AS r FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 'not_coming', 2 FROM orders WHERE o_orderstatus = 'P'), w AS (SELECT *, min(r) OVER (PARTITION BY o_custkey) AS b, max(r) OVER (PARTITION BY o_custkey) AS m FROM u)
@@ -419,9 +420,9 @@ ch AS (SELECT id, arg_min(v, (-k, v)) AS channel FROM (SELECT l_orderkey AS id,
 r AS (SELECT coalesce(l.id, o.id) AS id, net, installments, f, last_paid, channel, total, pending, total - coalesce(net, 0) - coalesce(pending, 0) AS gap FROM l LEFT JOIN ch USING (id) FULL JOIN o ON l.id = o.id)"""
 
 
-@query(f"WITH {_RECON} SELECT id, round(net, 2) AS net, installments, datediff('day', f, last_paid)::INT AS span_days, channel, round(gap, 2) AS gap, coalesce(abs(gap) > 1, false) AS mismatch FROM r")
+@query(f"WITH {_RECON} SELECT id, round(net, 4) AS net, coalesce(installments, 0) AS installments, coalesce(datediff('day', f, last_paid), -1)::INT AS span_days, channel, round(gap, 4) AS gap, coalesce(abs(gap) > 1, false) AS mismatch FROM r")
 def x11_reconcile(spark, d):
-    return _rounded(_recon(spark, d).select("id", "net", "installments", "span_days", "channel", "gap", "mismatch"), 2)
+    return _rounded(_recon(spark, d).select("id", "net", F.coalesce("installments", F.lit(0)).alias("installments"), F.coalesce("span_days", F.lit(-1)).alias("span_days"), "channel", "gap", "mismatch"), 4)
 
 
 @query(f"WITH {_RECON} SELECT count(*) AS n, count(*) FILTER (abs(gap) > 1) AS mismatches, round(sum(total), 2) AS total, round(sum(CASE WHEN total IS NOT NULL THEN greatest(coalesce(net, 0), 0) END)/sum(total), 4) AS collection_efficiency FROM r")
@@ -513,6 +514,62 @@ def p2_profile(spark, d):
     return roles.profile(_t(spark, d, "customer"), ["c_mktsegment", "c_name", "c_acctbal"]).select("column", "n", "n_distinct", "kind")
 
 
-@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS hits, round(count(*) FILTER (event_type = 'purchase') / count(*), 6) AS value FROM events GROUP BY 1")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS hits, round(count(*) FILTER (event_type = 'purchase') / count(*), 6) AS value FROM events GROUP BY 1")
 def r1_daily(spark, d):
-    return _rounded(alerts.daily_rates(_t(spark, d, "events"), "ts", "event_type", "purchase"))
+    out = alerts.daily_rates(_t(spark, d, "events"), "ts", "event_type", "purchase")
+    return _rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "hits", "value"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS p, CASE WHEN o_orderkey % 4 = 0 THEN 'OTHER' ELSE c_mktsegment END AS c, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 2 ELSE 3 END AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+b AS (SELECT p, c, min(k) AS k FROM r GROUP BY ALL), l AS (SELECT c_custkey AS p, c_mktsegment AS c FROM customer), fl AS (SELECT * FROM l ANTI JOIN b USING (p, c)), fr AS (SELECT * FROM b ANTI JOIN l USING (p, c)),
+t AS (SELECT p, c, k, 'person_course' AS basis FROM b UNION ALL SELECT fl.p, fl.c, fr.k, 'person' FROM fl JOIN fr USING (p) WHERE (SELECT count(*) FROM fr x WHERE x.p = fl.p) = 1)
+SELECT l.p AS c_custkey, CASE t.k WHEN 0 THEN 'completed' WHEN 2 THEN 'not_coming' WHEN 3 THEN 'active' END AS roster_status, t.basis AS match_basis FROM l LEFT JOIN t ON l.p = t.p AND l.c = t.c""")
+def x3_roster(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "not_coming").otherwise("active")
+    roster = _orders_customers(spark, d).select(F.col("o_custkey").alias("c_custkey"), F.when(F.pmod("o_orderkey", F.lit(4)) == 0, "OTHER").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), status.alias("status"), "o_orderkey")
+    master = _t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return link.roster_join(master, roster, "c_custkey", "c_mktsegment", "status", "o_orderkey").select("c_custkey", "roster_status", "match_basis")
+
+
+@query("""WITH v AS (SELECT n_name AS metric, avg(c_acctbal) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT metric, round(value, 4) AS value, 4500.0::DOUBLE AS target, CASE WHEN value < 0.85*4500 THEN 'critical' ELSE 'high' END AS severity FROM v WHERE value < 4500""")
+def o10_targets(spark, d):
+    j = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    values = j.groupBy(F.col("n_name").alias("metric")).agg(F.avg("c_acctbal").alias("value"))
+    return _rounded(decide.target_deviation(values, values.select("metric", F.lit(4500.0).alias("target"))), 4)
+
+
+@query("""WITH v AS (SELECT n_name AS metric, avg(c_acctbal) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT metric, CASE WHEN value < 4000 THEN 'critical' ELSE 'medium' END AS severity, round(value, 4) AS value FROM v WHERE value < 4500""")
+def o9_rules(spark, d):
+    j = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    values = j.groupBy(F.col("n_name").alias("metric")).agg(F.avg("c_acctbal").alias("value")).withColumn("scope", F.lit("overall"))
+    each = F.array(F.struct(F.lit("r1").alias("id"), F.lit("<").alias("op"), F.lit(4500.0).alias("threshold"), F.lit("medium").alias("severity")), F.struct(F.lit("r2").alias("id"), F.lit("<").alias("op"), F.lit(4000.0).alias("threshold"), F.lit("critical").alias("severity")))
+    rules = values.select("metric", "scope", F.explode(each).alias("r")).select("metric", "scope", "r.*")
+    return _rounded(decide.business_rules(values, rules).select("metric", "severity", "value"), 4)
+
+
+@query("""SELECT regexp_replace(lower(trim(c_name)), '[#]', '', 'g') AS faculty, c_custkey FROM customer""")
+def t4_staff(spark, d):
+    return _t(spark, d, "customer").select(canon.faculty(F.concat(F.lit(" Madam "), F.regexp_replace("c_name", "#", ""))).alias("faculty"), "c_custkey")
+
+
+@query("""SELECT count(*) AS n_rows, count(*) - count(DISTINCT l_orderkey) AS duplicate_keys, count(DISTINCT (l_orderkey, l_linenumber)) AS wide_keys FROM lineitem""")
+def p5_validation(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count_distinct("l_orderkey")).alias("duplicate_keys"), F.count_distinct(F.struct("l_orderkey", "l_linenumber")).alias("wide_keys"))
+
+
+@query("""SELECT conv_id, turn, regexp_replace(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g') <> '' AS named, length(regexp_replace(text, '\\D', '', 'g')) >= 10 AS has_phone FROM conversations""")
+def t12_people(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", (F.regexp_replace(canon.squeezed(F.col("text")), "[^a-z0-9 ]+", " ") != "").alias("named"), (canon.phone(F.col("text")) != "").alias("has_phone"))
+
+
+@query("""WITH g AS (SELECT c_mktsegment AS segment, count(*) AS n, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), s AS (SELECT *, v/n AS scaled, sum(v) OVER () / sum(n) OVER () AS base FROM g),
+f AS (SELECT *, scaled - base AS gap, abs((scaled - base)/base) AS rel FROM s WHERE n >= 30 AND abs((scaled - base)/base) >= 0.0001)
+SELECT 'review pricing' AS action, 'sales' AS owner, segment, round(gap*n, 2) AS effect FROM f ORDER BY CASE WHEN rel >= 0.5 THEN 0 WHEN rel >= 0.3 THEN 1 WHEN rel >= 0.15 THEN 2 ELSE 3 END, abs(gap*n) DESC, segment LIMIT 1""")
+def o5_actions(spark, d):
+    b = breakdown(_orders_customers(spark, d), Metric("sum", "o_totalprice"), ["c_mktsegment"])
+    found = decide.findings(b, "sum", share=0.0001)
+    owners = _t(spark, d, "region").limit(1).select(F.lit("c_mktsegment").alias("dimension"), F.lit("sales").alias("owner"), F.lit("review pricing").alias("action"))
+    return _rounded(decide.actions(found, owners).select("action", "owner", "segment", "effect"), 2)
