@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
 from tidewater.llm.common import saved
-from tidewater.llm.ngram_join import BROADCAST_IDS
-from tidewater.llm.setjoin import prefix_length, shared_counts
+from tidewater.llm.setjoin import BROADCAST_IDS, LANES, marks, prefix_length, shared_counts
 
 #: Hash buckets of the word counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
 BUCKETS = 1 << 16
+#: Rounds in which groups are held against one leader before all earlier lines are looked at.
+LEADERS = 2
 _NEWLINE = 10
 
 
@@ -126,12 +127,14 @@ def _words_of(text: Column, wanted: Column) -> Column:
     return run(text, wanted)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Later classes x of the pairs (x, y) whose sets are similar."""
-    left = sets.select(F.col("cls").alias("x"), F.col("tok").alias("xt"))
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) with ``similar``, what x has beyond y of words that others have too, and maps of what x lacks of y."""
+    left = sets.select(F.col("cls").alias("x"), F.col("tok").alias("xt"), F.col("shared").alias("xs"))
     right = sets.select(F.col("cls").alias("y"), F.col("tok").alias("yt"))
     both = pairs.join(left, "x").join(right, "y").withColumn("common", F.size(F.array_intersect("xt", "yt")))
-    return both.where(F.col("common") * 100 >= (F.size("xt") + F.size("yt") - F.col("common")) * percent).select("x").distinct()
+    alike = F.col("common") * 100 >= (F.size("xt") + F.size("yt") - F.col("common")) * percent
+    lost = F.array_except("yt", "xt")
+    return both.select("x", "y", alike.alias("similar"), (F.col("xs") - F.col("common")).alias("extra"), F.size("yt").alias("rn"), *[m.alias(f"m{k}") for k, m in enumerate(marks(lost))])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -151,24 +154,40 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     texts = rows.join(few_docs(wanted), "id")
     sets = texts.select("l", _words_of(F.col("text"), F.col("l.line")).alias("w")).select(F.explode(F.arrays_zip(F.col("l.cls").alias("cls"), F.col("w").alias("tok"))).alias("z")).select("z.*")
     sets = saved(sets)
-    pre = saved(pre)
+    # Words that no other surviving line has cannot be common.
+    full = shared_counts(sets, "cls", "tok")
+    sets = saved(sets.join(full, "cls").where(F.col("shared") * 100 >= F.size("tok") * percent))
+    pre = saved(pre.join(sets.select("cls", "shared"), "cls"))
     # Length filter both ways; positional filter: what is left after the shared word must suffice.
-    left, right = F.col("n") - F.col("p"), F.col("yn") - F.col("yp")
     fits = (F.col("n") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("n") * percent)
-    lead = pre.groupBy("t").agg(F.min(F.struct("at", "cls", F.col("n").alias("yn"), F.col("p").alias("yp"))).alias("m"), F.count("*").alias("k")).where("k > 1")
-    star = pre.join(lead.select("t", F.col("m.cls").alias("y"), "m.yn", "m.yp"), "t").where((F.col("cls") != F.col("y")) & fits).select(F.col("cls").alias("x"), "y").distinct()
-    gone = saved(_similar(star, sets, percent))
-    open_ = pre.join(gone.withColumnRenamed("x", "cls"), "cls", "left_anti")
-    ahead = pre.select("t", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("at").alias("yat"))
+    gone = done = None
+    for _ in range(LEADERS):  # the earliest line of each group that is not settled yet, against the others
+        live = pre if gone is None else pre.join(gone.withColumnRenamed("x", "cls"), "cls", "left_anti")
+        if done is not None:
+            live = live.join(done.select(F.col("y").alias("cls")).distinct(), "cls", "left_anti")
+        lead = live.groupBy("t").agg(F.min(F.struct("at", "cls", F.col("n").alias("yn"))).alias("m"), F.count("*").alias("k")).where("k > 1")
+        star = live.join(lead.select("t", F.col("m.at").alias("yat"), F.col("m.cls").alias("y"), "m.yn"), "t").where((F.col("yat") < F.col("at")) & fits).select(F.col("cls").alias("x"), "y").distinct()
+        if done is not None:
+            star = star.join(done.select("x", "y"), ["x", "y"], "left_anti")
+        seen = _compared(star, sets, percent)
+        done = saved(seen if done is None else done.unionByName(seen))
+        gone = done.where("similar").select("x").distinct()
+    # Whatever is still open, against all earlier lines of its groups. What two lines lack of their group's first line
+    # and have beyond it bounds what they can have in common.
+    first = pre.groupBy("t").agg(F.min(F.struct("at", "cls")).alias("m"), F.count("*").alias("k")).where("k > 1").select("t", F.col("m.cls").alias("r"))
+    facts = done.select(F.col("x").alias("cls"), F.col("y").alias("r"), "extra", "rn", *[f"m{k}" for k in range(LANES)])
+    placed = saved(pre.join(first, "t").join(facts, ["cls", "r"], "left"))
+    open_ = placed.join(gone.withColumnRenamed("x", "cls"), "cls", "left_anti")
+    keep = ["t", "cls", "n", "p", "at", "shared", "extra", *[f"m{k}" for k in range(LANES)]]
+    ahead = placed.select(*[F.col(c).alias(f"y{c}") for c in keep])
     # The first shared word in both orders has at most min(left, right) common words from it on, itself included.
-    enough = F.least(left, right) + F.least("p", "yp")
-    rest = (
-        open_.join(ahead, (open_["t"] == ahead["t"]) & (F.col("yat") < F.col("at")) & fits & (enough * 100 >= (F.col("n") + F.col("yn") - enough) * percent))
-        .select(F.col("cls").alias("x"), "y")
-        .distinct()
-        .join(star, ["x", "y"], "left_anti")
-    )
-    gone = gone.unionByName(_similar(rest, sets, percent))
+    enough = F.least(F.col("n") - F.col("p"), F.col("yn") - F.col("yp")) + F.least("p", "yp")
+    lacking = sum((F.bit_count(F.col(f"m{k}").bitwiseOR(F.col(f"ym{k}"))) for k in range(1, LANES)), F.bit_count(F.col("m0").bitwiseOR(F.col("ym0"))))
+    can = lambda c: c * 100 >= (F.col("n") + F.col("yn") - c) * percent
+    near = fits & can(enough) & can(F.least("shared", "yshared")) & F.coalesce(can(F.col("rn") - lacking + F.least("extra", "yextra")), F.lit(True))
+    rest = open_.join(ahead, (F.col("t") == F.col("yt")) & (F.col("yat") < F.col("at")) & near).select(F.col("cls").alias("x"), F.col("ycls").alias("y")).distinct()
+    rest = rest.join(done.select("x", "y"), ["x", "y"], "left_anti")
+    gone = gone.unionByName(_compared(rest, sets, percent).where("similar").select("x").distinct())
     later = lines.join(classes.where("true").select("cls", F.col("first.id").alias("fid"), F.col("first.line").alias("fline")), "cls").where((F.col("id") != F.col("fid")) | (F.col("line") != F.col("fline")))
     similar = classes.join(gone.withColumnRenamed("x", "cls"), "cls", "left_semi").select("first.*")
     return later.select("id", "line").unionByName(similar.select("id", "line"))

@@ -23,15 +23,11 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
 from tidewater.llm.common import saved
-from tidewater.llm.setjoin import components, prefix_length, shared_counts
+from tidewater.llm.setjoin import BROADCAST_IDS, LANES, components, marks, prefix_length, shared_counts
 
 ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Ids that are broadcast at most; more are joined by shuffling.
-BROADCAST_IDS = 500_000
 #: Tokens, in percent of a set, by which the first prefix is lengthened.
 LONGER = 6
-#: 64-bit maps that mark what a set lacks of a group's centre.
-LANES = 4
 
 
 def _sets(texts: pa.Array, size: int):
@@ -97,19 +93,6 @@ def _similar(percent: int) -> Column:
     return F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2") & (F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent)
 
 
-def _marks(tokens: Column) -> list[Column]:
-    """Four 64-bit maps of hashed tokens: the bits of a union are at most as many as its tokens."""
-    out = []
-    for lane in range(LANES):
-        mine = F.filter(tokens, _in_lane(lane))
-        out.append(F.aggregate(mine, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))))
-    return out
-
-
-def _in_lane(lane: int):
-    return lambda t: F.shiftrightunsigned(t, 50).bitwiseAND(LANES - 1) == lane
-
-
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(members, edges)``: (id, n, cls, rep) of every row, and verified links (a, b) between class representatives
     that connect whatever any link connects.
@@ -145,7 +128,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         if done is not None:
             star = star.join(done.select("a", "b"), ["a", "b"], "left_anti")
         lost = F.array_except("b_tok", "a_tok")
-        seen = _pairs(star, sets).select("a", "b", _similar(percent).alias("linked"), (F.col("a_shared") - F.col("common")).alias("extra"), F.col("b_n").alias("rn"), *[m.alias(f"m{x}") for x, m in enumerate(_marks(lost))])
+        seen = _pairs(star, sets).select("a", "b", _similar(percent).alias("linked"), (F.col("a_shared") - F.col("common")).alias("extra"), F.col("b_n").alias("rn"), *[m.alias(f"m{x}") for x, m in enumerate(marks(lost))])
         done = saved(seen if done is None else done.unionByName(seen))
         edges = done.where("linked").select("a", "b")
         comp = components(edges)

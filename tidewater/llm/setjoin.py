@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import saved
@@ -21,6 +21,10 @@ from tidewater.llm.common import saved
 FLUSH, BUCKET = 3_000_000, 1_500_000
 #: Stands for any class where a token is known to be shared.
 SETTLED = -(1 << 63)
+#: Ids that are broadcast at most; more are joined by shuffling.
+BROADCAST_IDS = 500_000
+#: 64-bit maps that mark what a set lacks of its group's centre.
+LANES = 4
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -103,6 +107,19 @@ def shared_counts(sets: DataFrame, class_col: str, tokens_col: str, total: int |
     return packed.groupBy("bucket").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
+def marks(tokens: Column) -> list[Column]:
+    """Four 64-bit maps of hashed tokens: the bits of a union are at most as many as its tokens."""
+    out = []
+    for lane in range(LANES):
+        mine = F.filter(tokens, _in_lane(lane))
+        out.append(F.aggregate(mine, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))))
+    return out
+
+
+def _in_lane(lane: int):
+    return lambda t: F.shiftrightunsigned(t, 50).bitwiseAND(LANES - 1) == lane
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Rows (id, component): the smallest id reachable over (a, b) edges, for ids that have an edge.
 
