@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
 from tidewater.llm.common import saved
+from tidewater.llm.setjoin import BROADCAST_IDS
 
 WIDTH, GRAM = 400, 200
 #: Contexts of one anchor above which its windows are counted rather than indexed; text bytes of a bucket.
@@ -188,12 +189,12 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     unsettled = met.where(~(F.col("ra") & F.col("rz")))
     load = unsettled.groupBy("h").agg(F.count("*").alias("load"))
     kinds = met.where("ra and rz").groupBy("h", "fa", "fz").agg(F.min(F.struct("id", "pos")).alias("m")).select("h", "m.id", "m.pos")
-    asked = unsettled.select("h", "id", "pos").unionByName(kinds).join(load, "h")
+    asked = saved(unsettled.select("h", "id", "pos").unionByName(kinds).join(load, "h"))
     known = met.where("ra or rz").select("id", "pos", "ra", "rz")
     per_doc = asked.groupBy("id").agg(F.collect_list(F.struct("h", "pos", "load")).alias("q"))
     total = asked.count() * (2 * width - gram)
     buckets = max(16, total // BUCKET_BYTES)
-    cuts = docs.join(per_doc, "id").select("id", F.col("text").cast("binary").alias("text"), "q")
+    cuts = _only(docs, per_doc).join(per_doc, "id").select("id", F.col("text").cast("binary").alias("text"), "q")
     cuts = cuts.select("id", F.explode(F.transform("q", lambda q: F.struct(q["h"].alias("h"), q["load"].alias("load"), F.greatest(q["pos"] - (width - gram), F.lit(0)).alias("start"), q["pos"].alias("pos")))).alias("q"), "text")
     body = F.substring(F.col("text"), F.col("q.start") + 1, F.col("q.pos") + width - F.col("q.start"))
     cuts = saved(cuts.select("id", "q.h", "q.load", "q.start", "q.pos", body.alias("body")))
@@ -211,6 +212,14 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     return found.unionByName(hot_found).unionByName(_known(known, width, gram))
 
 
+def _only(docs: DataFrame, wanted: DataFrame, not_wanted: bool = False) -> DataFrame:
+    """Rows whose id is wanted (or not), found without moving the texts where the ids are few enough to be broadcast."""
+    ids = wanted.select("id").distinct()
+    if ids.count() > BROADCAST_IDS:
+        return docs.join(ids, "id", "left_anti") if not_wanted else docs
+    return docs.join(F.broadcast(ids), "id", "left_anti" if not_wanted else "left_semi")
+
+
 def _known(known: DataFrame, width: int, gram: int) -> DataFrame:
     right = known.where("ra").select("id", F.col("pos").cast("long").alias("start"), (F.col("pos") + width).cast("long").alias("end"))
     left = known.where("rz").select("id", (F.col("pos") + gram - width).cast("long").alias("start"), (F.col("pos") + gram).cast("long").alias("end"))
@@ -250,7 +259,7 @@ def merge(starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple[int, int]]
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per document: id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = covered(rows, width, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = saved(covered(rows, width, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
     @F.arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
@@ -272,5 +281,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             out[3].append(b"".join(kept))
         return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = rows.join(spans, "id", "left").select("id", cut(F.col("text"), F.col("spans")).alias("c"))
+    touched = _only(rows, spans).join(spans, "id")
+    whole = _only(rows, spans, not_wanted=True).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    done = touched.unionByName(whole).select("id", cut(F.col("text"), F.col("spans")).alias("c"))
     return done.select(F.col("id").alias(id_col), "c.kept", "c.n_bytes", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("kept_sha256"))
