@@ -11,7 +11,8 @@ def brute_all(rows, percent=80):
     for i, t in sorted(rows):
         kept = []
         for x in (t or "").split("\n"):
-            w = set(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)))
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
+            w = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
             if not (w and any(len(w & s) * 100 >= percent * len(w | s) for s in seen)):
                 kept.append(x)
             if w:
@@ -23,7 +24,7 @@ def brute_all(rows, percent=80):
 def corpus():
     r = random.Random(5)
     vocab = [f"v{k}" for k in range(80)] + ["the", "of"] * 20
-    pool = [[r.choice(vocab) for _ in range(r.randint(1, 30))] for _ in range(60)]
+    pool = [[r.choice(vocab) for _ in range(r.randint(1, 90))] for _ in range(60)]
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, " \n x \n X\n"), (4, "a a b")]
     for i in range(10, 80):
         lines = []

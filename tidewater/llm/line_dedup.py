@@ -1,12 +1,12 @@
 """Line dedup by an exact set-similarity join.
 
-Lines are sets of words, ordered by rarity: first by the count of a word's hash bucket over all lines, then by
-hash. Equal sets form one class. A line's prefix under that order must share a word with any similar line's
-(prefix filter); only lines of compatible size (length filter) whose remaining words after the match suffice
+Lines are sets of tokens (shingles of five words; a shorter line is one token), ordered by rarity: first by the
+count of a token's hash bucket over all lines, then by hash. Equal sets form one class. A line's prefix under that
+order must share a token with any similar line's (prefix filter); only lines of compatible size (length filter) whose remaining tokens after the match suffice
 (positional filter) are verified by exact Jaccard similarity. A line goes if an equal or similar line stands
 earlier in the corpus (by id, then line number), whether or not that one goes too.
 
-Each class is first held against the earliest class of each prefix word's group, which settles most members
+Each class is first held against the earliest class of each prefix token's group, which settles most members
 of a large group; only unsettled classes look at all earlier members. Lines without words are kept
 and match nothing. Words are lower-cased (A-Z) runs of non-space characters. Null texts count as empty. Ids are
 unique non-negative longs.
@@ -25,15 +25,38 @@ from tidewater.llm import bytesops as B
 from tidewater.llm.common import saved
 from tidewater.llm.setjoin import BROADCAST_IDS, LANES, marks, prefix_length, shared_counts
 
-#: Hash buckets of the word counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
+#: Hash buckets of the token counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
 BUCKETS = 1 << 16
+#: Words of a token.
+SIZE = 5
 #: Rounds in which groups are held against one leader before all earlier lines are looked at.
 LEADERS = 2
 _NEWLINE = 10
 
 
+def _tokens(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of SIZE words within each line, and their lines; a shorter line is one shingle."""
+    if not len(h):
+        return h, line
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    n = np.diff(np.append(first, len(h)))
+    out, at = [], []
+    for width in range(1, SIZE + 1):
+        if width < SIZE:
+            starts = first[n == width]
+        else:
+            m = len(h) - SIZE + 1
+            starts = np.flatnonzero(line[: max(m, 0)] == line[SIZE - 1 :]) if m > 0 else np.empty(0, np.int64)
+        acc = np.full(len(starts), width, np.uint64)
+        for k in range(width):
+            acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[starts + k]
+        out.append(B.mix(acc))
+        at.append(line[starts])
+    return np.concatenate(out), np.concatenate(at)
+
+
 def _line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one slice of texts: word hashes, the global line of each word, text of each line, number of each line in its text."""
+    """Of one slice of texts: token hashes, the global line of each token, text of each line, number of each line in its text."""
     low = B.ascii_lower(data)
     starts, ends, _ = B.words(low, offsets)
     h = B.span_hash(B.prefix_hash(low), starts, ends) if len(starts) else np.empty(0, np.uint64)
@@ -43,6 +66,7 @@ def _line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     first_line = np.concatenate([[0], np.cumsum(per_doc)])
     doc_of_word = np.searchsorted(offsets, starts, "right") - 1
     line_of_word = np.searchsorted(breaks, starts) + doc_of_word
+    h, line_of_word = _tokens(h, line_of_word)
     doc = np.repeat(np.arange(len(offsets) - 1), per_doc)
     return h, line_of_word, doc, np.arange(len(doc)) - first_line[doc]
 
@@ -55,17 +79,15 @@ def _distinct(h: np.ndarray, line: np.ndarray, key: np.ndarray | None = None) ->
     return h[new], line[new]
 
 
-def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Words of all lines by hash bucket (each task sends its non-zero buckets once)."""
+def token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Tokens of all lines by hash bucket (each task sends its non-zero buckets once)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for _, data, offsets in B.text_slices(b.column(0)):
-                low = B.ascii_lower(data)
-                starts, ends, _f = B.words(low, offsets)
-                if len(starts):
-                    total += np.bincount((B.span_hash(B.prefix_hash(low), starts, ends) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                h = _line_sets(data, offsets)[0]
+                total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -140,7 +162,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Rows (id, line) of the lines that go."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = word_counts(rows, "text")
+    counts = token_counts(rows, "text")
     lines = saved(rows.select("id", F.explode(sketch(F.col("text"), counts, percent)).alias("s")).select("id", "s.*"))
     place = F.struct("id", "line")
     classes = saved(lines.groupBy("cls").agg(F.min(place).alias("first"), F.first("n").alias("n")))

@@ -120,6 +120,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         held = post.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         groups = held.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi")
         open_ = saved(held.join(groups.select("t", "main"), "t"))
+        if k and not open_.limit(1).count():
+            break
         # Later rounds take the centre of the largest component, and members outside it.
         inside = F.lit(True) if k == 0 else F.col("component") == F.col("main")
         lead = open_.where(inside).groupBy("t").agg(F.max(F.struct("w", (-F.col("id")).alias("i"), "n")).alias("c"))

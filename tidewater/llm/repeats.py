@@ -244,10 +244,11 @@ def _window_hashes(body: Column, start: Column, width: int) -> Column:
     return run(body, start)
 
 
-def merge(starts: np.ndarray, ends: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Disjoint, maximal ranges within a text of n bytes."""
+def merge(starts: np.ndarray, ends: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
+    """Disjoint, maximal ranges within a text of n bytes. A window that sticks out of the text is its first or last one."""
     if not len(starts):
         return []
+    starts, ends = np.where(ends > n, np.minimum(starts, n - width), starts), np.where(starts < 0, np.maximum(ends, width), ends)
     starts, ends = np.maximum(starts, 0), np.minimum(ends, n)
     order = np.argsort(starts, kind="stable")
     s, e = starts[order], np.maximum.accumulate(ends[order])
@@ -269,7 +270,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             ranges: list[tuple[int, int]] = []
             if f.is_valid:
                 v = f.values
-                ranges = merge(v.field("start").to_numpy(zero_copy_only=False), v.field("end").to_numpy(zero_copy_only=False), len(t))
+                ranges = merge(v.field("start").to_numpy(zero_copy_only=False), v.field("end").to_numpy(zero_copy_only=False), len(t), width)
             kept, at = [], 0
             for s, e in ranges:
                 kept.append(t[at:s])
