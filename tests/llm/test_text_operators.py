@@ -20,10 +20,10 @@ def frame(spark, rows):
 
 def test_sliding_argmin_matches_windows():
     r = np.random.default_rng(1)
-    for n, w, hi in ((50, 7, 5), (200, 13, 1 << 40), (30, 30, 3), (5, 9, 3)):
-        v = r.integers(0, hi, n).astype(np.uint64)
-        want = {i + int(np.argmin(v[i : i + w])) for i in range(n - w + 1)}
-        assert set(B.sliding_argmin(v, w).tolist()) >= want
+    for n, w, hi in ((50, 7, 5), (200, 13, 1 << 30), (30, 30, 3), (5, 9, 3), (300, 20, 2)):
+        v = r.integers(0, hi, n).astype(np.uint64) << np.uint64(24)
+        want = sorted({i + int(np.argmin(v[i : i + w])) for i in range(n - w + 1)})
+        assert B.sliding_argmin(v, w).tolist() == want
 
 
 # Token counts

@@ -150,28 +150,26 @@ def shingles(word_hash: np.ndarray, first: int, last: int, size: int) -> np.ndar
     return mix(out)
 
 
+_PLACE = np.uint64(24)
+_SPAN = 1 << 23
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the leftmost minimum of each window of ``width`` values, without repeats."""
+    """Positions of the least value (by its upper 40 bits, then the leftmost) of each window, without repeats."""
     n = len(values)
     if n < width:
         return np.empty(0, np.int64)
+    if n > 2 * _SPAN + width:  # positions have 24 bits: take overlapping stretches
+        parts = [sliding_argmin(values[a : a + _SPAN + width - 1], width) + a for a in range(0, n - width + 1, _SPAN)]
+        return np.unique(np.concatenate(parts))
+    key = (values >> _PLACE << _PLACE) | np.arange(n, dtype=np.uint64)
     pad = -n % width
-    v = np.concatenate([values, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]) if pad else values
-    blocks = v.reshape(-1, width)
+    if pad:
+        key = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, np.uint64)])
+    blocks = key.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - width + 1
     low = np.minimum(back[:m], ahead[width - 1 : width - 1 + m])
-    # a position is a minimum of some window iff it equals the minimum of a window that contains it
-    at = np.flatnonzero(values[:m] == low)  # windows whose first value is their minimum
-    change = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    out = [at]
-    # other minima: look from each window where the minimum changes, at the position that brings it in
-    first = change[0]
-    out.append(np.array([first + int(np.argmin(values[first : first + width]))], np.int64))
-    entering = change[1:] + width - 1
-    out.append(entering[values[entering] == low[change[1:]]])
-    rest = change[1:][values[entering] != low[change[1:]]]
-    for s in rest.tolist():
-        out.append(np.array([s + int(np.argmin(values[s : s + width]))], np.int64))
-    return np.unique(np.concatenate(out))
+    low = low[np.concatenate([[True], low[1:] != low[:-1]])]  # a window's least position never moves back
+    return (low & np.uint64((1 << 24) - 1)).astype(np.int64)
