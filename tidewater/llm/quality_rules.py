@@ -77,7 +77,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prior: fl
     """Share of good documents and, for each rule, P(vote | good) and P(vote | bad), by expectation-maximisation.
 
     Rules are taken as independent given the class and, at the start, as right in four of five votes. Counts
-    are smoothed by one document. No documents: the starting values.
+    are smoothed by one document.
     """
     m = len(patterns[0][0]) if patterns else 0
     table = [{1: (0.7, 0.2), 0: (0.1, 0.6), -1: (0.2, 0.2)} for _ in range(m)]
@@ -91,7 +91,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prior: fl
             for r, v in enumerate(votes):
                 good[r][v] += n * p
                 bad[r][v] += n * (1 - p)
-        prior = min(max(g / total, 0.02), 0.98)
+        prior = min(max(g / total, 0.02), 0.98) if total else prior
         table = [{v: (a[v] / sum(a), b[v] / sum(b)) for v in (1, 0, -1)} for a, b in zip(good, bad, strict=True)]
     return prior, table
 
@@ -107,7 +107,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     base = saved(features(docs, id_col, text_col).withColumns({f"v_{k}": c for k, c in votes.items()}))
     names = [f"v_{k}" for k in votes]
     patterns = [(tuple(r[n] for n in names), r["count"]) for r in base.groupBy(*names).count().collect()]
-    prior, table = fit(sorted(patterns))
+    prior, table = fit(sorted(patterns) or [((-1,) * len(names), 0)])
     logit = F.lit(math.log(prior / (1 - prior)))
     for r, name in enumerate(names):
         term = F.lit(0.0)
