@@ -123,17 +123,22 @@ def _in_lane(lane: int):
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Rows (id, component): the smallest id reachable over (a, b) edges, for ids that have an edge.
 
-    Each round takes the least label among the neighbours and then follows labels twice.
+    Each round takes the least label among the neighbours, gives it to the old root too, so that whole trees
+    meet, and then follows labels once more. Rounds grow with the logarithm of a chain's length; labels that have not settled
+    after ``limit`` rounds are an error.
     """
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     for _ in range(limit):
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = label.join(near, label["id"] == near["a"]).select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = label.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        step = saved(label.join(near, label["id"] == near["a"]).select("id", F.col("component").alias("old"), F.least("component", "m").alias("component")))
+        # A root takes the least label that any of its members has found.
+        hook = step.groupBy("old").agg(F.min("component").alias("hook")).where("hook < old").withColumnRenamed("old", "top")
+        step = saved(step.join(hook, step["id"] == hook["top"], "left").select("id", "old", F.least("component", F.coalesce("hook", "component")).alias("component")))
+        jump = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
         step = saved(step.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("root", "component")).alias("component")))
         changed = step.where("component <> old").limit(1).count()
         label = step.select("id", "component")
         if not changed:
-            break
-    return label
+            return label
+    raise RuntimeError(f"components have not settled after {limit} rounds")
