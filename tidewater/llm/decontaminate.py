@@ -3,9 +3,10 @@
 A window that shares no word shingle with any item cannot be similar to one, so windows are laid where a document's
 shingle meets an item's: as long as the item, shifted so that the shingle falls in the same place. Each
 window gets a 64-bit weighted SimHash. Fingerprints are cut into four blocks of 16 bits, and an index holds
-every item's blocks with up to three bits flipped: by the pigeonhole principle each pair within 15 bits meets there.
+every item's blocks with up to three bits flipped, which windows' blocks with up to two bits flipped look up: by the
+pigeonhole principle each pair within 23 bits meets there.
 Candidates within the radius are verified by exact weighted Jaccard similarity of their shingles (weight: inverse of
-the number of items that have the shingle). Words are lower-cased runs of non-space characters.
+the number of different item texts that have the shingle). Words are lower-cased runs of non-space characters.
 
 Null and empty texts, of documents or of items, match nothing. A text shorter than a shingle is one shingle.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import ascii_lower, let, saved
 
 SPACE = r"[\x20\x09-\x0D]+"
-BLOCKS, BITS, FLIPS = 4, 16, 3
-RADIUS = BLOCKS * (FLIPS + 1) - 1
+BLOCKS, BITS, FLIPS, PROBE_FLIPS = 4, 16, 3, 2
+RADIUS = BLOCKS * (FLIPS + PROBE_FLIPS + 1) - 1
 #: Rows of a table that is broadcast at most; larger ones are joined by shuffling.
 BROADCAST_ROWS = 400_000
 UNIT = 1000
@@ -50,8 +51,8 @@ def _block(fp: Column, b: int) -> Column:
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (id, item, similarity): the best window of each document for each item it contains."""
     item_sh = items.select(F.col(item_col).alias("item"), _shingles(F.col(item_text_col), size).alias("hs")).where(F.size("hs") > 0)
-    spots = item_sh.select("item", F.size("hs").alias("len"), F.posexplode("hs").alias("o", "h"))
-    rarity = spots.groupBy("h").agg((F.lit(UNIT) / F.count_distinct("item")).cast("int").alias("weight"))
+    spots = item_sh.select("item", F.xxhash64(F.array_sort(F.array_distinct("hs"))).alias("key"), F.size("hs").alias("len"), F.posexplode("hs").alias("o", "h"))
+    rarity = spots.groupBy("h").agg((F.lit(UNIT) / F.count_distinct("key")).cast("int").alias("weight"))
     spots = saved(spots.join(rarity, "h").withColumn("weight", F.greatest("weight", F.lit(1))))
     n = spots.count()
     small = F.broadcast if n <= BROADCAST_ROWS else (lambda d: d)
@@ -68,16 +69,16 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     weights = spots.select("h", "weight").distinct()
     cells = windows.select("id", "at", "len", F.explode(F.array_distinct("win")).alias("h")).join(small(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(UNIT)))
     cells = saved(cells)
-    prints = _fingerprint(cells, ["id", "at", "len"])
+    prints = saved(_fingerprint(cells, ["id", "at", "len"]))
     item_cells = spots.select("item", "h", "weight").distinct()
     item_prints = _fingerprint(item_cells, ["item"])
-    flips = [m for m in range(1 << BITS) if m.bit_count() <= FLIPS]
-    masks = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<int>")
+    index_masks, probe_masks = (F.split(F.lit(",".join(str(m) for m in range(1 << BITS) if m.bit_count() <= f)), ",").cast("array<int>") for f in (FLIPS, PROBE_FLIPS))
     index = item_prints.select("item", F.col("fp").alias("item_fp"), F.col("mass").alias("item_mass"), F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("b", "v"))
-    index = index.select("item", "item_fp", "item_mass", "b", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    probes = prints.select("id", "at", "len", "fp", "mass", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("b", "v"))
-    near = probes.join(index, ["b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("id", "at", "len", "mass", "item", "item_mass").distinct()
+    index = index.select("item", "item_fp", "item_mass", "b", F.explode(F.transform(index_masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+    probes = prints.select("fp").distinct().select("fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("b", "v"))
+    probes = probes.select("fp", "b", F.explode(F.transform(probe_masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+    pairs = probes.join(index, ["b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = prints.join(pairs.select("fp", "item", "item_mass").distinct(), "fp").select("id", "at", "len", "mass", "item", "item_mass")
     shared = near.join(cells, ["id", "at", "len"]).join(small(item_cells.select("item", "h")), ["item", "h"]).groupBy("id", "at", "len", "item", "mass", "item_mass").agg(F.sum("weight").alias("both"))
     sim = F.col("both") / (F.col("mass") + F.col("item_mass") - F.col("both"))
     return shared.select("id", "item", sim.alias("similarity")).where(F.col("similarity") >= similarity).groupBy("id", "item").agg(F.max("similarity").alias("similarity"))
