@@ -68,3 +68,27 @@ def test_one_of_each_keeps_columns_and_one_document(spark):
 
 def test_empty_table(spark):
     assert ngram_join.join(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_large_group_of_near_copies(spark):
+    # Copies of one template with few to many words changed, most of them in places of their own, and copies of two variants.
+    r = random.Random(11)
+    base = [f"t{k}" for k in range(160)]
+    variants = [base, base[:60] + [f"u{k}" for k in range(25)] + base[85:], [f"v{k}" for k in range(18)] + base[18:]]
+    rows = []
+    for i in range(900):
+        w = list(r.choice(variants))
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 8, 12])):
+            w[r.randrange(len(w))] = f"x{i}_{r.randrange(1000)}" if r.random() < 0.8 else "same"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([(a, b, "x", "y", "z") for a, b in rows], SCHEMA)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.join(df).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(7, a), (7, a), (7, b), (3, a + " end"), (9, b + " end"), (5, None)]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA)
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.join(df).collect())
+    assert got == [(3, 58, 3), (5, 0, 5), (7, 57, 3), (7, 57, 3), (7, 57, 7), (9, 58, 7)]

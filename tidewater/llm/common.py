@@ -29,6 +29,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(df: DataFrame) -> None:
+    """Delete the files of a table that ``saved`` wrote and that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        if path.getName().startswith("tidewater-"):
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether ``crc32(id as text) mod folds`` is ``fold``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold

@@ -3,15 +3,16 @@
 A document's set holds the hashes of its word shingles. Two sets can only be similar if, under every global order of
 the tokens, their prefixes share a token. The first order (by hash) is applied to the whole corpus: a document
 stays a candidate only if enough of its lengthened prefix is shared (a prefix longer by k - 1 must share k).
-Survivors' whole sets are counted against each other, and only those that share enough tokens go on. Pairs
-must then share prefix tokens under three orders before their exact similarity is taken.
+Survivors' whole sets are counted against each other, and only those that share enough tokens go on. Candidate pairs
+share a prefix token under the first order; pairs whose prefixes under the second or third do not meet go before any whole
+set is read, and only the rest have their exact similarity taken.
 
 Groups of near copies are not expanded into all pairs: each member is first verified against its groups' most central
-members; components form, and only pairs across components remain, each checked, so no link
+members; components form, and only links across components are still looked for (``_across``), so no link
 between components is lost. Equal sets are one class from the start.
 
 Null, empty and wordless texts have no shingles and link with nothing. Fewer words than a shingle: the whole
-sequence is the one shingle. Ids are unique non-negative longs; a repeated row of one id gives a repeated result row.
+sequence is the one shingle. Ids are longs; every row of a repeated id has a result row of its own, by its own text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
-from tidewater.llm.common import saved
-from tidewater.llm.setjoin import BROADCAST_IDS, LANES, components, marks, prefix_length, shared_counts
+from tidewater.llm.common import drop_saved, saved
+from tidewater.llm.setjoin import BROADCAST_IDS, components, prefix_length, shared_counts
 
 ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Tokens, in percent of a set, by which the first prefix is lengthened.
@@ -49,6 +50,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
 
 
+def _class(s: np.ndarray) -> int:
+    """A non-negative hash of a whole set; the empty set has 0."""
+    return int(B.mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0] >> np.uint64(1)) if len(s) else 0
+
+
 def sketch(text: Column, size: int, percent: int) -> Column:
     """Set size, set hash and lengthened prefix under the first order."""
 
@@ -57,7 +63,7 @@ def sketch(text: Column, size: int, percent: int) -> Column:
         n, cls, pre = [], [], []
         for s in _sets(texts, size):
             n.append(len(s))
-            cls.append(np.uint64(B.mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0]).view(np.int64) if len(s) else 0)
+            cls.append(_class(s))
             pre.append(s[: prefix_length(len(s), percent) + int(_extra(len(s), percent)) - 1] if len(s) else s)
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _lists(pre)], ["n", "cls", "pre"])
 
@@ -65,52 +71,120 @@ def sketch(text: Column, size: int, percent: int) -> Column:
 
 
 def whole(text: Column, size: int, percent: int) -> Column:
-    """The whole set and its prefixes under each order."""
+    """The whole set, its hash and its prefixes under each order."""
 
-    @F.arrow_udf("struct<tok:array<bigint>,p0:array<bigint>,p1:array<bigint>,p2:array<bigint>>")
+    @F.arrow_udf("struct<cls:bigint,tok:array<bigint>,p0:array<bigint>,p1:array<bigint>,p2:array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
         cols: list[list] = [[], [], [], []]
+        cls = []
         for s in _sets(texts, size):
+            cls.append(_class(s))
             cols[0].append(s)
             p = prefix_length(len(s), percent) if len(s) else 0
             cols[1].append(s[:p])
             for k in (1, 2):
                 cols[k + 1].append(np.sort(s[np.argsort(B.mix(s ^ np.uint64(ORDERS[k])))[:p]]))
-        return pa.StructArray.from_arrays([_lists(c) for c in cols], ["tok", "p0", "p1", "p2"])
+        return pa.StructArray.from_arrays([pa.array(cls, pa.int64()), *[_lists(c) for c in cols]], ["cls", "tok", "p0", "p1", "p2"])
 
     return run(text)
 
 
+def _share_prefixes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) whose prefixes meet under the second and third order too; only prefixes are read."""
+    left = sets.select(F.col("id").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
+    right = sets.select(F.col("id").alias("b"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
+    met = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2"))
+    return met.select("a", "b")
+
+
 def _pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with both sets beside them and ``common``, their intersection's size."""
-    left = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "shared", "tok", "p1", "p2")])
-    right = sets.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "shared", "tok", "p1", "p2")])
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("tok").alias("a_tok"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("tok").alias("b_tok"))
     return pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_tok", "b_tok")))
 
 
-def _similar(percent: int) -> Column:
-    """Prefixes meet under the other orders as well, and the exact similarity suffices."""
-    return F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2") & (F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent)
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs that pass all filters and are similar enough."""
+    found = _pairs(_share_prefixes(pairs, sets), sets)
+    return found.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
+
+
+def _groups(held: DataFrame, key: list[str]) -> DataFrame:
+    """Groups of a key that hold members of several components, with the most frequent one (``main``)."""
+    return held.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi").select(*key, "main")
+
 
+def _across(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that cross components, found by what documents differ in from their group's centre.
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """``(members, edges)``: (id, n, cls, rep) of every row, and verified links (a, b) between class representatives
-    that connect whatever any link connects.
+    ``held``: rows (id, n, t, w, component). With c the centre of a group's main component, d(x) the size of the
+    difference of x and c, and q = (100 - percent) / (100 + percent): two documents link where they differ in
+    q (|x| + |y|) tokens at most, so their differences from c must share (d(x) + d(y) - q (|x| + |y|)) / 2
+    tokens or more. A document that does not link with c has d(x) > q (|x| + |c|), which makes that at least one for any
+    partner. Differences are therefore joined like sets: those that cannot share as many tokens
+    as any partner asks for go first, and the rest meet on prefixes in order of rarity.
+    """
+    mixed = saved(held.join(_groups(held, ["t"]), "t"))
+    lead = mixed.where("component = main").groupBy("t").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("c")).select("t", (-F.col("c.i")).alias("r"))
+    near = mixed.join(lead, "t").select("id", "r", "component", (F.col("component") == F.col("main")).alias("inside")).distinct()
+    own = sets.select("id", "n", "tok")
+    centre = sets.select(F.col("id").alias("r"), F.col("n").alias("rn"), F.col("tok").alias("rtok"))
+    less, more = 100 - percent, 100 + percent
+    told = near.where("id <> r").join(own, "id").join(centre, "r").select("id", "r", "component", "inside", "n", "rn", F.concat(F.array_except("tok", "rtok"), F.array_except("rtok", "tok")).alias("diff"))
+    told = told.withColumn("d", F.size("diff")).withColumn("near", F.col("d") * more <= (F.col("n") + F.col("rn")) * less)
+    asked = F.when(F.col("inside") | F.col("near"), F.col("d") * more + (F.col("rn") - F.col("n")) * less).otherwise(F.col("d") * more - (F.col("n") + F.col("rn")) * less)
+    least = F.greatest(F.lit(1), F.ceil(asked / (2 * more)))
+    diffs = F.transform("diff", lambda x: F.xxhash64("r", x))
+    told = saved(told.select("id", "r", "component", "n", "d", "inside", "near", least.alias("least"), diffs.alias("diff"), F.xxhash64("id", "r").alias("key")))
+    links = told.where("near and not inside").select(F.col("id").alias("a"), F.col("r").alias("b"))
+    # Differences that no other member of the centre's group has cannot be shared. Twice: what goes makes more of them so.
+    live = told.where(F.col("d") >= F.col("least"))
+    for _ in range(2):
+        live = saved(live.drop("s").join(shared_counts(live, "key", "diff").select(F.col("cls").alias("key"), F.col("shared").alias("s")), "key").where("s >= least"))
+    spread = live.select("key", "id", "component", "n", "d", "least", F.explode("diff").alias("h"))
+    often = spread.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = spread.join(often, "h").groupBy("key", "id", "component", "n", "d", "least").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l")).withColumn("s", F.size("l")).where("s >= least")
+    prefix = F.slice("l", F.lit(1), (F.col("s") - F.col("least") + 1).cast("int"))
+    post = saved(ranked.select("key", "id", "component", "n", "d", "s", F.posexplode(prefix).alias("p", "x")).select("*", F.col("x.h").alias("h")).drop("x"))
+    met = post.join(_groups(post, ["h"]), "h")
+    out = met.where("component <> main").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "d", "s", "p")])
+    have = F.least(F.col("s") - F.col("p"), F.col("x_s") - F.col("x_p")) + F.least("p", "x_p")
+    fits = (F.col("n") * 100 >= F.col("x_n") * percent) & (F.col("x_n") * 100 >= F.col("n") * percent)
+    enough = (F.col("d") + F.col("x_d") - 2 * have) * more <= (F.col("n") + F.col("x_n")) * less
+    once = (F.col("component") == F.col("main")) | (F.col("x_id") < F.col("id"))
+    cross = out.join(met, (F.col("h") == F.col("xh")) & (F.col("component") != F.col("x_component")) & once & fits & enough)
+    cross = saved(cross.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct())
+    return links.unionByName(_linked(cross, sets, percent))
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``(members, edges)``: (id, n, cls) of every row, and verified links (a, b) between classes that connect
+    whatever any link connects. A class holds all documents of one set.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     base = saved(rows.select("id", sketch(F.col("text"), size, percent).alias("s")).select("id", "s.n", "s.cls", "s.pre"))
-    classes = base.where("n > 0").groupBy("cls", "n").agg(F.min("id").alias("rep"))
-    members = saved(base.select("id", "n", "cls").join(classes, ["cls", "n"], "left").select("id", "n", "cls", F.coalesce("rep", "id").alias("rep")))
-    found = shared_counts(base.where("n > 0"), "cls", "pre")
-    alive = saved(members.where("id = rep").join(found, "cls").where(F.col("shared") >= _extra(F.col("n"), percent)).select("id", "n").distinct())
+    some = base.where("n > 0")
+    classes = some.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    found = shared_counts(some, "cls", "pre")
+    alive = saved(classes.join(found, "cls").where(F.col("shared") >= _extra(F.col("n"), percent)).select("cls", "rep"))
+    members = saved(base.select("id", "n", "cls"))
+    drop_saved(base)
     few = F.broadcast if alive.count() <= BROADCAST_IDS else (lambda d: d)
-    sets = saved(rows.join(few(alive), "id").select("id", "n", whole(F.col("text"), size, percent).alias("s")).select("id", "n", "s.*"))
+    sets = rows.join(few(alive), F.col("id") == F.col("rep")).select(F.col("cls").alias("id"), whole(F.col("text"), size, percent).alias("s")).where("s.cls = id")
+    sets = sets.select("id", F.size("s.tok").alias("n"), "s.tok", "s.p0", "s.p1", "s.p2")
+    if members.groupBy("id", "cls").count().where("count > 1").limit(1).count():  # repeated rows of one id
+        sets = sets.dropDuplicates(["id"])
+    sets = saved(sets)
     # Tokens that no other survivor has cannot be common. Twice: what goes makes more tokens unshared.
+    held = sets
     for _ in range(2):
-        full = saved(shared_counts(sets, "id", "tok").withColumnRenamed("cls", "id"))
-        sets = sets.drop("shared").join(few(full), "id").where(F.col("shared") * 100 >= F.col("n") * percent)
-    sets = saved(sets)
-    post = saved(sets.select("id", "n", "shared", F.explode("p0").alias("t")))
+        full = saved(shared_counts(held, "id", "tok").withColumnRenamed("cls", "id"))
+        held = held.drop("shared").join(few(full), "id").where(F.col("shared") * 100 >= F.col("n") * percent)
+    held = saved(held)
+    drop_saved(sets)
+    sets = held
+    post = saved(sets.select("id", "n", F.explode("p0").alias("t")))
     # The most central member of a token's group has the most frequent tokens.
     often = post.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     central = post.join(often, "t").groupBy("id").agg(F.sum(F.log("c")).alias("w"))
@@ -118,51 +192,40 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     edges, comp, done = None, post.select("id", F.col("id").alias("component")).distinct(), None
     for k in range(rounds):
         held = post.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        groups = held.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi")
-        open_ = saved(held.join(groups.select("t", "main"), "t"))
+        open_ = saved(held.join(_groups(held, ["t"]), "t"))
         if k and not open_.limit(1).count():
-            break
+            return members, edges
         # Later rounds take the centre of the largest component, and members outside it.
         inside = F.lit(True) if k == 0 else F.col("component") == F.col("main")
         lead = open_.where(inside).groupBy("t").agg(F.max(F.struct("w", (-F.col("id")).alias("i"), "n")).alias("c"))
-        star = open_.join(lead.select("t", (-F.col("c.i")).alias("r"), F.col("c.n").alias("rn")), "t").where(F.col("id") != F.col("r"))
+        outside = open_ if k == 0 else open_.where("component <> main")
+        star = outside.join(lead.select("t", (-F.col("c.i")).alias("r"), F.col("c.n").alias("rn")), "t").where(F.col("id") != F.col("r"))
         star = star.where((F.col("rn") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("rn") * percent)).select(F.col("id").alias("a"), F.col("r").alias("b")).distinct()
         if done is not None:
-            star = star.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        lost = F.array_except("b_tok", "a_tok")
-        seen = _pairs(star, sets).select("a", "b", _similar(percent).alias("linked"), (F.col("a_shared") - F.col("common")).alias("extra"), F.col("b_n").alias("rn"), *[m.alias(f"m{x}") for x, m in enumerate(marks(lost))])
-        done = saved(seen if done is None else done.unionByName(seen))
-        edges = done.where("linked").select("a", "b")
+            star = star.join(done, ["a", "b"], "left_anti")
+        star = saved(star)
+        done = star if done is None else done.unionByName(star)
+        fresh = saved(_linked(star, sets, percent))
+        edges = fresh if edges is None else edges.unionByName(fresh)
         comp = components(edges)
-    # Whatever still crosses components.
     held = post.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = held.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).where("lo <> hi")
-    mixed = held.join(groups.select("t", "main"), "t")
-    # What a member lacks of a group's centre bounds what two members can have in common.
-    lead = mixed.where("component = main").groupBy("t").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("c")).select("t", (-F.col("c.i")).alias("r"))
-    facts = done.select(F.col("a").alias("id"), F.col("b").alias("r"), "extra", "rn", *[f"m{x}" for x in range(LANES)])
-    mixed = saved(mixed.join(lead, "t").join(facts, ["id", "r"], "left"))
-    keep = ["id", "n", "shared", "component", "extra", "rn", *[f"m{x}" for x in range(LANES)]]
-    out = mixed.where("component <> main").select("t", *[F.col(c).alias(f"x_{c}") for c in keep])
-    low = F.least("shared", "x_shared")
-    lacking = sum((F.bit_count(F.col(f"m{x}").bitwiseOR(F.col(f"x_m{x}"))) for x in range(1, LANES)), F.bit_count(F.col("m0").bitwiseOR(F.col("x_m0"))))
-    most = F.col("rn") - lacking + F.least("extra", "x_extra")
-    can = lambda c: c * 100 >= (F.col("n") + F.col("x_n") - c) * percent
-    near = (F.col("component") != F.col("x_component")) & (F.col("n") * 100 >= F.col("x_n") * percent) & (F.col("x_n") * 100 >= F.col("n") * percent) & can(low) & F.coalesce(can(most), F.lit(True))
-    cross = out.join(mixed.select("t", *keep).withColumnRenamed("t", "t2"), (F.col("t") == F.col("t2")) & near).select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
-    return members, edges.unionByName(saved(_pairs(cross, sets).where(_similar(percent)).select("a", "b")))
+    return members, edges.unionByName(saved(_across(held, sets, percent)))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     members, edges = links(docs, id_col, text_col, size, percent)
-    comp = components(edges).withColumnRenamed("id", "rep")
-    out = members.join(comp, "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    comp = components(edges).withColumnRenamed("id", "cls")
+    reps = members.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
+    held = saved(reps.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    least = held.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = held.join(least, "component").select("cls", "component_id")
+    out = members.join(named, "cls", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those whose group has a smaller id, all columns kept."""
+    """The documents without those whose group has a smaller id, all columns kept. All rows of a repeated id go if one goes."""
     found = join(docs, id_col, text_col, size, percent)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone"))
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
