@@ -61,3 +61,29 @@ def test_one_changed_word_in_a_short_line(spark):
     df = spark.createDataFrame([(i, t, "l", "c", "i") for i, t in rows], SCHEMA)
     got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in line_dedup.report(df).collect()}
     assert got == {1: (a, 0), 2: ("kept", 1), 3: ("p q r s t u v w x", 0), 4: ("", 1)}
+
+
+def test_large_groups_match_brute_force(spark, monkeypatch):
+    # Lines near one template, with few to many words changed, are held against leaders first.
+    monkeypatch.setattr(line_dedup, "LARGE", 20)
+    r = random.Random(9)
+    base = [f"t{k}" for k in range(40)]
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(2):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 9])):
+                w[r.randrange(len(w))] = f"x{r.randrange(3000)}" if r.random() < 0.7 else "same"
+            lines.append(" ".join(w))
+        rows.append((i, "\n".join(lines)))
+    df = spark.createDataFrame([(a, b, "l", "c", "i") for a, b in rows], SCHEMA)
+    assert {x["doc_id"]: x["text"] for x in line_dedup.report(df).collect()} == brute_all(rows)
+
+
+def test_repeated_ids(spark):
+    # Rows that repeat an id stand at the same places: neither counts as earlier.
+    rows = [(1, "a b c\nd e f"), (1, "a b c\nx y z"), (1, "a b c\nd e f"), (2, "q\na b c\nx y z\nd e f"), (3, None)]
+    df = spark.createDataFrame([(a, b, "l", "c", "i") for a, b in rows], SCHEMA)
+    got = sorted((x["doc_id"], x["text"] or "", x["n_removed_lines"]) for x in line_dedup.report(df).collect())
+    assert got == [(1, "a b c\nd e f", 0), (1, "a b c\nd e f", 0), (1, "a b c\nx y z", 0), (2, "q", 3), (3, "", 0)]

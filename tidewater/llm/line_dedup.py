@@ -2,14 +2,17 @@
 
 Lines are sets of words, ordered by rarity: first by the count of a word's hash bucket over all lines, then by
 hash. Equal sets form one class. A line's prefix under that order must share a word with any similar line's
-(prefix filter); only lines of compatible size (length filter) whose remaining words after the match suffice
-(positional filter) are verified by exact Jaccard similarity. A line goes if an equal or similar line stands
-earlier in the corpus (by id, then line number), whether or not that one goes too.
-
-Each class is first held against the earliest class of each prefix word's group, which settles most members
-of a large group; only unsettled classes look at all earlier members. Lines without words are kept
-and match nothing. Words are lower-cased (A-Z) runs of non-space characters. Null texts count as empty. Ids are
-unique non-negative longs.
+(prefix filter); of the lines that meet under a word, pairs of compatible size (length filter) whose remaining words after
+the match suffice (positional filter) and whose 128-bit word maps do not differ in too many bits are verified by exact
+Jaccard similarity. A line goes if an equal or similar line stands at an earlier place (id, then line number), whether or not
+that one goes too.
+
+Prefix entries travel packed by ranges of the word hash, whose number follows the count of words. A word's group that is
+large, or holds many near pairs, is not paired: each line is held against the earliest of the group, which settles most;
+those left meet earlier ones by what they differ in from it.
+
+Lines without words are kept and match nothing. Words are lower-cased (A-Z) runs of non-space characters. Null texts count
+as empty. Ids are longs; rows that repeat an id stand at the same places, so their lines do not count as earlier than each other.
 """
 
 from __future__ import annotations
@@ -22,13 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
-from tidewater.llm.common import saved
-from tidewater.llm.setjoin import BROADCAST_IDS, LANES, marks, prefix_length, shared_counts
+from tidewater.llm.common import drop_saved, saved
+from tidewater.llm.setjoin import BROADCAST_IDS, BUCKET, FLUSH, differences, may_be_similar, meeting_points, prefix_length
 
 #: Hash buckets of the word counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
-BUCKETS = 1 << 16
-#: Rounds in which groups are held against one leader before all earlier lines are looked at.
+BUCKETS = 1 << 17
+#: Rounds in which large groups are held against one leader before all earlier lines are looked at.
 LEADERS = 2
+#: Lines of a word's group, and near pairs for each of them, beyond which the group is held against leaders first.
+LARGE, DENSE = 1024, 16
+#: Pairs that a task looks at together.
+PAIRS = 2_000_000
+#: One entry of a line under one word of its prefix: the word, the line's set, its size, the word's place, 128 bits that its words set.
+POST = np.dtype([("t", "<u4"), ("n", "<i4"), ("p", "<i4"), ("cls", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 _NEWLINE = 10
 
 
@@ -55,6 +64,15 @@ def _distinct(h: np.ndarray, line: np.ndarray, key: np.ndarray | None = None) ->
     return h[new], line[new]
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - 17)).astype(np.int64)
+
+
+def _class(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Non-negative hashes of the lines' sets; ``first``: where each line's words begin."""
+    return (B.mix(np.add.reduceat(h, first) ^ n.astype(np.uint64)) >> np.uint64(1)).view(np.int64)
+
+
 def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     """Words of all lines by hash bucket (each task sends its non-zero buckets once)."""
 
@@ -65,7 +83,7 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
                 low = B.ascii_lower(data)
                 starts, ends, _f = B.words(low, offsets)
                 if len(starts):
-                    total += np.bincount((B.span_hash(B.prefix_hash(low), starts, ends) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                    total += np.bincount(_bucket(B.span_hash(B.prefix_hash(low), starts, ends)), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -75,131 +93,224 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def sketch(text: Column, counts: np.ndarray, percent: int) -> Column:
-    """For each line with words: its number, set size, set hash and prefix in rarity order."""
-    rank = np.argsort(np.argsort(counts, kind="stable")).astype(np.int64)
-
-    @F.arrow_udf("array<struct<line:int,n:int,cls:bigint,pre:array<bigint>>>")
-    def run(texts: pa.Array) -> pa.Array:
-        sizes = np.zeros(len(texts), np.int64)
-        number, count, cls, pre, pre_n = [], [], [], [], []
-        for row, data, offsets in B.text_slices(texts):
-            h, line, doc, no = _line_sets(data, offsets)
-            if not len(h):
-                continue
-            h, line = _distinct(h, line, rank[(h >> np.uint64(48)).astype(np.int64)])
-            first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            n = np.diff(np.append(first, len(h)))
-            total = np.add.reduceat(h, first)
-            cls.append((B.mix(total ^ n.astype(np.uint64)) >> np.uint64(1)).view(np.int64))
-            p = prefix_length(n, percent)
-            keep = np.arange(len(h)) - np.repeat(first, n) < np.repeat(p, n)
-            pre.append(h[keep])
-            pre_n.append(p)
-            ids = line[first]
-            number.append(no[ids])
-            count.append(n)
-            sizes[row : row + len(offsets) - 1] += np.bincount(doc[ids], minlength=len(offsets) - 1)
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(cat(pre_n, np.int64))]).astype(np.int32), pa.array(cat(pre, np.uint64).view(np.int64)))
-        items = pa.StructArray.from_arrays([pa.array(cat(number, np.int32)), pa.array(cat(count, np.int32)), pa.array(cat(cls, np.int64)), lists], ["line", "n", "cls", "pre"])
-        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), items)
-
-    return run(text)
-
-
-def _words_of(text: Column, wanted: Column) -> Column:
-    """Distinct words of the wanted lines of a text (line numbers in ascending order)."""
-
-    @F.arrow_udf("array<array<bigint>>")
-    def run(texts: pa.Array, lines: pa.Array) -> pa.Array:
+def _entries(h: np.ndarray, first: np.ndarray, n: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix entries of lines, one of each class. ``h``: each line's words in rarity order. ``t`` holds hash bits 8 to 39."""
+    _, pick = np.unique(cls, return_index=True)
+    mine = np.zeros(len(n), bool)
+    mine[pick] = True
+    bit = (h >> np.uint64(20)) & np.uint64(127)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    s0, s1 = (np.bitwise_or.reduceat(np.where((bit >= 64) == up, one, np.uint64(0)), first) for up in (False, True))
+    place = np.arange(len(h)) - np.repeat(first, n)
+    at = np.flatnonzero((place < np.repeat(prefix_length(n, percent), n)) & np.repeat(mine, n))
+    line = np.repeat(np.arange(len(n)), n)[at]
+    out = np.empty(len(at), POST)
+    out["t"], out["p"] = (h[at] >> np.uint64(8)).astype(np.uint32), place[at]
+    out["n"], out["cls"], out["s0"], out["s1"] = n[line], cls[line], s0[line], s1[line]
+    return out, (h[at] >> np.uint64(40)).astype(np.int64)
+
+
+def postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """Two kinds of rows: (id, rh, lines, classes) of each document with words, and (bucket, body) with packed prefix entries."""
+    rank = np.argsort(np.argsort(counts, kind="stable")).astype(np.int32)
+    buckets = int(max(8, -(-int(counts.sum()) // (4 * BUCKET))))
+
+    def pack(held: list) -> pa.RecordBatch:
+        post, top = (np.concatenate([x[k] for x in held]) for k in range(2))
+        bucket = top * buckets >> 24
+        order = np.argsort(bucket, kind="stable")
+        bucket, post = bucket[order], post[order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(cuts[1:], len(bucket))
+        body = [post[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)]
+        none = lambda t: pa.nulls(len(body), t)
+        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int32())), none(pa.list_(pa.int64())), pa.array(bucket[cuts], pa.int32()), pa.array(body, pa.binary())], names)
+
+    names = ["id", "rh", "lines", "classes", "bucket", "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        size = 0
+        for b in batches:
+            for row, data, offsets in B.text_slices(b.column(2)):
+                h, line, doc, no = _line_sets(data, offsets)
+                if not len(h):
+                    continue
+                h, line = _distinct(h, line, rank[_bucket(h)])
+                first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                n = np.diff(np.append(first, len(h)))
+                cls = _class(h, first, n)
+                held.append(_entries(h, first, n, cls, percent))
+                size += len(held[-1][0])
+                ids = line[first]
+                per = np.bincount(doc[ids], minlength=len(offsets) - 1)
+                at = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (no[ids].astype(np.int32), cls)]
+                m = len(per)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, m), b.column(1).slice(row, m), *lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                if size >= FLUSH:
+                    yield pack(held)
+                    held, size = [], 0
+        if size:
+            yield pack(held)
+
+    return rows.select("id", "rh", "text").mapInArrow(run, "id long, rh long, lines array<int>, classes array<long>, bucket int, body binary")
+
+
+def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(pairs, words, members)`` of a bucket's entries: pairs of classes that pass the length, positional and bit filters, and of
+    large or dense groups the members under their word instead of pairs.
+
+    The bits that only one of two lines sets are at most as many as the words in which they differ.
+    """
+    post = post[np.lexsort((post["cls"], post["n"], post["t"]))]
+    post = post[np.concatenate([[True], (post["t"][1:] != post["t"][:-1]) | (post["cls"][1:] != post["cls"][:-1])])]
+    t, n, p = post["t"], post["n"].astype(np.int64), post["p"].astype(np.int64)
+    group = np.cumsum(np.concatenate([[False], t[1:] != t[:-1]])).astype(np.int64)
+    size = np.bincount(group)
+    large = size > LARGE
+    ends = np.searchsorted((group << 32) | n, (group << 32) | (n * 100 // percent), "right")
+    count = np.where(large[group], 0, ends - np.arange(len(t)) - 1)
+    upto = np.cumsum(count)
+    found: list = []
+    a = 0
+    while a < len(t):
+        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS)))
+        i = np.repeat(np.arange(a, z), count[a:z])
+        j = i + 1 + np.arange(len(i)) - np.repeat(upto[a:z] - count[a:z] - (upto[a - 1] if a else 0), count[a:z])
+        need = -(-(n[i] + n[j]) * percent // (100 + percent))
+        differ = np.bitwise_count(post["s0"][i] ^ post["s0"][j]).astype(np.int64) + np.bitwise_count(post["s1"][i] ^ post["s1"][j])
+        ok = (np.minimum(n[i] - p[i], n[j] - p[j]) + np.minimum(p[i], p[j]) >= need) & (differ <= n[i] + n[j] - 2 * need)
+        found.append((i[ok], j[ok]))
+        a = z
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(2))
+    large |= np.bincount(group[i], minlength=len(size)) > DENSE * size
+    keep = ~large[group[i]]
+    c = post["cls"]
+    x, y = c[i[keep]], c[j[keep]]
+    pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+    return pairs, t[large[group]].astype(np.int64), c[large[group]]
+
+
+def _words_of(text: Column, lines: Column, classes: Column) -> Column:
+    """Class and distinct words of the wanted lines of a text, where the text has such a line of that class."""
+
+    @F.arrow_udf("array<struct<cls:bigint,tok:array<bigint>>>")
+    def run(texts: pa.Array, wanted: pa.Array, want: pa.Array) -> pa.Array:
         out = []
-        lines = lines.to_pylist()
+        wanted, want = wanted.to_pylist(), want.to_pylist()
         for row, data, offsets in B.text_slices(texts):
             h, line, doc, no = _line_sets(data, offsets)
             h, line = _distinct(h, line)
             start = np.searchsorted(line, np.arange(len(doc) + 1))
-            first_line = np.searchsorted(doc, np.arange(len(offsets) - 1))
+            border = np.searchsorted(doc, np.arange(len(offsets)))
             for d in range(len(offsets) - 1):
-                out.append([h[start[first_line[d] + k] : start[first_line[d] + k + 1]].view(np.int64) for k in lines[row + d]])
-        return pa.array(out, pa.list_(pa.list_(pa.int64())))
+                got = []
+                for k, c in zip(wanted[row + d], want[row + d], strict=True):
+                    if border[d] + k < border[d + 1]:
+                        w = h[start[border[d] + k] : start[border[d] + k + 1]]
+                        if len(w) and _class(w, np.array([0]), np.array([len(w)]))[0] == c:
+                            got.append({"cls": c, "tok": w.view(np.int64)})
+                out.append(got)
+        return pa.array(out, pa.list_(pa.struct([("cls", pa.int64()), ("tok", pa.list_(pa.int64()))])))
+
+    return run(text, lines, classes)
+
+
+def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of each similar pair (a, b) the class that first stands at a later place, and where the other one does."""
+    left, right = (sets.select(F.col("id").alias(k), F.col("at").alias(f"{k}_at"), F.col("n").alias(f"{k}_n"), F.col("tok").alias(f"{k}_tok")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_tok", "b_tok")))
+    alike = both.where((F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent) & (F.col("a_at") != F.col("b_at")))
+    return alike.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+
+
+def _large_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Classes of large groups (t, id) that are similar to an earlier one.
+
+    Each is held against the earliest of its groups, which settles most; those that are still open look at earlier ones that
+    share enough of what they differ in from the group's earliest (``differences``).
+    """
+    held = saved(groups.join(sets.select("id", "at", "n"), "id"))
+    ratio = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    gone = leaders = None
+    for _ in range(LEADERS):
+        live = held if gone is None else held.join(gone, "id", "left_anti").join(leaders, "id", "left_anti")
+        lead = live.groupBy("t").agg(F.min(F.struct("at", "id", "n")).alias("m")).select("t", F.col("m.at").alias("b_at"), F.col("m.id").alias("b"), F.col("m.n").alias("b_n"))
+        star = saved(live.join(lead, "t").where((F.col("b_at") < F.col("at")) & ratio("n", "b_n")).select(F.col("id").alias("a"), "b").distinct())
+        now = saved(_later(star, sets, percent))
+        gone = now if gone is None else gone.unionByName(now)
+        led = lead.select(F.col("b").alias("id"))
+        leaders = saved((led if leaders is None else led.unionByName(leaders)).distinct())
+    first = held.groupBy("t").agg(F.min(F.struct("at", "id")).alias("m")).select("t", F.col("m.id").alias("r"))
+    near = held.join(first, "t").select("id", "r", "at").distinct().withColumn("inside", F.lit(False))
+    told = differences(near, sets, percent)
+    similar = told.join(sets.select(F.col("id").alias("r"), F.col("at").alias("r_at")), "r").where("near and r_at < at").select("id")
+    gone = saved(gone.unionByName(similar).distinct())
+    post = meeting_points(told, ["at"])
+    x = post.join(gone, "id", "left_anti").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "d", "s", "p")])
+    rest = x.join(post, (F.col("h") == F.col("xh")) & (F.col("at") < F.col("x_at")) & may_be_similar(percent)).select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct()
+    return gone.unionByName(_later(saved(rest), sets, percent))
 
-    return run(text, wanted)
 
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """Rows (id, rh, line) of the lines that go; ``rh`` is the hash of the whole text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rh", F.xxhash64("text"))
+    parsed = saved(postings(rows, word_counts(rows, "text"), percent))
+    lines = parsed.where("id is not null").select("id", "rh", F.explode(F.arrays_zip("lines", "classes")).alias("z")).select("id", "rh", F.col("z.lines").alias("line"), F.col("z.classes").alias("cls"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        pairs, words, members = near_pairs(np.frombuffer(b"".join(table.column("body").to_pylist()), POST), percent)
+        t = words + (table.column("bucket")[0].as_py() << 32)
+        none = pa.nulls(len(pairs), pa.int64())
+        a = np.concatenate([pairs[:, 0], members])
+        return pa.table({"a": a, "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())]), "t": pa.concat_arrays([none, pa.array(t)])})
+
+    met = saved(parsed.where("bucket is not null").select("bucket", "body").groupBy("bucket").applyInArrow(meet, "a long, b long, t long"))
+    classes = saved(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("at"), F.count("*").alias("c")))
+    pairs = met.where("t is null").select("a", "b").distinct()
+    groups = met.where("t is not null").select(F.col("a").alias("id"), "t")
+    asked = met.select(F.col("a").alias("cls")).unionByName(met.where("t is null").select(F.col("b").alias("cls"))).distinct()
+    heads = saved(classes.join(asked, "cls").select("cls", "at"))
+    wanted = heads.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "cls")).alias("l"))
+    few = F.broadcast if wanted.count() <= BROADCAST_IDS // 4 else (lambda d: d)
+    words = rows.select("id", "text").join(few(wanted), "id").select(F.explode(_words_of(F.col("text"), F.col("l.line"), F.col("l.cls"))).alias("w")).select("w.*")
+    sets = saved(words.dropDuplicates(["cls"]).join(heads, "cls").select(F.col("cls").alias("id"), "at", "tok", F.size("tok").alias("n")))
+    gone = saved(_later(pairs, sets, percent).unionByName(_large_groups(groups, sets, percent)).distinct())
+    # A line goes with its class's first place, or because it is a later one of its class.
+    told = classes.join(gone.withColumnRenamed("id", "cls").withColumn("all", F.lit(True)), "cls", "left").where("c > 1 or all").select("cls", "at", F.coalesce("all", F.lit(False)).alias("all"))
+    place = F.struct("id", "line")
+    out = saved(lines.join(told, "cls").where(F.col("all") | (place > F.col("at"))).groupBy("id", "rh").agg(F.collect_set("line").alias("gone")))
+    for used in (parsed, met, classes, heads, sets, gone):
+        drop_saved(used)
+    return out
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) with ``similar``, what x has beyond y of words that others have too, and maps of what x lacks of y."""
-    left = sets.select(F.col("cls").alias("x"), F.col("tok").alias("xt"), F.col("shared").alias("xs"))
-    right = sets.select(F.col("cls").alias("y"), F.col("tok").alias("yt"))
-    both = pairs.join(left, "x").join(right, "y").withColumn("common", F.size(F.array_intersect("xt", "yt")))
-    alike = F.col("common") * 100 >= (F.size("xt") + F.size("yt") - F.col("common")) * percent
-    lost = F.array_except("yt", "xt")
-    return both.select("x", "y", alike.alias("similar"), (F.col("xs") - F.col("common")).alias("extra"), F.size("yt").alias("rn"), *[m.alias(f"m{k}") for k, m in enumerate(marks(lost))])
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers."""
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Rows (id, line) of the lines that go."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = word_counts(rows, "text")
-    lines = saved(rows.select("id", F.explode(sketch(F.col("text"), counts, percent)).alias("s")).select("id", "s.*"))
-    place = F.struct("id", "line")
-    classes = saved(lines.groupBy("cls").agg(F.min(place).alias("first"), F.first("n").alias("n")))
-    found = shared_counts(lines, "cls", "pre")
-    alive = saved(classes.join(found.select("cls"), "cls"))
-    few = F.broadcast if alive.count() <= BROADCAST_IDS else (lambda d: d)
-    heads = alive.select("cls", "first.*")
-    pre = lines.join(few(heads), ["cls", "id", "line"]).select("cls", "n", F.struct("id", "line").alias("at"), F.posexplode("pre").alias("p", "t"))
-    wanted = heads.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line", "cls"))).alias("l"))
-    few_docs = F.broadcast if wanted.count() <= BROADCAST_IDS // 4 else (lambda d: d)
-    texts = rows.join(few_docs(wanted), "id")
-    sets = texts.select("l", _words_of(F.col("text"), F.col("l.line")).alias("w")).select(F.explode(F.arrays_zip(F.col("l.cls").alias("cls"), F.col("w").alias("tok"))).alias("z")).select("z.*")
-    sets = saved(sets)
-    # Words that no other surviving line has cannot be common.
-    full = shared_counts(sets, "cls", "tok")
-    sets = saved(sets.join(full, "cls").where(F.col("shared") * 100 >= F.size("tok") * percent))
-    pre = saved(pre.join(sets.select("cls", "shared"), "cls"))
-    # Length filter both ways; positional filter: what is left after the shared word must suffice.
-    fits = (F.col("n") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("n") * percent)
-    gone = done = None
-    for _ in range(LEADERS):  # the earliest line of each group that is not settled yet, against the others
-        live = pre if gone is None else pre.join(gone.withColumnRenamed("x", "cls"), "cls", "left_anti")
-        if done is not None:
-            live = live.join(done.select(F.col("y").alias("cls")).distinct(), "cls", "left_anti")
-        lead = live.groupBy("t").agg(F.min(F.struct("at", "cls", F.col("n").alias("yn"))).alias("m"), F.count("*").alias("k")).where("k > 1")
-        star = live.join(lead.select("t", F.col("m.at").alias("yat"), F.col("m.cls").alias("y"), "m.yn"), "t").where((F.col("yat") < F.col("at")) & fits).select(F.col("cls").alias("x"), "y").distinct()
-        if done is not None:
-            star = star.join(done.select("x", "y"), ["x", "y"], "left_anti")
-        seen = _compared(star, sets, percent)
-        done = saved(seen if done is None else done.unionByName(seen))
-        gone = done.where("similar").select("x").distinct()
-    # Whatever is still open, against all earlier lines of its groups. What two lines lack of their group's first line
-    # and have beyond it bounds what they can have in common.
-    first = pre.groupBy("t").agg(F.min(F.struct("at", "cls")).alias("m"), F.count("*").alias("k")).where("k > 1").select("t", F.col("m.cls").alias("r"))
-    facts = done.select(F.col("x").alias("cls"), F.col("y").alias("r"), "extra", "rn", *[f"m{k}" for k in range(LANES)])
-    placed = saved(pre.join(first, "t").join(facts, ["cls", "r"], "left"))
-    open_ = placed.join(gone.withColumnRenamed("x", "cls"), "cls", "left_anti")
-    keep = ["t", "cls", "n", "p", "at", "shared", "extra", *[f"m{k}" for k in range(LANES)]]
-    ahead = placed.select(*[F.col(c).alias(f"y{c}") for c in keep])
-    # The first shared word in both orders has at most min(left, right) common words from it on, itself included.
-    enough = F.least(F.col("n") - F.col("p"), F.col("yn") - F.col("yp")) + F.least("p", "yp")
-    lacking = sum((F.bit_count(F.col(f"m{k}").bitwiseOR(F.col(f"ym{k}"))) for k in range(1, LANES)), F.bit_count(F.col("m0").bitwiseOR(F.col("ym0"))))
-    can = lambda c: c * 100 >= (F.col("n") + F.col("yn") - c) * percent
-    near = fits & can(enough) & can(F.least("shared", "yshared")) & F.coalesce(can(F.col("rn") - lacking + F.least("extra", "yextra")), F.lit(True))
-    rest = open_.join(ahead, (F.col("t") == F.col("yt")) & (F.col("yat") < F.col("at")) & near).select(F.col("cls").alias("x"), F.col("ycls").alias("y")).distinct()
-    rest = rest.join(done.select("x", "y"), ["x", "y"], "left_anti")
-    gone = gone.unionByName(_compared(rest, sets, percent).where("similar").select("x").distinct())
-    later = lines.join(classes.where("true").select("cls", F.col("first.id").alias("fid"), F.col("first.line").alias("fline")), "cls").where((F.col("id") != F.col("fid")) | (F.col("line") != F.col("fline")))
-    similar = classes.join(gone.withColumnRenamed("x", "cls"), "cls", "left_semi").select("first.*")
-    return later.select("id", "line").unionByName(similar.select("id", "line"))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, lines: pa.Array) -> pa.Array:
+        out = []
+        for t, g in zip(texts, lines, strict=True):
+            parts = t.as_py().split("\n")
+            keep = np.ones(len(parts), bool)
+            keep[g.values.to_numpy()] = False
+            out.append("\n".join([parts[k] for k in np.flatnonzero(keep)]))
+        return pa.array(out, pa.string())
+
+    return run(text, gone)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """All rows and columns, the text without its repeated lines, and n_removed_lines."""
-    gone = repeats(docs, id_col, text_col, percent).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    out = docs.join(gone, docs[id_col] == gone["__id"], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    cut = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    return out.select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed")).drop("__gone", "__id")
+    """All rows and columns, the text without its repeated lines, and __removed, their number."""
+    gone = repeats(docs, id_col, text_col, percent).select(F.col("id").alias("__id"), F.col("rh").alias("__rh"), F.col("gone").alias("__gone"))
+    hit = (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__rh"))
+    few = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda d: d)
+    # Only the texts that lose lines go through Python, and where the table of ids is small none is moved.
+    cut = docs.join(few(gone.select("__id", "__rh")), hit, "left_semi").join(gone, hit)
+    cut = cut.select(*[_without(F.col(text_col), F.col("__gone")).alias(c) if c == text_col else docs[c] for c in docs.columns], F.size("__gone").alias("__removed"))
+    return cut.unionByName(docs.join(few(gone.select("__id", "__rh")), hit, "left_anti").withColumn("__removed", F.lit(0)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
 from tidewater.llm.common import drop_saved, saved
-from tidewater.llm.setjoin import BROADCAST_IDS, components, prefix_length, shared_counts
+from tidewater.llm.setjoin import BROADCAST_IDS, components, differences, may_be_similar, meeting_points, prefix_length, shared_counts
 
 ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Tokens, in percent of a set, by which the first prefix is lengthened.
@@ -116,44 +116,20 @@ def _groups(held: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _across(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that cross components, found by what documents differ in from their group's centre.
-
-    ``held``: rows (id, n, t, w, component). With c the centre of a group's main component, d(x) the size of the
-    difference of x and c, and q = (100 - percent) / (100 + percent): two documents link where they differ in
-    q (|x| + |y|) tokens at most, so their differences from c must share (d(x) + d(y) - q (|x| + |y|)) / 2
-    tokens or more. A document that does not link with c has d(x) > q (|x| + |c|), which makes that at least one for any
-    partner. Differences are therefore joined like sets: those that cannot share as many tokens
-    as any partner asks for go first, and the rest meet on prefixes in order of rarity.
+    """Links that cross components, found by what documents differ in from their group's centre (``differences``).
+
+    ``held``: rows (id, n, t, w, component). The centre of a group is the most central member of its main component.
     """
     mixed = saved(held.join(_groups(held, ["t"]), "t"))
     lead = mixed.where("component = main").groupBy("t").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("c")).select("t", (-F.col("c.i")).alias("r"))
     near = mixed.join(lead, "t").select("id", "r", "component", (F.col("component") == F.col("main")).alias("inside")).distinct()
-    own = sets.select("id", "n", "tok")
-    centre = sets.select(F.col("id").alias("r"), F.col("n").alias("rn"), F.col("tok").alias("rtok"))
-    less, more = 100 - percent, 100 + percent
-    told = near.where("id <> r").join(own, "id").join(centre, "r").select("id", "r", "component", "inside", "n", "rn", F.concat(F.array_except("tok", "rtok"), F.array_except("rtok", "tok")).alias("diff"))
-    told = told.withColumn("d", F.size("diff")).withColumn("near", F.col("d") * more <= (F.col("n") + F.col("rn")) * less)
-    asked = F.when(F.col("inside") | F.col("near"), F.col("d") * more + (F.col("rn") - F.col("n")) * less).otherwise(F.col("d") * more - (F.col("n") + F.col("rn")) * less)
-    least = F.greatest(F.lit(1), F.ceil(asked / (2 * more)))
-    diffs = F.transform("diff", lambda x: F.xxhash64("r", x))
-    told = saved(told.select("id", "r", "component", "n", "d", "inside", "near", least.alias("least"), diffs.alias("diff"), F.xxhash64("id", "r").alias("key")))
+    told = differences(near, sets, percent)
     links = told.where("near and not inside").select(F.col("id").alias("a"), F.col("r").alias("b"))
-    # Differences that no other member of the centre's group has cannot be shared. Twice: what goes makes more of them so.
-    live = told.where(F.col("d") >= F.col("least"))
-    for _ in range(2):
-        live = saved(live.drop("s").join(shared_counts(live, "key", "diff").select(F.col("cls").alias("key"), F.col("shared").alias("s")), "key").where("s >= least"))
-    spread = live.select("key", "id", "component", "n", "d", "least", F.explode("diff").alias("h"))
-    often = spread.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = spread.join(often, "h").groupBy("key", "id", "component", "n", "d", "least").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l")).withColumn("s", F.size("l")).where("s >= least")
-    prefix = F.slice("l", F.lit(1), (F.col("s") - F.col("least") + 1).cast("int"))
-    post = saved(ranked.select("key", "id", "component", "n", "d", "s", F.posexplode(prefix).alias("p", "x")).select("*", F.col("x.h").alias("h")).drop("x"))
+    post = meeting_points(told, ["component"])
     met = post.join(_groups(post, ["h"]), "h")
     out = met.where("component <> main").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "d", "s", "p")])
-    have = F.least(F.col("s") - F.col("p"), F.col("x_s") - F.col("x_p")) + F.least("p", "x_p")
-    fits = (F.col("n") * 100 >= F.col("x_n") * percent) & (F.col("x_n") * 100 >= F.col("n") * percent)
-    enough = (F.col("d") + F.col("x_d") - 2 * have) * more <= (F.col("n") + F.col("x_n")) * less
     once = (F.col("component") == F.col("main")) | (F.col("x_id") < F.col("id"))
-    cross = out.join(met, (F.col("h") == F.col("xh")) & (F.col("component") != F.col("x_component")) & once & fits & enough)
+    cross = out.join(met, (F.col("h") == F.col("xh")) & (F.col("component") != F.col("x_component")) & once & may_be_similar(percent))
     cross = saved(cross.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct())
     return links.unionByName(_linked(cross, sets, percent))
 

@@ -23,8 +23,6 @@ FLUSH, BUCKET = 1_000_000, 500_000
 SETTLED = -(1 << 63)
 #: Ids that are broadcast at most; more are joined by shuffling.
 BROADCAST_IDS = 500_000
-#: 64-bit maps that mark what a set lacks of its group's centre.
-LANES = 4
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -107,17 +105,46 @@ def shared_counts(sets: DataFrame, class_col: str, tokens_col: str, total: int |
     return packed.groupBy("bucket").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
-def marks(tokens: Column) -> list[Column]:
-    """Four 64-bit maps of hashed tokens: the bits of a union are at most as many as its tokens."""
-    out = []
-    for lane in range(LANES):
-        mine = F.filter(tokens, _in_lane(lane))
-        out.append(F.aggregate(mine, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))))
-    return out
+def differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What members of a group differ in from its centre, and how much of it any partner asks them to share.
+
+    ``near``: rows (id, r, inside, ...) of members and the centre of their group; ``sets``: (id, n, tok). With d(x) the size of the
+    difference of x and its centre c, and q = (100 - percent) / (100 + percent): two sets are similar where they differ in
+    q (|x| + |y|) tokens at most, so their differences from c must share (d(x) + d(y) - q (|x| + |y|)) / 2
+    tokens or more. A set that is not similar to c has d(x) > q (|x| + |c|), which makes that at least one for any
+    partner. ``least`` is that bound for the best partner; sets that are ``inside`` or ``near`` c need only look for partners that are neither.
+    """
+    less, more = 100 - percent, 100 + percent
+    own = sets.select("id", "n", "tok")
+    centre = sets.select(F.col("id").alias("r"), F.col("n").alias("rn"), F.col("tok").alias("rtok"))
+    told = near.where("id <> r").join(own, "id").join(centre, "r").withColumn("diff", F.concat(F.array_except("tok", "rtok"), F.array_except("rtok", "tok"))).drop("tok", "rtok")
+    told = told.withColumn("d", F.size("diff")).withColumn("near", F.col("d") * more <= (F.col("n") + F.col("rn")) * less)
+    asked = F.when(F.col("inside") | F.col("near"), F.col("d") * more + (F.col("rn") - F.col("n")) * less).otherwise(F.col("d") * more - (F.col("n") + F.col("rn")) * less)
+    told = told.withColumn("least", F.greatest(F.lit(1), F.ceil(asked / (2 * more))))
+    return saved(told.withColumn("diff", F.transform("diff", lambda x: F.xxhash64("r", x))).withColumn("key", F.xxhash64("id", "r")))
 
 
-def _in_lane(lane: int):
-    return lambda t: F.shiftrightunsigned(t, 50).bitwiseAND(LANES - 1) == lane
+def meeting_points(told: DataFrame, keep: list[str]) -> DataFrame:
+    """Prefixes of differences: rows (h, p, s, n, d, id, keep), h a token that differs from the centre, at place p of s in order of rarity.
+
+    Differences that no other member has cannot be shared; members that cannot share as many as any partner asks for go first.
+    """
+    live = told.where(F.col("d") >= F.col("least")).select("key", "id", *keep, "n", "d", "least", "diff")
+    for _ in range(2):  # what goes makes more of them unshared
+        live = saved(live.drop("s").join(shared_counts(live, "key", "diff").select(F.col("cls").alias("key"), F.col("shared").alias("s")), "key").where("s >= least"))
+    spread = live.select("key", "id", *keep, "n", "d", "least", F.explode("diff").alias("h"))
+    often = spread.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = spread.join(often, "h").groupBy("key", "id", *keep, "n", "d", "least").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l"))
+    ranked = ranked.withColumn("s", F.size("l")).where("s >= least")
+    prefix = F.slice("l", F.lit(1), (F.col("s") - F.col("least") + 1).cast("int"))
+    return saved(ranked.select("id", *keep, "n", "d", "s", F.posexplode(prefix).alias("p", "x")).select("*", F.col("x.h").alias("h")).drop("x"))
+
+
+def may_be_similar(percent: int) -> Column:
+    """Of two meeting points (the other's columns begin with x_): length filter, and whether differences enough can still be shared."""
+    have = F.least(F.col("s") - F.col("p"), F.col("x_s") - F.col("x_p")) + F.least("p", "x_p")
+    fits = (F.col("n") * 100 >= F.col("x_n") * percent) & (F.col("x_n") * 100 >= F.col("n") * percent)
+    return fits & ((F.col("d") + F.col("x_d") - 2 * have) * (100 + percent) <= (F.col("n") + F.col("x_n")) * (100 - percent))
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
