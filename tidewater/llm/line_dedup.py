@@ -249,8 +249,12 @@ def _large_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     gone = saved(gone.unionByName(similar).distinct())
     post = meeting_points(told, ["at"])
     x = post.join(gone, "id", "left_anti").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "d", "s", "p")])
-    rest = x.join(post, (F.col("h") == F.col("xh")) & (F.col("at") < F.col("x_at")) & may_be_similar(percent)).select(F.col("x_id").alias("a"), F.col("id").alias("b")).distinct()
-    return gone.unionByName(_later(saved(rest), sets, percent))
+    rest = x.join(post, (F.col("h") == F.col("xh")) & (F.col("at") < F.col("x_at")) & may_be_similar(percent)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
+    # Lines that are far from the group's earliest meet those away from it under the group's word.
+    placed = saved(held.join(first, "t").join(told.where("away").select("id", "r", "far"), ["id", "r"]).select("id", "t", "n", "at", "far"))
+    x = placed.join(gone, "id", "left_anti").select(F.col("t").alias("xt"), *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "far")])
+    direct = x.join(placed, (F.col("t") == F.col("xt")) & (F.col("at") < F.col("x_at")) & (F.col("far") | F.col("x_far")) & ratio("n", "x_n")).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
+    return gone.unionByName(_later(saved(rest.unionByName(direct).distinct()), sets, percent))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

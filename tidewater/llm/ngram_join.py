@@ -124,14 +124,22 @@ def _across(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lead = mixed.where("component = main").groupBy("t").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("c")).select("t", (-F.col("c.i")).alias("r"))
     near = mixed.join(lead, "t").select("id", "r", "component", (F.col("component") == F.col("main")).alias("inside")).distinct()
     told = differences(near, sets, percent)
-    links = told.where("near and not inside").select(F.col("id").alias("a"), F.col("r").alias("b"))
+    links = saved(told.where("near and not inside").select(F.col("id").alias("a"), F.col("r").alias("b")))
     post = meeting_points(told, ["component"])
     met = post.join(_groups(post, ["h"]), "h")
     out = met.where("component <> main").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "d", "s", "p")])
     once = (F.col("component") == F.col("main")) | (F.col("x_id") < F.col("id"))
-    cross = out.join(met, (F.col("h") == F.col("xh")) & (F.col("component") != F.col("x_component")) & once & may_be_similar(percent))
-    cross = saved(cross.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct())
-    return links.unionByName(_linked(cross, sets, percent))
+    cross = out.join(met, (F.col("h") == F.col("xh")) & (F.col("component") != F.col("x_component")) & once & may_be_similar(percent)).select("x_id", "id")
+    # Whatever is far from its group's centre meets those that are away from it under the group's token.
+    placed = saved(mixed.join(lead, "t").select("id", "t", "r", "n", "component").join(told.where("away").select("id", "r", "far"), ["id", "r"]).select("id", "t", "n", "component", "far").join(sets.select("id", "shared"), "id"))
+    far = placed.where("far").select("t", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "component", "shared")])
+    low = F.least("shared", "x_shared")
+    can = (low * 100 >= (F.col("n") + F.col("x_n") - low) * percent) & (F.col("n") * 100 >= F.col("x_n") * percent) & (F.col("x_n") * 100 >= F.col("n") * percent)
+    direct = far.withColumnRenamed("t", "xt").join(placed, (F.col("t") == F.col("xt")) & (F.col("component") != F.col("x_component")) & (~F.col("far") | (F.col("x_id") < F.col("id"))) & can)
+    cross = saved(cross.unionByName(direct.select("x_id", "id")).select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct())
+    for used in (told, post, placed, mixed):
+        drop_saved(used)
+    return links.unionByName(saved(_linked(cross, sets, percent)))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, rounds: int = 2) -> tuple[DataFrame, DataFrame]:

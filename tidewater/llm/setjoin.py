@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import saved
+from tidewater.llm.common import drop_saved, saved
 
 #: Tokens that a task sorts at once, and tokens a bucket is meant to hold.
 FLUSH, BUCKET = 1_000_000, 500_000
@@ -113,6 +113,9 @@ def differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     q (|x| + |y|) tokens at most, so their differences from c must share (d(x) + d(y) - q (|x| + |y|)) / 2
     tokens or more. A set that is not similar to c has d(x) > q (|x| + |c|), which makes that at least one for any
     partner. ``least`` is that bound for the best partner; sets that are ``inside`` or ``near`` c need only look for partners that are neither.
+
+    A ``far`` set, which differs in more than half of both, has no ``diff``: it says more about c than about the set. As
+    d is a distance, whatever is similar to a far set is ``away``.
     """
     less, more = 100 - percent, 100 + percent
     own = sets.select("id", "n", "tok")
@@ -120,24 +123,31 @@ def differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     told = near.where("id <> r").join(own, "id").join(centre, "r").withColumn("diff", F.concat(F.array_except("tok", "rtok"), F.array_except("rtok", "tok"))).drop("tok", "rtok")
     told = told.withColumn("d", F.size("diff")).withColumn("near", F.col("d") * more <= (F.col("n") + F.col("rn")) * less)
     asked = F.when(F.col("inside") | F.col("near"), F.col("d") * more + (F.col("rn") - F.col("n")) * less).otherwise(F.col("d") * more - (F.col("n") + F.col("rn")) * less)
-    told = told.withColumn("least", F.greatest(F.lit(1), F.ceil(asked / (2 * more))))
-    return saved(told.withColumn("diff", F.transform("diff", lambda x: F.xxhash64("r", x))).withColumn("key", F.xxhash64("id", "r")))
+    both, q = F.col("n") + F.col("rn"), less / more
+    away = (0.5 - q) * percent / 100 - q - 1e-9
+    told = told.withColumn("least", F.greatest(F.lit(1), F.ceil(asked / (2 * more)))).withColumns({"far": F.col("d") * 2 > both, "away": F.col("d") >= both * away})
+    return saved(told.withColumn("diff", F.when(~F.col("far"), F.transform("diff", lambda x: F.xxhash64("r", x)))).withColumn("key", F.xxhash64("id", "r")))
 
 
 def meeting_points(told: DataFrame, keep: list[str]) -> DataFrame:
-    """Prefixes of differences: rows (h, p, s, n, d, id, keep), h a token that differs from the centre, at place p of s in order of rarity.
+    """Prefixes of differences of sets that are not far: rows (h, p, s, n, d, id, keep), h a token that differs from the centre, at place p of s in order of rarity.
 
     Differences that no other member has cannot be shared; members that cannot share as many as any partner asks for go first.
     """
-    live = told.where(F.col("d") >= F.col("least")).select("key", "id", *keep, "n", "d", "least", "diff")
-    for _ in range(2):  # what goes makes more of them unshared
+    live = told.where(~F.col("far") & (F.col("d") >= F.col("least"))).select("key", "id", *keep, "n", "d", "least", "diff")
+    for turn in range(2):  # what goes makes more of them unshared
+        before = live
         live = saved(live.drop("s").join(shared_counts(live, "key", "diff").select(F.col("cls").alias("key"), F.col("shared").alias("s")), "key").where("s >= least"))
+        if turn:
+            drop_saved(before)
     spread = live.select("key", "id", *keep, "n", "d", "least", F.explode("diff").alias("h"))
     often = spread.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     ranked = spread.join(often, "h").groupBy("key", "id", *keep, "n", "d", "least").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l"))
     ranked = ranked.withColumn("s", F.size("l")).where("s >= least")
     prefix = F.slice("l", F.lit(1), (F.col("s") - F.col("least") + 1).cast("int"))
-    return saved(ranked.select("id", *keep, "n", "d", "s", F.posexplode(prefix).alias("p", "x")).select("*", F.col("x.h").alias("h")).drop("x"))
+    out = saved(ranked.select("id", *keep, "n", "d", "s", F.posexplode(prefix).alias("p", "x")).select("*", F.col("x.h").alias("h")).drop("x"))
+    drop_saved(live)
+    return out
 
 
 def may_be_similar(percent: int) -> Column:
