@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
 from tidewater.llm.common import drop_saved, saved
-from tidewater.llm.setjoin import BROADCAST_IDS, BUCKET, FLUSH, differences, may_be_similar, meeting_points, prefix_length
+from tidewater.llm.setjoin import BROADCAST_IDS, BUCKET, FLUSH, MAPS, differences, may_be_similar, meeting_points, prefix_length
 
 #: Hash buckets of the word counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
 BUCKETS = 1 << 17
@@ -36,8 +36,10 @@ LEADERS = 2
 LARGE, DENSE = 1024, 16
 #: Pairs that a task looks at together.
 PAIRS = 2_000_000
-#: One entry of a line under one word of its prefix: the word, the line's set, its size, the word's place, 128 bits that its words set.
-POST = np.dtype([("t", "<u4"), ("n", "<i4"), ("p", "<i4"), ("cls", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
+#: One entry of a line under one word of its prefix: the word, the line's size and the word's place (both to MOST), the line's
+#: set, 128 bits that its words set. Lines of MOST words and more pass the filters that need the size.
+POST = np.dtype([("t", "<u4"), ("n", "<u2"), ("p", "<u2"), ("cls", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
+MOST = 65535
 _NEWLINE = 10
 
 
@@ -73,21 +75,46 @@ def _class(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (B.mix(np.add.reduceat(h, first) ^ n.astype(np.uint64)) >> np.uint64(1)).view(np.int64)
 
 
-def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Words of all lines by hash bucket (each task sends its non-zero buckets once)."""
+def _sorted_lines(h: np.ndarray, line: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words and their lines (``_distinct``), where each line begins, its number of words and its class."""
+    h, line = _distinct(h, line, key)
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    n = np.diff(np.append(first, len(h)))
+    return h, line, first, n, _class(h, first, n)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def parse(rows: DataFrame) -> DataFrame:
+    """Two kinds of rows: (id, rh, lines, classes) of each document, and for each task (buckets, counts) of its words."""
+    names = ["id", "rh", "lines", "classes", "buckets", "counts"]
+
+    def lists(size: int, at: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(v)) for v in values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for _, data, offsets in B.text_slices(b.column(0)):
-                low = B.ascii_lower(data)
-                starts, ends, _f = B.words(low, offsets)
-                if len(starts):
-                    total += np.bincount(_bucket(B.span_hash(B.prefix_hash(low), starts, ends)), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
-
-    rows = docs.select(text_col).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+            for row, data, offsets in B.text_slices(b.column(2)):
+                h, line, doc, no = _line_sets(data, offsets)
+                if not len(h):
+                    continue
+                total += np.bincount(_bucket(h), minlength=BUCKETS)
+                _, line, first, _n, cls = _sorted_lines(h, line)
+                ids = line[first]
+                m = len(offsets) - 1
+                at = np.concatenate([[0], np.cumsum(np.bincount(doc[ids], minlength=m))])
+                none = [pa.nulls(m, pa.list_(t)) for t in (pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, m), b.column(1).slice(row, m), *lists(m, at, no[ids].astype(np.int32), cls), *none], names)
+        used = np.flatnonzero(total)
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*none, *lists(1, np.array([0, len(used)]), used.astype(np.int32), total[used])], names)
+
+    return rows.select("id", "rh", "text").mapInArrow(run, "id long, rh long, lines array<int>, classes array<long>, buckets array<int>, counts array<long>")
+
+
+def word_counts(parsed: DataFrame) -> np.ndarray:
+    """Words of all lines by hash bucket."""
+    each = parsed.where("buckets is not null").select(F.explode(F.arrays_zip("buckets", "counts")).alias("z"))
+    rows = each.groupBy(F.col("z.buckets").alias("bucket")).agg(F.sum("z.counts").alias("n")).toPandas()  # BUCKETS rows at most
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -105,13 +132,13 @@ def _entries(h: np.ndarray, first: np.ndarray, n: np.ndarray, cls: np.ndarray, p
     at = np.flatnonzero((place < np.repeat(prefix_length(n, percent), n)) & np.repeat(mine, n))
     line = np.repeat(np.arange(len(n)), n)[at]
     out = np.empty(len(at), POST)
-    out["t"], out["p"] = (h[at] >> np.uint64(8)).astype(np.uint32), place[at]
-    out["n"], out["cls"], out["s0"], out["s1"] = n[line], cls[line], s0[line], s1[line]
+    out["t"], out["p"] = (h[at] >> np.uint64(8)).astype(np.uint32), np.minimum(place[at], MOST)
+    out["n"], out["cls"], out["s0"], out["s1"] = np.minimum(n[line], MOST), cls[line], s0[line], s1[line]
     return out, (h[at] >> np.uint64(40)).astype(np.int64)
 
 
 def postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """Two kinds of rows: (id, rh, lines, classes) of each document with words, and (bucket, body) with packed prefix entries."""
+    """Rows (bucket, body): the packed prefix entries of all lines, dealt out by ranges of the word hash."""
     rank = np.argsort(np.argsort(counts, kind="stable")).astype(np.int32)
     buckets = int(max(8, -(-int(counts.sum()) // (4 * BUCKET))))
 
@@ -123,38 +150,26 @@ def postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = np.append(cuts[1:], len(bucket))
         body = [post[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)]
-        none = lambda t: pa.nulls(len(body), t)
-        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int32())), none(pa.list_(pa.int64())), pa.array(bucket[cuts], pa.int32()), pa.array(body, pa.binary())], names)
-
-    names = ["id", "rh", "lines", "classes", "bucket", "body"]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(body, pa.binary())], ["bucket", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
         for b in batches:
-            for row, data, offsets in B.text_slices(b.column(2)):
-                h, line, doc, no = _line_sets(data, offsets)
+            for _, data, offsets in B.text_slices(b.column(0)):
+                h, line, _doc, _no = _line_sets(data, offsets)
                 if not len(h):
                     continue
-                h, line = _distinct(h, line, rank[_bucket(h)])
-                first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-                n = np.diff(np.append(first, len(h)))
-                cls = _class(h, first, n)
+                h, _, first, n, cls = _sorted_lines(h, line, rank[_bucket(h)])
                 held.append(_entries(h, first, n, cls, percent))
                 size += len(held[-1][0])
-                ids = line[first]
-                per = np.bincount(doc[ids], minlength=len(offsets) - 1)
-                at = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (no[ids].astype(np.int32), cls)]
-                m = len(per)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, m), b.column(1).slice(row, m), *lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
                 if size >= FLUSH:
                     yield pack(held)
                     held, size = [], 0
         if size:
             yield pack(held)
 
-    return rows.select("id", "rh", "text").mapInArrow(run, "id long, rh long, lines array<int>, classes array<long>, bucket int, body binary")
+    return rows.select("text").mapInArrow(run, "bucket int, body binary")
 
 
 def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +195,7 @@ def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
         j = i + 1 + np.arange(len(i)) - np.repeat(upto[a:z] - count[a:z] - (upto[a - 1] if a else 0), count[a:z])
         need = -(-(n[i] + n[j]) * percent // (100 + percent))
         differ = np.bitwise_count(post["s0"][i] ^ post["s0"][j]).astype(np.int64) + np.bitwise_count(post["s1"][i] ^ post["s1"][j])
-        ok = (np.minimum(n[i] - p[i], n[j] - p[j]) + np.minimum(p[i], p[j]) >= need) & (differ <= n[i] + n[j] - 2 * need)
+        ok = (np.minimum(n[i] - p[i], n[j] - p[j]) + np.minimum(p[i], p[j]) >= need) & (differ <= n[i] + n[j] - 2 * need) | (n[j] == MOST)
         found.append((i[ok], j[ok]))
         a = z
     i, j = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(2))
@@ -218,13 +233,27 @@ def _words_of(text: Column, lines: Column, classes: Column) -> Column:
 
 
 def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of each similar pair (a, b) the class that first stands at a later place, and where the other one does."""
+    """Of each similar pair (a, b) the class that first stands at a later place."""
     left, right = (sets.select(F.col("id").alias(k), F.col("at").alias(f"{k}_at"), F.col("n").alias(f"{k}_n"), F.col("tok").alias(f"{k}_tok")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_tok", "b_tok")))
     alike = both.where((F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent) & (F.col("a_at") != F.col("b_at")))
     return alike.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
+def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``_later`` of many pairs (a, b): each class meets its earliest candidate first, and the others only if that one is not similar."""
+    places = sets.select("id", "at")
+    placed = pairs.join(places.select(F.col("id").alias("a"), F.col("at").alias("a_at")), "a").join(places.select(F.col("id").alias("b"), F.col("at").alias("b_at")), "b").where("a_at <> b_at")
+    turn = F.col("a_at") < F.col("b_at")
+    placed = saved(placed.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.least("a_at", "b_at").alias("b_at")))
+    first = placed.groupBy("a").agg(F.min(F.struct("b_at", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    gone = saved(_later(first, sets, percent))
+    rest = placed.select("a", "b").join(gone.withColumnRenamed("id", "a"), "a", "left_anti")
+    gone = gone.unionByName(saved(_later(rest, sets, percent)))
+    drop_saved(placed)
+    return gone
+
+
 def _large_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Classes of large groups (t, id) that are similar to an earlier one.
 
@@ -248,20 +277,20 @@ def _large_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     similar = told.join(sets.select(F.col("id").alias("r"), F.col("at").alias("r_at")), "r").where("near and r_at < at").select("id")
     gone = saved(gone.unionByName(similar).distinct())
     post = meeting_points(told, ["at"])
-    x = post.join(gone, "id", "left_anti").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "d", "s", "p")])
+    x = post.join(gone, "id", "left_anti").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "d", "s", "p", *MAPS)])
     rest = x.join(post, (F.col("h") == F.col("xh")) & (F.col("at") < F.col("x_at")) & may_be_similar(percent)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
     # Lines that are far from the group's earliest meet those away from it under the group's word.
     placed = saved(held.join(first, "t").join(told.where("away").select("id", "r", "far"), ["id", "r"]).select("id", "t", "n", "at", "far"))
     x = placed.join(gone, "id", "left_anti").select(F.col("t").alias("xt"), *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "far")])
     direct = x.join(placed, (F.col("t") == F.col("xt")) & (F.col("at") < F.col("x_at")) & (F.col("far") | F.col("x_far")) & ratio("n", "x_n")).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
-    return gone.unionByName(_later(saved(rest.unionByName(direct).distinct()), sets, percent))
+    return gone.unionByName(_settled(rest.unionByName(direct).distinct(), sets, percent))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Rows (id, rh, line) of the lines that go; ``rh`` is the hash of the whole text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rh", F.xxhash64("text"))
-    parsed = saved(postings(rows, word_counts(rows, "text"), percent))
-    lines = parsed.where("id is not null").select("id", "rh", F.explode(F.arrays_zip("lines", "classes")).alias("z")).select("id", "rh", F.col("z.lines").alias("line"), F.col("z.classes").alias("cls"))
+    parsed = saved(parse(rows))
+    lines = parsed.where("buckets is null").select("id", "rh", F.explode(F.arrays_zip("lines", "classes")).alias("z")).select("id", "rh", F.col("z.lines").alias("line"), F.col("z.classes").alias("cls"))
 
     def meet(table: pa.Table) -> pa.Table:
         pairs, words, members = near_pairs(np.frombuffer(b"".join(table.column("body").to_pylist()), POST), percent)
@@ -270,7 +299,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         a = np.concatenate([pairs[:, 0], members])
         return pa.table({"a": a, "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())]), "t": pa.concat_arrays([none, pa.array(t)])})
 
-    met = saved(parsed.where("bucket is not null").select("bucket", "body").groupBy("bucket").applyInArrow(meet, "a long, b long, t long"))
+    met = saved(postings(rows, word_counts(parsed), percent).groupBy("bucket").applyInArrow(meet, "a long, b long, t long"))
     classes = saved(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("at"), F.count("*").alias("c")))
     pairs = met.where("t is null").select("a", "b").distinct()
     groups = met.where("t is not null").select(F.col("a").alias("id"), "t")
@@ -280,7 +309,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     few = F.broadcast if wanted.count() <= BROADCAST_IDS // 4 else (lambda d: d)
     words = rows.select("id", "text").join(few(wanted), "id").select(F.explode(_words_of(F.col("text"), F.col("l.line"), F.col("l.cls"))).alias("w")).select("w.*")
     sets = saved(words.dropDuplicates(["cls"]).join(heads, "cls").select(F.col("cls").alias("id"), "at", "tok", F.size("tok").alias("n")))
-    gone = saved(_later(pairs, sets, percent).unionByName(_large_groups(groups, sets, percent)).distinct())
+    gone = saved(_settled(pairs, sets, percent).unionByName(_large_groups(groups, sets, percent)).distinct())
     # A line goes with its class's first place, or because it is a later one of its class.
     told = classes.join(gone.withColumnRenamed("id", "cls").withColumn("all", F.lit(True)), "cls", "left").where("c > 1 or all").select("cls", "at", F.coalesce("all", F.lit(False)).alias("all"))
     place = F.struct("id", "line")

@@ -105,6 +105,20 @@ def shared_counts(sets: DataFrame, class_col: str, tokens_col: str, total: int |
     return packed.groupBy("bucket").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
+#: 64-bit maps that the tokens of a difference set.
+MAPS = ("m0", "m1", "m2", "m3")
+
+
+def _maps(diff: str) -> dict[str, Column]:
+    """The bits of two maps that differ are at most as many as the tokens that only one of the differences has."""
+
+    def lane(k: int) -> Column:
+        bit = lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))
+        return F.aggregate(F.filter(diff, lambda t: F.shiftrightunsigned(t, 50).bitwiseAND(len(MAPS) - 1) == k), F.lit(0).cast("long"), bit)
+
+    return {m: lane(k) for k, m in enumerate(MAPS)}
+
+
 def differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """What members of a group differ in from its centre, and how much of it any partner asks them to share.
 
@@ -143,18 +157,20 @@ def meeting_points(told: DataFrame, keep: list[str]) -> DataFrame:
     spread = live.select("key", "id", *keep, "n", "d", "least", F.explode("diff").alias("h"))
     often = spread.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     ranked = spread.join(often, "h").groupBy("key", "id", *keep, "n", "d", "least").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("l"))
-    ranked = ranked.withColumn("s", F.size("l")).where("s >= least")
+    ranked = ranked.withColumn("s", F.size("l")).where("s >= least").join(live.select("key", *[m.alias(k) for k, m in _maps("diff").items()]), "key")
     prefix = F.slice("l", F.lit(1), (F.col("s") - F.col("least") + 1).cast("int"))
-    out = saved(ranked.select("id", *keep, "n", "d", "s", F.posexplode(prefix).alias("p", "x")).select("*", F.col("x.h").alias("h")).drop("x"))
+    out = saved(ranked.select("id", *keep, "n", "d", "s", *MAPS, F.posexplode(prefix).alias("p", "x")).select("*", F.col("x.h").alias("h")).drop("x"))
     drop_saved(live)
     return out
 
 
 def may_be_similar(percent: int) -> Column:
-    """Of two meeting points (the other's columns begin with x_): length filter, and whether differences enough can still be shared."""
+    """Of two meeting points (the other's columns begin with x_): length filter, and whether they can differ in few enough tokens."""
     have = F.least(F.col("s") - F.col("p"), F.col("x_s") - F.col("x_p")) + F.least("p", "x_p")
     fits = (F.col("n") * 100 >= F.col("x_n") * percent) & (F.col("x_n") * 100 >= F.col("n") * percent)
-    return fits & ((F.col("d") + F.col("x_d") - 2 * have) * (100 + percent) <= (F.col("n") + F.col("x_n")) * (100 - percent))
+    most = (F.col("n") + F.col("x_n")) * (100 - percent)
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"x_{m}"))) for m in MAPS[1:]), F.bit_count(F.col(MAPS[0]).bitwiseXOR(F.col(f"x_{MAPS[0]}"))))
+    return fits & ((F.col("d") + F.col("x_d") - 2 * have) * (100 + percent) <= most) & (apart * (100 + percent) <= most)
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
