@@ -2,9 +2,12 @@
 
 Each rule votes good (1), bad (0) or abstains (-1). Expectation-maximisation over the counts of vote patterns (at
 most 3 to the number of rules of them, whatever the corpus) estimates each rule's accuracy and the share of good
-documents; the posterior probability of each document replaces all-must-pass filtering.
+documents; the posterior probability of each document replaces all-must-pass filtering. Bad documents are of several
+kinds, and one that a single rule names may look like a good one to all others; so the estimates are anchored: they
+start from, and are held towards, rules that seldom vote against a good document.
 
-Null texts count as empty: no words, so the base rule fails and the document is not kept.
+Null, empty and wordless texts have no words, so the base rule fails and the document is not kept. Repeated rows are
+judged alike, by their own text; texts of any length are measured whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,11 @@ from tidewater.llm.common import let, saved
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Two marks or more in a row, or one that stands alone.
+MARK_RUNS = r"[!-/:-@\[-`{-~]{2,}|(?<!\S)[!-/:-@\[-`{-~](?!\S)"
+#: What the estimates start from and are held towards: P(vote | good) and P(vote | bad) of a rule, the share of good
+#: documents, and the weight of all this as a share of the documents.
+GOOD, BAD, PRIOR, TRUST = {1: 0.85, 0: 0.002, -1: 0.148}, {1: 0.3, 0: 0.3, -1: 0.4}, 0.85, 0.1
 
 
 def _repeat_words(w: Column) -> Column:
@@ -51,6 +59,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         (F.length("t") - F.length(F.translate("t", ".,;:?", ""))).cast("long").alias("n_points"),
         (F.length("t") - F.length(F.translate("t", "!", ""))).cast("long").alias("n_bangs"),
+        F.regexp_count("t", F.lit(MARK_RUNS)).cast("long").alias("n_runs"),
+        F.size(F.array_distinct("w")).cast("long").alias("n_kinds"),
     )
 
 
@@ -61,38 +71,43 @@ def rules() -> dict[str, Column]:
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, 0).when(good, 1).otherwise(-1)
 
+    marks = F.col("n_symbols") + F.col("n_points") + F.col("n_bangs")
     return {
         "symbols": vote(F.col("n_symbols") * 20 > n, F.col("n_symbols") * 100 <= n),
+        "marks": vote(marks * 8 > chars, marks * 20 <= chars),
+        "runs": vote(F.col("n_runs") * 20 > n, F.col("n_runs") * 100 <= n),
         "capitals": vote(F.col("n_upper") * 2 > chars, F.col("n_upper") * 5 <= chars),
         "bangs": vote(F.col("n_bangs") * 10 > n, F.col("n_bangs") * 100 <= n),
         "repeats": vote(F.col("n_repeat_words") * 4 > n, F.col("n_repeat_words") * 10 <= n),
+        "variety": vote(F.col("n_kinds") * 3 < n, F.col("n_kinds") * 2 >= n),
         "lines": vote((F.col("n_dup_lines") * 3 > F.col("n_lines")) & (F.col("n_lines") >= 3), F.col("n_dup_lines") == 0),
         "word_length": vote((chars > n * 14) | (chars < n * 2), (chars <= n * 10) & (chars >= n * 3)),
-        "length": vote(n < 50, n >= 100),
+        "length": vote(n < 5, n >= 100),
         "points": vote(F.col("n_points") * 100 < n, F.col("n_points") * 25 >= n),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prior: float = 0.85) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, trust: float = TRUST) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Share of good documents and, for each rule, P(vote | good) and P(vote | bad), by expectation-maximisation.
 
-    Rules are taken as independent given the class and, at the start, as right in four of five votes. Counts
-    are smoothed by one document.
+    Rules are taken as independent given the class. GOOD, BAD and PRIOR count like ``trust`` times as many documents as there are.
     """
     m = len(patterns[0][0]) if patterns else 0
-    table = [{1: (0.7, 0.2), 0: (0.1, 0.6), -1: (0.2, 0.2)} for _ in range(m)]
-    for _ in range(rounds if patterns else 0):
-        good = [[1.0, 1.0, 1.0] for _ in range(m)]
-        bad = [[1.0, 1.0, 1.0] for _ in range(m)]
-        g = total = 0.0
+    prior, table = PRIOR, [{v: (GOOD[v], BAD[v]) for v in (1, 0, -1)} for _ in range(m)]
+    total = float(sum(n for _, n in patterns))
+    held = max(1.0, trust * total)
+    for _ in range(rounds if total else 0):
+        good = [{v: held * GOOD[v] for v in GOOD} for _ in range(m)]
+        bad = [{v: held * BAD[v] for v in BAD} for _ in range(m)]
+        g = 0.0
         for votes, n in patterns:
             p = posterior(votes, prior, table)
-            g, total = g + n * p, total + n
+            g += n * p
             for r, v in enumerate(votes):
                 good[r][v] += n * p
                 bad[r][v] += n * (1 - p)
-        prior = min(max(g / total, 0.02), 0.98) if total else prior
-        table = [{v: (a[v] / sum(a), b[v] / sum(b)) for v in (1, 0, -1)} for a, b in zip(good, bad, strict=True)]
+        prior = min(max((g + held * PRIOR) / (total + held), 0.02), 0.98)
+        table = [{v: (a[v] / sum(a.values()), b[v] / sum(b.values())) for v in (1, 0, -1)} for a, b in zip(good, bad, strict=True)]
     return prior, table
 
 
