@@ -225,6 +225,12 @@ def test_toxicity_finds_terms_and_misspellings(spark, toxic_corpus):
     assert all((p[i] >= 0.3) == (i % 4 == 0) for i in range(100, 700))
     assert all(p[i] < 0.3 for i in (0, 1, 2, 3, 4, 5, 6, 902))
     assert p[901] < p[100]  # quoted, not abusive
+    # Misspelt terms alone tell a text off, and it is the automaton's edit that does it.
+    assert p[900] >= 0.3 and p[900] > 10 * p[902]
+    plain = toxicity.compile_lexicon([], [], [])
+    assert toxicity.count_hits(model.auto, docs.where("doc_id = 900").toArrow()["text"])[0].tolist()[:4] == [0, 0, 3, 0]
+    assert toxicity.count_hits(plain, docs.where("doc_id = 900").toArrow()["text"])[0].tolist()[:4] == [0, 0, 0, 0]
+    assert (model.weights[1:] >= 0).all()
     none = toxicity.train(docs, labels.limit(0))
     assert docs.select(toxicity.score(F.col("text"), none).alias("p")).agg(F.max("p")).first()[0] < 1e-6
     assert docs.limit(0).select(toxicity.score(F.col("text"), model)).count() == 0
@@ -236,6 +242,9 @@ def test_neighbours_vote(spark, toxic_corpus):
     docs = frame(spark, rows + [(i + 1000, t) for i, t in ODD])
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
     model = quality_neighbours.train(docs, labels)
+    # Neither the order of the rows nor their partitions change a score.
+    one = lambda d: sorted((x["doc_id"], x["p"]) for x in d.select("doc_id", quality_neighbours.score(F.col("text"), model).alias("p")).collect())
+    assert one(docs) == one(docs.repartition(7, F.xxhash64("doc_id"))) == one(docs.orderBy(F.desc("doc_id")).coalesce(1))
     p = {x["doc_id"]: x["p"] for x in docs.select("doc_id", quality_neighbours.score(F.col("text"), model).alias("p")).collect()}
     assert all((p[i] >= 0.3) == (i % 3 > 0) for i in range(300))
     assert p[1000] == p[1001] == 0

@@ -1,12 +1,14 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie.
 
 The lexicon is learnt from labelled documents: words, and word beginnings, that documents marked toxic use and
-others do not. Its words form a trie; the trie intersected with Levenshtein automata (one edit, for words of
-five letters and up) gives one deterministic automaton that reads every word of a batch in step. Each hit is
-read in its context window: quoted or reported terms count apart from those that abuse. A logistic
-model over the counts gives the score.
-
-Null, empty and wordless texts get the model's score for no hits. Without labels of both kinds every score is 0.
+others do not. Its entries form a trie; the trie intersected with Levenshtein automata (one edit, for words of
+five letters and up) gives one deterministic automaton that reads every word of a batch in step. Words that are one edit from a
+term but stand in documents not marked toxic are no misspellings: they join the trie as known words. Each hit is
+read in its context window: quoted or reported terms weigh a fraction of those that abuse. A document's dose is the weighted
+sum of its hits; a logistic model over dose and density gives the score.
+
+Null, empty and wordless texts get the model's score for no hits. Repeated rows score alike, ties in the lexicon do not
+matter as it has no size limit, and texts of any length are read whole. Without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 from tidewater.llm import bytesops as B
 from tidewater.llm.common import bounded_sample
 
-#: At most this many labelled documents are learnt from (a bounded sample), and this many terms kept.
-TRAIN_ROWS, TERMS = 12_000, 2_000
+#: At most this many labelled documents are learnt from (a bounded sample, which bounds the lexicon).
+TRAIN_ROWS = 12_000
 FUZZY_FROM = 5
 EXACT, PREFIX, FUZZY, QUOTED = range(4)
+#: What a hit of each kind adds to the dose.
+DOSE = np.array([1.0, 1.0, 0.7, 0.2])
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDLESS = np.ones(256, bool)
 _WORDLESS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -46,16 +50,16 @@ class Automaton:
     stem: np.ndarray
 
 
-def compile_lexicon(terms: list[bytes], stems: list[bytes]) -> Automaton:
-    """Subset construction over (trie node, edits used) pairs."""
-    letters = sorted({b for t in [*terms, *stems] for b in t})
+def compile_lexicon(terms: list[bytes], stems: list[bytes], known_words: list[bytes] | tuple = ()) -> Automaton:
+    """Subset construction over (trie node, edits used) pairs. ``known_words`` are read exactly and are no hits."""
+    letters = sorted({b for t in [*terms, *stems, *known_words] for b in t})
     symbol = np.zeros(256, np.int64)  # 0: any byte that no term has
     for k, b in enumerate(letters, 1):
         symbol[b] = k
     children: list[dict[int, int]] = [{}]
-    is_end, is_stem, depth_max = [False], [False], [0]
+    is_end, is_stem, is_known = [False], [False], [False]
 
-    def add(word: bytes, stem: bool) -> None:
+    def add(word: bytes, kind: list[bool]) -> None:
         node = 0
         for b in word:
             if b not in children[node]:
@@ -63,14 +67,16 @@ def compile_lexicon(terms: list[bytes], stems: list[bytes]) -> Automaton:
                 children.append({})
                 is_end.append(False)
                 is_stem.append(False)
-                depth_max.append(0)
+                is_known.append(False)
             node = children[node][b]
-        (is_stem if stem else is_end)[node] = True
+        kind[node] = True
 
     for t in terms:
-        add(t, False)
+        add(t, is_end)
     for t in stems:
-        add(t, True)
+        add(t, is_stem)
+    for t in known_words:
+        add(t, is_known)
     longest = [0] * len(children)  # of the terms below each node
     for t in terms:
         node = 0
@@ -113,6 +119,8 @@ def compile_lexicon(terms: list[bytes], stems: list[bytes]) -> Automaton:
     for states, k in known.items():
         if any(e == 0 and is_end[n] for n, e in states):
             verdict[k] = EXACT
+        elif any(e == 0 and is_known[n] for n, e in states):
+            pass
         elif any(e == 1 and n in long_end for n, e in states):
             verdict[k] = FUZZY
         stem[k] = any(e == 0 and is_stem[n] for n, e in states)
@@ -169,22 +177,22 @@ def count_hits(auto: Automaton, texts: pa.Array) -> np.ndarray:
 
 
 def design(hits: np.ndarray) -> np.ndarray:
-    abuse = hits[:, 0] + hits[:, 1]
-    density = np.minimum(1.0, 50 * (abuse + 0.5 * hits[:, 2]) / np.maximum(hits[:, 4], 1))
-    return np.column_stack([np.ones(len(hits)), abuse > 0, np.log1p(abuse), np.log1p(hits[:, 2]), np.log1p(hits[:, 3]), density])
+    """A row (1, any dose, log of the dose, dose by words) of each document's hits."""
+    dose = hits[:, :4] @ DOSE
+    return np.column_stack([np.ones(len(hits)), np.minimum(dose, 1), np.log1p(dose), np.minimum(1.0, 50 * dose / np.maximum(hits[:, 4], 1))])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps. The weight of quoted hits is held at or below a third of abuse."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; no weight but the constant's may be negative, as a dose never speaks for a text."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
         w = w + np.clip(step, -4, 4)
+        w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-6:
             break
-    w[4] = min(w[4], (w[1] + w[2]) / 3)
     return w
 
 
@@ -196,7 +204,7 @@ class Model:
     stems: list[str] = field(default_factory=list)
 
 
-def learn_lexicon(labelled: DataFrame, text: str, label: str, min_docs: int = 6, ratio: float = 12.0, terms: int = TERMS) -> tuple[list[str], list[str]]:
+def learn_lexicon(labelled: DataFrame, text: str, label: str, min_docs: int = 6, ratio: float = 12.0) -> tuple[list[str], list[str]]:
     """Terms and word beginnings that toxic documents use ``ratio`` times as often as others.
 
     A beginning (4 to 6 letters) must stand for at least 8 words of the toxic documents.
@@ -209,12 +217,12 @@ def learn_lexicon(labelled: DataFrame, text: str, label: str, min_docs: int = 6,
     seen = labelled.select(tox.alias("y"), F.explode(F.array_distinct(F.split(lowered, SEPARATOR))).alias("w")).where(F.length("w").between(3, 40))
     counts = seen.groupBy("w").agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b")).cache()
     strong = (F.col("a") >= min_docs) & (F.col("a") / n1 >= ratio * (F.col("b") + 0.5) / n0)
-    words = [(r["w"], r["a"]) for r in counts.where(strong).orderBy(F.desc("a"), "w").limit(terms).collect()]
+    words = [(r["w"], r["a"]) for r in counts.where(strong).orderBy(F.desc("a"), "w").collect()]  # bounded by the sample
     stems: list[str] = []
     parts = counts.select(F.explode(F.array(*[F.struct(F.substring("w", 1, k).alias("s")) for k in (4, 5, 6)])).alias("x"), "w", "a", "b")
     begun = parts.where(F.length("w") > F.length("x.s")).groupBy("x.s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("kinds"))
     good = begun.where((F.col("kinds") >= 8) & (F.col("a") >= 3 * min_docs) & (F.col("a") / n1 >= 2 * ratio * (F.col("b") + 0.5) / n0))
-    for r in good.orderBy(F.length("s"), F.desc("a"), "s").limit(terms).collect():
+    for r in good.orderBy(F.length("s"), F.desc("a"), "s").collect():
         if not any(r["s"].startswith(s) for s in stems):
             stems.append(r["s"])
     counts.unpersist()
@@ -226,15 +234,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = bounded_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")), "id", rows)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick, "id").select("text", "y").cache()
     terms, stems = learn_lexicon(chosen, "text", "y")
-    auto = compile_lexicon([t.encode() for t in terms], [s.encode() for s in stems])
+    entries = [t.encode() for t in terms], [s.encode() for s in stems]
+    near = chosen.where("y <> 1").select(F.explode(_near_words(F.col("text"), compile_lexicon(*entries))).alias("w")).distinct()
+    auto = compile_lexicon(*entries, sorted(r["w"].encode() for r in near.collect()))  # words of the sample, one edit from a term
     got = chosen.select(_hits(F.col("text"), auto).alias("h"), "y").toPandas()  # at most `rows` rows of five counts
     chosen.unpersist()
     if not len(got) or got["y"].nunique() < 2:
-        return Model(auto, np.array([-30.0, 0, 0, 0, 0, 0]), terms, stems)
+        return Model(auto, np.array([-30.0, 0, 0, 0]), terms, stems)
     x = design(np.array(got["h"].tolist(), float))
     return Model(auto, fit_logistic(x, got["y"].to_numpy(float)), terms, stems)
 
 
+def _near_words(text: Column, auto: Automaton) -> Column:
+    """The distinct words of each text that are one edit from a term."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        found: list[set] = [set() for _ in range(len(texts))]
+        for row, raw, offsets in B.text_slices(texts):
+            data = B.ascii_lower(raw)
+            starts, ends, first = B.words(data, offsets, _WORDLESS)
+            if len(starts):
+                for w in np.flatnonzero(read_words(auto, data, starts, ends) == FUZZY):
+                    found[row + int(np.searchsorted(first, w, "right")) - 1].add(data[starts[w] : ends[w]].tobytes().decode())
+        return pa.array([sorted(f) for f in found], pa.list_(pa.string()))
+
+    return run(text)
+
+
 def _hits(text: Column, auto: Automaton) -> Column:
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
