@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -29,6 +30,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are over: it does so once their plans are collected as garbage on the driver,
+    which otherwise may come long after a chain of jobs has filled the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a table that ``saved`` wrote and that nothing will read again."""
     jvm = df.sparkSession._jvm

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
-from tidewater.llm.common import drop_saved, saved
+from tidewater.llm.common import drop_saved, release, saved
 from tidewater.llm.setjoin import BROADCAST_IDS, BUCKET, FLUSH, MAPS, differences, may_be_similar, meeting_points, prefix_length
 
 #: Hash buckets of the word counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
@@ -248,9 +248,11 @@ def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = saved(placed.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.least("a_at", "b_at").alias("b_at")))
     first = placed.groupBy("a").agg(F.min(F.struct("b_at", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     gone = saved(_later(first, sets, percent))
+    release(pairs.sparkSession)
     rest = placed.select("a", "b").join(gone.withColumnRenamed("id", "a"), "a", "left_anti")
     gone = gone.unionByName(saved(_later(rest, sets, percent)))
     drop_saved(placed)
+    release(pairs.sparkSession)
     return gone
 
 
@@ -271,12 +273,14 @@ def _large_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         gone = now if gone is None else gone.unionByName(now)
         led = lead.select(F.col("b").alias("id"))
         leaders = saved((led if leaders is None else led.unionByName(leaders)).distinct())
+        release(groups.sparkSession)
     first = held.groupBy("t").agg(F.min(F.struct("at", "id")).alias("m")).select("t", F.col("m.id").alias("r"))
     near = held.join(first, "t").select("id", "r", "at").distinct().withColumn("inside", F.lit(False))
     told = differences(near, sets, percent)
     similar = told.join(sets.select(F.col("id").alias("r"), F.col("at").alias("r_at")), "r").where("near and r_at < at").select("id")
     gone = saved(gone.unionByName(similar).distinct())
     post = meeting_points(told, ["at"])
+    release(groups.sparkSession)
     x = post.join(gone, "id", "left_anti").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "d", "s", "p", *MAPS)])
     rest = x.join(post, (F.col("h") == F.col("xh")) & (F.col("at") < F.col("x_at")) & may_be_similar(percent)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
     # Lines that are far from the group's earliest meet those away from it under the group's word.
@@ -300,6 +304,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         return pa.table({"a": a, "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())]), "t": pa.concat_arrays([none, pa.array(t)])})
 
     met = saved(postings(rows, word_counts(parsed), percent).groupBy("bucket").applyInArrow(meet, "a long, b long, t long"))
+    release(docs.sparkSession)
     classes = saved(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("at"), F.count("*").alias("c")))
     pairs = met.where("t is null").select("a", "b").distinct()
     groups = met.where("t is not null").select(F.col("a").alias("id"), "t")
@@ -309,6 +314,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     few = F.broadcast if wanted.count() <= BROADCAST_IDS // 4 else (lambda d: d)
     words = rows.select("id", "text").join(few(wanted), "id").select(F.explode(_words_of(F.col("text"), F.col("l.line"), F.col("l.cls"))).alias("w")).select("w.*")
     sets = saved(words.dropDuplicates(["cls"]).join(heads, "cls").select(F.col("cls").alias("id"), "at", "tok", F.size("tok").alias("n")))
+    release(docs.sparkSession)
     gone = saved(_settled(pairs, sets, percent).unionByName(_large_groups(groups, sets, percent)).distinct())
     # A line goes with its class's first place, or because it is a later one of its class.
     told = classes.join(gone.withColumnRenamed("id", "cls").withColumn("all", F.lit(True)), "cls", "left").where("c > 1 or all").select("cls", "at", F.coalesce("all", F.lit(False)).alias("all"))
@@ -316,6 +322,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     out = saved(lines.join(told, "cls").where(F.col("all") | (place > F.col("at"))).groupBy("id", "rh").agg(F.collect_set("line").alias("gone")))
     for used in (parsed, met, classes, heads, sets, gone):
         drop_saved(used)
+    release(docs.sparkSession)
     return out
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
-from tidewater.llm.common import drop_saved, saved
+from tidewater.llm.common import drop_saved, release, saved
 from tidewater.llm.setjoin import BROADCAST_IDS, MAPS, components, differences, may_be_similar, meeting_points, prefix_length, shared_counts
 
 ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -168,6 +168,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     held = saved(held)
     drop_saved(sets)
     sets = held
+    release(docs.sparkSession)
     post = saved(sets.select("id", "n", F.explode("p0").alias("t")))
     # The most central member of a token's group has the most frequent tokens.
     often = post.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
@@ -192,6 +193,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         fresh = saved(_linked(star, sets, percent))
         edges = fresh if edges is None else edges.unionByName(fresh)
         comp = components(edges)
+        release(docs.sparkSession)
     held = post.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return members, edges.unionByName(saved(_across(held, sets, percent)))
 
