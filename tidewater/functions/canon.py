@@ -38,6 +38,16 @@ def branch(c: Column, aliases: dict[str, str] = T.BRANCH_ALIASES) -> Column:
     return F.when(~s.isin(T.BLANKS), lookup(s, aliases, s))
 
 
+def is_known_branch(c: Column, branches: list[str] = T.BRANCHES, aliases: dict[str, str] = T.BRANCH_ALIASES) -> Column:
+    """Whether the canonical value is one of the closed set."""
+    return F.coalesce(branch(c, aliases).isin(branches), F.lit(False))
+
+
+def branch_of_locality(c: Column, localities: dict[str, str] = T.LOCALITY_BRANCH, aliases: dict[str, str] = T.BRANCH_ALIASES) -> Column:
+    """The branch that serves a locality written in its place, else null."""
+    return lookup(branch(c, aliases), localities)
+
+
 def faculty(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """Without honorifics and stray punctuation; aliases are applied to the whole name only."""
     bare = F.regexp_replace(F.lower(c), r"\b(?:sir|mam|ma'am|madam|miss)\b\.?", "")
@@ -71,8 +81,7 @@ def course_family(c: Column) -> Column:
 def course_category(raw: Column, family: Column) -> Column:
     """One of eight closed buckets; anchors in the raw text decide first; blank stays null."""
     s = squeezed(raw)
-    table = {f: k for k, fs in T.COURSE_CATEGORIES.items() for f in fs}
-    return F.when(s != "", first_rule(s, T.CATEGORY_ANCHORS, lookup(family, table, F.lit("Other"))))
+    return F.when(s != "", first_rule(s, T.CATEGORY_ANCHORS, lookup(family, T.FAMILY_CATEGORY, F.lit("Other"))))
 
 
 def lead_source(c: Column) -> Column:

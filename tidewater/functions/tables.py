@@ -2,6 +2,8 @@
 
 # Branch aliases and values that mean "not recorded".
 BRANCH_ALIASES = {"city light": "citylight", "city-light": "citylight", "clt": "citylight", "vesu branch": "vesu", "pal branch": "pal", "palanpur patiya": "pal"}
+BRANCHES = ["citylight", "vesu", "pal"]
+LOCALITY_BRANCH = {"adajan": "pal"}
 BLANKS = ["", "na", "n/a", "none", "-", "nil"]
 
 # Spelling corrections of course names.
@@ -68,14 +70,42 @@ COURSE_FAMILIES = [
 ]
 
 # Reporting category of each course family, and anchors that decide before the family.
-COURSE_CATEGORIES = {
-    "Programming & Development": ["python programming", "java programming", "c programming", "c++ programming", "c & c++ programming", "r programming", "scratch programming", "programming logic", "data structures & algorithms", "web development", "full stack development", "front end development", "wordpress", "agentic ai & automation", "adv certificate: python & generative ai", "sql"],
-    "Design & Creative": ["graphic designing", "ui ux designing", "web designing"],
-    "Digital Marketing": ["digital marketing & seo", "social media marketing", "ecommerce & seo", "adv certificate: digital designing & marketing"],
-    "Data & Analytics": ["data analysis", "data science & ai", "business analytics", "adv certificate: data analytics & data science"],
-    "Accounting & Finance": ["accounting", "financial modelling"],
-    "Office & Productivity": ["advanced excel", "power bi", "office & generative ai", "computer basics", "combo course"],
-    "Foundational/School": ["school course"],
+FAMILY_CATEGORY = {
+    "combo course": "Office & Productivity",
+    "adv certificate: python & generative ai": "Programming & Development",
+    "adv certificate: data analytics & data science": "Data & Analytics",
+    "adv certificate: digital designing & marketing": "Digital Marketing",
+    "agentic ai & automation": "Programming & Development",
+    "school course": "Foundational/School",
+    "full stack development": "Programming & Development",
+    "front end development": "Programming & Development",
+    "web development": "Programming & Development",
+    "web designing": "Design & Creative",
+    "wordpress": "Programming & Development",
+    "ui ux designing": "Design & Creative",
+    "business analytics": "Data & Analytics",
+    "financial modelling": "Accounting & Finance",
+    "advanced excel": "Office & Productivity",
+    "power bi": "Office & Productivity",
+    "data analysis": "Data & Analytics",
+    "sql": "Programming & Development",
+    "social media marketing": "Digital Marketing",
+    "ecommerce & seo": "Digital Marketing",
+    "digital marketing & seo": "Digital Marketing",
+    "graphic designing": "Design & Creative",
+    "accounting": "Accounting & Finance",
+    "java programming": "Programming & Development",
+    "data structures & algorithms": "Programming & Development",
+    "programming logic": "Programming & Development",
+    "scratch programming": "Programming & Development",
+    "python programming": "Programming & Development",
+    "c & c++ programming": "Programming & Development",
+    "c++ programming": "Programming & Development",
+    "c programming": "Programming & Development",
+    "r programming": "Programming & Development",
+    "data science & ai": "Data & Analytics",
+    "office & generative ai": "Office & Productivity",
+    "computer basics": "Office & Productivity",
 }
 CATEGORY_ANCHORS = [(r"\bkids?\b", "Foundational/School"), (r"computer\s*basic|professional\s*office", "Office & Productivity")]
 
@@ -186,3 +216,22 @@ ROLES = {
     "notes": (["any other notes", "notes", "more info"], []),
 }
 PII_ROLES = ["name", "email", "student_mobile", "parent_mobile", "parent_mobile_2", "address", "dob", "photo"]
+
+# Pairs of roles worth crossing.
+CROSS_PAIRS = [
+    ("branch", "course"),
+    ("branch", "faculty"),
+    ("branch", "source"),
+    ("branch", "payment_mode"),
+    ("course", "faculty"),
+    ("course", "batch_time"),
+    ("course", "source"),
+    ("course", "student_category"),
+    ("faculty", "batch_time"),
+    ("faculty", "student_category"),
+    ("source", "student_category"),
+    ("branch", "student_category"),
+    ("branch", "class_days"),
+    ("course", "class_days"),
+    ("payment_mode", "student_category"),
+]

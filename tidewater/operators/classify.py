@@ -65,3 +65,40 @@ def evaluate(scored: DataFrame, label: str) -> DataFrame:
 
 def risk_factors(model: DataFrame, top: int = 8) -> DataFrame:
     return model.select("feature", "value", "n1", "n0", (F.col("l1") - F.col("l0")).alias("llr")).orderBy(F.desc("llr"), "feature", "value").limit(top)
+
+
+def terminal_labels(df: DataFrame, status: str = "completion_status", flags: tuple[str, str] = ("is_not_coming", "is_completed")) -> DataFrame:
+    """The rows whose outcome is known, with label 1 for not coming and 0 for completed. Rows still active are censored: left out.
+    Without the status the two flags are used; without either, or without any known outcome, Blocked.
+    """
+    if status in df.columns:
+        known = df.where(F.col(status).isin("completed", "not_coming")).withColumn("label", (F.col(status) == "not_coming").cast("int"))
+    elif all(f in df.columns for f in flags):
+        gone, done = (F.coalesce(F.col(f).cast("boolean"), F.lit(False)) for f in flags)
+        known = df.where(gone | done).withColumn("label", gone.cast("int"))
+    else:
+        raise Blocked("no column tells how a course ended")
+    if known.limit(1).count() == 0:
+        raise Blocked("no row has a known outcome")
+    return known
+
+
+def select_flags(df: DataFrame, flags: list[str]) -> list[str]:
+    """Flags that are there and hold more than one value."""
+    have = [c for c in flags if c in df.columns]
+    r = df.agg(*[(F.min(F.col(c).cast("int")) < F.max(F.col(c).cast("int"))).alias(c) for c in have]).first() if have else {}
+    return [c for c in have if r[c]]
+
+
+def split(df: DataFrame, id_col: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """``(train, holdout)`` by hashed id; all rows are both where the holdout is empty or the rest holds one class only."""
+    hold = in_holdout(F.col(id_col))
+    r = df.agg(F.count_if(hold).alias("h"), F.count_distinct(F.when(~hold, F.col(label))).alias("k")).first()
+    return (df.where(~hold), df.where(hold)) if r["h"] and r["k"] > 1 else (df, df)
+
+
+def caveats(evaluation: DataFrame, train: DataFrame, label: str) -> DataFrame:
+    """Rows (caveat) on a model: few rows, no gain over the majority, a thin class."""
+    n = train.agg(F.count(label).alias("rows"), F.count_if(F.col(label) == 1).alias("pos")).withColumn("minority", F.least("pos", F.col("rows") - F.col("pos")))
+    all_ = n.join(evaluation.select("lift")).select(F.filter(F.array(F.when(F.col("rows") < 2 * LEAST_ROWS, "small_training_set"), F.when(F.col("lift") <= 1e-9, "no_gain_over_majority"), F.when(F.col("minority") < 2 * LEAST_CLASS, "thin_class")), lambda x: x.isNotNull()).alias("c"))
+    return all_.select(F.explode("c").alias("caveat"))

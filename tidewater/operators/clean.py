@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import canon
 from tidewater.operators.metrics import Blocked
 
 _AB = r"^\s*(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2}|\d{4})(?:\s+.*)?$"
@@ -80,9 +81,13 @@ def time_dimensions(df: DataFrame, date: str) -> DataFrame:
     return df.withColumns({"year": F.year(d), "month": F.month(d), "month_name": F.date_format(d, "MMM"), "quarter": F.concat(F.lit("Q"), F.quarter(d), F.lit("-"), F.year(d)), "iso_week": F.weekofyear(d), "day_name": F.date_format(d, "EEEE"), "is_weekend": F.weekday(d) >= 5})
 
 
-def drop_undated(df: DataFrame, date: str, most: float = 0.10) -> DataFrame:
-    """Rows with a date; Blocked where more than ``most`` of the rows have none."""
-    n, kept = df.agg(F.count(F.lit(1)), F.count(date)).first()
+def drop_undated(df: DataFrame, date: str, most: float = 0.10, status: str | None = None) -> DataFrame:
+    """Rows with a date; Blocked where more than ``most`` of the rows have none. A table whose rows all have one and the same
+    ``status`` is a membership list: it needs no dates and is returned whole.
+    """
+    n, kept, labels = df.agg(F.count(F.lit(1)), F.count(date), F.count_distinct(status) if status else F.lit(0)).first()
+    if labels == 1:
+        return df
     if n and (n - kept) / n > most:
         raise Blocked(f"{n - kept} of {n} rows have no {date}")
     return df.where(F.col(date).isNotNull())
@@ -113,3 +118,45 @@ def dedupe(df: DataFrame, candidates: list[list[str]], order: str) -> DataFrame:
 
 def normal_id(c: Column) -> Column:
     return c.cast("string").try_cast("double").try_cast("bigint")
+
+
+#: Roles of dates in the order in which they date a row's event. Births never do.
+EVENT_DATES = ["admission_date", "joining_date", "receipt_date", "issue_date", "enquiry_date"]
+
+
+def event_date(df: DataFrame, roles: dict[str, str], others: list[str] | tuple = ()) -> DataFrame:
+    """Adds event_date, the first known date in the order of EVENT_DATES and then of ``others``, and event_date_basis, its column."""
+    dates = [roles[r] for r in EVENT_DATES if roles.get(r) in df.columns]
+    dates += [c for c in others if c in df.columns and c not in dates and c != roles.get("dob")]
+    if not dates:
+        raise Blocked("no column dates the rows' events")
+    basis = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in dates])
+    return df.withColumns({"event_date": F.coalesce(*[F.col(c).cast("timestamp") for c in dates]), "event_date_basis": basis})
+
+
+def time_window(df: DataFrame, date: str, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows from ``start`` to ``end``, both included (a day is included whole), and a report row (rows_before, rows_after)."""
+    inside = F.col(date).isNotNull()
+    if start:
+        inside = inside & (F.to_date(date) >= F.lit(start).cast("date"))
+    if end:
+        inside = inside & (F.to_date(date) <= F.lit(end).cast("date"))
+    return df.where(inside), df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(inside).alias("rows_after"))
+
+
+def apply_localities(df: DataFrame, column: str) -> DataFrame:
+    """Localities in a branch column become their branch; what stood there is kept in <column>_locality."""
+    served = canon.branch_of_locality(F.col(column))
+    return df.withColumns({f"{column}_locality": F.when(served.isNotNull(), F.col(column)), column: F.coalesce(served, canon.branch(F.col(column)))})
+
+
+def apply_taxonomy(df: DataFrame, column: str, bucket: Column, basis: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The column as its bucket, with the raw text in <column>_raw, and rows (bucket, n, n_values, n_assumed): the size of each bucket,
+    'empty' for blank cells and 'unlearned' for text without a bucket; assumed rows are those whose ``basis`` is not a rule.
+    """
+    # Rules run once for each distinct text; a table of distinct texts is small beside the rows.
+    values = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n")).withColumns({"__bucket": bucket, "__basis": basis if basis is not None else F.lit("rule")})
+    blank = F.coalesce(F.trim(column), F.lit("")) == ""
+    label = F.when(blank & F.col("__bucket").isNull(), "empty").otherwise(F.coalesce("__bucket", F.lit("unlearned")))
+    sizes = values.groupBy(label.alias("bucket")).agg(F.sum("__n").alias("n"), F.count(column).alias("n_values"), F.coalesce(F.sum(F.when(F.col("__basis") != "rule", F.col("__n"))), F.lit(0)).alias("n_assumed"))
+    return df.withColumn(f"{column}_raw", F.col(column)).withColumn(column, bucket), sizes

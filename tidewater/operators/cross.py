@@ -9,9 +9,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions import tables as T
 from tidewater.functions.statistics import two_means, two_proportions, two_sided, wilson
 from tidewater.operators.metrics import Blocked, Metric, sums, value
-from tidewater.operators.stats import benjamini_hochberg
+from tidewater.operators.roles import reporting_column
+from tidewater.operators.stats import benjamini_hochberg, chi2_independence
 
 MIN_CELL, LEVELS = 30, 12
 _CLAUSE = re.compile(r"^\s*([\w ]+?)\s*(!=|>=|<=|=|>|<|\bnot in\b|\bin\b)\s*(.+?)\s*$", re.I)
@@ -106,3 +108,60 @@ def crosstab(df: DataFrame, m: Metric, rows: str, cols: str, min_cell: int = MIN
     none = F.lit(None).cast("double")
     margins = cube.where("g > 0").select(name.alias("level"), F.col("__r").alias("row"), F.col("__c").alias("col"), "n", value(m).alias("value"), low.alias("ci_low"), high.alias("ci_high"), *[none.alias(c) for c in ("expected", "residual")], F.lit(False).alias("suppressed"), *[none.alias(c) for c in ("row_z", "row_q", "col_z", "col_q")], F.lit(False).alias("interaction"))
     return margins.unionByName(cell)
+
+
+def grid_independence(df: DataFrame, m: Metric, rows: str, cols: str, levels: int = LEVELS) -> DataFrame:
+    """Chi-square over the grid: for a rate, cells against success and failure; for the rest, rows against columns. One row as
+    ``chi2_independence`` gives it.
+    """
+    known = df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull())
+    known = trim_levels(trim_levels(known, rows, levels), cols, levels)
+    if m.kind != "rate":
+        return chi2_independence(known.groupBy(rows, cols).agg(F.count(F.lit(1)).alias("k")), rows, cols, "k")
+    y = F.col(m.num)
+    if m.null_is_false:
+        y = F.coalesce(y, F.lit(False))
+    cell = F.concat_ws("\0", F.col(rows).cast("string"), F.col(cols).cast("string"))
+    counts = known.select(cell.alias("cell"), y.cast("boolean").alias("hit")).where("hit is not null").groupBy("cell", "hit").agg(F.count(F.lit(1)).alias("k"))
+    return chi2_independence(counts, "cell", "hit", "k")
+
+
+def suggest_pairs(df: DataFrame, roles: dict[str, str], pairs: list[tuple[str, str]] = T.CROSS_PAIRS) -> list[tuple[str, str]]:
+    """Pairs of columns worth crossing: of the registry's roles those that stand for two columns with two values or more each."""
+    used = sorted({c for pair in pairs for r in pair if (c := reporting_column(r, roles, df.columns))})
+    if not used:
+        return []
+    many = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in used]).first()
+    found = [(reporting_column(a, roles, df.columns), reporting_column(b, roles, df.columns)) for a, b in pairs]
+    return [(a, b) for a, b in found if a and b and a != b and many[a] and many[b]]
+
+
+def auto_cross(df: DataFrame, m: Metric, roles: dict[str, str], most: int = 3) -> DataFrame:
+    """Interactions of a rate over the first ``most`` pairs that the table offers: rows (rows, cols, row, col, n, value, expected, residual).
+    Only rates are comparable across cells of different sizes.
+    """
+    if m.kind != "rate":
+        raise Blocked("only a rate is comparable across cells of different sizes")
+    pairs = suggest_pairs(df, roles)[:most]
+    if not pairs:
+        raise Blocked("no two dimensions with two levels or more")
+    out = None
+    for a, b in pairs:
+        hit = crosstab(df, m, a, b).where("level = 'cell' and interaction").select(F.lit(a).alias("rows"), F.lit(b).alias("cols"), "row", "col", "n", "value", "expected", "residual")
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+def cross_notes(cells: DataFrame, independence: DataFrame, kind: str, alpha: float = 0.05) -> DataFrame:
+    """Rows (topic, note) on a crosstab and its grid test: what the test says, whether any cell stands out, what is suppressed."""
+    told = F.when(~F.col("valid"), "The grid is too thin for a test.")
+    if kind == "rate":
+        told = told.when(F.col("p") > alpha, "The rate looks independent of the combination.").otherwise("The rate depends on the combination: some cell differs from what its margins predict.")
+    else:
+        told = told.when(F.col("p") > alpha, "The dimensions are evenly crossed: margins are comparable.").otherwise("The dimensions are unevenly crossed: margins cover different populations.")
+    grid = independence.select(F.lit("independence").alias("topic"), told.alias("note"))
+    c = cells.where("level = 'cell'").agg(F.count_if("interaction").alias("hits"), F.count_if("suppressed").alias("hidden"), F.coalesce(F.sum(F.when(F.col("suppressed"), F.col("n"))), F.lit(0)).alias("hidden_rows"))
+    plain = F.when((F.col("hits") == 0) & F.lit(kind in ("rate", "mean")), F.struct(F.lit("interactions").alias("topic"), F.lit("No cell beats both of its margins after correction.").alias("note")))
+    thin = F.when(F.col("hidden") > 0, F.struct(F.lit("suppressed").alias("topic"), F.format_string("%d cells with %d rows are too small to show.", "hidden", "hidden_rows").alias("note")))
+    rest = c.select(F.explode(F.filter(F.array(plain, thin), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return grid.unionByName(rest)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.metrics import THIN
@@ -88,3 +88,88 @@ def health(events: DataFrame) -> DataFrame:
     order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
     one = events.withColumn("k", F.row_number().over(Window.partitionBy("metric", "scope", "type").orderBy(order))).where("k = 1").drop("k")
     return one.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("severity") == "critical").alias("critical")).withColumn("state", F.when(F.col("critical") > 0, "Critical").when(F.col("events") > 0, "Watch").otherwise("Good"))
+
+
+def severity(share: Column) -> Column:
+    """Band of a relative gap: 0.15, 0.3 and 0.5."""
+    return F.when(share >= 0.5, "critical").when(share >= 0.3, "high").when(share >= 0.15, "medium").otherwise("low")
+
+
+def confidence(n: Column) -> Column:
+    """Band of a number of rows: 30 and 100."""
+    return F.when(n >= 100, "high").when(n >= 30, "medium").otherwise("low")
+
+
+def potential(ratio: Column) -> Column:
+    """Band of a segment's value over its baseline: 1.3 and 1.5."""
+    return F.when(ratio >= 1.5, "high").when(ratio >= 1.3, "medium").otherwise("low")
+
+
+def segment_insights(breakdown: DataFrame) -> DataFrame:
+    """The best segment of each dimension (ties: the smaller name), however few rows it has; confidence tells."""
+    best = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("value"), "segment"))
+    return breakdown.withColumn("k", best).where("k = 1").select("dimension", "segment", "n", "value", confidence(F.col("n")).alias("confidence"))
+
+
+def trend_insights(comparison: DataFrame, least: float = 0.02) -> DataFrame:
+    """Rows (trend, strength) of period comparisons with a relative change."""
+    d = F.col("delta_pct")
+    return comparison.where("delta_pct is not null").select(F.when(d > least, "growing").when(d < -least, "declining").otherwise("stable").alias("trend"), F.when(F.col("significant"), "significant").otherwise("weak").alias("strength"), "delta_pct")
+
+
+def root_causes(drivers: DataFrame, associations: DataFrame, top: int = 2, least: float = 0.1) -> DataFrame:
+    """Rows (cause, kind, impact): the largest drivers, and the strongest association that is more than weak."""
+    d = drivers.orderBy(F.desc(F.abs("contribution")), "dimension", "segment").limit(top).select(F.concat_ws("=", "dimension", "segment").alias("cause"), F.lit("driver").alias("kind"), F.col("contribution").alias("impact"))
+    a = associations.where(F.col("cramers_v") >= least).orderBy(F.desc("cramers_v"), "dim_a", "dim_b").limit(1).select(F.concat_ws(" x ", "dim_a", "dim_b").alias("cause"), F.lit("association").alias("kind"), F.col("cramers_v").alias("impact"))
+    return d.unionByName(a)
+
+
+def business_health(comparison: DataFrame, found: DataFrame, lower_is_better: bool = False, quality: float | None = None) -> DataFrame:
+    """One row (score, state): 70, plus 15 or minus 20 for each significant change, minus 10 for each grave risk, plus 5 for each large
+    opportunity. Quality below 50 keeps the state from 'good' and better.
+    """
+    worse = (F.col("delta_pct") > 0) if lower_is_better else (F.col("delta_pct") < 0)
+    moved = comparison.where("significant and delta_pct is not null").agg(F.coalesce(F.sum(F.when(worse, -20).otherwise(15)), F.lit(0)).alias("a"))
+    gain = F.try_divide(F.col("scaled"), F.col("baseline")) >= 1.5
+    risks = found.agg((-10 * F.count_if((F.col("kind") == "risk") & F.col("severity").isin("high", "critical")) + 5 * F.count_if((F.col("kind") == "opportunity") & gain)).alias("b"))
+    score = F.lit(70) + F.col("a") + F.col("b")
+    open_ = quality is None or quality >= 50
+    state = F.when(score >= 50, "stable").when(score >= 30, "concerning").otherwise("critical")
+    if open_:
+        state = F.when(score >= 85, "excellent").when(score >= 70, "good").otherwise(state)
+    return moved.join(risks).select(score.cast("long").alias("score"), state.alias("state"))
+
+
+def confidence_score(comparison: DataFrame, associations: DataFrame, quality: float | None = None, least: float = 0.1) -> DataFrame:
+    """One row (confidence): 0.4 data quality, 0.4 whether a comparison is significant, 0.2 whether an association is more than weak; of 100."""
+    part = lambda any_, hit: F.when(~any_, 0.5).when(hit, 0.9).otherwise(0.4)
+    c = comparison.agg(part(F.count(F.lit(1)) > 0, F.coalesce(F.bool_or("significant"), F.lit(False))).alias("c"))
+    a = associations.agg(part(F.count(F.lit(1)) > 0, F.coalesce(F.bool_or(F.col("cramers_v") >= least), F.lit(False))).alias("a"))
+    data = 0.6 if quality is None else quality / 100
+    return c.join(a).select(F.round(100 * (0.4 * F.lit(data) + 0.4 * F.col("c") + 0.2 * F.col("a"))).cast("int").alias("confidence"))
+
+
+def trend_alerts(comparison: DataFrame, metric: str, lower_is_better: bool = False) -> DataFrame:
+    """A warning for each significant adverse change of a metric."""
+    adverse = (F.col("delta_abs") > 0) if lower_is_better else (F.col("delta_abs") < 0)
+    return comparison.where(F.col("significant") & adverse).select(F.lit(metric).alias("metric"), F.lit("trend_alert").alias("type"), F.lit("warning").alias("severity"), F.when(F.col("delta_abs") < 0, "declining").otherwise("rising").alias("trend"), F.col("current").alias("observed"), F.col("prior").alias("threshold"), "delta_pct")
+
+
+def report_summary(answers: DataFrame, acts: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``(summary, actions)``: one row (answered, skipped, metrics) of answers (metric, value, blocked), and the first actions by priority."""
+    s = answers.agg(F.count_if(F.col("blocked").isNull()).alias("answered"), F.count_if(F.col("blocked").isNotNull()).alias("skipped"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("blocked").isNull(), F.col("metric")))), ",").alias("metrics"))
+    return s, acts.orderBy("priority").limit(top)
+
+
+def quality_report(df: DataFrame, date: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows (kind, item, n): rows read, rows without a date, rows whose key repeats an earlier one, and blanks by column; one aggregation
+    besides the distinct keys.
+    """
+    known = F.struct(*keys)
+    whole = [F.col(k).isNotNull() for k in keys]
+    keyed = whole[0]
+    for w in whole[1:]:
+        keyed = keyed & w
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(date).isNull()).alias("undated"), (F.count_if(keyed) - F.count_distinct(F.when(keyed, known))).alias("repeats"), *[F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(f"c{k}") for k, c in enumerate(columns)])
+    row = lambda kind, item, c: F.struct(F.lit(kind).alias("kind"), F.lit(item).alias("item"), F.col(c).alias("n"))
+    return r.select(F.explode(F.array(row("rows", "read", "n"), row("dropped", "undated", "undated"), row("dropped", "repeated " + ",".join(keys), "repeats"), *[row("blank", c, f"c{k}") for k, c in enumerate(columns)])).alias("x")).select("x.*")

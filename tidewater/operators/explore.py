@@ -83,3 +83,22 @@ def associations(df: DataFrame, dims: list[str], least: int = 20) -> DataFrame:
     g = g.where((F.col("n") >= least) & (F.col("nr") >= 2) & (F.col("nc") >= 2))
     v = F.sqrt(F.col("chi2") / (F.col("n") * F.least(F.col("nr") - 1, F.col("nc") - 1)))
     return g.select("dim_a", "dim_b", "n", "chi2", ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("dof"), v.alias("cramers_v"), F.when(v < 0.1, "weak").when(v < 0.3, "moderate").otherwise("strong").alias("strength"), F.col("top.a").alias("cell_a"), F.col("top.b").alias("cell_b"), F.col("top.residual").alias("residual"))
+
+
+def calendar_profile(df: DataFrame, date: str) -> DataFrame:
+    """One row (n, weekend_share, busiest_day, busiest_n) of a date column; days by name, ties to the earlier day of the week."""
+    by = df.where(F.col(date).isNotNull()).groupBy(F.weekday(date).alias("w"), F.date_format(date, "EEEE").alias("day")).agg(F.count(F.lit(1)).alias("k"))
+    top = F.min(F.struct((-F.col("k")).alias("k"), "w", "day"))
+    g = by.agg(F.sum("k").alias("n"), F.sum(F.when(F.col("w") >= 5, F.col("k")).otherwise(0)).alias("weekend"), top.alias("t"))
+    return g.where("n > 0").select("n", (F.col("weekend") / F.col("n")).alias("weekend_share"), F.col("t.day").alias("busiest_day"), (-F.col("t.k")).alias("busiest_n"))
+
+
+def hypotheses(associated: DataFrame, direction: DataFrame, spiky: DataFrame, period: str, calendar: DataFrame, most: int = 12) -> DataFrame:
+    """Rows (rank, kind, subject, measure): associations that are more than weak, a trend, spikes and dips, weekends of half the rows and more."""
+    row = lambda k, kind, subject, measure: [F.lit(k).alias("k"), F.lit(kind).alias("kind"), subject.alias("subject"), measure.cast("double").alias("measure")]
+    a = associated.where("strength <> 'weak'").select(*row(0, "association", F.concat_ws(" x ", "dim_a", "dim_b"), F.col("cramers_v")))
+    t = direction.where("direction in ('rising', 'falling')").select(*row(1, "trend", F.col("direction"), F.try_divide(F.col("second") - F.col("first"), F.abs("first"))))
+    s = spiky.select(*row(2, "spike", F.col(period).cast("string"), F.col("change")))
+    w = calendar.where("weekend_share >= 0.5").select(*row(3, "weekend", F.lit("weekend"), F.col("weekend_share")))
+    rank = F.row_number().over(Window.orderBy("k", F.desc(F.abs("measure")), "subject"))  # a few rows of result tables
+    return a.unionByName(t).unionByName(s).unionByName(w).withColumn("rank", rank).where(F.col("rank") <= most).drop("k")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import canon
 from tidewater.functions import tables as T
+from tidewater.operators.roles import detect
 
 
 def amount_collected(amount: Column, pending: Column) -> Column:
@@ -21,6 +24,39 @@ def certificate_delay(issue: Column, joined: Column) -> Column:
     return F.datediff(issue, joined)
 
 
+def certificate_pending(issue: Column, joined: Column) -> Column:
+    return joined.isNotNull() & issue.isNull()
+
+
+def touch_flags(df: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """Adds is_enquiry, is_admitted and is_fee_paid, each only where the role behind it has a column."""
+    have = {r: F.col(c) for r, c in roles.items() if c in df.columns}
+    out = {}
+    if "enquiry_date" in have:
+        out["is_enquiry"] = have["enquiry_date"].isNotNull()
+    if "admission_date" in have:
+        out["is_admitted"] = have["admission_date"].isNotNull()
+    if "paid" in have:
+        out["is_fee_paid"] = F.coalesce(have["paid"] > 0, F.lit(False))
+    return df.withColumns(out) if out else df
+
+
+def lead_to_admission(df: DataFrame, enquired: str, admitted: str) -> DataFrame:
+    """Adds lead_to_admission_days (calendar days) and admission_before_enquiry_flag."""
+    days = F.datediff(admitted, enquired)
+    return df.withColumns({"lead_to_admission_days": days, "admission_before_enquiry_flag": F.coalesce(days < 0, F.lit(False))})
+
+
+def is_dropped(cancelled: Column, not_coming: Column) -> Column:
+    no = F.lit(False)
+    return F.coalesce(cancelled, no) | F.coalesce(not_coming, no)
+
+
+def attribute_currency(status: Column) -> Column:
+    """Whether a row's attributes are those of today or of the day its person left."""
+    return F.when(status == "active", "current").when(status.isNotNull(), "at_exit")
+
+
 def duplicate_serials(df: DataFrame, serial: str) -> DataFrame:
     """Adds is_duplicate_certificate: every copy of a non-blank serial that occurs twice or more."""
     s = F.nullif(F.trim(F.col(serial).cast("string")), F.lit(""))
@@ -73,6 +109,56 @@ DURATION_GROUPS = [(0, 90, "Short"), (91, 180, "Medium"), (181, float("inf"), "L
 OUTSTANDING = [(0, 0, "Nil"), (0.01, 5000, "1-5000"), (5000.01, 15000, "5001-15000"), (15000.01, float("inf"), "15001+")]
 
 
+DURATION_BUCKETS = [(0, 30, "0-30"), (31, 60, "31-60"), (61, 90, "61-90"), (91, 180, "91-180"), (181, 365, "181-365"), (366, float("inf"), "366+")]
+
+
+def joining_cohort(*dates: Column) -> Column:
+    """Month of the first known date."""
+    return F.date_format(F.coalesce(*dates), "yyyy-MM")
+
+
+def months_since(date: Column, as_of: Column) -> Column:
+    return F.round(F.datediff(as_of, date) / 30.44, 1)
+
+
+def is_ending_soon(days_remaining: Column, within: int = 30) -> Column:
+    return days_remaining.between(0, within)
+
+
+def propose(df: DataFrame, features: dict[str, tuple[Column, list[str]]], least: float = 0.4) -> DataFrame:
+    """Rows (feature, coverage, offered) for derived columns (name -> expression, columns it reads): a feature is offered where
+    at least that share of rows has all its sources. One aggregation.
+    """
+    known = {n: [F.col(c).isNotNull() for c in cols] for n, (_, cols) in features.items() if all(c in df.columns for c in cols)}
+    shares = [F.avg(reduce(lambda a, b: a & b, k).cast("double")).alias(f"s{i}") for i, k in enumerate(known.values())]
+    rows = [F.struct(F.lit(n).alias("feature"), F.coalesce(F.col(f"s{i}"), F.lit(0.0)).alias("coverage")) for i, n in enumerate(known)]
+    rows += [F.struct(F.lit(n).alias("feature"), F.lit(0.0).alias("coverage")) for n in features if n not in known]
+    got = df.agg(*shares, F.count(F.lit(1)).alias("__n")).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    return got.withColumn("offered", F.col("coverage") >= least)
+
+
+def preview(df: DataFrame, features: dict[str, tuple[Column, list[str]]], top: int = 6) -> DataFrame:
+    """Rows (feature, label, value) of what features would hold: min, median and max of numbers, the ``top`` values with their counts else."""
+    out = None
+    for name, (c, cols) in features.items():
+        if not all(x in df.columns for x in cols):
+            continue
+        one = df.select(c.alias("v")).where("v is not null")
+        if one.schema["v"].dataType.typeName() in ("string", "boolean", "date"):
+            rows = one.groupBy(F.col("v").cast("string").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("value")).orderBy(F.desc("value"), "label").limit(top)
+        else:
+            m = one.agg(F.min("v").cast("double").alias("min"), F.percentile("v", 0.5).alias("median"), F.max("v").cast("double").alias("max"))
+            rows = m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(k).alias("value")) for k in ("min", "median", "max")])).alias("x")).select("x.*")
+        rows = rows.select(F.lit(name).alias("feature"), "label", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def materialise(df: DataFrame, features: dict[str, tuple[Column, list[str]]], approved: list[str]) -> DataFrame:
+    """The approved features as columns; an unknown name is an error."""
+    return df.withColumns({n: features[n][0] for n in approved}) if approved else df
+
+
 def age_band(dob: Column, as_of: Column, bands: list[tuple[float, float, str]]) -> Column:
     return band(F.floor(F.datediff(as_of, dob) / 365), bands)
 
@@ -110,6 +196,15 @@ def scrub(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, EMAIL, "[email]"), PHONE, "[mobile]")
 
 
+def sanitise(df: DataFrame) -> DataFrame:
+    """A sample that can be shown: columns whose header names a personal role become '[masked]', free text is scrubbed."""
+    personal = {c for r, c in detect(df.columns).items() if r in T.PII_ROLES}
+    text = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    cols = {c: F.when(F.col(f"`{c}`").isNotNull(), F.lit("[masked]")) for c in df.columns if c in personal}
+    cols |= {c: scrub(F.col(f"`{c}`")) for c in text if c not in personal}
+    return df.withColumns(cols) if cols else df
+
+
 def leaks(df: DataFrame, row_id: str) -> DataFrame:
     """Rows (column, row_id, kind) for each text cell that shows a phone number or an e-mail address; one pass over all columns."""
     text = [f.name for f in df.schema if f.dataType.typeName() == "string" and f.name != row_id]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.metrics import Blocked
+
 
 def as_of(df: DataFrame, dates: list[str]) -> DataFrame:
     """One row: the last of all dates."""
@@ -42,3 +44,23 @@ def churn_summary(df: DataFrame) -> DataFrame:
     counts = df.groupBy("churn_status").agg(F.count(F.lit(1)).alias("n"))
     rate = df.agg(F.try_divide(F.count_if(F.col("churn_status") == "churned"), F.count_if(F.col("churn_status").isin("churned", "paused"))).alias("churn_rate"))
     return counts.join(F.broadcast(rate))
+
+
+def start_date(df: DataFrame, joining: str, admission: str) -> DataFrame:
+    """Adds start_date: the joining date if the table has any, else the admission date; one column for all rows."""
+    have = {c: c in df.columns for c in (joining, admission)}
+    any_joined = have[joining] and df.where(F.col(joining).isNotNull()).limit(1).count() > 0
+    if not any_joined and not have[admission]:
+        raise Blocked(f"neither {joining} nor {admission} starts the clock")
+    return df.withColumn("start_date", F.col(joining if any_joined else admission))
+
+
+def past_course_end(df: DataFrame, start: str, as_of: Column) -> DataFrame:
+    """Adds days_past_course_end (start plus duration_days to ``as_of``; never below 0)."""
+    end = F.date_add(F.col(start).cast("date"), F.col("duration_days").cast("int"))
+    return df.withColumn("days_past_course_end", F.greatest(F.datediff(as_of, end), F.lit(0)))
+
+
+def months_table(months: dict[str, float]) -> dict[str, float]:
+    """Course durations in days from months of 30 days."""
+    return {course: 30 * m for course, m in months.items()}

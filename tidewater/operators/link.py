@@ -146,3 +146,80 @@ def identity_key(left: DataFrame, right: DataFrame, candidates: list[list[str]])
             if n and n == d and left.join(right, key, "left_semi").limit(1).count():
                 return key
     raise Blocked("no candidate identifies rows on the right")
+
+
+def coverage(left: DataFrame, right: DataFrame, person: str, course: str) -> DataFrame:
+    """Rows (coverage, n): left rows that match the right on (person, course), whose person the right knows under another course
+    only, whom it does not know, and rows without a person.
+    """
+    pairs = right.where(F.col(person).isNotNull()).groupBy(F.col(person).alias("__p"), F.col(course).alias("__c")).agg(F.lit(True).alias("__pair"))
+    people = right.where(F.col(person).isNotNull()).groupBy(F.col(person).alias("__q")).agg(F.lit(True).alias("__person"))
+    # A row per (person, course) of the left goes into the joins, with its count.
+    rows = left.groupBy(person, course).agg(F.count(F.lit(1)).alias("n"))
+    j = rows.join(pairs, (rows[person] == F.col("__p")) & rows[course].eqNullSafe(F.col("__c")), "left").join(people, rows[person] == F.col("__q"), "left")
+    label = F.when(F.col(person).isNull(), "no_person").when(F.col("__pair"), "matched").when(F.col("__person"), "other_course").otherwise("absent")
+    return j.groupBy(label.alias("coverage")).agg(F.sum("n").alias("n"))
+
+
+def join_sources(master: DataFrame, sources: dict[str, DataFrame], key: list[str], identity: list[list[str]] = (), order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(joined, report)``: each source joined to the master on the key, collapsed to a row per key first where the key repeats
+    (``order`` decides between texts), or on the first identity key that is unique; what fits neither way is left out.
+    The report has a row (source, accepted, basis, reason) for each.
+    """
+    told = []
+    for name, df in sources.items():
+        try:
+            if all(c in df.columns and c in master.columns for c in key):
+                n, d = key_facts(df, key)
+                basis = "key" if n == d else "collapsed"
+                if n > d and (order is None or order not in df.columns):
+                    raise Blocked("the key repeats and nothing orders its rows")
+                master, _ = guarded_join(master, df if n == d else collapse(df, key, order), key, name)
+            else:
+                found = identity_key(master, df, list(identity))
+                basis = "identity:" + ",".join(found)
+                master, _ = guarded_join(master, df, found, name)
+            told.append((name, True, basis, None))
+        except Blocked as why:
+            told.append((name, False, None, str(why)))
+    return master, master.sparkSession.createDataFrame(told, "source string, accepted boolean, basis string, reason string")
+
+
+def union_quality(parts: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """One row on the union of a roster's parts (``union_partitions``): rows read, kept, dropped as less advanced than another status
+    of their key, keys that contradict, and rows without a key.
+    """
+    stacked = union_partitions(parts, key)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    read = reduce(lambda a, b: a.unionByName(b), [df.agg(F.count(F.lit(1)).alias("n")) for df in parts.values()]).agg(F.sum("n").alias("rows_read"))
+    kept = stacked.agg(F.count(F.lit(1)).alias("rows_kept"), F.count_distinct(F.when(F.col("lifecycle_conflict"), F.struct(*key))).alias("contradicting_keys"), F.count_if(~known).alias("rows_without_key"))
+    return read.join(kept).withColumn("rows_dropped", F.col("rows_read") - F.col("rows_kept"))
+
+
+def master(sources: dict[str, tuple[DataFrame, str]], attributes: list[str], status: str = "completion_status") -> DataFrame:
+    """One row per id over several sources (name -> (table, id column)), in their order: found_in, each attribute from the first source
+    that has it, and the most advanced status ('Unknown' where no source has one). Sources lack columns freely; one shuffle.
+    """
+    frames = []
+    for rank, (name, (df, id_col)) in enumerate(sources.items()):
+        cols = [(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in [*attributes, status]]
+        frames.append(df.select(F.col(id_col).alias("id"), F.lit(name).alias("src"), F.lit(rank).alias("__k"), *cols))
+    rows = reduce(lambda a, b: a.unionByName(b), frames).where("id is not null")
+    first = [F.min(F.when(F.col(c).isNotNull(), F.struct("__k", F.col(c).alias("v")))).alias(c) for c in attributes]
+    best = F.min(F.when(F.col(status).isNotNull(), F.struct(precedence(F.col(status)).alias("__k"), F.col(status).alias("v")))).alias(status)
+    g = rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("found_in"), *first, best)
+    return g.select("id", "found_in", *[F.col(f"{c}.v").alias(c) for c in attributes], F.coalesce(F.col(f"{status}.v"), F.lit("Unknown")).alias(status))
+
+
+def repair_enquiries(enquiries: DataFrame, followups: DataFrame, converted: DataFrame, students: DataFrame, enquiry_id: str, mobile: str, student_id: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """``(enquiries, followups)``: follow-ups get the id of the enquiry with their mobile (the least id of a mobile), enquiries the id of the
+    student with theirs; converted rows are appended as enquiries, flagged, not merged, where an enquiry has their name.
+    """
+    one = lambda df, c: df.where(F.col(mobile).isNotNull()).groupBy(mobile).agg(F.min(c).alias(c))
+    calls = followups.drop(enquiry_id).join(one(enquiries, enquiry_id), mobile, "left")
+    both = enquiries.withColumn("source_sheet", F.lit("enquiries")).unionByName(converted.withColumn("source_sheet", F.lit("converted")), allowMissingColumns=True)
+    plain = F.trim(F.lower(F.col(name)))
+    seen = enquiries.select(plain.alias("__name")).where("__name <> ''").distinct().withColumn("__seen", F.lit(True))
+    out = both.drop(student_id).join(one(students, student_id), mobile, "left").join(seen, plain == F.col("__name"), "left")
+    flag = (F.col("source_sheet") == "converted") & F.coalesce("__seen", F.lit(False))
+    return out.withColumn("possible_duplicate", flag).drop("__name", "__seen"), calls

@@ -158,3 +158,17 @@ def drivers(df: DataFrame, m: Metric, dims: list[str], top: int = 5) -> DataFram
 def domain_metrics(df: DataFrame, domain: str, amount: str, pending: str) -> DataFrame:
     """Totals of each source domain in one pass."""
     return df.groupBy(domain).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("total_fees"), F.coalesce(F.sum(pending), F.lit(0.0)).alias("total_pending"), F.count_if(F.col(pending) <= 0).alias("fully_paid"))
+
+
+def resolve_dimensions(asked: list[str], aliases: dict[str, str], columns: list[str], most: int = 6) -> list[str]:
+    """Columns of the asked dimensions, each column once, at most ``most``."""
+    found = [aliases.get(a, a) for a in asked]
+    return list(dict.fromkeys(c for c in found if c in columns))[:most]
+
+
+def caveats(head: DataFrame, segments: DataFrame, comparison: DataFrame, thin: int = THIN) -> DataFrame:
+    """Rows (topic, n) that a reader of a metric should know: few rows, thin segments, an insignificant change, a thin prior period."""
+    few = head.where(F.col("n") < thin).select(F.lit("few_rows").alias("topic"), "n")
+    low = segments.agg(F.count_if("low_confidence").alias("n")).where("n > 0").select(F.lit("thin_segments").alias("topic"), "n")
+    c = comparison.select(F.explode(F.filter(F.array(F.when(~F.col("significant"), F.struct(F.lit("change_not_significant").alias("topic"), F.col("current_n").alias("n"))), F.when(F.col("prior_n") < thin, F.struct(F.lit("thin_prior_period").alias("topic"), F.col("prior_n").alias("n")))), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    return few.unionByName(low).unionByName(c)

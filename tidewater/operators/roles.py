@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import tables as T
 from tidewater.functions.canon import squeezed
-from tidewater.operators.metrics import CATALOGUE
+from tidewater.operators.metrics import CATALOGUE, Blocked
 
 
 def detect(columns: list[str]) -> dict[str, str]:
@@ -93,3 +93,123 @@ def repeated_keys(df: DataFrame, key: list[str]) -> bool:
     """Whether some key occurs twice: an existence query."""
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
     return df.where(known).groupBy(*key).count().where("count > 1").limit(1).count() > 0
+
+
+def specialise(df: DataFrame, roles: dict[str, str]) -> dict[str, str]:
+    """Bare roles renamed by what stands beside them: a mode whose values are all ways of attending is the class mode, else the enquiry's or
+    admission's; a status beside a certificate is the certificate's; a timestamp beside an admission date is not an enquiry.
+    """
+    out = dict(roles)
+    if "mode" in out:
+        kinds = df.select(F.collect_set(squeezed(F.col(out["mode"]))).alias("s")).select(F.size(F.array_except("s", F.array(*map(F.lit, ["online", "offline", "hybrid", "both"])))).alias("others"), F.size("s").alias("n")).first()
+        name = "class_mode" if kinds["n"] and not kinds["others"] else "enquiry_mode" if "enquiry_date" in out else "admission_mode" if "admission_date" in out else "mode"
+        out[name] = out.pop("mode")
+    if "status" in out and "certificate_number" in out:
+        out["certificate_status"] = out.pop("status")
+    if "admission_date" in out and "timestamp" in out.get("enquiry_date", "").lower():
+        out["recorded_at"] = out.pop("enquiry_date")
+    return out
+
+
+def infer_schema(df: DataFrame) -> DataFrame:
+    """Rows (column, kind, n_distinct) by type and cardinality: date, id (whole numbers, nearly all distinct), amount, categorical, text; one pass."""
+    n, *d = df.agg(F.count(F.lit(1)), *[F.count_distinct(F.col(f"`{c}`")) for c in df.columns]).first()
+    rows = []
+    for (name, kind), k in zip(df.dtypes, d, strict=True):
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        if kind.startswith(("date", "timestamp")) or (kind == "string" and "date" in name.lower()):
+            is_ = "date"
+        elif whole and k >= max(20, 0.95 * n):
+            is_ = "id"
+        elif whole or kind in ("float", "double") or kind.startswith("decimal"):
+            is_ = "amount"
+        else:
+            is_ = "categorical" if k <= 50 and n and k / n < 0.5 else "text"
+        rows.append((name, is_, k))
+    return df.sparkSession.createDataFrame(rows, "column string, kind string, n_distinct long")
+
+
+def validate(sources: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Rows (source, item, kind, value): the rows, the null rate of each column and the repeats of each key column of each source; an aggregation each."""
+    out = None
+    for name, df in sources.items():
+        have = [k for k in keys if k in df.columns]
+        agg = df.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"c{k}") for k, c in enumerate(df.columns)], *[(F.count(k) - F.count_distinct(k)).cast("double").alias(f"k{i}") for i, k in enumerate(have)])
+        cells = [("rows", "rows", "n"), *[(c, "null_rate", f"c{k}") for k, c in enumerate(df.columns)], *[(k, "repeated_keys", f"k{i}") for i, k in enumerate(have)]]
+        rows = agg.select(F.explode(F.array(*[F.struct(F.lit(a).alias("item"), F.lit(b).alias("kind"), F.col(c).alias("value")) for a, b, c in cells])).alias("x")).select(F.lit(name).alias("source"), "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def join_plan(spark: SparkSession, columns: dict[str, list[str]], key: str = "student_id", identity: list[str] = ("name", "student_mobile", "email")) -> DataFrame:
+    """Rows (source, role, on, confidence): the master by what its name and columns say, and how each other source would join it."""
+    def points(name: str) -> int:
+        d = domain(name, columns[name])
+        return 100 * (key in columns[name]) + {"student": 50, "finance": -20, "certificate": -20, "admission": -10}.get(d, 0)
+
+    lead = max(columns, key=lambda n: (points(n), -list(columns).index(n)))
+    rows = [(lead, "master", None, None)]
+    for name, cols in columns.items():
+        if name == lead:
+            continue
+        shared = [c for c in identity if c in cols and c in columns[lead]]
+        on, how = (key, "high") if key in cols and key in columns[lead] else (",".join(shared), "medium") if shared else (None, "low")
+        rows.append((name, "left join" if on else "none", on, how))
+    return spark.createDataFrame(rows, "source string, role string, on string, confidence string")
+
+
+def role_sources(sources: dict[str, dict[str, str]]) -> dict[str, list[str]]:
+    """Role -> sources that have it; date_any where a source has any date, completion_source where it has a status or is named as a roster's part."""
+    out: dict[str, list[str]] = {}
+    for name, roles in sources.items():
+        have = list(roles)
+        if any(r.endswith("_date") for r in roles):
+            have.append("date_any")
+        if "status" in roles or any(needle in name.lower() for needle, _ in T.LIFECYCLE_BY_SOURCE):
+            have.append("completion_source")
+        for r in have:
+            out.setdefault(r, []).append(name)
+    return out
+
+
+def adapt(questions: list[tuple[str, list[str]]], columns: list[str]) -> list[tuple[str, list[str], str]]:
+    """Questions (metric, dimensions) with the dimensions that are there, and full, partial or no; metrics without their columns are left out."""
+    out = []
+    for metric, dims in questions:
+        m = CATALOGUE.get(metric)
+        if m and any(c and c not in columns for c in (m.num, m.den)):
+            continue
+        kept = [d for d in dims if d in columns]
+        out.append((metric, kept, "full" if len(kept) == len(dims) else "partial" if kept else "no"))
+    return out
+
+
+def prune_questions(questions: list[tuple[str, str, list[str]]], columns: list[str]) -> list[tuple[str, str, list[str]]]:
+    """Questions (id, metric, dimensions) that can be computed come first; of equal (metric, first dimension) the first stays. The first question always stays."""
+    ready = lambda q: not (m := CATALOGUE.get(q[1])) or all(not c or c in columns for c in (m.num, m.den))
+    out, seen = [], set()
+    for q in sorted(questions, key=lambda q: not ready(q)):
+        mark = (q[1], q[2][0] if q[2] else None)
+        if mark not in seen or q[0] == questions[0][0]:
+            out.append(q)
+        seen.add(mark)
+    return out
+
+
+def generic_question(df: DataFrame, most: int = 6, low: int = 2, high: int = 50) -> tuple[str, list[str]]:
+    """``(measure, dimensions)`` for a table of unknown meaning: its first amount, and the dimensions of 2 to 50 values. Blocked without either."""
+    kinds = {r["column"]: (r["kind"], r["n_distinct"]) for r in infer_schema(df).collect()}  # a row per column
+    measure = next((c for c in df.columns if kinds[c][0] == "amount"), None)
+    dims = [c for c in df.columns if kinds[c][0] == "categorical" and low <= kinds[c][1] <= high][:most]
+    if measure is None or not dims:
+        raise Blocked("no amount to add up, or no dimension to add it up by")
+    return measure, dims
+
+
+def reporting_column(role: str, roles: dict[str, str], columns: list[str]) -> str | None:
+    """The column that a role is reported by: for courses the derived category, where there is one and the role is not a header itself."""
+    if role in columns:
+        return role
+    if role == "course" and "course_category_derived" in columns:
+        return "course_category_derived"
+    return roles[role] if roles.get(role) in columns else None

@@ -28,8 +28,7 @@ def segments_vs_rest(df: DataFrame, dim: str, flag: str, alpha: float = 0.05, mi
     """Each segment's rate with its interval, and a test against all other rows where both sides have ``min_side`` rows."""
     y = F.coalesce(F.col(flag).cast("long"), F.lit(0))
     g = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).cast("string").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("x"))
-    everyone = Window.partitionBy()
-    g = g.withColumn("all_n", F.sum("n").over(everyone)).withColumn("all_x", F.sum("x").over(everyone))
+    g = g.join(F.broadcast(g.agg(F.sum("n").alias("all_n"), F.sum("x").alias("all_x"))))  # one row
     low, high = wilson(F.col("x"), F.col("n"))
     t = two_proportions(F.col("x"), F.col("n"), F.col("all_x") - F.col("x"), F.col("all_n") - F.col("n"))
     tested = (F.col("n") >= min_side) & (F.col("all_n") - F.col("n") >= min_side)
@@ -121,3 +120,19 @@ def monthly_series(df: DataFrame, date: str, value: str | None = None) -> DataFr
     """Rows (month, value): row counts, or the mean of a column. Months without rows are absent."""
     g = df.where(F.col(date).isNotNull()).groupBy(F.date_format(date, "yyyy-MM").alias("month"))
     return g.agg((F.avg(value) if value else F.count(F.lit(1)).cast("double")).alias("value"))
+
+
+def survival_input(df: DataFrame, duration: str, event: str | None = None, status: str = "completion_status") -> DataFrame:
+    """Adds event: the given flag (null: no), else whether the status is not_coming or churned. Blocked without either, or where durations are no numbers."""
+    if dict(df.dtypes).get(duration) in (None, "string", "boolean", "date", "timestamp"):
+        raise Blocked(f"{duration} is not a number of days")
+    if event and event in df.columns:
+        return df.withColumn("event", F.coalesce(F.col(event).cast("boolean"), F.lit(False)))
+    if status not in df.columns:
+        raise Blocked(f"neither an event flag nor {status}")
+    return df.withColumn("event", F.coalesce(F.col(status).isin("not_coming", "churned"), F.lit(False)))
+
+
+def cohort_trend(df: DataFrame, cohort: str, flag: str) -> DataFrame:
+    """Mann-Kendall over the cohorts' rates, cohorts in the order of their names."""
+    return mann_kendall(cohort_rates(df, cohort, flag), "cohort", "rate")

@@ -183,11 +183,6 @@ def k1_cross(spark, d):
     return _rounded(out.select("row", "col", "n", "value", "expected", "residual", "suppressed"))
 
 
-@query()
-def k4_interactions(spark, d):
-    return _rounded(cross.crosstab(_orders_customers(spark, d), Metric("rate", "done"), "c_mktsegment", "o_orderpriority"))
-
-
 @query("""WITH f AS (SELECT *, o_orderpriority = '1-URGENT' AS a, o_totalprice > 100000 AS b, o_orderstatus NOT IN ('P') AS c FROM orders)
 SELECT 'o_orderpriority = 1-urgent' AS filter, true AS known, count(*) AS rows_before, count(*) FILTER (a) AS rows_after FROM f UNION ALL
 SELECT 'o_totalprice > 100000', true, count(*) FILTER (a), count(*) FILTER (a AND b) FROM f UNION ALL
@@ -295,12 +290,6 @@ def t13_keys(spark, d):
     return _t(spark, d, "part").select("p_partkey", canon.categorical(F.col("p_type")).alias("kind"), canon.composite_key(F.col("p_type"), F.col("p_brand")).alias("key"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'Other' WHEN 'click' THEN 'Other' ELSE 'Other' END AS occupation, CASE WHEN event_type IN ('') THEN 'Walk-in' ELSE 'Referral' END AS bucket, 'named-referrer' AS basis FROM events""")
-def t7_sources(spark, d):
-    s = canon.lead_source(F.col("event_type"))
-    return _t(spark, d, "events").select("event_id", canon.occupation(F.col("event_type")).alias("occupation"), s["bucket"].alias("bucket"), s["basis"].alias("basis"))
-
-
 @query("SELECT conv_id, turn, regexp_matches(lower(text), 'refund') AS refund, CASE WHEN regexp_matches(lower(text), 'razorpay|\\bemi\\b|bajaj') THEN 'emi' WHEN regexp_matches(lower(text), 'cheque|\\bchq\\b|check\\s*no') THEN 'cheque' WHEN regexp_matches(lower(text), '\\bupi\\b|gpay|google\\s*pay|phonepe|paytm') THEN 'upi' WHEN regexp_matches(lower(text), 'icici|hdfc|\\bsbi\\b|axis|kotak|neft|imps|rtgs|\\bbank\\b') THEN 'bank_transfer' WHEN regexp_matches(lower(text), '\\bcash\\b') THEN 'cash' END AS channel FROM conversations".replace("\\\\", "\\"))
 def t10_channels(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", canon.is_refund(F.col("text")).alias("refund"), canon.payment_channel(F.col("text")).alias("channel"))
@@ -549,22 +538,6 @@ def o9_rules(spark, d):
     return _rounded(decide.business_rules(values, rules).select("metric", "severity", "value"), 4)
 
 
-@query("""SELECT regexp_replace(lower(trim(c_name)), '[#]', '', 'g') AS faculty, c_custkey FROM customer""")
-def t4_staff(spark, d):
-    return _t(spark, d, "customer").select(canon.faculty(F.concat(F.lit(" Madam "), F.regexp_replace("c_name", "#", ""))).alias("faculty"), "c_custkey")
-
-
-@query("""SELECT count(*) AS n_rows, count(*) - count(DISTINCT l_orderkey) AS duplicate_keys, count(DISTINCT (l_orderkey, l_linenumber)) AS wide_keys FROM lineitem""")
-def p5_validation(spark, d):
-    li = _t(spark, d, "lineitem")
-    return li.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count_distinct("l_orderkey")).alias("duplicate_keys"), F.count_distinct(F.struct("l_orderkey", "l_linenumber")).alias("wide_keys"))
-
-
-@query("""SELECT conv_id, turn, regexp_replace(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g') <> '' AS named, length(regexp_replace(text, '\\D', '', 'g')) >= 10 AS has_phone FROM conversations""")
-def t12_people(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", (F.regexp_replace(canon.squeezed(F.col("text")), "[^a-z0-9 ]+", " ") != "").alias("named"), (canon.phone(F.col("text")) != "").alias("has_phone"))
-
-
 @query("""WITH g AS (SELECT c_mktsegment AS segment, count(*) AS n, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), s AS (SELECT *, v/n AS scaled, sum(v) OVER () / sum(n) OVER () AS base FROM g),
 f AS (SELECT *, scaled - base AS gap, abs((scaled - base)/base) AS rel FROM s WHERE n >= 30 AND abs((scaled - base)/base) >= 0.0001)
 SELECT 'review pricing' AS action, 'sales' AS owner, segment, round(gap*n, 2) AS effect FROM f ORDER BY CASE WHEN rel >= 0.5 THEN 0 WHEN rel >= 0.3 THEN 1 WHEN rel >= 0.15 THEN 2 ELSE 3 END, abs(gap*n) DESC, segment LIMIT 1""")
