@@ -13,30 +13,34 @@ from tidewater.llm.common import shared_dir
 
 
 def _keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; the model learns from all labelled documents of the input."""
+    """Documents that the toxicity model rejects go; the model learns from all labelled documents of the input. Null and empty
+    texts have no hits and stay; rows that repeat an id are judged by their own texts; without labels every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
     return docs.where(toxicity.score(F.col("text"), model) < 0.3)
 
 
 def _drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, and documents of which nothing is left."""
+    """Lines that repeat an earlier line go, and documents of which nothing is left. Null, empty and wordless texts stay as they are."""
     return line_dedup.clean(docs)
 
 
 def _one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays (5-word shingles, similarity 0.8)."""
+    """Of each group of linked documents the one with the smallest id stays (5-word shingles, similarity 0.8). Texts without
+    words link with nothing and stay.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def _drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. An empty benchmark, or one of texts without words, matches nothing."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixing plan: copies of each document at the target weights."""
-    return mixing.mix(docs)
+    """The documents with their places in the mixture: copies of each at the target weights (0: left out), in the order of mix_turn."""
+    return mixing.mixture_of(docs)
 
 
 STAGES = [

@@ -41,6 +41,12 @@ def test_token_counts_equal_the_library(spark):
     assert got == want
     for i, x in rows:  # small chunks force splices and wider overlaps
         assert token_counts.count_tokens(x or "", "byte_bpe_50k.tiktoken", chunk=97, overlap=8)[0] == want[i]
+    # Texts of many chunks at the production size, with runs that no short overlap can break.
+    for seed in range(3):
+        q = random.Random(seed)
+        x = "".join(q.choice(["é", "日本", "word ", "  ", "\n\n", "12345", "it's", "." * 40, " " * 3000, "x" * 2500, "\U0001f600"]) for _ in range(12_000))
+        n, chunks = token_counts.count_tokens(x, "byte_bpe_50k.tiktoken")
+        assert chunks > 5 and n == len(t.encode(x, add_special_tokens=False))
 
 
 # Quality rules

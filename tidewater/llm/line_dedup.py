@@ -35,7 +35,7 @@ LEADERS = 2
 #: Lines of a word's group, and near pairs for each of them, beyond which the group is held against leaders first.
 LARGE, DENSE = 1024, 16
 #: Pairs that a task looks at together.
-PAIRS = 2_000_000
+PAIRS = 500_000
 #: One entry of a line under one word of its prefix: the word, the line's size and the word's place (both to MOST), the line's
 #: set, 128 bits that its words set. Lines of MOST words and more pass the filters that need the size.
 POST = np.dtype([("t", "<u4"), ("n", "<u2"), ("p", "<u2"), ("cls", "<i8"), ("s0", "<u8"), ("s1", "<u8")])

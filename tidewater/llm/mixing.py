@@ -6,8 +6,11 @@ often than the limit. Each source then gets budget x weight tokens: whole epochs
 the first blocks of a seeded permutation of its blocks, up to the budget.
 
 Prefix sums run over 4096 slices of each source's permutation, and over documents only within the one slice where the
-budget ends, so no task sees a whole source. Null sources form the source ''; documents without words count
-one token; an empty table gives an empty result.
+budget ends, so no task sees a whole source. The mixture's order is that of ``turn``, a seeded hash by block: blocks of all sources come
+interleaved, and a block's documents stand together. Null sources form the source ''; tokens are words, and documents
+without words count one token; rows that repeat an id and a text are placed together and each is counted; an empty table gives an empty result.
+Where no exponent meets both targets, the repetition limit goes before the entropy, and at the natural shares (exponent 1) no source
+repeats more than another: ``met`` tells which targets hold.
 """
 
 from __future__ import annotations
@@ -55,8 +58,15 @@ def solve(tokens: dict[str, int], budget: int, entropy: float, max_repeats: floa
     return a
 
 
+def met(tokens: dict[str, int], budget: int, entropy: float, max_repeats: float) -> dict[str, bool]:
+    """Whether the mixture reaches the target entropy, and whether it keeps the repetition limit."""
+    w = mixture(tokens, solve(tokens, budget, entropy, max_repeats))
+    reached = -math.fsum(x * math.log(x) for x in w.values() if x > 0) >= entropy * math.log(max(len(w), 1)) - 1e-9
+    return {"entropy": reached, "repeats": all(w[s] * budget / t <= max_repeats + 1e-9 for s, t in tokens.items())}
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, entropy: float = 0.98, max_repeats: float = 4.0, block_tokens: int = 50_000, seed: int = 20) -> DataFrame:
-    """One row per document: id, source, n_tokens, block, weight (of its source), copies (0: left out).
+    """One row per document: id, source, n_tokens, block, turn (the mixture's order), weight (of its source), copies (0: left out).
 
     ``budget`` is in tokens; without it the corpus keeps its size.
     """
@@ -84,4 +94,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inner = state.where(at_end).withColumn("extra", (F.col("before") + run <= F.col("rest")).cast("long"))
     outer = state.where(~at_end).withColumn("extra", (F.col("after") <= F.col("rest")).cast("long"))
     out = inner.unionByName(outer)
-    return out.select(F.col("id").alias(id_col), F.col("src").alias("source"), F.col("tok").alias("n_tokens"), "block", "weight", (F.col("epochs") + F.col("extra")).alias("copies"))
+    return out.select(F.col("id").alias(id_col), F.col("src").alias("source"), F.col("tok").alias("n_tokens"), "block", "turn", "weight", (F.col("epochs") + F.col("extra")).alias("copies"))
+
+
+def mixture_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The documents with all their columns and their places in the mixture: n_tokens, block, turn, weight, copies. Rows of a repeated
+    id get the places of one of them.
+    """
+    plan = mix(docs, id_col=id_col, source_col=source_col, **options).drop("source")
+    one = plan.groupBy(F.col(id_col).alias("__id")).agg(*[F.min_by(c, F.struct("turn", "n_tokens", "copies")).alias(f"__{c}") for c in plan.columns if c != id_col])
+    out = docs.join(one, docs[id_col] == one["__id"], "left").drop("__id")
+    return out.withColumnsRenamed({f"__{c}": f"mix_{c}" for c in plan.columns if c != id_col})

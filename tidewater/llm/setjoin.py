@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import drop_saved, saved
 
 #: Tokens that a task sorts at once, and tokens a bucket is meant to hold.
-FLUSH, BUCKET = 1_000_000, 1_500_000
+FLUSH, BUCKET = 500_000, 1_500_000
 #: Stands for any class where a token is known to be shared.
 SETTLED = -(1 << 63)
 #: Ids that are broadcast at most; more are joined by shuffling.
