@@ -207,10 +207,17 @@ def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
     return pairs, t[large[group]].astype(np.int64), c[large[group]]
 
 
+def _maps(w: np.ndarray) -> dict[str, int]:
+    """64-bit maps of a line's words: the bits of two lines that differ are at most as many as the words in which they do."""
+    out = np.zeros(len(MAPS), np.uint64)
+    np.bitwise_or.at(out, ((w >> np.uint64(26)) % np.uint64(len(MAPS))).astype(np.int64), np.uint64(1) << ((w >> np.uint64(20)) & np.uint64(63)))
+    return dict(zip(MAPS, out.view(np.int64).tolist(), strict=True))
+
+
 def _words_of(text: Column, lines: Column, classes: Column) -> Column:
-    """Class and distinct words of the wanted lines of a text, where the text has such a line of that class."""
+    """Class, distinct words and their maps of the wanted lines of a text, where the text has such a line of that class."""
 
-    @F.arrow_udf("array<struct<cls:bigint,tok:array<bigint>>>")
+    @F.arrow_udf(f"array<struct<cls:bigint,tok:array<bigint>,{','.join(f'{m}:bigint' for m in MAPS)}>>")
     def run(texts: pa.Array, wanted: pa.Array, want: pa.Array) -> pa.Array:
         out = []
         wanted, want = wanted.to_pylist(), want.to_pylist()
@@ -225,9 +232,9 @@ def _words_of(text: Column, lines: Column, classes: Column) -> Column:
                     if border[d] + k < border[d + 1]:
                         w = h[start[border[d] + k] : start[border[d] + k + 1]]
                         if len(w) and _class(w, np.array([0]), np.array([len(w)]))[0] == c:
-                            got.append({"cls": c, "tok": w.view(np.int64)})
+                            got.append({"cls": c, "tok": w.view(np.int64), **_maps(w)})
                 out.append(got)
-        return pa.array(out, pa.list_(pa.struct([("cls", pa.int64()), ("tok", pa.list_(pa.int64()))])))
+        return pa.array(out, pa.list_(pa.struct([("cls", pa.int64()), ("tok", pa.list_(pa.int64())), *[(m, pa.int64()) for m in MAPS]])))
 
     return run(text, lines, classes)
 
@@ -241,15 +248,23 @@ def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``_later`` of many pairs (a, b): each class meets its earliest candidate first, and the others only if that one is not similar."""
-    places = sets.select("id", "at")
-    placed = pairs.join(places.select(F.col("id").alias("a"), F.col("at").alias("a_at")), "a").join(places.select(F.col("id").alias("b"), F.col("at").alias("b_at")), "b").where("a_at <> b_at")
+    """``_later`` of many pairs (a, b). Pairs whose sizes or word maps are too far apart go before any words are read; then each class
+    meets its earliest candidate first, and the others only if that one is not similar.
+    """
+    keep = ["at", "n", *MAPS]
+    placed = pairs
+    for k in "ab":
+        placed = placed.join(sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in keep]), k)
+    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MAPS[1:]), F.bit_count(F.col(f"a_{MAPS[0]}").bitwiseXOR(F.col(f"b_{MAPS[0]}"))))
+    near = (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
     turn = F.col("a_at") < F.col("b_at")
+    placed = placed.where(near & (F.col("a_at") != F.col("b_at")))
     placed = saved(placed.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.least("a_at", "b_at").alias("b_at")))
+    release(pairs.sparkSession)
     first = placed.groupBy("a").agg(F.min(F.struct("b_at", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     gone = saved(_later(first, sets, percent))
     release(pairs.sparkSession)
-    rest = placed.select("a", "b").join(gone.withColumnRenamed("id", "a"), "a", "left_anti")
+    rest = placed.select("a", "b").join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(first, ["a", "b"], "left_anti")
     gone = gone.unionByName(saved(_later(rest, sets, percent)))
     drop_saved(placed)
     release(pairs.sparkSession)
@@ -294,6 +309,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """Rows (id, rh, line) of the lines that go; ``rh`` is the hash of the whole text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rh", F.xxhash64("text"))
     parsed = saved(parse(rows))
+    release(docs.sparkSession)
     lines = parsed.where("buckets is null").select("id", "rh", F.explode(F.arrays_zip("lines", "classes")).alias("z")).select("id", "rh", F.col("z.lines").alias("line"), F.col("z.classes").alias("cls"))
 
     def meet(table: pa.Table) -> pa.Table:
@@ -313,7 +329,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     wanted = heads.groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "cls")).alias("l"))
     few = F.broadcast if wanted.count() <= BROADCAST_IDS // 4 else (lambda d: d)
     words = rows.select("id", "text").join(few(wanted), "id").select(F.explode(_words_of(F.col("text"), F.col("l.line"), F.col("l.cls"))).alias("w")).select("w.*")
-    sets = saved(words.dropDuplicates(["cls"]).join(heads, "cls").select(F.col("cls").alias("id"), "at", "tok", F.size("tok").alias("n")))
+    sets = saved(words.dropDuplicates(["cls"]).join(heads, "cls").select(F.col("cls").alias("id"), "at", "tok", F.size("tok").alias("n"), *MAPS))
     release(docs.sparkSession)
     gone = saved(_settled(pairs, sets, percent).unionByName(_large_groups(groups, sets, percent)).distinct())
     # A line goes with its class's first place, or because it is a later one of its class.
