@@ -65,3 +65,15 @@ def test_hot_anchors_match_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert repeats.remove(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = text(90)
+    rows = [(1, text(50) + shared), (1, shared + text(70)), (1, text(200)), (2, "q" + text(120)), (3, None)]
+    rows += [rows[3]]
+    df = spark.createDataFrame([(a, b, "x", "y", "z") for a, b in rows], SCHEMA)
+    want = sorted((k[0], *v) for k, v in zip(rows, brute(list(enumerate(t for _, t in rows)), 40).values(), strict=True))
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in repeats.remove(df, width=40, gram=20).collect())
+    assert got == want

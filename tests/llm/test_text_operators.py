@@ -111,6 +111,28 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_license_templates_match_brute_force(spark):
+    """Each template is found whole, with words around it and every ninth word lost; without its key phrase it is not. Repeated ids stand apart."""
+    rows, want = [], {}
+    for k, (label, text, key) in enumerate(licenses.TEMPLATES):
+        w = text.split()
+        rows.append((k, "Foo bar. " + text.upper() + " qux"))
+        want[k] = label
+        at = next(i for i in range(len(w)) if w[i : i + len(key.split())] == key.split())
+        lost = ["zz" if i % 9 == 8 and not at <= i < at + len(key.split()) else x for i, x in enumerate(w)]
+        rows.append((100 + k, " ".join(lost)))
+        want[100 + k] = label
+        rows.append((200 + k, " ".join(x for i, x in enumerate(w) if not at <= i < at + len(key.split()))))
+    rows += [(300, "all rights reserved"), (300, "nothing here"), (300, "all rights reserved")]
+    got = licenses.scan(frame(spark, rows)).select("doc_id", "labels", "score").collect()
+    for x in got:
+        if x["doc_id"] < 200:
+            assert want[x["doc_id"]] in x["labels"].split(","), x
+        elif x["doc_id"] < 300:
+            assert licenses.TEMPLATES[x["doc_id"] - 200][0] not in x["labels"].split(","), x
+    assert sorted(x["labels"] for x in got if x["doc_id"] == 300) == ["", "proprietary", "proprietary"]
+
+
 # Decontamination
 
 

@@ -8,11 +8,15 @@ pigeonhole principle each pair within 23 bits meets there.
 Candidates within the radius are verified by exact weighted Jaccard similarity of their shingles (weight: inverse of
 the number of different item texts that have the shingle). Words are lower-cased runs of non-space characters.
 
-Null and empty texts, of documents or of items, match nothing. A text shorter than a shingle is one shingle.
+Null and empty texts, of documents or of items, match nothing. A text shorter than a shingle is one shingle. Rows that repeat an
+id are judged by their own texts; every item that a document holds is named; texts of any length are read whole; empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,49 +53,59 @@ def _block(fp: Column, b: int) -> Column:
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (id, item, similarity): the best window of each document for each item it contains."""
+    """Rows (id, rh, item, similarity): the best window of each document for each item it contains; ``rh`` is the hash of its text."""
     item_sh = items.select(F.col(item_col).alias("item"), _shingles(F.col(item_text_col), size).alias("hs")).where(F.size("hs") > 0)
     spots = item_sh.select("item", F.xxhash64(F.array_sort(F.array_distinct("hs"))).alias("key"), F.size("hs").alias("len"), F.posexplode("hs").alias("o", "h"))
     rarity = spots.groupBy("h").agg((F.lit(UNIT) / F.count_distinct("key")).cast("int").alias("weight"))
     spots = saved(spots.join(rarity, "h").withColumn("weight", F.greatest("weight", F.lit(1))))
     n = spots.count()
     small = F.broadcast if n <= BROADCAST_ROWS else (lambda d: d)
-    # Seeds: every place where a document has an item's shingle.
-    seen = docs.select(F.col(id_col).alias("id"), _shingles(F.col(text_col), size).alias("hs"))
+    # Seeds: every place where a document has an item's shingle. Rows are told apart by id and text.
+    row = ["id", "rh"]
+    seen = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rh"), _shingles(F.col(text_col), size).alias("hs"))
     places = spots.select("h", "o", "len").distinct()
-    seeds = seen.select("id", "hs", F.posexplode("hs").alias("p", "h")).join(small(places), "h")
     start = F.greatest(F.col("p") - F.col("o"), F.lit(0))
-    windows = saved(
-        seeds.select("id", start.alias("at"), "len", F.slice("hs", start + 1, F.col("len")).alias("win"))
-        .groupBy("id", "at", "len")
-        .agg(F.first("win").alias("win"))
-    )
+    if n <= BROADCAST_ROWS:
+        seeds = seen.select(*row, "hs", F.posexplode("hs").alias("p", "h")).join(F.broadcast(places), "h")
+        windows = seeds.select(*row, start.alias("at"), "len", F.slice("hs", start + 1, F.col("len")).alias("win")).groupBy(*row, "at", "len").agg(F.first("win").alias("win"))
+    else:  # only places are shuffled; each document's shingles come back once
+        seeds = seen.select(*row, F.posexplode("hs").alias("p", "h")).join(places, "h").select(*row, start.alias("at"), "len").distinct()
+        laid = seeds.groupBy(*row).agg(F.collect_list(F.struct("at", "len")).alias("l"))
+        windows = seen.dropDuplicates(row).join(laid, row).select(*row, F.explode(F.transform("l", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.slice("hs", x["at"] + 1, x["len"]).alias("win")))).alias("w")).select(*row, "w.*")
+    windows = saved(windows)
     weights = spots.select("h", "weight").distinct()
-    cells = windows.select("id", "at", "len", F.explode(F.array_distinct("win")).alias("h")).join(small(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(UNIT)))
+    cells = windows.select(*row, "at", "len", F.explode(F.array_distinct("win")).alias("h")).join(small(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(UNIT)))
     cells = saved(cells)
-    prints = saved(_fingerprint(cells, ["id", "at", "len"]))
+    window = [*row, "at", "len"]
+    prints = saved(_fingerprint(cells, window))
     item_cells = spots.select("item", "h", "weight").distinct()
-    item_prints = _fingerprint(item_cells, ["item"])
+    item_prints = saved(_fingerprint(item_cells, ["item"]))
     index_masks, probe_masks = (F.split(F.lit(",".join(str(m) for m in range(1 << BITS) if m.bit_count() <= f)), ",").cast("array<int>") for f in (FLIPS, PROBE_FLIPS))
     index = item_prints.select("item", F.col("fp").alias("item_fp"), F.col("mass").alias("item_mass"), F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("b", "v"))
     index = index.select("item", "item_fp", "item_mass", "b", F.explode(F.transform(index_masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
     probes = prints.select("fp").distinct().select("fp", F.posexplode(F.array(*[_block(F.col("fp"), b) for b in range(BLOCKS)])).alias("b", "v"))
     probes = probes.select("fp", "b", F.explode(F.transform(probe_masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    pairs = probes.join(index, ["b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = prints.join(pairs.select("fp", "item", "item_mass").distinct(), "fp").select("id", "at", "len", "mass", "item", "item_mass")
-    shared = near.join(cells, ["id", "at", "len"]).join(small(item_cells.select("item", "h")), ["item", "h"]).groupBy("id", "at", "len", "item", "mass", "item_mass").agg(F.sum("weight").alias("both"))
+    # Both sides are many times larger than what they are made from, so their sizes are not left to be guessed: the index is
+    # broadcast below a checked number of rows, else both are sorted and merged.
+    entries = item_prints.count() * BLOCKS * sum(math.comb(BITS, f) for f in range(FLIPS + 1))
+    index = F.broadcast(index) if entries <= BROADCAST_ROWS else index.hint("merge")
+    pairs = probes.hint("merge").join(index, ["b", "v"]) if entries > BROADCAST_ROWS else probes.join(index, ["b", "v"])
+    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = prints.join(pairs.select("fp", "item", "item_mass").distinct(), "fp").select(*window, "mass", "item", "item_mass")
+    shared = near.join(cells, window).join(small(item_cells.select("item", "h")), ["item", "h"]).groupBy(*window, "item", "mass", "item_mass").agg(F.sum("weight").alias("both"))
     sim = F.col("both") / (F.col("mass") + F.col("item_mass") - F.col("both"))
-    return shared.select("id", "item", sim.alias("similarity")).where(F.col("similarity") >= similarity).groupBy("id", "item").agg(F.max("similarity").alias("similarity"))
+    return shared.select(*row, "item", sim.alias("similarity")).where(F.col("similarity") >= similarity).groupBy(*row, "item").agg(F.max("similarity").alias("similarity"))
 
 
-def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per distinct document id: id, contaminated, item_ids (sorted), max_similarity (0 if none)."""
-    found = matches(docs, items, id_col, **options).groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
-    out = docs.select(F.col(id_col).alias("id")).join(found, "id", "left")
+def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of the documents: id, contaminated, item_ids (sorted), max_similarity (0 if none)."""
+    row = ["id", "rh"]
+    found = matches(docs, items, id_col, text_col, **options).groupBy(*row).agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("similarity").alias("max_similarity"))
+    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rh")).join(found, row, "left")
     return out.select(F.col("id").alias(id_col), F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = matches(docs, items, id_col, **options).select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    bad = matches(docs, items, id_col, text_col, **options).select(F.col("id").alias("__bad"), F.col("rh").alias("__rh")).distinct()
+    return docs.join(bad, (docs[id_col] == bad["__bad"]) & (F.xxhash64(docs[text_col]) == bad["__rh"]), "left_anti")

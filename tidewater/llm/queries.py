@@ -14,7 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = repeats.remove(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ longest match with any other suffix is computed there only, and streamed over th
 it falls by one from each position to the next. Windows whose matching statistic reaches ``width`` are marked.
 
 An anchor with very many contexts is not put in one bucket: its windows' hashes are counted instead, pre-aggregated
-before the shuffle. All marks are judged on the input; matches never cross documents. Null texts count as empty. Ids are
-unique longs.
+before the shuffle. All marks are judged on the input; matches never cross documents. Null texts count as empty; texts shorter than
+a window keep all bytes. Ids are longs; rows that repeat an id are documents of their own, told apart by their texts, and equal
+rows repeat each other. Texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -187,9 +188,9 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     met = saved(met.join(again_a, ["fa", "h"], "left").join(again_z, ["fz", "h"], "left").select("id", "h", "pos", "fa", "fz", F.coalesce("ra", F.lit(False)).alias("ra"), F.coalesce("rz", F.lit(False)).alias("rz")))
     # One context of each settled kind serves as a partner; unsettled ones are all looked at.
     unsettled = met.where(~(F.col("ra") & F.col("rz")))
-    load = unsettled.groupBy("h").agg(F.count("*").alias("load"))
     kinds = met.where("ra and rz").groupBy("h", "fa", "fz").agg(F.min(F.struct("id", "pos")).alias("m")).select("h", "m.id", "m.pos")
-    asked = saved(unsettled.select("h", "id", "pos").unionByName(kinds).join(load, "h"))
+    both = saved(unsettled.select("h", "id", "pos").unionByName(kinds.join(unsettled.select("h").distinct(), "h", "left_semi")))
+    asked = saved(both.join(both.groupBy("h").agg(F.count("*").alias("load")), "h"))
     known = met.where("ra or rz").select("id", "pos", "ra", "rz")
     per_doc = asked.groupBy("id").agg(F.collect_list(F.struct("h", "pos", "load")).alias("q"))
     total = asked.count() * (2 * width - gram)
@@ -258,9 +259,11 @@ def merge(starts: np.ndarray, ends: np.ndarray, n: int, width: int) -> list[tupl
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """One row per document: id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = saved(covered(rows, width, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    """One row per row of the documents: id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256."""
+    rows = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    repeated = rows.groupBy("own").count().where("count > 1").limit(1).count()
+    rows = rows.withColumn("id", F.xxhash64("own", "text") if repeated else F.col("own"))
+    spans = saved(covered(rows.select("id", "text"), width, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
     @F.arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
@@ -284,5 +287,5 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     touched = _only(rows, spans).join(spans, "id")
     whole = _only(rows, spans, not_wanted=True).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    done = touched.unionByName(whole).select("id", cut(F.col("text"), F.col("spans")).alias("c"))
-    return done.select(F.col("id").alias(id_col), "c.kept", "c.n_bytes", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("kept_sha256"))
+    done = touched.select("own", "text", "spans").unionByName(whole.select("own", "text", "spans")).select("own", cut(F.col("text"), F.col("spans")).alias("c"))
+    return done.select(F.col("own").alias(id_col), "c.kept", "c.n_bytes", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("kept_sha256"))
