@@ -79,6 +79,8 @@ def crosstab(df: DataFrame, m: Metric, rows: str, cols: str, min_cell: int = MIN
     known = trim_levels(trim_levels(known, rows, levels), cols, levels)
     base = known.withColumn("__r", F.col(rows).cast("string")).withColumn("__c", F.col(cols).cast("string"))
     cube = base.groupingSets([[], ["__r"], ["__c"], ["__r", "__c"]], "__r", "__c").agg(F.grouping_id().alias("g"), *sums(m))
+    # Read once: the cube has (levels + 1) squared rows at most, and is used for cells and all margins.
+    cube = df.sparkSession.createDataFrame(cube.collect(), cube.schema)
     keep = ("n", "sy", "sy2", "sx")
     low, high = wilson(F.col("sy"), F.col("n")) if m.kind == "rate" else (F.lit(None).cast("double"),) * 2
     part = lambda g, tag: cube.where(F.col("g") == g).select(*([F.col("__r").alias("row")] if g in (0, 1) else []), *([F.col("__c").alias("col")] if g in (0, 2) else []), *[F.col(c).alias(f"{tag}_{c}") for c in keep], value(m).alias(f"{tag}_v"), low.alias(f"{tag}_low"), high.alias(f"{tag}_high"))

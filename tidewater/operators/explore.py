@@ -15,10 +15,10 @@ def categorical_profile(df: DataFrame, dims: list[str], most: int = 30) -> DataF
     long = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])).alias("x")).select("x.*")
     counts = long.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
     known = F.when(F.col("value").isNotNull(), F.col("n"))
-    total = F.sum(known).over(Window.partitionBy("dimension"))
-    p = known / total
-    shares = counts.withColumn("h", -p * F.log2(p))
-    g = shares.groupBy("dimension").agg(F.count("value").alias("n_distinct"), F.min(F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), "value"))).alias("m"), F.coalesce(F.sum("h"), F.lit(0.0)).alias("entropy"), (F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_rate"))
+    # Entropy from sums alone: log N - sum(n log n) / N, so no value meets all others of its dimension.
+    total, terms = F.sum(known), F.sum(known * F.log2("n"))
+    entropy = F.when(total > 0, F.greatest(F.log2(total) - terms / total, F.lit(0.0))).otherwise(0.0)
+    g = counts.groupBy("dimension").agg(F.count("value").alias("n_distinct"), F.min(F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), "value"))).alias("m"), entropy.alias("entropy"), (F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_rate"))
     return g.where(F.col("n_distinct") <= most).select("dimension", "n_distinct", F.col("m.value").alias("mode"), "entropy", "null_rate")
 
 
@@ -30,11 +30,40 @@ def top_values(df: DataFrame, dims: list[str], top: int = 10) -> DataFrame:
     return counts.withColumn("pct", F.col("n") / F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "value"))).where(F.col("r") <= top).drop("r")
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], slack: float = 5e-4) -> DataFrame:
+    """Rows (column, n, q) of interpolated exact quantiles, q an array in the order of ``qs``; columns without values are absent.
+
+    One pass brackets each quantile by approximate ones; a second counts what lies below a bracket and the values within it, a
+    thousandth of the rows, so no task holds a column.
+    """
+    x = {c: F.col(c).cast("double") for c in columns}
+    n = df.agg(*[F.count(x[c]).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    some = [(k, c) for k, c in enumerate(columns) if n[k]]
+    out = "column string, n long, q array<double>"
+    if not some:
+        return df.sparkSession.createDataFrame([], out)
+    ends = {c: [min(max(q + side * max(slack, 2 / n[k]), 0.0), 1.0) for q in qs for side in (-1, 1)] for k, c in some}
+    got = df.agg(*[F.percentile_approx(x[c], ends[c], 10_000).alias(f"e{k}") for k, c in some]).first()  # a few numbers a column
+    spots = [(c, i, got[f"e{k}"][2 * i], got[f"e{k}"][2 * i + 1], (n[k] - 1) * q) for k, c in some for i, q in enumerate(qs)]
+    below = df.agg(*[F.count_if(x[c] < low).alias(f"b{j}") for j, (c, _, low, _, _) in enumerate(spots)]).first()
+    each = F.array(*[F.when(x[c].between(low, high), F.struct(F.lit(j).alias("j"), x[c].alias("v"))) for j, (c, _, low, high, _) in enumerate(spots)])
+    near = df.select(F.explode(F.filter(each, lambda s: s.isNotNull())).alias("s")).groupBy("s.j", "s.v").agg(F.count(F.lit(1)).alias("c"))
+    where = df.sparkSession.createDataFrame([(j, c, i, n[columns.index(c)], below[j], r) for j, (c, i, _, _, r) in enumerate(spots)], "j int, column string, i int, n long, below long, rank double")
+    ranked = near.join(F.broadcast(where), "j").withColumn("last", F.col("below") + F.sum("c").over(Window.partitionBy("j").orderBy("v")) - 1)
+    value = lambda r: F.min(F.when(F.col("last") >= r, F.col("v")))
+    low, high = value(F.floor("rank")), value(F.ceil("rank"))
+    q = ranked.groupBy("column", "n", "i", "rank").agg(low.alias("a"), high.alias("z")).withColumn("v", F.col("a") + (F.col("z") - F.col("a")) * (F.col("rank") - F.floor("rank")))
+    return q.groupBy("column", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (column, n, mean, median, sd, min, max, iqr, skew, kurtosis); exact quantiles, corrected moments."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*").where("x is not null")
-    q = lambda p: F.percentile("x", p)
-    return long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), q(0.5).alias("median"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"), (q(0.75) - q(0.25)).alias("iqr"), corrected_skew(F.col("x")).alias("skew"), corrected_kurtosis(F.col("x")).alias("kurtosis"))
+    parts = ("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max), ("skew", corrected_skew), ("kurtosis", corrected_kurtosis)
+    agg = df.agg(*[f(F.col(c).cast("double")).alias(f"{name}{k}") for k, c in enumerate(columns) for name, f in parts])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{name}{k}").alias(name) for name, _ in parts]) for k, c in enumerate(columns)])
+    rest = agg.select(F.explode(cells).alias("x")).select("x.*")
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    return q.join(F.broadcast(rest), "column").select("column", "n", "mean", F.col("q")[1].alias("median"), "sd", "min", "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "skew", "kurtosis")
 
 
 def time_profile(df: DataFrame, date: str) -> DataFrame:
@@ -64,7 +93,7 @@ def spikes(series: DataFrame, order: str, value: str, trailing: int = 3, least:
 def iqr_outliers(df: DataFrame, column: str, least: int = 8) -> DataFrame:
     """One row (n, low, high, outliers, pct); no row where there are under ``least`` values or no spread."""
     x = F.col(column).cast("double")
-    b = df.agg(F.count(x).alias("n"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3")).where((F.col("n") >= least) & (F.col("q3") > F.col("q1")))
+    b = exact_quantiles(df, [column], [0.25, 0.75]).select("n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).where((F.col("n") >= least) & (F.col("q3") > F.col("q1")))
     b = b.select("n", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high"))
     return df.select(x.alias("x")).join(F.broadcast(b)).groupBy("n", "low", "high").agg(F.count_if(~F.col("x").between(F.col("low"), F.col("high"))).alias("outliers")).withColumn("pct", F.col("outliers") / F.col("n"))
 

@@ -116,7 +116,8 @@ def breakdown(df: DataFrame, m: Metric, dims: list[str], top: int = 25) -> DataF
     of each dimension. All dimensions are aggregated in one pass.
     """
     low, high = interval(m)
-    long = df.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment")) for d in dims])).alias("__d"))
+    used = dict.fromkeys(c for c in (m.num, m.den) if c)
+    long = df.select(*used, F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment")) for d in dims])).alias("__d"))
     groups = long.where(F.col("__d.segment").isNotNull()).groupBy("__d.dimension", "__d.segment").agg(*sums(m), F.count(F.lit(1)).alias("rows"))
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("rows"), "segment"))
     base = df.agg(*sums(m)).select(value(m).alias("baseline"))

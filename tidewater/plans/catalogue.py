@@ -240,11 +240,11 @@ def e7_outliers(spark, d):
 @query("""WITH l AS (SELECT 'o_orderstatus' AS dim_a, 'o_orderpriority' AS dim_b, o_orderstatus AS a, o_orderpriority AS b FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'o_orderstatus', 'c_mktsegment', o_orderstatus, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey
 UNION ALL SELECT 'o_orderpriority', 'c_mktsegment', o_orderpriority, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey), c AS (SELECT dim_a, dim_b, a, b, count(*) AS o FROM l GROUP BY ALL),
 m AS (SELECT *, sum(o) OVER (PARTITION BY dim_a, dim_b, a) * sum(o) OVER (PARTITION BY dim_a, dim_b, b) / sum(o) OVER (PARTITION BY dim_a, dim_b) AS e, sum(o) OVER (PARTITION BY dim_a, dim_b) AS n FROM c),
-g AS (SELECT dim_a, dim_b, max(n)::BIGINT AS n, sum(o*o/e) - max(n) AS chi2, count(DISTINCT a) AS nr, count(DISTINCT b) AS nc FROM m GROUP BY ALL)
-SELECT dim_a, dim_b, n, round(chi2, 4) AS chi2, ((nr-1)*(nc-1))::BIGINT AS dof, round(sqrt(chi2/(n*least(nr-1, nc-1))), 4) AS cramers_v FROM g""")
+g AS (SELECT dim_a, dim_b, max(n)::BIGINT AS n, sum(o*o/e) - max(n) AS chi2, count(DISTINCT a) AS nr, count(DISTINCT b) AS nc, arg_min({'a': a, 'b': b, 'r': (o-e)/sqrt(e)}, (-abs((o-e)/sqrt(e)), a, b)) AS t FROM m GROUP BY ALL)
+SELECT dim_a, dim_b, n, round(chi2, 4) AS chi2, ((nr-1)*(nc-1))::BIGINT AS dof, round(sqrt(chi2/(n*least(nr-1, nc-1))), 4) AS cramers_v, CASE WHEN sqrt(chi2/(n*least(nr-1, nc-1))) < 0.1 THEN 'weak' WHEN sqrt(chi2/(n*least(nr-1, nc-1))) < 0.3 THEN 'moderate' ELSE 'strong' END AS strength, t.a AS cell_a, t.b AS cell_b, round(t.r, 4) AS residual FROM g""")
 def e5_associations(spark, d):
     out = explore.associations(_orders_customers(spark, d), ["o_orderstatus", "o_orderpriority", "c_mktsegment"])
-    return _rounded(out.select("dim_a", "dim_b", "n", "chi2", "dof", "cramers_v"), 4)
+    return _rounded(out.select("dim_a", "dim_b", "n", "chi2", "dof", "cramers_v", "strength", "cell_a", "cell_b", "residual"), 4)
 
 
 # Cleaning and canonical values -----------------------------------------------------------------------------------
@@ -274,10 +274,10 @@ def c13_time(spark, d):
     return clean.time_dimensions(_t(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").drop("o_orderdate")
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_extendedprice) AS k FROM lineitem) WHERE k = 1 GROUP BY 1")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL")
 def c16_dedupe(spark, d):
     out = clean.dedupe(_t(spark, d, "lineitem"), [["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]], "l_extendedprice")
-    return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 @query("SELECT p_brand, count(*) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 12) GROUP BY 1")
@@ -295,12 +295,6 @@ def t10_channels(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", canon.is_refund(F.col("text")).alias("refund"), canon.payment_channel(F.col("text")).alias("channel"))
 
 
-@query()
-def t5_courses(spark, d):
-    p = _t(spark, d, "part")
-    return p.select("p_partkey", canon.course_family(F.col("p_name")).alias("family"), canon.course_module(F.col("p_name")).alias("module"), canon.course_category(F.col("p_name"), canon.course_family(F.col("p_name"))).alias("category"))
-
-
 # Flags, privacy, lifecycle ---------------------------------------------------------------------------------------
 
 
@@ -468,10 +462,10 @@ def n6_scores(spark, d):
 
 
 @query(f"""WITH oc AS {_OC}, g AS (SELECT c_mktsegment AS segment, count(*) AS n, sum(o_totalprice) AS v FROM oc GROUP BY 1), s AS (SELECT *, v/n AS scaled, sum(v) OVER () / sum(n) OVER () AS base FROM g)
-SELECT 'c_mktsegment' AS dimension, segment, n, round(scaled, 4) AS scaled, round(base, 4) AS baseline, round(scaled - base, 4) AS gap FROM s WHERE n >= 30 AND abs((scaled - base)/base) >= 0.005""")
+SELECT 'c_mktsegment' AS dimension, segment, n, round(scaled, 4) AS scaled, round(base, 4) AS baseline, round(scaled - base, 4) AS gap, CASE WHEN scaled > base THEN 'opportunity' ELSE 'risk' END AS kind, 'low' AS severity, CASE WHEN n >= 100 THEN 'high' ELSE 'medium' END AS confidence FROM s WHERE n >= 30 AND abs((scaled - base)/base) >= 0.005 AND abs((scaled - base)/base) < 0.15""")
 def o1_findings(spark, d):
     b = breakdown(_orders_customers(spark, d), Metric("sum", "o_totalprice"), ["c_mktsegment"])
-    return _rounded(decide.findings(b, "sum", share=0.005).select("dimension", "segment", "n", "scaled", "baseline", "gap"), 4)
+    return _rounded(decide.findings(b, "sum", share=0.005), 4)
 
 
 @query("""WITH c AS (SELECT count(*) AS a, count(*) FILTER (event_type IN ('click', 'purchase')) AS b, count(*) FILTER (event_type = 'purchase') AS c FROM events)

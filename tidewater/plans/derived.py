@@ -97,6 +97,13 @@ def t6_categories(spark, d):
     return _t(spark, d, "part").withColumn("course", _pick("p_partkey", *_COURSES)).select("p_partkey", family.alias("family"), canon.course_category(c, family).alias("category"))
 
 
+@query(f"SELECT p_partkey, {_case('p_partkey', *_FAMILIES)} AS family, {_case('p_partkey', None, 'm-1', None, None, None, None, None, '2 modules')} AS module, {_case('p_partkey', *_CATEGORIES)} AS category FROM part")
+def t5_courses(spark, d):
+    c = F.col("course")
+    family = canon.course_family(c)
+    return _t(spark, d, "part").withColumn("course", _pick("p_partkey", *_COURSES)).select("p_partkey", family.alias("family"), canon.course_module(c).alias("module"), canon.course_category(c, family).alias("category"))
+
+
 @query(f"SELECT coalesce({_case('p_partkey', *_CATEGORIES)}, 'empty') AS bucket, count(*) AS n, count(DISTINCT p_partkey % 8) AS n_values, 0::BIGINT AS n_assumed FROM part GROUP BY 1")
 def t9_accounting(spark, d):
     p = _t(spark, d, "part").withColumn("course", _pick("p_partkey", *_COURSES))
