@@ -44,9 +44,9 @@ def fit(train: DataFrame, id_col: str, features: list[str], label: str, alpha: f
 
 
 def score(df: DataFrame, model: DataFrame, priors: DataFrame, id_col: str, features: list[str], *keep: str) -> DataFrame:
-    """Rows (id, keep, log_odds, predicted); ties read 1. The model has a row per feature value: at most 30 a feature."""
+    """Rows (id, keep, log_odds, predicted); ties read 1. How the model is joined is left to the optimizer: features of many values make it large."""
     unseen = model.groupBy("feature").agg(F.first("u1").alias("u1"), F.first("u0").alias("u0"))
-    long = _long(df, id_col, features, *keep).join(F.broadcast(model.select("feature", "value", "l1", "l0")), ["feature", "value"], "left").join(F.broadcast(unseen), "feature")
+    long = _long(df, id_col, features, *keep).join(model.select("feature", "value", "l1", "l0"), ["feature", "value"], "left").join(unseen, "feature")
     odds = long.groupBy("id", *keep).agg(F.sum(F.coalesce("l1", "u1") - F.coalesce("l0", "u0")).alias("s"))
     out = odds.join(F.broadcast(priors)).withColumn("log_odds", F.col("s") + F.col("prior"))
     return out.select("id", *keep, "log_odds", (F.col("log_odds") >= 0).cast("int").alias("predicted"))

@@ -25,13 +25,17 @@ def guarded_join(left: DataFrame, right: DataFrame, key: list[str], prefix: str)
     missing = [c for c in key if c not in left.columns or c not in right.columns]
     if missing:
         raise Blocked(f"the key {', '.join(missing)} is missing")
-    (ln, ld), (rn, rd) = key_facts(left, key), key_facts(right, key)
-    if rn > rd:
-        raise Blocked("many-to-many: the key repeats on both sides" if ln > ld else "the key repeats on the right: aggregate it first")
-    if left.join(right, key, "left_semi").limit(1).count() == 0:
+    # One job: rows by key on either side, joined once.
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    sides = [df.groupBy(*key).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "l"), (right, "r"))]
+    met = F.col("l").isNotNull() & F.col("r").isNotNull()
+    r = sides[0].join(sides[1], key, "full").agg(F.max(F.when(known, F.col("l"))).alias("ml"), F.max(F.when(known, F.col("r"))).alias("mr"), F.count_if(met).alias("both"), *[F.coalesce(F.sum(F.when(~met, F.col(c))), F.lit(0)).alias(f"{c}_alone") for c in "lr"]).first()
+    if (r["mr"] or 0) > 1:
+        raise Blocked("many-to-many: the key repeats on both sides" if (r["ml"] or 0) > 1 else "the key repeats on the right: aggregate it first")
+    if not r["both"]:
         raise Blocked("the keys do not overlap")
     extra = right.select(*key, *[F.col(c).alias(f"{prefix}__{c}") for c in right.columns if c not in key])
-    report = left.join(right, key, "left_anti").agg(F.count(F.lit(1)).alias("left_unmatched")).join(right.join(left, key, "left_anti").agg(F.count(F.lit(1)).alias("right_unmatched"))).withColumn("cardinality", F.lit("one-to-one" if ln == ld else "many-to-one"))
+    report = left.sparkSession.createDataFrame([(r["l_alone"], r["r_alone"], "one-to-one" if r["ml"] == 1 else "many-to-one")], "left_unmatched long, right_unmatched long, cardinality string")
     return left.join(extra, key, "left"), report
 
 
@@ -95,9 +99,11 @@ def reconcile(ledger: DataFrame, rollup: DataFrame, key: str, paid: str, date: s
     """Full outer join of receipts per key with a fee rollup: paid, refunded, net, installments, dates, channel, gap and flags."""
     amount = F.coalesce(F.col(paid), F.lit(0.0))
     back = F.coalesce(F.col(refund), F.lit(False)) | (amount < 0) if refund else amount < 0
-    modes = ledger.where(F.col(channel).isNotNull()).groupBy(key, channel).agg(F.count(F.lit(1)).alias("k")).groupBy(key).agg(F.min(F.struct((-F.col("k")).alias("k"), F.col(channel).alias("v"))).alias("m")).select(key, F.col("m.v").alias("channel"))
-    sums = ledger.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(F.when(~back, amount).otherwise(0.0)).alias("paid_total"), F.sum(F.when(back, F.abs(amount)).otherwise(0.0)).alias("refund_total"), F.count_if(~back & (amount > 0)).alias("installments"), F.min(date).alias("first_paid"), F.max(date).alias("last_paid"))
-    sums = sums.withColumn("net", F.col("paid_total") - F.col("refund_total")).withColumn("span_days", F.datediff("last_paid", "first_paid")).join(modes, key, "left")
+    # The ledger is read and shuffled once, by (key, channel); the rest rolls that up.
+    per = ledger.where(F.col(key).isNotNull()).groupBy(key, channel).agg(F.sum(F.when(~back, amount).otherwise(0.0)).alias("p"), F.sum(F.when(back, F.abs(amount)).otherwise(0.0)).alias("b"), F.count_if(~back & (amount > 0)).alias("i"), F.min(date).alias("f"), F.max(date).alias("t"), F.count(F.lit(1)).alias("k"))
+    mode = F.min(F.when(F.col(channel).isNotNull(), F.struct((-F.col("k")).alias("k"), F.col(channel).alias("v"))))
+    sums = per.groupBy(key).agg(F.sum("p").alias("paid_total"), F.sum("b").alias("refund_total"), F.sum("i").alias("installments"), F.min("f").alias("first_paid"), F.max("t").alias("last_paid"), mode.alias("m"))
+    sums = sums.withColumn("net", F.col("paid_total") - F.col("refund_total")).withColumn("span_days", F.datediff("last_paid", "first_paid")).withColumn("channel", F.col("m.v")).drop("m")
     fees = rollup.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(total).alias("total"), F.sum(pending).alias("pending"))
     both = sums.join(fees, key, "full")
     gap = F.col("total") - F.coalesce("net", F.lit(0.0)) - F.coalesce("pending", F.lit(0.0))

@@ -538,5 +538,5 @@ SELECT 'review pricing' AS action, 'sales' AS owner, segment, round(gap*n, 2) AS
 def o5_actions(spark, d):
     b = breakdown(_orders_customers(spark, d), Metric("sum", "o_totalprice"), ["c_mktsegment"])
     found = decide.findings(b, "sum", share=0.0001)
-    owners = _t(spark, d, "region").limit(1).select(F.lit("c_mktsegment").alias("dimension"), F.lit("sales").alias("owner"), F.lit("review pricing").alias("action"))
+    owners = spark.createDataFrame([("c_mktsegment", "sales", "review pricing")], "dimension string, owner string, action string")
     return _rounded(decide.actions(found, owners).select("action", "owner", "segment", "effect"), 2)
