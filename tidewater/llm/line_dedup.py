@@ -31,7 +31,7 @@ from tidewater.llm.setjoin import BROADCAST_IDS, BUCKET, FLUSH, MAPS, difference
 #: Hash buckets of the word counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
 BUCKETS = 1 << 17
 #: Rounds in which large groups are held against one leader before all earlier lines are looked at.
-LEADERS = 2
+LEADERS = 4
 #: Lines of a word's group, and near pairs for each of them, beyond which the group is held against leaders first.
 LARGE, DENSE = 1024, 16
 #: Pairs that a task looks at together.
@@ -249,7 +249,7 @@ def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``_later`` of many pairs (a, b). Pairs whose sizes or word maps are too far apart go before any words are read; then each class
-    meets its earliest candidate first, and the others only if that one is not similar.
+    meets the earlier one whose map is nearest (ties: the earliest), and the others only if that one is not similar.
     """
     keep = ["at", "n", *MAPS]
     placed = pairs
@@ -259,9 +259,9 @@ def _settled(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)) & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
     turn = F.col("a_at") < F.col("b_at")
     placed = placed.where(near & (F.col("a_at") != F.col("b_at")))
-    placed = saved(placed.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.least("a_at", "b_at").alias("b_at")))
+    placed = saved(placed.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.least("a_at", "b_at").alias("b_at"), apart.alias("apart")))
     release(pairs.sparkSession)
-    first = placed.groupBy("a").agg(F.min(F.struct("b_at", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    first = placed.groupBy("a").agg(F.min(F.struct("apart", "b_at", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     gone = saved(_later(first, sets, percent))
     release(pairs.sparkSession)
     rest = placed.select("a", "b").join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(first, ["a", "b"], "left_anti")

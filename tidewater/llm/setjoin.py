@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import drop_saved, saved
 
-#: Tokens that a task sorts at once, and tokens a bucket is meant to hold.
-FLUSH, BUCKET = 500_000, 1_500_000
+#: Tokens that a task sorts at once, tokens a bucket is meant to hold, and buckets at least.
+FLUSH, BUCKET, LEAST = 500_000, 500_000, 32
 #: Stands for any class where a token is known to be shared.
 SETTLED = -(1 << 63)
 #: Ids that are broadcast at most; more are joined by shuffling.
@@ -61,7 +61,7 @@ def shared_counts(sets: DataFrame, class_col: str, tokens_col: str, total: int |
     """
     if total is None:
         total = sets.agg(F.sum(F.size(tokens_col))).first()[0] or 0
-    buckets = int(max(8, -(-total // BUCKET)))
+    buckets = int(max(LEAST, -(-total // BUCKET)))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
