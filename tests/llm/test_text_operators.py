@@ -277,3 +277,99 @@ def test_neighbours_vote(spark, toxic_corpus):
     assert all((p[i] >= 0.3) == (i % 3 > 0) for i in range(300))
     assert p[1000] == p[1001] == 0
     assert quality_neighbours.train(docs, labels.limit(0)) is None
+
+
+# Brute force for what SQL cannot express
+
+
+def test_vote_matches_brute_force():
+    r = np.random.default_rng(5)
+    train = r.standard_normal((60, 6)).astype(np.float32)
+    train /= np.linalg.norm(train, axis=1, keepdims=True)
+    train[40:50] = train[0]  # ties
+    labels = (r.random(60) < 0.6).astype(np.float32)
+    docs = r.standard_normal((1100, 6)).astype(np.float32)
+    docs /= np.linalg.norm(docs, axis=1, keepdims=True)
+    docs[7] = 0
+    got = quality_neighbours.vote(docs, quality_neighbours.Model(None, None, train, labels), voters=9)
+    for d, p in zip(docs, got, strict=True):
+        sims = [round(float(np.float32(d @ t)), 4) for t in train]
+        last = sorted(sims)[-9]
+        w = [max(s, 0) ** 4 if s >= last - 1e-9 else 0 for s in sims]
+        want = sum(x * y for x, y in zip(w, labels, strict=True)) / sum(w) if sum(w) else 0.0
+        assert abs(p - want) < 0.02
+
+
+def test_terms_of_a_text_depend_on_that_text_only():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = ["", None, "a a b\na a b\nC!! 12", "ÉÉ %% |"] + ["".join(r.choice("aB1 \n%é") for _ in range(r.randint(0, 300))) for _ in range(200)]
+    alone = np.concatenate([quality_neighbours._term_counts(pa.array([t], pa.string())) for t in texts])
+    assert np.array_equal(alone, quality_neighbours._term_counts(pa.array(texts)))
+    assert np.array_equal(alone[::-1], quality_neighbours._term_counts(pa.array(texts[::-1])))
+    for t, row in zip(texts, alone, strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [tuple(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in (t or "").split("\n")]
+        lines = [tuple(sorted(x)) for x in lines if x]
+        base = quality_neighbours.WORDS + quality_neighbours.SHAPES
+        assert row[: quality_neighbours.WORDS].sum() == row[quality_neighbours.WORDS : base].sum() == len(w)
+        assert row[base] == sum(a == b for a, b in zip(w, w[1:], strict=False))
+        assert row[base + 1] == len(lines) - len(set(lines))
+
+
+def test_dose_matches_brute_force():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    terms, stems, known = ["idiot", "moron", "loser"], ["lowei"], ["idiom", "closer", "morons"]
+    auto = toxicity.compile_lexicon([t.encode() for t in terms], [s.encode() for s in stems], [k.encode() for k in known])
+    pool = [*terms, *known, "loweiung", "idiots", "idyot", "lser", "moro", "fine", "words", "here", "lose"]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 25))) for _ in range(80)] + ['he said "idiot" ok', "«moron»", None, ""]
+    hits = toxicity.count_hits(auto, pa.array(texts))
+    for t, h in zip(texts[:80], hits, strict=False):
+        exact = sum(w in terms for w in t.split())
+        prefix = sum(w.startswith("lowei") for w in t.split())
+        fuzzy = sum(w not in terms and w not in known and not w.startswith("lowei") and any(edit_within_one(w, x) for x in terms) for w in t.split())
+        assert h.tolist() == [exact, prefix, fuzzy, 0, len(t.split())]
+    assert hits[80].tolist() == [0, 0, 0, 1, 4] and hits[81].tolist() == [0, 0, 0, 1, 1]
+    assert toxicity.design(hits)[80][2] == pytest.approx(math.log1p(0.2))
+
+
+def test_posteriors_match_brute_force(spark):
+    r = random.Random(13)
+    good = [f"word{k}" for k in range(300)]
+    rows = list(ODD)
+    for i in range(20, 220):
+        kind = r.choice(["good", "good", "good", "marks", "caps", "same"])
+        w = [r.choice(good) + ("," if r.random() < 0.1 else "") for _ in range(r.randint(40, 160))]
+        if kind == "marks":
+            w = [x + "%%%" for x in w]
+        elif kind == "caps":
+            w = [x.upper() + "!!" for x in w]
+        elif kind == "same":
+            w = [w[0]] * len(w)
+        rows.append((i, " ".join(w)))
+
+    def votes(t):
+        t = t or ""
+        n, chars, sym, dup, rep, _ = base_of(t)
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+        up, points, bangs = len(re.findall("[A-Z]", t)), len(re.findall("[.,;:?]", t)), t.count("!")
+        runs = len(re.findall(r"[!-/:-@\[-`{-~]{2,}|(?<!\S)[!-/:-@\[-`{-~](?!\S)", t, re.A))
+        kinds, marks = len(set(w)), sym + points + bangs
+        vote = lambda bad, ok: 0 if bad else 1 if ok else -1
+        return (
+            vote(sym * 20 > n, sym * 100 <= n), vote(marks * 8 > chars, marks * 20 <= chars), vote(runs * 20 > n, runs * 100 <= n), vote(up * 2 > chars, up * 5 <= chars), vote(bangs * 10 > n, bangs * 100 <= n), vote(rep * 4 > n, rep * 10 <= n),
+            vote(kinds * 3 < n, kinds * 2 >= n), vote(dup * 3 > lines and lines >= 3, dup == 0), vote(chars > n * 14 or chars < n * 2, n * 3 <= chars <= n * 10), vote(n < 5, n >= 100), vote(points * 100 < n, points * 25 >= n),
+        )
+
+    all_votes = {i: votes(t) for i, t in rows}
+    prior, table = quality_rules.fit(sorted(Counter(all_votes.values()).items()))
+    got = {x["doc_id"]: x for x in quality_rules.judge(frame(spark, rows)).collect()}
+    for i, t in rows:
+        p = quality_rules.posterior(all_votes[i], prior, table)
+        assert abs(got[i]["quality"] - p) < 1e-9, i
+        assert got[i]["kept"] == (not base_of(t)[5] and p >= 0.5)
+    assert any(not x["base_failed"] and not x["kept"] for x in got.values())  # the posterior decides

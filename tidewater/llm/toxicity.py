@@ -153,15 +153,27 @@ def quoted(data: bytes, start: int, end: int) -> bool:
     return any(w in REPORTING for w in before.split()[-3:])
 
 
+def _readable(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and the same with typographic quotation marks blanked, so that they do not stick to words."""
+    data = B.ascii_lower(raw)
+    bare = data.copy()
+    pair = np.flatnonzero((raw[:-1] == 0xC2) & np.isin(raw[1:], [0xAB, 0xBB]))
+    triple = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x80) & (raw[2:] >= 0x98) & (raw[2:] <= 0x9F))
+    for at, size in ((pair, 2), (triple, 3)):
+        for k in range(size):
+            bare[at + k] = 0x20
+    return data, bare
+
+
 def count_hits(auto: Automaton, texts: pa.Array) -> np.ndarray:
     """For each text: exact, prefix, fuzzy and quoted hits, and words."""
     out = np.zeros((len(texts), 5))
     for row, raw, offsets in B.text_slices(texts):
-        data = B.ascii_lower(raw)
-        starts, ends, first = B.words(data, offsets, _WORDLESS)
+        data, bare = _readable(raw)
+        starts, ends, first = B.words(bare, offsets, _WORDLESS)
         if not len(starts):
             continue
-        kind = read_words(auto, data, starts, ends)
+        kind = read_words(auto, bare, starts, ends)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
         for w in np.flatnonzero(kind >= 0):
             d = doc[w]
@@ -252,7 +264,7 @@ def _near_words(text: Column, auto: Automaton) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         found: list[set] = [set() for _ in range(len(texts))]
         for row, raw, offsets in B.text_slices(texts):
-            data = B.ascii_lower(raw)
+            _, data = _readable(raw)
             starts, ends, first = B.words(data, offsets, _WORDLESS)
             if len(starts):
                 for w in np.flatnonzero(read_words(auto, data, starts, ends) == FUZZY):
