@@ -83,3 +83,13 @@ def test_window_bounds(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-31 23:59:59",), ("2024-02-01 00:00:00",), (None,)], "d string").select(F.col("d").cast("timestamp").alias("d"))
     rows, told = clean.time_window(df, "d", "2024-01-01", "2024-01-31")
     assert rows.count() == 2 and tuple(told.first()) == (4, 2)
+
+
+def test_queries_are_listed_without_a_session():
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

@@ -214,23 +214,24 @@ def f9_ending(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", flags.is_ending_soon(left).alias("is_ending_soon"))
 
 
-_FEATURES = {"cohort": (flags.joining_cohort(F.col("admitted")), ["admitted"]), "delay": (flags.certificate_delay(F.col("issued"), F.col("enquired")), ["issued", "enquired"]), "surplus": (F.col("paid") > 0, ["paid"]), "lost": (F.col("nowhere"), ["nowhere"])}
+def _features():
+    return {"cohort": (flags.joining_cohort(F.col("admitted")), ["admitted"]), "delay": (flags.certificate_delay(F.col("issued"), F.col("enquired")), ["issued", "enquired"]), "surplus": (F.col("paid") > 0, ["paid"]), "lost": (F.col("nowhere"), ["nowhere"])}
 
 
 @query(f"WITH {_TOUCH}, s AS (SELECT 'cohort' AS feature, avg((admitted IS NOT NULL)::INT) AS c FROM t UNION ALL SELECT 'delay', avg((issued IS NOT NULL AND enquired IS NOT NULL)::INT) FROM t UNION ALL SELECT 'surplus', avg((paid IS NOT NULL)::INT) FROM t UNION ALL SELECT 'lost', 0.0) SELECT feature, round(c, 6) AS coverage, c >= 0.4 AS offered FROM s")
 def f10_proposals(spark, d):
-    return _rounded(flags.propose(_touches(spark, d), _FEATURES))
+    return _rounded(flags.propose(_touches(spark, d), _features()))
 
 
 @query(f"""WITH {_TOUCH}, c AS (SELECT strftime(admitted, '%Y-%m') AS label, count(*)::DOUBLE AS value FROM t WHERE admitted IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6), s AS (SELECT (paid > 0)::VARCHAR AS label, count(*)::DOUBLE AS value FROM t WHERE paid IS NOT NULL GROUP BY 1)
 SELECT 'cohort' AS feature, label, value FROM c UNION ALL SELECT 'delay', 'min', 90.0 UNION ALL SELECT 'delay', 'median', 90.0 UNION ALL SELECT 'delay', 'max', 90.0 UNION ALL SELECT 'surplus', label, value FROM s""")
 def f10_previews(spark, d):
-    return flags.preview(_touches(spark, d), _FEATURES)
+    return flags.preview(_touches(spark, d), _features())
 
 
 @query(f"WITH {_TOUCH} SELECT o_orderkey, strftime(admitted, '%Y-%m') AS cohort, paid > 0 AS surplus FROM t")
 def f10_approved(spark, d):
-    return flags.materialise(_touches(spark, d), _FEATURES, ["cohort", "surplus"]).select("o_orderkey", "cohort", "surplus")
+    return flags.materialise(_touches(spark, d), _features(), ["cohort", "surplus"]).select("o_orderkey", "cohort", "surplus")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN role IS NOT NULL THEN '[masked]' END AS student_name, sha256(regexp_replace(regexp_replace(text, '[\\w.\\-+]+@[\\w\\-]+\\.[\\w.\\-]+', '[email]', 'g'), '\\+?\\d(?:[\\s().\\-]{0,3}\\d){9,14}', '[mobile]', 'g')) AS said FROM conversations""".replace("\\\\", "\\"))
