@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, decontaminate, licenses, line_dedup, mixing, ngram_join, quality_neighbours, quality_rules, repeats, token_align, token_counts, toxicity
+from tidewater.llm import byte_bpe, conversations, decontaminate, licenses, line_dedup, mixing, ngram_join, quality_neighbours, quality_rules, repeats, token_align, token_counts, toxicity
 from tidewater.llm.common import held_out
 
 
@@ -65,9 +65,13 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_toxicity, op3_quality, op4_mixing, op5_line_dedup, op6_tokens, op7_rules, op8_decontaminate, op9_licenses, op10_ngram_join, op11_byte_bpe, op13_align)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_toxicity, op3_quality, op4_mixing, op5_line_dedup, op6_tokens, op7_rules, op8_decontaminate, op9_licenses, op10_ngram_join, op11_byte_bpe, op12_repair, op13_align)}
 ORACLE: dict[str, str] = {}
