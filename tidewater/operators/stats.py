@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
+import random
+from math import inf
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.statistics import chi2_sf, two_proportions, two_sided, wilson
+from tidewater.operators.explore import exact_quantiles
 from tidewater.operators.metrics import Blocked
+from tidewater.operators.ranking import bounds, bucket, free, inversions, inverted_pairs, joined, running, written
 
 MIN_SIDE = 30
-#: Points above which pairwise trend tests are refused.
-MAX_POINTS = 10_000
 
 
-def benjamini_hochberg(df: DataFrame, p: str, family: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
-    """Adds q and significant: the running minimum of p m / rank from the largest p down, within each family."""
+def benjamini_hochberg(df: DataFrame, p: str, family: list[str] | None = None, alpha: float = 0.05, rows: int | None = None) -> DataFrame:
+    """Adds q and significant: the running minimum of p m / rank from the largest p down, within each family. Rows without a p count for nothing and have no q.
+
+    Equal p are one value with a count. Ranks are places within buckets of p plus what the buckets below hold; the minimum of a bucket's tail meets those of the
+    buckets above it. ``df`` is read three times: hand in a table rather than a computation.
+    """
     keys = family or []
-    by_p = Window.partitionBy(*keys).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = df.withColumn("__rank", F.row_number().over(by_p)).withColumn("__raw", F.col(p) * m / F.col("__rank"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.min("__raw").over(down), F.lit(1.0))
-    return ranked.withColumn("q", q).withColumn("significant", F.col("q") <= alpha).drop("__rank", "__raw")
+    n, rank, m, raw, b, low, later = free(df, "n", "rank", "m", "raw", "bucket", "low", "later")
+    known = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias(n))
+    at = bounds(known, p, known.count(), rows)
+    r = running(known, p, n, rank, at, keys)
+    own = Window.partitionBy(*keys)
+    if not at:
+        r = r.withColumn(raw, F.col(p) * F.sum(n).over(own) / F.col(rank))
+        q = F.min(raw).over(own.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        r = joined(r, known.groupBy(*keys).agg(F.sum(n).alias(m)), keys) if keys else r.join(F.broadcast(known.agg(F.sum(n).alias(m))))
+        r = r.withColumn(raw, F.col(p) * F.col(m) / F.col(rank)).withColumn(b, bucket(F.col(p), at))
+        above = own.orderBy(F.desc(b)).rowsBetween(Window.unboundedPreceding, -1)
+        lows = r.groupBy(*keys, b).agg(F.min(raw).alias(low)).withColumn(later, F.min(low).over(above)).drop(low)
+        r = joined(r, lows, [*keys, b])
+        q = F.least(F.min(raw).over(Window.partitionBy(*keys, b).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)), F.col(later))
+    out = joined(df, r.select(*keys, p, F.least(q, F.lit(1.0)).alias("q")), [*keys, p])
+    return out.withColumn("significant", F.coalesce(F.col("q") <= alpha, F.lit(False)))
 
 
 def segments_vs_rest(df: DataFrame, dim: str, flag: str, alpha: float = 0.05, min_side: int = MIN_SIDE) -> DataFrame:
     """Each segment's rate with its interval, and a test against all other rows where both sides have ``min_side`` rows."""
     y = F.coalesce(F.col(flag).cast("long"), F.lit(0))
-    g = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).cast("string").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("x"))
+    g = written(df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).cast("string").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("x")))
     g = g.join(F.broadcast(g.agg(F.sum("n").alias("all_n"), F.sum("x").alias("all_x"))))  # one row
     low, high = wilson(F.col("x"), F.col("n"))
     t = two_proportions(F.col("x"), F.col("n"), F.col("all_x") - F.col("x"), F.col("all_n") - F.col("n"))
     tested = (F.col("n") >= min_side) & (F.col("all_n") - F.col("n") >= min_side)
     g = g.select("segment", "n", "x", (F.col("x") / F.col("n")).alias("rate"), low.alias("ci_low"), high.alias("ci_high"), (F.col("all_x") / F.col("all_n")).alias("overall"), F.when(tested, t["diff"]).alias("diff"), F.when(tested, t["z"]).alias("z"), tested.alias("tested"))
     with_p = g.withColumn("p", F.when(F.col("tested"), two_sided(F.col("z"))))
-    corrected = benjamini_hochberg(with_p, "p", ["tested"], alpha)
-    return corrected.withColumn("q", F.when(F.col("tested"), F.col("q"))).withColumn("significant", F.coalesce(F.col("tested") & F.col("significant"), F.lit(False)))
+    return benjamini_hochberg(with_p, "p", None, alpha)
 
 
 def chi2_independence(counts: DataFrame, a: str, b: str, n: str) -> DataFrame:
@@ -81,31 +98,106 @@ def survival_at(curve: DataFrame, t: float) -> DataFrame:
     return curve.agg(F.coalesce(F.max_by(F.when(F.col("time") <= t, F.col("survival")), F.when(F.col("time") <= t, F.col("time"))), F.lit(1.0)).alias("survival"))
 
 
-def _series(df: DataFrame, order: str, value: str) -> DataFrame:
-    if df.limit(MAX_POINTS + 1).count() > MAX_POINTS:
-        raise Blocked(f"a trend test of more than {MAX_POINTS} points compares too many pairs")
-    return df.select((F.row_number().over(Window.orderBy(order)) - 1).alias("i"), F.col(value).cast("double").alias("y"))
+def _tied(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("k"))
+
 
+def mann_kendall(df: DataFrame, order: str, value: str, rows: int | None = None) -> DataFrame:
+    """One row (n, s, var_s, z, p, trend) of a series; fewer than four points give trend 'insufficient'. Rows without an order or a value are no points;
+    points of equal order are not compared.
 
-def mann_kendall(df: DataFrame, order: str, value: str) -> DataFrame:
-    """One row (n, s, var_s, z, p, trend) of a period series; fewer than four points give trend 'insufficient'."""
-    s = _series(df, order, value).where("y is not null")
-    pairs = s.alias("a").join(s.alias("b"), F.col("a.i") < F.col("b.i")).agg(F.coalesce(F.sum(F.signum(F.col("b.y") - F.col("a.y"))), F.lit(0.0)).alias("s"))
-    ties = s.groupBy("y").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) * (2 * F.col("count") + 5)), F.lit(0)).alias("t"))
-    n = s.agg(F.count(F.lit(1)).alias("n"))
-    row = n.join(pairs).join(ties)
-    var = (F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) - F.col("t")) / 18
-    z = F.when(F.col("s") > 0, F.try_divide(F.col("s") - 1, F.sqrt("v"))).when(F.col("s") < 0, F.try_divide(F.col("s") + 1, F.sqrt("v"))).otherwise(0.0)
-    row = row.withColumn("v", var).select("n", "s", F.col("v").alias("var_s"), F.coalesce(z, F.lit(0.0)).alias("z")).withColumn("p", two_sided(F.col("z")))
+    S is what is left of all pairs that differ in order and value after the inverted ones are taken off twice (``ranking.inversions``).
+    """
+    points = written(df.select(F.col(order).alias("x"), F.col(value).cast("double").alias("y")).where("x is not null and y is not null and not isnan(y)"))
+    pairs = F.coalesce(F.sum((F.col("k") * (F.col("k") - 1) / 2).cast("decimal(38,0)")), F.lit(0))
+    ties = F.coalesce(F.sum((F.col("k") * (F.col("k") - 1) * (2 * F.col("k") + 5)).cast("decimal(38,0)")), F.lit(0))
+    n = points.count()
+    same_y, weight = _tied(points, ["y"]).agg(pairs, ties).first()
+    same_x, same_both = (int(_tied(points, by).agg(pairs).first()[0]) for by in (["x"], ["x", "y"]))
+    inverted = inversions(points, "x", "y", n, rows) if n else 0
+    s = n * (n - 1) // 2 - same_x - int(same_y) + same_both - 2 * inverted
+    row = df.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(float(s)).alias("s"), F.lit((n * (n - 1) * (2 * n + 5) - int(weight)) / 18).alias("var_s"))
+    z = F.try_divide(F.col("s") - F.signum("s"), F.sqrt("var_s"))
+    row = row.withColumn("z", F.coalesce(z, F.lit(0.0))).withColumn("p", two_sided(F.col("z")))
     verdict = F.when(F.col("n") < 4, "insufficient").when((F.col("p") <= 0.05) & (F.col("s") > 0), "rising").when((F.col("p") <= 0.05) & (F.col("s") < 0), "falling").otherwise("flat")
     return row.withColumn("trend", verdict)
 
 
-def theil_sen(df: DataFrame, order: str, value: str) -> DataFrame:
-    """One row (slope, intercept): medians over pairs; missing points keep their place in the order."""
-    s = _series(df, order, value).where("y is not null")
-    slope = s.alias("a").join(s.alias("b"), F.col("a.i") < F.col("b.i")).agg(F.percentile((F.col("b.y") - F.col("a.y")) / (F.col("b.i") - F.col("a.i")), 0.5).alias("slope"))
-    return s.join(F.broadcast(slope)).groupBy("slope").agg(F.percentile(F.col("y") - F.col("slope") * F.col("i"), 0.5).alias("intercept"))
+def _middle_slope(points: DataFrame, n: int, rows: int | None, most: int) -> float | None:
+    """The median over pairs (i, y) of n points of (y2 - y1) / (i2 - i1).
+
+    A slope is under t where y - t i is inverted, so slopes are counted, not made. Bounds from random pairs, then from interpolating the counts between them, close in
+    on the middle until at most ``most`` slopes lie between; these are listed and ranked exactly.
+    """
+    total = n * (n - 1) // 2
+    if not total:
+        return None
+    wanted = (total - 1) // 2, total // 2  # the middle ones, from 0
+    tilted = lambda t: F.col("i").cast("double") if t == -inf else -F.col("i").cast("double") if t == inf else F.col("y") - F.lit(t) * F.col("i")
+    below = lambda t: inversions(points.select(F.col("i"), tilted(t).alias("z")), "i", "z", n, rows)
+    low, high, c_low, c_high = -inf, inf, 0, total
+    rng, turns = random.Random(7), 0
+    far_y, far_i = points.agg(F.max(F.abs("y")), F.max("i")).first()
+    while c_high - c_low > most:
+        if low == -inf or high == inf:
+            some = [tuple(r) for r in points.sample(min(1.0, 4000 / n), seed=turns + 1).select("i", "y").collect()]
+            drawn = [rng.sample(some, 2) for _ in range(40_000)] if len(some) > 1 else []
+            slopes = sorted((b[1] - a[1]) / (b[0] - a[0]) for a, b in drawn)
+            middle, wide = len(slopes) // 2, len(slopes) // 25 * (turns + 1)
+            tries = [slopes[max(0, middle - wide)], slopes[min(len(slopes) - 1, middle + wide)]]
+        elif turns % 3 == 2:
+            tries = [low + (high - low) * f for f in (0.4, 0.6)]
+        else:
+            share = [(w - c_low) / (c_high - c_low) for w in wanted]
+            tries = [low + (high - low) * min(max(f, 0.0), 1.0) for f in (share[0] - 0.03, share[1] + 0.03)]
+        steep = max(abs(tries[0]), abs(tries[1]))
+        slack = max(1e-9 * steep, 2e-15 * (far_y + steep * far_i))  # what a tilt must change at least to be seen in a double
+        if tries[1] - tries[0] <= slack:  # the sample's middle is one slope, or the bounds have met: are all that are left that slope?
+            a, b = tries[0] - slack, tries[1] + slack
+            if below(a) <= wanted[0] and below(b) > wanted[1]:
+                return (tries[0] + tries[1]) / 2
+            tries = [a, b]
+        for t in tries:
+            t += slack * rng.random()  # no slope lies on a bound but by chance
+            if low < t < high:
+                c = below(t)
+                if c <= wanted[0]:
+                    low, c_low = t, c
+                elif c > wanted[1]:
+                    high, c_high = t, c
+        turns += 1
+        if turns > 60:
+            raise Blocked("slopes too close to each other to be told apart")
+    both = points.select("i", "y", tilted(low).alias("a"), tilted(high).alias("b"))
+    slope = (F.col("v2") - F.col("v1")) / (F.col("k2") - F.col("k1"))
+    near = inverted_pairs(both, "a", "b", "i", "y", n, rows).select(slope.alias("slope"))
+    ranked = near.groupBy("slope").agg(F.count(F.lit(1)).alias("k")).withColumn("last", F.sum("k").over(Window.orderBy("slope")) - 1 + c_low)  # at most ``most`` rows
+    found = ranked.agg(F.sum("k").alias("k"), *[F.min(F.when(F.col("last") >= w, F.col("slope"))).alias(f"m{j}") for j, w in enumerate(wanted)]).first()
+    if found["k"] != c_high - c_low:
+        raise Blocked("slopes too close to a bound to be told apart")
+    return (found["m0"] + found["m1"]) / 2
+
+
+def theil_sen(df: DataFrame, order: str, value: str, rows: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """One row (slope, intercept): medians over pairs of points and over points. Missing values keep their place in the order; rows without an order have none. No row
+    for fewer than two points. Equal orders are placed by value.
+    """
+    every = written(df.select(F.col(order).alias("x"), F.col(value).cast("double").alias("y")).where("x is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")))
+    size = every.agg(F.sum("k")).first()[0] or 0
+    at = bounds(every, "x", size, rows)
+    points = written(_ends(every, at).where("y is not null and not isnan(y)").select(F.explode(F.sequence(F.col("end") - F.col("k"), F.col("end") - 1)).alias("i"), "y"))
+    slope = _middle_slope(points, points.count(), rows, most)
+    if slope is None:
+        return df.sparkSession.createDataFrame([], "slope double, intercept double")
+    rest = exact_quantiles(points.select((F.col("y") - F.lit(slope) * F.col("i")).alias("r")), ["r"], [0.5])
+    return rest.select(F.lit(slope).alias("slope"), F.col("q")[0].alias("intercept"))
+
+
+def _ends(every: DataFrame, at: list) -> DataFrame:
+    """Adds end: rows up to and with each (x, y), x in buckets."""
+    t = every.withColumn("b", bucket(F.col("x"), at))
+    per = t.groupBy("b").agg(F.sum("k").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a bucket
+    return t.join(F.broadcast(per.drop("s")), "b").withColumn("end", F.sum("k").over(Window.partitionBy("b").orderBy("x", "y")) + F.col("before"))
 
 
 def cohort_rates(df: DataFrame, cohort: str, flag: str) -> DataFrame:
