@@ -23,6 +23,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from tidewater.llm.common import drop_saved, saved
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments that a worker remembers, and the longest of them in characters; characters of texts that are aligned together.
 REMEMBERED, LONG, TOGETHER = 500_000, 200, 1 << 20
+#: Segments that are encoded as one text.
+STRUNG = 100
 #: Pairs of ids that are broadcast at most (17 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_PAIRS = 1_500_000
 _SEGMENT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
@@ -121,29 +124,29 @@ class Pair:
         self.counts, self.at, self.links = np.empty((0, 4), np.int64), np.zeros(1, np.int64), np.empty(0, np.int64)
         self.valid = np.empty(0, bool)
 
-    def _tokens(self, parts: list[str]) -> tuple:
-        """Ids, ends in bytes and numbers per segment, of both tokenizers; the bytes of the segments and where they end."""
-        joined = "".join(parts)
+    def _tokens(self, texts: list[str]) -> tuple:
+        """Ids and ends in bytes of both tokenizers and the numbers of each text's tokens; the bytes of the texts and where they end."""
+        joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         byte_at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
-        char_end = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        char_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         ends = byte_at[char_end]
         begin = np.concatenate([[0], ends[:-1]])
-        coded = self.a.encode_batch(parts, add_special_tokens=False)
-        n_a = np.fromiter(map(len, coded), np.int64, len(parts))
-        ids_a = np.array([i for c in coded for i in c.ids], np.int64)
+        coded = self.a.encode_batch(texts, add_special_tokens=False)
+        n_a = np.fromiter(map(len, coded), np.int64, len(texts))
+        ids_a = np.fromiter(chain.from_iterable(c.ids for c in coded), np.int64, int(n_a.sum()))
         spans = np.array([s for c in coded for s in c.offsets], np.int64).reshape(-1, 2) + np.repeat(char_end - np.diff(char_end, prepend=0), n_a)[:, None]
         exact = np.append(spans[1:, 0] >= spans[:-1, 1], True)[: len(spans)]
         ends_a = _refined(byte_at[spans[:, 1]], exact, self.a_bytes.lengths[ids_a])
-        protos = [p.pieces for p in self.b.encode([p[1:] for p in parts], return_type="proto", num_threads=1)]
-        n_b = np.fromiter(map(len, protos), np.int64, len(parts))
+        protos = [p.pieces for p in self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)]
+        n_b = np.fromiter(map(len, protos), np.int64, len(texts))
         flat = np.array([(p.id, p.end) for proto in protos for p in proto], np.int64).reshape(-1, 2)
         ids_b = flat[:, 0]
         ends_b = _refined(flat[:, 1] + 1 + np.repeat(begin, n_b), ~self.is_byte[ids_b], self.b_bytes.lengths[ids_b])
         return ids_a, ends_a, n_a, ids_b, ends_b, n_b, np.frombuffer(joined.encode(), np.uint8), ends
 
     def _faithful(self, ids: np.ndarray, n: np.ndarray, entries: _Entries, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Whether the tokens of each segment decode to its bytes."""
+        """Whether the tokens of each text decode to its bytes."""
         decoded, sizes = entries.decode(ids), np.diff(ends, prepend=0)
         upto = np.concatenate([[0], np.cumsum(entries.lengths[ids])])
         own = np.diff(upto[np.cumsum(n)], prepend=0)
@@ -154,26 +157,47 @@ class Pair:
             out[k] = (decoded[stop[k] - own[k] : stop[k]] == raw[ends[k] - sizes[k] : ends[k]]).all()
         return out
 
-    def align(self, parts: list[str]) -> Aligned:
-        """Align segments, each of which begins with a space and has more than it."""
-        ids_a, ends_a, n_a, ids_b, ends_b, n_b, raw, ends = self._tokens(parts)
-        valid = self._faithful(ids_a, n_a, self.a_bytes, raw, ends) & self._faithful(ids_b, n_b, self.b_bytes, raw, ends)
+    def align(self, parts: list[str], together: int = STRUNG) -> Aligned:
+        """Align segments, each of which begins with a space and has more than it.
+
+        Up to ``together`` segments are strung to one text: what parts them in their own texts parts them there. Segments that end in
+        white space stand alone. If a string does not come back from its tokens, its segments are tried one by one.
+        """
+        strings, of = [], np.empty(len(parts), np.int64)
+        room = 0
+        for k, part in enumerate(parts):
+            if room:
+                strings[-1].append(part)
+            else:
+                strings.append([part])
+                room = together
+            room = 0 if part[-1].isspace() else room - 1
+            of[k] = len(strings) - 1
+        ids_a, ends_a, n_a, ids_b, ends_b, n_b, raw, string_ends = self._tokens(list(map("".join, strings)))
+        valid = self._faithful(ids_a, n_a, self.a_bytes, raw, string_ends) & self._faithful(ids_b, n_b, self.b_bytes, raw, string_ends)
         if not valid.all():
-            good = np.flatnonzero(valid)
-            out = Aligned(np.zeros((len(parts), 4), np.int64), [""] * len(parts), np.empty(0, np.int64), np.zeros(len(parts) + 1, np.int64), valid)
-            if len(good):
-                kept = self.align([parts[k] for k in good])
-                out.counts[good], out.links = kept.counts, kept.links
-                out.at = np.concatenate([[0], np.cumsum(out.counts[:, 3])])
-                for k, text in zip(good, kept.text, strict=True):
-                    out.text[k] = text
+            good, bad = (np.flatnonzero(x) for x in (valid[of], ~valid[of]))
+            out = Aligned(np.zeros((len(parts), 4), np.int64), [""] * len(parts), np.empty(0, np.int64), np.zeros(len(parts) + 1, np.int64), np.zeros(len(parts), bool))
+            links = [out.links] * len(parts)
+            again = [(good, together)] if together == 1 else [(good, together), (bad, 1)]
+            for which, size in again:
+                if len(which):
+                    got = self.align([parts[k] for k in which], size)
+                    out.counts[which], out.valid[which] = got.counts, got.valid
+                    for k, text, low, high in zip(which, got.text, got.at, got.at[1:], strict=False):
+                        out.text[k], links[k] = text, got.links[low:high]
+            out.links, out.at = np.concatenate(links), np.concatenate([[0], np.cumsum(out.counts[:, 3])])
             return out
         if (ends_a != np.cumsum(self.a_bytes.lengths[ids_a])).any() or (ends_b != np.cumsum(self.b_bytes.lengths[ids_b])).any():
             raise RuntimeError("spans and decoded bytes differ")
+        ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in parts), np.int64, len(parts)))
+        n_a, n_b = (np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (ends_a, ends_b))
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
         every = np.union1d(ends_a, ends_b)  # between two cuts one pair of tokens overlaps
         links = ids_a[np.searchsorted(ends_a, every)] * self.n_b + ids_b[np.searchsorted(ends_b, every)]
         upto = np.searchsorted(every, ends, "right")
+        if not np.isin(ends, both).all():
+            raise RuntimeError("a segment's border is no border of tokens")
         counts = np.stack([n_a, n_b, np.diff(np.searchsorted(both, ends, "right"), prepend=0), np.diff(upto, prepend=0)], axis=1)
         group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
@@ -181,7 +205,7 @@ class Pair:
         names = list(map(self._names.__getitem__, (marks * self._wide + np.concatenate([ids_a, ids_b]))[order].tolist()))
         stops = np.cumsum(n_a + n_b).tolist()
         text = ["".join(names[low:high]) for low, high in zip([0, *stops], stops, strict=False)]
-        return Aligned(counts, text, links, np.concatenate([[0], upto]), valid)
+        return Aligned(counts, text, links, np.concatenate([[0], upto]), np.ones(len(parts), bool))
 
     def _add(self, new: list[str]) -> None:
         got = self.align(new)
@@ -196,9 +220,11 @@ class Pair:
         """For each text: its four counts, the hash of its groups and its linked pairs, one for each link."""
         cut = [segments(t) if t else [] for t in texts]
         distinct = set().union(*cut)
-        if len(self.index) + len(distinct) > REMEMBERED:
+        new = list(distinct.difference(self.index))
+        if len(self.index) + len(new) > REMEMBERED:
             self.forget()
-        if new := list(distinct.difference(self.index)):
+            new = list(distinct)
+        if new:
             self._add(new)
         for text, parts in zip(texts, cut, strict=True):
             rows = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
