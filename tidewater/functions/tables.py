@@ -235,3 +235,33 @@ CROSS_PAIRS = [
     ("course", "class_days"),
     ("payment_mode", "student_category"),
 ]
+
+# Header words of personal columns that no role claims.
+PII_HEADERS = ["name for google", "mobile no", "phone", "contact no", "whatsapp", "email", "e-mail", "address", "residential", "date of birth", "photo", "aadhaar", "aadhar"]
+
+# The alternative role sets of each metric. date_any is any event date; cancel_marker, stale_enquiry, repeat_person and lifecycle_column are told by
+# values; completion_source by the names of sources.
+REQUIREMENTS = {
+    "admission_conversion_rate": [["admission_date"], ["joining_date"]],
+    "counselling_to_admission_rate": [["admission_date"], ["joining_date"]],
+    "admissions_confirmed": [["date_any"]],
+    "total_leads": [["date_any"]],
+    "qualified_leads": [["date_any"]],
+    "walk_in_count": [["date_any"]],
+    "enquiry_backlog_rate": [["stale_enquiry"]],
+    "lead_to_admission_days": [["enquiry_date", "admission_date"], ["enquiry_date", "joining_date"]],
+    "gross_fee_collected": [["paid"]],
+    "pending_fee": [["pending"]],
+    "overdue_fee": [["pending"]],
+    "average_fee_per_student": [["amount"]],
+    "default_rate": [["pending"]],
+    "collection_efficiency": [["paid", "amount"], ["amount", "pending"]],
+    "dropout_rate": [["lifecycle_column"], ["completion_source"], ["cancel_marker"]],
+    "completion_rate": [["lifecycle_column"], ["completion_source"]],
+    "not_coming_rate": [["lifecycle_column"], ["completion_source"]],
+    "churn_rate": [["completion_source", "course_duration", "joining_date"], ["completion_source", "course_duration", "admission_date"]],
+    "repeat_enrollment_rate": [["repeat_person"]],
+    "certificate_pending_rate": [["issue_date"]],
+    "duplicate_certificate_rate": [["certificate_number"]],
+    "certificate_issue_lag_days": [["issue_date", "joining_date"], ["issue_date", "admission_date"]],
+}

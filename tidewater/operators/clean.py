@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import canon
 from tidewater.operators.metrics import Blocked
+from tidewater.operators.ranking import free, written
 
 _AB = r"^\s*(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2}|\d{4})(?:\s+.*)?$"
 
@@ -115,6 +116,42 @@ def dedupe(df: DataFrame, candidates: list[list[str]], order: str) -> DataFrame:
     return df.where(~known).unionByName(df.where(known).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n"))
 
 
+def natural_key(df: DataFrame, roles: dict[str, str], domain: str | None = None, tolerance: float = 0.02) -> tuple[list[str], DataFrame]:
+    """``(key, measured)``: the columns that name a row, [] if none do, and rows (level, columns, n_groups, collapsed).
+
+    A receipt or certificate number is a key if it collapses at most ``tolerance`` of the rows (nulls alike); else it is widened by date, amounts and mode, then by the person. Without such
+    a number the person's columns are taken as they are. Finance rows with a student id are never deduplicated. The levels make a chain: rows are grouped once, by the widest,
+    and each narrower level from the groups of the next.
+    """
+    col = lambda names: [roles[r] for r in names if roles.get(r) in df.columns]
+    none = df.sparkSession.createDataFrame([], "level int, columns string, n_groups long, collapsed double")
+    if domain == "finance" and col(["student_id"]):
+        return [], none
+    person = col(["student_id", "name", "student_mobile", "enquiry_date", "joining_date"])
+    number = (col(["receipt_id"]) or col(["certificate_number"]))[:1]
+    if not number:
+        return list(dict.fromkeys(person)), none
+    chain = [number, list(dict.fromkeys([*number, *col(["receipt_date", "amount", "paid", "payment_mode"]), *person]))]
+    finest = written(df.groupBy(*chain[-1]).agg(F.count(F.lit(1)).alias("__k")))
+    sizes, level = [], finest
+    for cols in reversed(chain):
+        level = level.groupBy(*cols).agg(F.sum("__k").alias("__k")) if cols != chain[-1] else level
+        groups, n = level.agg(F.count(F.lit(1)), F.coalesce(F.sum("__k"), F.lit(0))).first()
+        sizes.insert(0, (groups, (n - groups) / n if n else 1.0))
+    measured = df.sparkSession.createDataFrame([(k, ",".join(c), g, x) for k, (c, (g, x)) in enumerate(zip(chain, sizes, strict=True))], none.schema)
+    return next((c for c, (_, x) in zip(chain, sizes, strict=True) if x <= tolerance), []), measured
+
+
+def drop_repeats(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row (by ``order``, then by the other columns) of each value of the key, nulls alike; all rows for no key. One shuffle of partial firsts, so a frequent value is no single task."""
+    if not key:
+        return df
+    rest = [order, *(c for c in df.columns if c not in key and c != order)] if order not in key else [c for c in df.columns if c not in key]
+    (first,) = free(df, "first")
+    firsts = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias(first))
+    return firsts.select(*[F.col(c) if c in key else F.col(f"{first}.{c}") for c in df.columns])
+
+
 def normal_id(c: Column) -> Column:
     return c.cast("string").try_cast("double").try_cast("bigint")
 

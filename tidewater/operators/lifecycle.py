@@ -23,19 +23,38 @@ def resolve_duration(df: DataFrame, duration: str, course: str, table: dict[str,
     return out.withColumns({"duration_days": F.coalesce(own, F.col("__median"), given), "duration_basis": basis}).drop("__c", "__median")
 
 
-def churn(df: DataFrame, status: str, start: str, as_of: Column, grace_months: int = 6) -> DataFrame:
+def default_durations(df: DataFrame, by_category: dict[str, float], columns: list[str]) -> DataFrame:
+    """Fills duration_days that is still null from a table of category -> days (case and outer blanks aside), by the first of ``columns`` (the student's category, then the
+    course) whose value it has; duration_basis becomes category_default:<column>.
+    """
+    table = F.create_map(*[F.lit(x) for k, v in by_category.items() for x in (k.strip().lower(), float(v))])
+    have = [c for c in columns if c in df.columns]
+    found = [F.try_element_at(table, F.lower(F.trim(F.col(c).cast("string")))) for c in have]
+    if not have or not by_category:
+        return df
+    basis = F.coalesce(*[F.when(f.isNotNull(), F.lit(f"category_default:{c}")) for c, f in zip(have, found, strict=True)])
+    open_ = F.col("duration_days").isNull()
+    return df.withColumns({"duration_days": F.coalesce("duration_days", *found), "duration_basis": F.when(open_, basis).otherwise(F.col("duration_basis"))})
+
+
+def churn(df: DataFrame, status: str, start: str, as_of: Column, grace_months: int = 6, staff: str | None = None, unconditional: bool = False) -> DataFrame:
     """Adds churn_status, is_churn (null where it cannot be told), deadline and tenure_days.
 
-    The clock starts at the course's end: start plus duration_days; the deadline is ``grace_months`` later.
+    The clock starts at the course's end: start plus duration_days; the deadline is ``grace_months`` later. ``unconditional``: who is not to be entertained has
+    churned whatever the calendar says. Rows that the flag ``staff`` marks (students who became staff) have left for no other reason: they are staff_alumni, not churned, paused or unlabelled.
     """
     end = F.col(start) + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.col("duration_days").cast("int"))
     deadline = end + F.make_interval(F.lit(0), F.lit(grace_months))
     risk = F.col(status).isin("not_coming", "not_to_entertain")
     label = F.when(F.col(status).isNull(), "no_membership").when(F.col(status).isin("completed", "active"), F.col(status)).when(risk & F.col("__deadline").isNull(), "unlabelled").when(risk & (as_of >= F.col("__deadline")), "churned").when(risk, "paused").otherwise("unlabelled")
+    if unconditional:
+        label = F.when(F.col(status) == "not_to_entertain", "churned").otherwise(label)
+    if staff:
+        label = F.when(F.coalesce(F.col(staff).cast("boolean"), F.lit(False)) & label.isin("churned", "paused", "unlabelled"), "staff_alumni").otherwise(label)
     out = df.withColumn("__deadline", deadline).withColumn("churn_status", label)
     days = lambda a, b: F.floor((F.unix_micros(a) - F.unix_micros(b)) / 86_400_000_000)
     until = F.when(F.col("churn_status") == "churned", F.col("__deadline")).otherwise(as_of)
-    flag = F.when(F.col("churn_status") == "churned", True).when(F.col("churn_status").isin("paused", "active", "completed"), False)
+    flag = F.when(F.col("churn_status") == "churned", True).when(F.col("churn_status").isin("paused", "active", "completed", "staff_alumni"), False)
     return out.withColumns({"is_churn": flag, "tenure_days": days(until.cast("timestamp"), F.col(start).cast("timestamp"))}).withColumnRenamed("__deadline", "deadline")
 
 

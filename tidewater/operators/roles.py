@@ -52,6 +52,8 @@ def null_rates(df: DataFrame) -> DataFrame:
 def lifecycle_column(df: DataFrame, floor: float = 0.6, states: int = 2) -> DataFrame:
     """Rows (column, share, n_states) of text columns that speak the lifecycle vocabulary, the best first."""
     text = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    if not text:
+        return df.sparkSession.createDataFrame([], "column string, share double, n_states long")
     pairs = F.create_map(*[F.lit(x) for kv in T.LIFECYCLE_VALUES.items() for x in kv])
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), squeezed(F.col(f"`{c}`")).alias("v")) for c in text])).alias("x")).select("x.*").where("v <> ''")
     state = F.try_element_at(pairs, F.col("v"))

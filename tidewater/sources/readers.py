@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.operators.metrics import Blocked
+from tidewater.operators.ranking import written
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """``(rows, over-wide rows)``. All columns are strings; fields beyond the header are ignored, not shifted in."""
-    header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField("__bad", T.StringType())])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("enforceSchema", True).csv(path)
-    wide = spark.read.text(path).select(F.size(F.split("value", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")).alias("n")).where(F.col("n") > len(header)).count()
-    return rows.drop("__bad"), wide
+    """``(rows, over-wide rows)``. All columns are strings; fields beyond the header are ignored, not shifted in, and quoted fields may hold newlines and delimiters.
+
+    One pass reads rows and counts: the reader hands out what it could not fit to the header, and in those records the fields outside quotes are counted.
+    """
+    reader = lambda: spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    header = reader().csv(path).columns
+    bad = "bad"
+    while bad in header:
+        bad += "_"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, bad]])
+    rows = written(reader().schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("enforceSchema", True).csv(path))
+    bare = F.regexp_replace(F.col(f"`{bad}`"), r'"(?:[^"]|"")*"', "")
+    wide = rows.where(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(header)).count()
+    return rows.drop(bad), wide
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
