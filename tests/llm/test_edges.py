@@ -4,16 +4,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import common, decontaminate, licenses, line_dedup, mixing, ngram_join, quality_neighbours, quality_rules, repeats, token_counts, toxicity
+from tidewater.llm import byte_bpe, common, decontaminate, licenses, line_dedup, mixing, ngram_join, quality_neighbours, quality_rules, repeats, token_align, token_counts, toxicity
 
 #: Columns named like those that the operators use inside.
-SCHEMA = "doc_id long, text string, source string, id string, h string, tok string, cls string, n string, component string, rh string, w string, weight string, copies string"
+SCHEMA = "doc_id long, text string, source string, id string, h string, tok string, cls string, n string, component string, rh string, w string, weight string, copies string, __id string, __removed string, removed string, rh_ string, lost string, gone string, at string, mix_turn string, mix_copies string, src string, own string, x string"
 LONG = " ".join(f"w{k % 7919}" for k in range(60_000)) + "\n" + "same words here\n" * 3000
 ROWS = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, LONG), (6, "a b c d e f"), (6, "a b c d e f"), (6, "other text of the same id"), (7, "ß 日本 \U0001f600")]
 
 
 def docs(spark, rows=ROWS):
-    return spark.createDataFrame([(i, t, None if i == 4 else "s", *["x"] * 10) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None if i == 4 else "s", *["x"] * 22) for i, t in rows], SCHEMA)
 
 
 def operators(spark):
@@ -36,6 +36,8 @@ def operators(spark):
         "benchmark": lambda d: decontaminate.report(d, items),
         "licences": licenses.scan,
         "join": ngram_join.join,
+        "bytes": byte_bpe.encode_documents,
+        "align": token_align.align,
     }
 
 

@@ -40,6 +40,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that none of ``columns`` has, case aside."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a table that ``saved`` wrote and that nothing will read again."""
     jvm = df.sparkSession._jvm

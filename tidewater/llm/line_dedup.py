@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytesops as B
-from tidewater.llm.common import drop_saved, release, saved
+from tidewater.llm.common import drop_saved, free, release, saved
 from tidewater.llm.setjoin import BROADCAST_IDS, BUCKET, FLUSH, MAPS, differences, may_be_similar, meeting_points, prefix_length
 
 #: Hash buckets of the word counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
@@ -358,25 +358,26 @@ def _without(text: Column, gone: Column) -> Column:
     return run(text, gone)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """All rows and columns, the text without its repeated lines, and __removed, their number."""
-    gone = repeats(docs, id_col, text_col, percent).select(F.col("id").alias("__id"), F.col("rh").alias("__rh"), F.col("gone").alias("__gone"))
-    hit = (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__rh"))
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, str]:
+    """``(rows, column)``: all rows and columns, the text without its repeated lines, and the name of one more column, which holds their number."""
+    i, rh, lost, removed = free(docs.columns, "id", "rh", "lost", "removed")
+    gone = repeats(docs, id_col, text_col, percent).select(F.col("id").alias(i), F.col("rh").alias(rh), F.col("gone").alias(lost))
+    hit = (docs[id_col] == F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(rh))
     few = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda d: d)
     # Only the texts that lose lines go through Python, and where the table of ids is small none is moved.
-    cut = docs.join(few(gone.select("__id", "__rh")), hit, "left_semi").join(gone, hit)
-    cut = cut.select(*[_without(F.col(text_col), F.col("__gone")).alias(c) if c == text_col else docs[c] for c in docs.columns], F.size("__gone").alias("__removed"))
-    return cut.unionByName(docs.join(few(gone.select("__id", "__rh")), hit, "left_anti").withColumn("__removed", F.lit(0)))
+    cut = docs.join(few(gone.select(i, rh)), hit, "left_semi").join(gone, hit)
+    cut = cut.select(*[_without(docs[f"`{c}`"], F.col(lost)).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns], F.size(lost).alias(removed))
+    return cut.unionByName(docs.join(few(gone.select(i, rh)), hit, "left_anti").withColumn(removed, F.lit(0))), removed
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per document: id, text (without repeated lines), n_removed_lines."""
-    d = dedup(docs.select(id_col, text_col), id_col, text_col, percent)
-    return d.withColumnRenamed("__removed", "n_removed_lines")
+    d, removed = dedup(docs.select(id_col, text_col), id_col, text_col, percent)
+    return d.withColumnRenamed(removed, "n_removed_lines")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The documents' columns with shortened texts; documents of which no word is left go."""
-    d = dedup(docs, id_col, text_col, percent)
+    d, removed = dedup(docs, id_col, text_col, percent)
     bare = F.length(F.translate(F.coalesce(F.col(text_col), F.lit("")), " \t\n\x0b\f\r", "")) == 0
-    return d.where(~((F.col("__removed") > 0) & bare)).drop("__removed")
+    return d.where(~((F.col(removed) > 0) & bare)).drop(removed)
