@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.statistics import corrected_kurtosis, corrected_skew
+from tidewater.operators.ranking import bounds, free, joined, running, written
 
 
 def categorical_profile(df: DataFrame, dims: list[str], most: int = 30) -> DataFrame:
@@ -23,11 +24,36 @@ def categorical_profile(df: DataFrame, dims: list[str], most: int = 30) -> DataF
 
 
 def top_values(df: DataFrame, dims: list[str], top: int = 10) -> DataFrame:
-    """Rows (dimension, value, n, pct): the most frequent values of each dimension, ties by value."""
+    """Rows (dimension, value, n, pct): the most frequent values of each dimension, ties by value. Tasks keep their first ``top`` before the rank is
+    made (Spark's limit below the window), and totals are sums apart from it, so an id column is no single task.
+    """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])).alias("x")).select("x.*").where("value is not null")
     counts = long.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("dimension")
-    return counts.withColumn("pct", F.col("n") / F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "value"))).where(F.col("r") <= top).drop("r")
+    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))
+    first = counts.withColumn("r", rank).where(F.col("r") <= top).drop("r")
+    totals = df.agg(*[F.count(d).alias(f"t{k}") for k, d in enumerate(dims)]).select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"t{k}").alias("total")) for k, d in enumerate(dims)])).alias("x")).select("x.*")
+    return first.join(F.broadcast(totals), "dimension").select("dimension", "value", "n", (F.col("n") / F.col("total")).alias("pct"))
+
+
+def group_quantile(df: DataFrame, keys: list[str], column: str, q: float = 0.5, rows: int | None = None) -> DataFrame:
+    """Rows (keys, n, q): the interpolated exact quantile of each group; groups without values are absent.
+
+    Values are counted with partial sums, so the state is the distinct values in bounded hash tables, never a list by group; their running counts are made in
+    buckets of values (``ranking.running``) where there are many. Without ``rows`` a group's distinct values go to one task.
+    """
+    v, k, upto = free(df, "v", "k", "upto")
+    counts = df.select(*keys, F.col(column).cast("double").alias(v)).where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias(k))
+    at = []
+    if rows is not None:
+        counts = written(counts)
+        at = bounds(counts, v, counts.count(), rows)
+    ranked = running(counts, v, k, upto, at, keys)
+    total = counts.groupBy(*keys).agg(F.sum(k).alias("n"))
+    ranked = joined(ranked, total, keys)
+    rank = (F.col("n") - 1) * q
+    value = lambda r: F.min(F.when(F.col(upto) - 1 >= r, F.col(v)))
+    g = ranked.groupBy(*keys, "n").agg(value(F.floor(rank)).alias(v), value(F.ceil(rank)).alias(upto))
+    return g.select(*keys, "n", (F.col(v) + (F.col(upto) - F.col(v)) * (rank - F.floor(rank))).alias("q"))
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], slack: float = 5e-4) -> DataFrame:
@@ -100,15 +126,17 @@ def iqr_outliers(df: DataFrame, column: str, least: int = 8) -> DataFrame:
 
 def associations(df: DataFrame, dims: list[str], least: int = 20) -> DataFrame:
     """Rows (dim_a, dim_b, n, chi2, dof, cramers_v, strength, cell_a, cell_b, residual) of all pairs of dimensions, aggregated
-    together: absent cells add only their expected count, so no grid is built.
+    together: absent cells add only their expected count, so no grid is built. Margins are sums that are joined back, so no task holds a pair's cells.
     """
     pairs = F.array(*[F.struct(F.lit(a).alias("dim_a"), F.lit(b).alias("dim_b"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")) for a, b in combinations(dims, 2)])
     cells = df.select(F.explode(pairs).alias("p")).select("p.*").where("a is not null and b is not null").groupBy("dim_a", "dim_b", "a", "b").agg(F.count(F.lit(1)).alias("o"))
-    pair = Window.partitionBy("dim_a", "dim_b")
-    r, c, n = F.sum("o").over(Window.partitionBy("dim_a", "dim_b", "a")), F.sum("o").over(Window.partitionBy("dim_a", "dim_b", "b")), F.sum("o").over(pair)
-    m = cells.withColumns({"r": r, "c": c, "n": n}).withColumn("e", F.col("r") * F.col("c") / F.col("n"))
+    pair = ["dim_a", "dim_b"]
+    side = lambda c, name: cells.groupBy(*pair, c).agg(F.sum("o").alias(name))
+    rows, cols = side("a", "r"), side("b", "c")
+    size = rows.groupBy(*pair).agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("nr")).join(cols.groupBy(*pair).agg(F.count(F.lit(1)).alias("nc")), pair)
+    m = cells.join(rows, [*pair, "a"]).join(cols, [*pair, "b"]).join(F.broadcast(size), pair).withColumn("e", F.col("r") * F.col("c") / F.col("n"))  # a row a pair of dimensions
     m = m.withColumn("residual", (F.col("o") - F.col("e")) / F.sqrt("e"))
-    g = m.groupBy("dim_a", "dim_b").agg(F.max("n").alias("n"), (F.sum(F.col("o") * F.col("o") / F.col("e")) - F.max("n")).alias("chi2"), F.count_distinct("a").alias("nr"), F.count_distinct("b").alias("nc"), F.min(F.struct((-F.abs("residual")).alias("s"), "a", "b", "residual")).alias("top"))
+    g = m.groupBy(*pair, "n", "nr", "nc").agg((F.sum(F.col("o") * F.col("o") / F.col("e")) - F.col("n")).alias("chi2"), F.min(F.struct((-F.abs("residual")).alias("s"), "a", "b", "residual")).alias("top"))
     g = g.where((F.col("n") >= least) & (F.col("nr") >= 2) & (F.col("nc") >= 2))
     v = F.sqrt(F.col("chi2") / (F.col("n") * F.least(F.col("nr") - 1, F.col("nc") - 1)))
     return g.select("dim_a", "dim_b", "n", "chi2", ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("dof"), v.alias("cramers_v"), F.when(v < 0.1, "weak").when(v < 0.3, "moderate").otherwise("strong").alias("strength"), F.col("top.a").alias("cell_a"), F.col("top.b").alias("cell_b"), F.col("top.residual").alias("residual"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import canon
 from tidewater.functions import tables as T
+from tidewater.operators.explore import exact_quantiles
 from tidewater.operators.roles import detect
 
 
@@ -147,8 +148,8 @@ def preview(df: DataFrame, features: dict[str, tuple[Column, list[str]]], top: i
         if one.schema["v"].dataType.typeName() in ("string", "boolean", "date"):
             rows = one.groupBy(F.col("v").cast("string").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("value")).orderBy(F.desc("value"), "label").limit(top)
         else:
-            m = one.agg(F.min("v").cast("double").alias("min"), F.percentile("v", 0.5).alias("median"), F.max("v").cast("double").alias("max"))
-            rows = m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(k).alias("value")) for k in ("min", "median", "max")])).alias("x")).select("x.*")
+            m = exact_quantiles(one, ["v"], [0.0, 0.5, 1.0])
+            rows = m.select(F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.col("q")[k].alias("value")) for k, label in enumerate(("min", "median", "max"))])).alias("x")).select("x.*")
         rows = rows.select(F.lit(name).alias("feature"), "label", "value")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.explore import group_quantile
 from tidewater.operators.metrics import Blocked
 
 
@@ -16,7 +17,7 @@ def as_of(df: DataFrame, dates: list[str]) -> DataFrame:
 def resolve_duration(df: DataFrame, duration: str, course: str, table: dict[str, float] | None = None) -> DataFrame:
     """Adds duration_days and duration_basis: own positive value, then the course's median, then the given table."""
     own = F.when(F.col(duration) > 0, F.col(duration).cast("double"))
-    median = df.where(F.col(duration) > 0).groupBy(F.col(course).alias("__c")).agg(F.percentile(F.col(duration).cast("double"), 0.5).alias("__median"))
+    median = group_quantile(df.where((F.col(duration) > 0) & F.col(course).isNotNull()).select(F.col(course).alias("__c"), F.col(duration).alias("__d")), ["__c"], "__d").select("__c", F.col("q").alias("__median"))
     out = df.join(median, F.col(course) == F.col("__c"), "left")
     given = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(course)].cast("double") if table else F.lit(None).cast("double")
     basis = F.when(own.isNotNull(), "own").when(F.col("__median").isNotNull(), "course_median").when(given.isNotNull(), "table")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import tables as T
 from tidewater.operators.metrics import Blocked
+from tidewater.operators.ranking import written
 
 
 def key_facts(df: DataFrame, key: list[str]) -> tuple[int, int]:
@@ -180,7 +181,8 @@ def join_sources(master: DataFrame, sources: dict[str, DataFrame], key: list[str
                 basis = "key" if n == d else "collapsed"
                 if n > d and (order is None or order not in df.columns):
                     raise Blocked("the key repeats and nothing orders its rows")
-                master, _ = guarded_join(master, df if n == d else collapse(df, key, order), key, name)
+                # The collapsed table is written once: the guard's counts and the join read it, not the source.
+                master, _ = guarded_join(master, df if n == d else written(collapse(df, key, order)), key, name)
             else:
                 found = identity_key(master, df, list(identity))
                 basis = "identity:" + ",".join(found)

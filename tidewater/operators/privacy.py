@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import tables as T
 from tidewater.operators.flags import EMAIL, mask
-from tidewater.operators.roles import profile
+from tidewater.operators.roles import column_kinds
 
 #: A run of digits with the separators of phone numbers, ten digits alone, and a decimal number that is neither.
 RUN, BARE, DECIMAL = r"\+?\d[\d\s().\-]{8,14}\d", r"\b\d{10}\b", r"(^|[^\d.])[-+]?\d+\.\d+($|[^\d.])"
@@ -20,14 +20,14 @@ class Leak(Exception):
 
 
 def personal_columns(df: DataFrame, roles: dict[str, str], discover: bool = False) -> dict[str, str]:
-    """Column -> why: its role is personal, its header says so, or (``discover``) its values look like phones or e-mail addresses. The last takes a profile of the text columns left."""
+    """Column -> why: its role is personal, its header says so, or (``discover``) its values look like phones or e-mail addresses. The last takes one aggregation over the text columns left."""
     out = {c: r for r, c in roles.items() if r in T.PII_ROLES and c in df.columns}
     for c in df.columns:
         if c not in out and any(w in c.strip().lower() for w in T.PII_HEADERS):
             out[c] = "header"
     text = [f.name for f in df.schema if f.dataType.typeName() == "string" and f.name not in out]
     if discover and text:
-        out |= {r["column"]: "values" for r in profile(df, text).where("kind = 'pii'").select("column").collect()}  # a row a column
+        out |= {r["column"]: "values" for r in column_kinds(df, text).where("kind = 'pii'").select("column").collect()}  # a row a column
     return out
 
 

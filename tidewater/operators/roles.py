@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import tables as T
@@ -43,6 +43,77 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return g.select("column", "n", "n_distinct", "pii_share", "numeric_share", "date_share", kind.alias("kind"))
 
 
+#: Relative error of distinct counts that are only estimated, and how many of them a threshold must be away.
+ERROR, AWAY = 0.01, 4
+
+
+def distinct_where_it_matters(df: DataFrame, shown: dict[str, Column], n: dict[str, int], estimate: dict[str, int], thresholds) -> dict[str, int]:
+    """Distinct counts: the estimates, or an exact count for columns whose estimate is near a threshold (name -> numbers that decide). A count a column, each without a copy of the rows."""
+    out = dict(estimate)
+    for name, about in estimate.items():
+        if n[name] and any(abs(about - t) <= AWAY * ERROR * max(about, t) + 1 for t in thresholds(name)):
+            out[name] = df.select(shown[name].alias("v")).where("v is not null").distinct().count()
+    return out
+
+
+def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (column, n, pii_share, numeric_share, date_share, kind) of text columns, decided as ``profile`` decides, from one aggregation that neither
+    copies rows by column nor holds distinct values: distinct counts are sketches, made exact only where they decide nothing surely.
+    """
+    text = {c: F.trim(F.col(f"`{c}`").cast("string")) for c in columns}
+    shown = {c: F.when(t != "", F.col(f"`{c}`").cast("string")) for c, t in text.items()}
+    share = lambda v, hit: F.avg(F.when(v.isNotNull(), F.coalesce(hit, F.lit(False)).cast("double")))
+    aggs = []
+    for k, v in enumerate(shown.values()):
+        digits, bare = F.regexp_replace(v, r"\D", ""), F.regexp_replace(v, r"[₹$£€,\s]", "")
+        phone = F.length(digits).between(10, 12) & v.rlike(r"^[\d\s()+.\-]+$") & ~v.rlike(r"[/:]")
+        date = v.rlike(r"^\s*\d{1,4}[/\-.]\d{1,2}[/\-.]\d{1,4}") | v.rlike(r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b.*\d")
+        parts = {"n": F.count(v), "d": F.approx_count_distinct(v, ERROR), "pii": share(v, phone | v.contains("@")), "num": share(v, bare.try_cast("double").isNotNull()), "date": share(v, date), "int": share(v, bare.rlike(r"^\d+$")), "long": F.count_if(F.length(v) >= 6), "odd": F.count_if(F.length(v) >= 7)}
+        aggs += [c.alias(f"{name}{k}") for name, c in parts.items()]
+    row = df.agg(*aggs).first()
+    get = lambda name, k: row[f"{name}{k}"] or 0
+    n = {c: get("n", k) for k, c in enumerate(columns)}
+    distinct = distinct_where_it_matters(df, shown, n, {c: get("d", k) for k, c in enumerate(columns)}, lambda c: (50, 0.5 * n[c], 0.95 * n[c]))
+    out = []
+    for k, c in enumerate(columns):
+        if not n[c]:
+            continue
+        unique = distinct[c] / n[c]
+        half_long = get("long", k) * 2 >= n[c] if n[c] % 2 or get("long", k) * 2 != n[c] else False
+        an_id = n[c] >= 20 and get("int", k) >= 0.95 and half_long and unique >= 0.95
+        kind = "pii" if get("pii", k) >= 0.6 else "numeric" if get("num", k) >= 0.8 and not an_id else "date" if get("date", k) >= 0.6 else "dimension" if distinct[c] <= 50 and unique < 0.5 else "none"
+        out.append((c, n[c], float(get("pii", k)), float(get("num", k)), float(get("date", k)), kind))
+    return df.sparkSession.createDataFrame(out, "column string, n long, pii_share double, numeric_share double, date_share double, kind string")
+
+
+def schema_kinds(df: DataFrame) -> DataFrame:
+    """Rows (column, kind, n_values) as ``infer_schema`` tells kinds, from sketches; n_values is exact and given for categorical columns only."""
+    shown = {c: F.col(f"`{c}`") for c in df.columns}
+    n, *d = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(c, ERROR) for c in shown.values()]).first()
+    about = dict(zip(df.columns, d, strict=True))
+    whole = {c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
+    about = distinct_where_it_matters(df, shown, dict.fromkeys(df.columns, n), about, lambda c: (20, 0.95 * n) if c in whole else (50, 0.5 * n))
+    rows = [(c, kind, about[c]) for c, kind in kinds_of(df.dtypes, n, about)]
+    few = {c: df.select(shown[c].alias("v")).where("v is not null").distinct().count() for c, kind, _ in rows if kind == "categorical"}
+    return df.sparkSession.createDataFrame([(c, kind, few.get(c)) for c, kind, _ in rows], "column string, kind string, n_values long")
+
+
+def kinds_of(dtypes: list[tuple[str, str]], n: int, distinct: dict[str, int]) -> list[tuple[str, str]]:
+    """Kinds of columns by type and cardinality."""
+    out = []
+    for name, kind in dtypes:
+        whole, k = kind in ("tinyint", "smallint", "int", "bigint"), distinct[name]
+        if kind.startswith(("date", "timestamp")) or (kind == "string" and "date" in name.lower()):
+            out.append((name, "date"))
+        elif whole and k >= max(20, 0.95 * n):
+            out.append((name, "id"))
+        elif whole or kind in ("float", "double") or kind.startswith("decimal"):
+            out.append((name, "amount"))
+        else:
+            out.append((name, "categorical" if k <= 50 and n and k / n < 0.5 else "text"))
+    return out
+
+
 def null_rates(df: DataFrame) -> DataFrame:
     """Rows (column, null_rate), four decimals, one aggregation."""
     rates = df.agg(*[F.round(F.avg(F.col(f"`{c}`").isNull().cast("double")), 4).alias(f"c{k}") for k, c in enumerate(df.columns)])
@@ -97,48 +168,58 @@ def repeated_keys(df: DataFrame, key: list[str]) -> bool:
     return df.where(known).groupBy(*key).count().where("count > 1").limit(1).count() > 0
 
 
+#: Values of a mode that tell how a class is attended.
+ATTENDING = ["online", "offline", "hybrid", "both"]
+
+
 def specialise(df: DataFrame, roles: dict[str, str]) -> dict[str, str]:
-    """Bare roles renamed by what stands beside them: a mode whose values are all ways of attending is the class mode, else the enquiry's or
-    admission's; a status beside a certificate is the certificate's; a timestamp beside an admission date is not an enquiry.
+    """The roles with what headers of many meanings mean beside the others. A Timestamp is the record's; it dates an enquiry only where no column does so by name and no admission stands beside
+    it. A mode whose values are all ways of attending is the learning mode, else on a sheet of enquiries theirs. A status beside fees is the fees', beside a reason for leaving the churn's. The general
+    role stays, the special one is added.
     """
     out = dict(roles)
-    if "mode" in out:
-        kinds = df.select(F.collect_set(squeezed(F.col(out["mode"]))).alias("s")).select(F.size(F.array_except("s", F.array(*map(F.lit, ["online", "offline", "hybrid", "both"])))).alias("others"), F.size("s").alias("n")).first()
-        name = "class_mode" if kinds["n"] and not kinds["others"] else "enquiry_mode" if "enquiry_date" in out else "admission_mode" if "admission_date" in out else "mode"
-        out[name] = out.pop("mode")
-    if "status" in out and "certificate_number" in out:
-        out["certificate_status"] = out.pop("status")
-    if "admission_date" in out and "timestamp" in out.get("enquiry_date", "").lower():
-        out["recorded_at"] = out.pop("enquiry_date")
+    asked = out.get("enquiry_date", "")
+    if asked.strip().lower() == "timestamp":
+        out["record_timestamp"] = asked
+        named = next((c for c in df.columns if "date of enquiry" in c.strip().lower()), None)
+        if named:
+            out["enquiry_date"] = named
+        elif "admission_date" in out or "joining_date" in out:
+            del out["enquiry_date"]
+    if out.get("mode") in df.columns:
+        way = F.lower(F.trim(F.col(f"`{out['mode']}`").cast("string")))
+        n, others = df.agg(F.count(way), F.count_if(~way.isin(ATTENDING))).first()
+        if n and not others:
+            out["learning_mode"] = out["mode"]
+        elif "enquiry_date" in out and "admission_date" not in out:
+            out["enquiry_mode"] = out["mode"]
+    if "status" in out:
+        if {"pending", "amount", "paid"} & set(out):
+            out["fee_status"] = out["status"]
+        elif "status_reason" in out or "completion_status" in df.columns:
+            out["churn_status"] = out["status"]
     return out
 
 
 def infer_schema(df: DataFrame) -> DataFrame:
     """Rows (column, kind, n_distinct) by type and cardinality: date, id (whole numbers, nearly all distinct), amount, categorical, text; one pass."""
     n, *d = df.agg(F.count(F.lit(1)), *[F.count_distinct(F.col(f"`{c}`")) for c in df.columns]).first()
-    rows = []
-    for (name, kind), k in zip(df.dtypes, d, strict=True):
-        whole = kind in ("tinyint", "smallint", "int", "bigint")
-        if kind.startswith(("date", "timestamp")) or (kind == "string" and "date" in name.lower()):
-            is_ = "date"
-        elif whole and k >= max(20, 0.95 * n):
-            is_ = "id"
-        elif whole or kind in ("float", "double") or kind.startswith("decimal"):
-            is_ = "amount"
-        else:
-            is_ = "categorical" if k <= 50 and n and k / n < 0.5 else "text"
-        rows.append((name, is_, k))
+    distinct = dict(zip(df.columns, d, strict=True))
+    rows = [(c, kind, distinct[c]) for c, kind in kinds_of(df.dtypes, n, distinct)]
     return df.sparkSession.createDataFrame(rows, "column string, kind string, n_distinct long")
 
 
 def validate(sources: dict[str, DataFrame], keys: list[str]) -> DataFrame:
-    """Rows (source, item, kind, value): the rows, the null rate of each column and the repeats of each key column of each source; an aggregation each."""
+    """Rows (source, item, kind, value): the rows and the null rate of each column of each source from one aggregation, and the repeats of each key column from counts by key."""
     out = None
     for name, df in sources.items():
-        have = [k for k in keys if k in df.columns]
-        agg = df.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"c{k}") for k, c in enumerate(df.columns)], *[(F.count(k) - F.count_distinct(k)).cast("double").alias(f"k{i}") for i, k in enumerate(have)])
-        cells = [("rows", "rows", "n"), *[(c, "null_rate", f"c{k}") for k, c in enumerate(df.columns)], *[(k, "repeated_keys", f"k{i}") for i, k in enumerate(have)]]
-        rows = agg.select(F.explode(F.array(*[F.struct(F.lit(a).alias("item"), F.lit(b).alias("kind"), F.col(c).alias("value")) for a, b, c in cells])).alias("x")).select(F.lit(name).alias("source"), "x.*")
+        agg = df.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"c{k}") for k, c in enumerate(df.columns)])
+        cells = [("rows", "rows", "n"), *[(c, "null_rate", f"c{k}") for k, c in enumerate(df.columns)]]
+        parts = [agg.select(F.explode(F.array(*[F.struct(F.lit(a).alias("item"), F.lit(b).alias("kind"), F.col(c).alias("value")) for a, b, c in cells])).alias("x")).select("x.*")]
+        for k in (k for k in keys if k in df.columns):
+            per = df.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(per.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("double").alias("value")).select(F.lit(k).alias("item"), F.lit("repeated_keys").alias("kind"), "value"))
+        rows = reduce(lambda a, b: a.unionByName(b), parts).select(F.lit(name).alias("source"), "item", "kind", "value")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -200,7 +281,7 @@ def prune_questions(questions: list[tuple[str, str, list[str]]], columns: list[s
 
 def generic_question(df: DataFrame, most: int = 6, low: int = 2, high: int = 50) -> tuple[str, list[str]]:
     """``(measure, dimensions)`` for a table of unknown meaning: its first amount, and the dimensions of 2 to 50 values. Blocked without either."""
-    kinds = {r["column"]: (r["kind"], r["n_distinct"]) for r in infer_schema(df).collect()}  # a row per column
+    kinds = {r["column"]: (r["kind"], r["n_values"]) for r in schema_kinds(df).collect()}  # a row per column
     measure = next((c for c in df.columns if kinds[c][0] == "amount"), None)
     dims = [c for c in df.columns if kinds[c][0] == "categorical" and low <= kinds[c][1] <= high][:most]
     if measure is None or not dims:

@@ -128,12 +128,12 @@ def m7_segments(spark, d):
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY ALL), m AS (SELECT *, sum(o) OVER (PARTITION BY a) AS r, sum(o) OVER (PARTITION BY b) AS k, sum(o) OVER () AS n FROM c),
-s AS (SELECT sum(o*o*n/(r*k)) - max(n) AS chi2, max(n)::BIGINT AS n, count(DISTINCT a) AS nr, count(DISTINCT b) AS nc FROM m)
-SELECT round(chi2, 4) AS chi2, ((nr-1)*(nc-1))::BIGINT AS dof, n, round(sqrt(chi2/(n*least(nr-1, nc-1))), 6) AS cramers_v FROM s""")
+s AS (SELECT sum(o*o*n/(r*k)) - max(n) AS chi2, max(n)::BIGINT AS n, count(DISTINCT a) AS nr, count(DISTINCT b) AS nc, count(*) FILTER (r*k < 5*n) AS low FROM m)
+SELECT round(chi2, 4) AS chi2, ((nr-1)*(nc-1))::BIGINT AS dof, n, low AS low_expected, low = 0 AS valid, round(sqrt(chi2/(n*least(nr-1, nc-1))), 6) AS cramers_v, round(CASE WHEN low = 0 THEN exp(-chi2/2) * list_sum(list_transform(range(0, (nr-1)*(nc-1) // 2), lambda i: exp(i*ln(chi2/2) - lgamma(i+1)))) END, 6) AS p FROM s""")
 def m5_independence(spark, d):
     counts = _orders(spark, d).groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("k"))
     out = stats.chi2_independence(counts, "o_orderstatus", "o_orderpriority", "k")
-    return out.select(F.round("chi2", 4).alias("chi2"), "dof", "n", F.round("cramers_v", 6).alias("cramers_v"))
+    return out.select(F.round("chi2", 4).alias("chi2"), "dof", "n", "low_expected", "valid", F.round("cramers_v", 6).alias("cramers_v"), F.round("p", 6).alias("p"))
 
 
 @query("""WITH l AS (SELECT datediff('day', o_orderdate, l_shipdate) AS t, (l_linestatus = 'F')::INT AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate),
@@ -174,13 +174,13 @@ def m13_series(spark, d):
     return _rounded(stats.monthly_series(_orders(spark, d), "o_orderdate", "o_totalprice"), 4)
 
 
-@query(f"""WITH oc AS {_OC}, c AS (SELECT c_mktsegment AS r, o_orderpriority AS k, count(*) AS n, avg(done::INT) AS v FROM oc GROUP BY ALL), r AS (SELECT c_mktsegment AS r, avg(done::INT) AS rv FROM oc GROUP BY 1),
-k AS (SELECT o_orderpriority AS k, avg(done::INT) AS kv FROM oc GROUP BY 1), o AS (SELECT avg(done::INT) AS ov FROM oc)
-SELECT r AS "row", k AS col, n, round(CASE WHEN n >= 30 THEN v END, 6) AS value, round(CASE WHEN n >= 30 THEN rv + kv - ov END, 6) AS expected, round(CASE WHEN n >= 30 THEN v - (rv + kv - ov) END, 6) AS residual, n < 30 AS suppressed
-FROM c JOIN r USING (r) JOIN k USING (k), o""")
+@query(f"""WITH oc AS {_OC}, g AS (SELECT c_mktsegment AS r, o_orderpriority AS k, count(*) AS n, avg(done::INT) AS p, grouping(c_mktsegment, o_orderpriority) AS g FROM oc GROUP BY GROUPING SETS ((), (c_mktsegment), (o_orderpriority), (c_mktsegment, o_orderpriority))),
+c AS (SELECT *, {_WILSON[0]} AS lo, {_WILSON[1]} AS hi, g = 0 AND n < 30 AS hidden, CASE WHEN g = 0 THEN (SELECT p FROM g x WHERE g = 1 AND x.r = g.r) + (SELECT p FROM g x WHERE g = 2 AND x.k = g.k) - (SELECT p FROM g WHERE g = 3) END AS e FROM g)
+SELECT CASE g WHEN 0 THEN 'cell' WHEN 1 THEN 'row' WHEN 2 THEN 'column' ELSE 'overall' END AS level, r AS "row", k AS col, n, round(CASE WHEN NOT hidden THEN p END, 6) AS value, round(CASE WHEN NOT hidden THEN lo END, 6) AS ci_low, round(CASE WHEN NOT hidden THEN hi END, 6) AS ci_high,
+round(CASE WHEN NOT hidden THEN e END, 6) AS expected, round(CASE WHEN NOT hidden THEN p - e END, 6) AS residual, hidden AS suppressed FROM c""")
 def k1_cross(spark, d):
-    out = cross.crosstab(_orders_customers(spark, d), Metric("rate", "done"), "c_mktsegment", "o_orderpriority").where("level = 'cell'")
-    return _rounded(out.select("row", "col", "n", "value", "expected", "residual", "suppressed"))
+    out = cross.crosstab(_orders_customers(spark, d), Metric("rate", "done"), "c_mktsegment", "o_orderpriority")
+    return _rounded(out.select("level", "row", "col", "n", "value", "ci_low", "ci_high", "expected", "residual", "suppressed"))
 
 
 @query("""WITH f AS (SELECT *, o_orderpriority = '1-URGENT' AS a, o_totalprice > 100000 AS b, o_orderstatus NOT IN ('P') AS c FROM orders)
@@ -492,9 +492,10 @@ def p16_nulls(spark, d):
 
 
 @query("""WITH l AS (SELECT 'c_mktsegment' AS "column", c_mktsegment AS v FROM customer UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'c_acctbal', c_acctbal::VARCHAR FROM customer)
-SELECT "column", count(*) AS n, count(DISTINCT v) AS n_distinct, CASE "column" WHEN 'c_mktsegment' THEN 'dimension' WHEN 'c_acctbal' THEN 'numeric' ELSE 'none' END AS kind FROM l WHERE v IS NOT NULL GROUP BY 1""")
+SELECT "column", count(*) AS n, count(DISTINCT v) AS n_distinct, 0.0 AS pii_share, round(avg((TRY_CAST(v AS DOUBLE) IS NOT NULL)::INT), 6) AS numeric_share, round(avg(regexp_matches(v, '^\\s*\\d{1,4}[/.-]\\d{1,2}[/.-]\\d{1,4}')::INT), 6) AS date_share, CASE "column" WHEN 'c_mktsegment' THEN 'dimension' WHEN 'c_acctbal' THEN 'numeric' ELSE 'none' END AS kind FROM l WHERE v IS NOT NULL GROUP BY 1""")
 def p2_profile(spark, d):
-    return roles.profile(_t(spark, d, "customer"), ["c_mktsegment", "c_name", "c_acctbal"]).select("column", "n", "n_distinct", "kind")
+    out = roles.profile(_t(spark, d, "customer"), ["c_mktsegment", "c_name", "c_acctbal"])
+    return _rounded(out)
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS hits, round(count(*) FILTER (event_type = 'purchase') / count(*), 6) AS value FROM events GROUP BY 1")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import canon
+from tidewater.functions import tables as T
 from tidewater.operators import classify, clean, cross, decide, explore, flags, lifecycle, link, roles, stats
 from tidewater.operators import metrics as measures
 from tidewater.operators.metrics import Metric, breakdown, compare_periods, drivers
@@ -279,7 +280,9 @@ def x7_sources(spark, d):
     return out.select("id", F.round("orders__price", 2).alias("orders__price"), "nations__n_name")
 
 
-@query("SELECT * FROM (VALUES ('orders', true, 'collapsed', NULL), ('nations', true, 'identity:n_nationkey', NULL), ('events', false, NULL, 'no candidate identifies rows on the right')) t(source, accepted, basis, reason) WHERE (SELECT count(*) FROM customer) > 0")
+@query("""SELECT 'orders' AS source, (SELECT count(*) FROM orders SEMI JOIN customer ON o_custkey = c_custkey) > 0 AS accepted, CASE WHEN count(*) = count(DISTINCT o_custkey) THEN 'key' ELSE 'collapsed' END AS basis, NULL AS reason FROM orders
+UNION ALL SELECT 'nations', count(*) = count(DISTINCT n_nationkey), CASE WHEN count(*) = count(DISTINCT n_nationkey) THEN 'identity:n_nationkey' END, CASE WHEN count(*) > count(DISTINCT n_nationkey) THEN 'no candidate identifies rows on the right' END FROM nation
+UNION ALL SELECT 'events', false, NULL, 'no candidate identifies rows on the right' FROM events HAVING count(*) > 0""")
 def x7_report(spark, d):
     c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n_nationkey"))
     o = _t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("seq"))
@@ -355,9 +358,13 @@ def k5_grid(spark, d):
 _CROSS_ROLES = {"branch": "c_mktsegment", "course": "o_orderpriority", "faculty": "o_orderstatus", "source": "one", "payment_mode": "c_mktsegment"}
 
 
-@query("SELECT * FROM (VALUES (0, 'c_mktsegment', 'o_orderpriority'), (1, 'c_mktsegment', 'o_orderstatus'), (2, 'o_orderpriority', 'o_orderstatus')) t(place, rows, cols) WHERE (SELECT count(*) FROM orders) > 1")
+_PAIRS = ", ".join(f"({k}, '{_CROSS_ROLES[a]}', '{_CROSS_ROLES[b]}')" for k, (a, b) in enumerate(T.CROSS_PAIRS) if a in _CROSS_ROLES and b in _CROSS_ROLES)
+
+
+@query(f"""WITH oc AS {_OC}, v AS (SELECT 'c_mktsegment' AS c, count(DISTINCT c_mktsegment) AS n FROM oc UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM oc UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus) FROM oc UNION ALL SELECT 'one', count(DISTINCT o_orderkey >= 0) FROM oc)
+SELECT row_number() OVER (ORDER BY k) - 1 AS place, rows, cols FROM (VALUES {_PAIRS}) t(k, rows, cols) JOIN v a ON a.c = rows JOIN v b ON b.c = cols WHERE rows <> cols AND a.n > 1 AND b.n > 1""")
 def k6_pairs(spark, d):
-    pairs = cross.suggest_pairs(_orders_customers(spark, d).withColumn("one", F.lit("x")), _CROSS_ROLES)
+    pairs = cross.suggest_pairs(_orders_customers(spark, d).withColumn("one", (F.col("o_orderkey") >= 0).cast("string")), _CROSS_ROLES)
     return spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "place int, rows string, cols string")
 
 
@@ -387,55 +394,27 @@ def k4_interactions(spark, d):
     return _rounded(out.select("row", "col", "n", "row_z", "col_z", "interaction"))
 
 
-@query("SELECT 'independence' AS topic, 'The rate depends on the combination: some cell differs from what its margins predict.' AS note WHERE (SELECT count(*) FROM orders) > 0")
-def k8_notes(spark, d):
-    o, m = _planted(spark, d), Metric("rate", "hit")
-    cells = cross.crosstab(o, m, "c_mktsegment", "o_orderpriority", min_cell=1)
-    return cross.cross_notes(cells, cross.grid_independence(o, m, "c_mktsegment", "o_orderpriority"), "rate")
-
-
-# Exploration and metrics -----------------------------------------------------------------------------------------
-
-
-@query("""WITH g AS (SELECT isodow(o_orderdate) AS w, dayname(o_orderdate) AS day, count(*) AS k FROM orders GROUP BY ALL) SELECT sum(k)::BIGINT AS n, round(sum(k) FILTER (w >= 6)/sum(k), 6) AS weekend_share, arg_min(day, (-k, w)) AS busiest_day, max(k) AS busiest_n FROM g""")
-def e3_calendar(spark, d):
-    return _rounded(explore.calendar_profile(_t(spark, d, "orders"), "o_orderdate"))
-
-
-@query(f"""WITH oc AS (SELECT p_brand AS a, 'B' || right(p_brand, 1) AS b FROM part), c AS (SELECT a, b, count(*) AS o FROM oc GROUP BY ALL), m AS (SELECT *, sum(o) OVER (PARTITION BY a) * sum(o) OVER (PARTITION BY b) / sum(o) OVER () AS e, sum(o) OVER () AS n FROM c),
-v AS (SELECT sqrt((sum(o*o/e) - max(n))/(max(n)*least(count(DISTINCT a), count(DISTINCT b)) - max(n))) AS v FROM m), s AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*)::DOUBLE AS y FROM orders GROUP BY 1),
-t AS (SELECT month, (y - b)/b AS c FROM (SELECT month, y, CASE WHEN count(*) OVER w = 3 THEN avg(y) OVER w END AS b FROM s WINDOW w AS (ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) WHERE abs((y - b)/b) >= 0.12),
-d AS (SELECT count(*) AS n, avg(y) FILTER (i <= floor(k/2)) AS f, avg(y) FILTER (i > floor(k/2)) AS s FROM (SELECT y, row_number() OVER (ORDER BY month) AS i, count(*) OVER () AS k FROM s)),
-u AS (SELECT 0 AS k, 'association' AS kind, 'p_brand x tail' AS subject, v AS measure FROM v UNION ALL SELECT 1, 'trend', CASE WHEN s > f THEN 'rising' ELSE 'falling' END, (s-f)/abs(f) FROM d WHERE n >= 4 AND abs((s-f)/abs(f)) > 0.1 UNION ALL SELECT 2, 'spike', month, c FROM t),
-r AS (SELECT *, row_number() OVER (ORDER BY k, abs(measure) DESC, subject) AS rank FROM u) SELECT rank::INT AS rank, kind, subject, round(measure, 6) AS measure FROM r WHERE rank <= 12""")
-def e8_hypotheses(spark, d):
-    p = _t(spark, d, "part").withColumn("tail", F.concat(F.lit("B"), F.right("p_brand", F.lit(1))))
-    series = stats.monthly_series(_orders(spark, d), "o_orderdate")
-    out = explore.hypotheses(explore.associations(p, ["p_brand", "tail"]), explore.trend_direction(series, "month", "value"), explore.spikes(series, "month", "value", least=0.12), "month", explore.calendar_profile(_t(spark, d, "orders"), "o_orderdate"))
-    return _rounded(out.select("rank", "kind", "subject", "measure"))
-
-
-@query("""WITH h AS (SELECT count(*) AS n FROM nation), g AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) SELECT 'few_rows' AS topic, n FROM h WHERE n < 30 UNION ALL SELECT 'thin_segments', count(*) FROM g WHERE n < 30""")
-def j8_caveats(spark, d):
-    n = _t(spark, d, "nation").withColumn("even", F.col("n_nationkey") % 2 == 0)
-    m = Metric("rate", "even")
-    none = compare_periods(_orders(spark, d), Metric("count"), "o_orderdate").where("false")
-    return measures.caveats(measures.headline(n, m), breakdown(n, m, ["n_regionkey"]), none)
-
-
-# Prediction ------------------------------------------------------------------------------------------------------
-
-
-@query(f"WITH {_ENROL} SELECT label, count(*) AS n FROM (SELECT CASE status WHEN 'not_coming' THEN 1 WHEN 'completed' THEN 0 END AS label FROM e) WHERE label IS NOT NULL GROUP BY 1")
-def n1_terminal(spark, d):
-    return classify.terminal_labels(_enrolments(spark, d), "status").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def _notes_sql(flag: str, tag: str) -> str:
+    """The notes on a rate over the grid: chi-square of cells against the flag (its tail in closed form, as 24 degrees of freedom are even), and the interactions."""
+    return f"""(WITH {_PLANTED}, f AS (SELECT c_mktsegment AS r, o_orderpriority AS k, {flag} AS y FROM oc), g AS (SELECT r, k, count(*) AS n, sum(y::INT) AS x FROM f GROUP BY ALL),
+t AS (SELECT sum(n) AS tn, sum(x) AS tx, count(*) AS cells FROM g), c AS (SELECT sum(power(x - n*tx/tn, 2)/(n*tx/tn) + power(x - n*tx/tn, 2)/(n*(tn-tx)/tn)) AS chi2, min(least(n*tx/tn, n*(tn-tx)/tn)) AS low, max(cells)::INT - 1 AS dof FROM g, t),
+pv AS (SELECT low, exp(-chi2/2) * list_sum(list_transform(range(0, dof // 2), lambda i: exp(i*ln(chi2/2) - lgamma(i+1)))) AS p FROM c),
+a AS (SELECT *, sum(n) OVER (PARTITION BY r) AS rn, sum(x) OVER (PARTITION BY r) AS rx, sum(n) OVER (PARTITION BY k) AS kn, sum(x) OVER (PARTITION BY k) AS kx FROM g),
+z AS (SELECT r, k, n, (x/n - (rx-x)/(rn-n)) / sqrt(rx/rn*(1-rx/rn)*(1/n + 1/(rn-n))) AS row_z, (x/n - (kx-x)/(kn-n)) / sqrt(kx/kn*(1-kx/kn)*(1/n + 1/(kn-n))) AS col_z FROM a),
+q0 AS (SELECT *, (SELECT {_TWO_SIDED} FROM (SELECT row_z AS z)) AS rp, (SELECT {_TWO_SIDED} FROM (SELECT col_z AS z)) AS cp FROM z), m AS (SELECT *, row_number() OVER (ORDER BY rp) AS ri, row_number() OVER (ORDER BY cp) AS ci, count(*) OVER () AS m FROM q0),
+q AS (SELECT *, least(1.0, min(rp*m/ri) OVER (ORDER BY ri DESC ROWS UNBOUNDED PRECEDING)) AS row_q, least(1.0, min(cp*m/ci) OVER (ORDER BY ci DESC ROWS UNBOUNDED PRECEDING)) AS col_q FROM m)
+SELECT '{tag}' AS flag, 'independence' AS topic, CASE WHEN low < 5 THEN 'The grid is too thin for a test.' WHEN p > 0.05 THEN 'The rate looks independent of the combination.' ELSE 'The rate depends on the combination: some cell differs from what its margins predict.' END AS note FROM pv
+UNION ALL SELECT '{tag}', 'interactions', 'No cell beats both of its margins after correction.' FROM q HAVING count(*) FILTER (row_q <= 0.05 AND col_q <= 0.05) = 0)"""
 
 
-@query("SELECT 'feature' AS kind, 'lang' AS name WHERE (SELECT count(DISTINCT lang) FROM documents) BETWEEN 2 AND 30 UNION ALL SELECT 'feature', 'source' WHERE (SELECT count(DISTINCT source) FROM documents) BETWEEN 2 AND 30 UNION ALL SELECT 'flag', 'long' WHERE (SELECT count(DISTINCT n_chars > 1000) FROM documents) > 1")
-def n3_features(spark, d):
-    x = _t(spark, d, "documents").withColumns({"long": F.col("n_chars") > 1000, "always": F.lit(True)})
-    found = [("feature", c) for c in classify.select_features(x, ["lang", "source", "doc_id"])] + [("flag", c) for c in classify.select_flags(x, ["long", "always", "missing"])]
-    return spark.createDataFrame(found, "kind string, name string")
+@query(f"SELECT * FROM {_notes_sql('hit', 'planted')} UNION ALL SELECT * FROM {_notes_sql('hash_ % 10 = 3', 'even')}")
+def k8_notes(spark, d):
+    o, out = _planted(spark, d).withColumn("even", F.pmod(F.col("o_orderkey") * 7, F.lit(1000)) % 10 == 3), None
+    for flag, tag in (("hit", "planted"), ("even", "even")):
+        m = Metric("rate", flag)
+        notes = cross.cross_notes(cross.crosstab(o, m, "c_mktsegment", "o_orderpriority", min_cell=1), cross.grid_independence(o, m, "c_mktsegment", "o_orderpriority"), "rate").select(F.lit(tag).alias("flag"), "topic", "note")
+        out = notes if out is None else out.unionByName(notes)
+    return out
 
 
 @query("""WITH x AS (SELECT toxic, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::UINTEGER % 5 = 0 AS h FROM labels) SELECT 'train' AS part, count(*) AS n FROM x WHERE NOT h UNION ALL SELECT 'holdout', count(*) FROM x WHERE h UNION ALL SELECT 'train, one class', count(*) FROM x WHERE toxic = 1 UNION ALL SELECT 'holdout, one class', count(*) FROM x WHERE toxic = 1""")
@@ -449,11 +428,15 @@ def n4_split(spark, d):
     return out
 
 
-@query("""WITH t AS (SELECT count(quality) AS n, least(count(*) FILTER (quality = 1), count(*) FILTER (quality <> 1)) AS m FROM labels) SELECT 'small_training_set' AS caveat FROM t WHERE n < 80 UNION ALL SELECT 'no_gain_over_majority' UNION ALL SELECT 'thin_class' FROM t WHERE m < 20""")
+@query("""WITH t AS (SELECT 'always' AS model, quality AS y, 1 AS p FROM labels UNION ALL SELECT 'toxic', toxic, quality FROM labels UNION ALL SELECT 'few', toxic, toxic FROM labels WHERE doc_id < 300),
+g AS (SELECT model, count(y) AS n, least(count(*) FILTER (y = 1), count(*) FILTER (y <> 1)) AS m, avg((p = y)::INT) - greatest(avg(y), 1 - avg(y)) AS lift FROM t GROUP BY 1)
+SELECT model, 'small_training_set' AS caveat FROM g WHERE n < 80 UNION ALL SELECT model, 'no_gain_over_majority' FROM g WHERE lift <= 1e-9 UNION ALL SELECT model, 'thin_class' FROM g WHERE m < 20""")
 def n8_caveats(spark, d):
-    x = _t(spark, d, "labels")
-    always = classify.evaluate(x.withColumn("predicted", F.lit(1)), "quality")
-    return classify.caveats(always.withColumn("lift", F.least("lift", F.lit(0.0))), x, "quality")
+    x, out = _t(spark, d, "labels"), None
+    for name, df, label, predicted in (("always", x, "quality", F.lit(1)), ("toxic", x, "toxic", F.col("quality")), ("few", x.where("doc_id < 300"), "toxic", F.col("toxic"))):
+        rows = classify.caveats(classify.evaluate(df.withColumn("predicted", predicted), label), df, label).select(F.lit(name).alias("model"), "caveat")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # Decisions -------------------------------------------------------------------------------------------------------
@@ -495,16 +478,38 @@ def o4_health(spark, d):
     return decide.business_health(compare_periods(_orders(spark, d), Metric("count"), "o_orderdate", 12), found)
 
 
-@query(f"WITH {_PERIODS} SELECT round(100*(0.4*0.8 + 0.4*CASE WHEN sig THEN 0.9 ELSE 0.4 END + 0.2*0.4))::INT AS confidence FROM k")
+_TIES = """SELECT c_mktsegment AS a, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE o_orderpriority END AS b FROM oc"""
+
+
+@query(f"""WITH {_PERIODS}, oc AS {_OC}, l AS (SELECT 'loose' AS pair, c_mktsegment AS a, o_orderpriority AS b FROM oc UNION ALL SELECT 'tied', * FROM ({_TIES})), c AS (SELECT pair, a, b, count(*) AS o FROM l GROUP BY ALL),
+m AS (SELECT *, sum(o) OVER (PARTITION BY pair, a) AS r, sum(o) OVER (PARTITION BY pair, b) AS k, sum(o) OVER (PARTITION BY pair) AS n FROM c), v AS (SELECT pair, sqrt((sum(o*o*n/(r*k)) - max(n))/(max(n)*(least(count(DISTINCT a), count(DISTINCT b)) - 1))) AS v FROM m GROUP BY 1),
+q AS (SELECT 100 * (0.6 * avg((o_orderstatus <> 'P')::INT) + 0.4 * (1 - avg((o_orderkey % 7 = 0)::INT))) AS q FROM orders)
+SELECT pair, round(100*(0.4*q/100 + 0.4*CASE WHEN sig THEN 0.9 ELSE 0.4 END + 0.2*CASE WHEN v >= 0.1 THEN 0.9 ELSE 0.4 END))::INT AS confidence FROM k, v, q""")
 def o4_confidence(spark, d):
-    weak = explore.associations(_orders_customers(spark, d), ["o_orderpriority", "c_mktsegment"])
-    return decide.confidence_score(compare_periods(_orders(spark, d), Metric("count"), "o_orderdate", 12), weak.where("cramers_v < 0.1"), 80.0)
+    oc = _orders_customers(spark, d).withColumn("tie", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("o_orderpriority")))
+    kept, gaps = _t(spark, d, "orders").agg(F.avg((F.col("o_orderstatus") != "P").cast("double")), F.avg((F.col("o_orderkey") % 7 == 0).cast("double"))).first()
+    moved, out = compare_periods(_orders(spark, d), Metric("count"), "o_orderdate", 12), None
+    for name, dims in (("loose", ["c_mktsegment", "o_orderpriority"]), ("tied", ["c_mktsegment", "tie"])):
+        one = decide.confidence_score(moved, explore.associations(oc, dims), flags.quality_score(kept, gaps)).select(F.lit(name).alias("pair"), "confidence")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Orders of which a third of the last year's is missing, and of which a third of the year before's is.
+_FALLING = """t AS (SELECT max(o_orderdate) AS t FROM orders), o AS (SELECT 'orders' AS metric, o_orderdate AS d FROM orders, t WHERE o_orderdate <= t - INTERVAL 12 MONTH OR o_orderkey % 3 > 0 OR o_orderdate = t UNION ALL SELECT 'load', o_orderdate FROM orders, t WHERE o_orderdate > t - INTERVAL 12 MONTH OR o_orderkey % 3 > 0 UNION ALL SELECT 'even', o_orderdate FROM orders),
+p AS (SELECT metric, count(*) FILTER (d > t - INTERVAL 12 MONTH)::DOUBLE AS c, count(*) FILTER (d <= t - INTERVAL 12 MONTH AND d > t - INTERVAL 24 MONTH)::DOUBLE AS p FROM o, t GROUP BY 1), k AS (SELECT *, c - p AS delta, (c - p)/p AS pct, abs((c - p)/sqrt(c + p)) >= 1.96 AS sig FROM p)"""
 
 
-@query(f"WITH {_PERIODS} SELECT 'orders' AS metric, 'trend_alert' AS type, 'warning' AS severity, CASE WHEN delta < 0 THEN 'declining' ELSE 'rising' END AS trend, c AS observed, p AS threshold, round(pct, 6) AS delta_pct FROM k WHERE sig AND delta < 0 UNION ALL SELECT 'load', 'trend_alert', 'warning', 'rising', c, p, round(pct, 6) FROM k WHERE sig AND delta > 0")
+@query(f"WITH {_FALLING} SELECT metric, 'trend_alert' AS type, 'warning' AS severity, CASE WHEN delta < 0 THEN 'declining' ELSE 'rising' END AS trend, c AS observed, p AS threshold, round(pct, 6) AS delta_pct FROM k WHERE sig AND CASE WHEN metric = 'load' THEN delta > 0 ELSE delta < 0 END")
 def o12_trend_alerts(spark, d):
-    c = compare_periods(_orders(spark, d), Metric("count"), "o_orderdate", 12)
-    return _rounded(decide.trend_alerts(c, "orders").unionByName(decide.trend_alerts(c, "load", lower_is_better=True)))
+    o = _orders(spark, d).join(F.broadcast(_orders(spark, d).agg(F.max("o_orderdate").alias("t"))))
+    recent, kept = F.col("o_orderdate") > F.col("t") - F.make_interval(F.lit(0), F.lit(12)), F.col("o_orderkey") % 3 > 0
+    sides = {"orders": o.where(~recent | kept | (F.col("o_orderdate") == F.col("t"))), "load": o.where(recent | kept), "even": o}
+    out = None
+    for name, df in sides.items():
+        one = decide.trend_alerts(compare_periods(df.drop("t"), Metric("count"), "o_orderdate", 12), name, lower_is_better=name == "load")
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out)
 
 
 @query("SELECT count(*) FILTER (n_nationkey % 4 > 0) AS answered, count(*) FILTER (n_nationkey % 4 = 0) AS skipped, string_agg(n_name, ',' ORDER BY n_name) FILTER (n_nationkey % 4 > 0) AS metrics FROM nation")
@@ -522,10 +527,21 @@ def o14_quality(spark, d):
 # Roles -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CASE WHEN count(DISTINCT o_orderkey % 3) = 3 THEN 'class_mode' ELSE 'class_mode' END AS role, 'how' AS \"column\" FROM orders UNION ALL SELECT 'certificate_status', 'state' UNION ALL SELECT 'certificate_number', 'serial'")
+_HOWS = """h AS (SELECT 'orders' AS sheet, CASE WHEN o_orderstatus = 'F' THEN 'Online' WHEN o_orderstatus = 'O' THEN 'offline ' ELSE 'Hybrid' END AS v FROM orders UNION ALL SELECT 'events', event_type FROM events UNION ALL SELECT 'lines', CASE WHEN l_returnflag = 'R' THEN 'online' ELSE l_returnflag END FROM lineitem),
+m AS (SELECT sheet, bool_and(lower(trim(v)) IN ('online', 'offline', 'hybrid', 'both')) AS attends FROM h GROUP BY 1)"""
+
+
+@query(f"""WITH {_HOWS} SELECT sheet, CASE WHEN attends THEN 'learning_mode' ELSE 'enquiry_mode' END AS role, 'how' AS "column" FROM m WHERE attends OR sheet = 'events' UNION ALL SELECT sheet, 'mode', 'how' FROM m UNION ALL SELECT 'orders', unnest(['status', 'fee_status']), 'o_orderstatus' UNION ALL SELECT 'orders', 'amount', 'o_totalprice'
+UNION ALL SELECT 'events', unnest(['enquiry_date', 'record_timestamp']), 'Timestamp' UNION ALL SELECT 'lines', 'admission_date', 'came' UNION ALL SELECT 'lines', 'record_timestamp', 'Timestamp' UNION ALL SELECT 'lines', unnest(['status', 'churn_status']), 'l_linestatus' UNION ALL SELECT 'lines', 'status_reason', 'why'""")
 def p3_context(spark, d):
-    o = _t(spark, d, "orders").withColumn("how", _pick("o_orderkey", "Online", "offline ", "Hybrid"))
-    return spark.createDataFrame(sorted(roles.specialise(o, {"mode": "how", "status": "state", "certificate_number": "serial"}).items()), "role string, column string")
+    s = F.col("o_orderstatus")
+    sheets = {
+        "orders": (_t(spark, d, "orders").withColumn("how", F.when(s == "F", "Online").when(s == "O", "offline ").otherwise("Hybrid")), {"mode": "how", "status": "o_orderstatus", "amount": "o_totalprice"}),
+        "events": (_t(spark, d, "events").select(F.col("event_type").alias("how"), F.col("ts").alias("Timestamp")), {"mode": "how", "enquiry_date": "Timestamp"}),
+        "lines": (_t(spark, d, "lineitem").withColumn("how", F.when(F.col("l_returnflag") == "R", "online").otherwise(F.col("l_returnflag"))), {"mode": "how", "admission_date": "came", "enquiry_date": "Timestamp", "status": "l_linestatus", "status_reason": "why"}),
+    }
+    rows = [(n, r, c) for n, (df, found) in sheets.items() for r, c in roles.specialise(df, found).items()]
+    return spark.createDataFrame(rows, "sheet string, role string, column string")
 
 
 @query("""SELECT 'o_orderkey' AS "column", 'id' AS kind, count(DISTINCT o_orderkey) AS n_distinct FROM orders UNION ALL SELECT 'o_custkey', CASE WHEN count(DISTINCT o_custkey) >= greatest(20, 0.95*count(*)) THEN 'id' ELSE 'amount' END, count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'o_orderstatus', 'categorical', count(DISTINCT o_orderstatus) FROM orders

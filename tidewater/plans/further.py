@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import tables as T
-from tidewater.operators import capability, clean, flags, identity, lifecycle, privacy, stats
+from tidewater.operators import capability, clean, explore, flags, identity, lifecycle, privacy, roles, stats
 from tidewater.operators.roles import detect
 from tidewater.plans.catalogue import _TWO_SIDED, _WILSON, _orders, _orders_customers, _rounded, _t, query
 
@@ -186,6 +186,26 @@ def x16_domains(spark, d):
     return capability.domain_totals(sources).select("domain", "measure", F.round("value", 2).alias("value"), F.col("n_sources").cast("int").alias("n_sources"))
 
 
+@query("""WITH l AS (SELECT 'p_name' AS "column", p_name AS v FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'p_retailprice', p_retailprice::VARCHAR FROM part UNION ALL SELECT 'phone', '98' || lpad(p_partkey::VARCHAR, 8, '0') FROM part UNION ALL SELECT 'day', strftime(DATE '2020-01-01' + (p_partkey % 900)::INT, '%Y-%m-%d') FROM part UNION ALL SELECT 'serial', '1' || lpad(p_partkey::VARCHAR, 7, '0') FROM part),
+g AS (SELECT "column", count(*) AS n, count(DISTINCT v) AS k, avg((length(v) BETWEEN 10 AND 12 AND regexp_matches(v, '^[0-9]+$'))::INT) AS pii, avg((TRY_CAST(v AS DOUBLE) IS NOT NULL)::INT) AS num, avg(regexp_matches(v, '^\\d{1,4}-\\d{1,2}-\\d{1,4}')::INT) AS day, avg(regexp_matches(v, '^[0-9]+$')::INT) AS ints, median(length(v)) AS len FROM l GROUP BY 1)
+SELECT "column", n, pii AS pii_share, num AS numeric_share, day AS date_share, CASE WHEN pii >= 0.6 THEN 'pii' WHEN num >= 0.8 AND NOT (n >= 20 AND ints >= 0.95 AND len >= 6 AND k/n >= 0.95) THEN 'numeric' WHEN day >= 0.6 THEN 'date' WHEN k <= 50 AND k/n < 0.5 THEN 'dimension' ELSE 'none' END AS kind FROM g""")
+def p2_kinds(spark, d):
+    key = F.col("p_partkey").cast("string")
+    p = _t(spark, d, "part").select("p_name", "p_brand", F.col("p_retailprice").cast("string").alias("p_retailprice"), F.concat(F.lit("98"), F.lpad(key, 8, "0")).alias("phone"), F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 900).cast("int")), "yyyy-MM-dd").alias("day"), F.concat(F.lit("1"), F.lpad(key, 7, "0")).alias("serial"))
+    return roles.column_kinds(p, p.columns)
+
+
+@query("""SELECT 'o_orderkey' AS "column", CASE WHEN count(DISTINCT o_orderkey) >= greatest(20, 0.95*count(*)) THEN 'id' ELSE 'amount' END AS kind, NULL::BIGINT AS n_values FROM orders UNION ALL SELECT 'o_custkey', CASE WHEN count(DISTINCT o_custkey) >= greatest(20, 0.95*count(*)) THEN 'id' ELSE 'amount' END, NULL FROM orders UNION ALL SELECT 'o_orderstatus', 'categorical', count(DISTINCT o_orderstatus) FROM orders
+UNION ALL SELECT 'o_totalprice', 'amount', NULL UNION ALL SELECT 'o_orderdate', 'date', NULL UNION ALL SELECT 'o_orderpriority', CASE WHEN count(DISTINCT o_orderpriority) <= 50 THEN 'categorical' ELSE 'text' END, count(DISTINCT o_orderpriority) FROM orders""")
+def p4_kinds(spark, d):
+    return roles.schema_kinds(_t(spark, d, "orders"))
+
+
+@query("SELECT o_orderpriority, c_mktsegment, count(*) AS n, round(quantile_cont(o_totalprice, 0.9), 6) AS q FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def f10_group_quantiles(spark, d):
+    return _rounded(explore.group_quantile(_orders_customers(spark, d), ["o_orderpriority", "c_mktsegment"], "o_totalprice", 0.9, rows=4000))
+
+
 # Privacy and keys ------------------------------------------------------------------------------------------------
 
 
