@@ -37,7 +37,8 @@ def test_hooks_over_a_stream(spark, tmp_path):
     rows = spark.read.parquet(table).collect()
     fired = [(r.window_start.day, r.value) for r in rows if r.id == 1]
     assert fired in ([(1, 5 / 6)], [(2, 1.0)])  # both windows close at once, and one of them speaks
-    assert 9 in [r.window_start.day for r in rows if r.id == 2] and got[2].severity == "low"
+    quiet = [r.window_start.day for r in rows if r.id == 2]
+    assert len(quiet) == 1 and quiet[0] in (9, 15, 20) and got[2].severity == "low"  # never the first, which the late rows would have pulled down
     before = sorted((r.id, r.window_start) for r in rows)
     run(spark, folder, table, checkpoint)  # nothing new
     assert sorted((r.id, r.window_start) for r in spark.read.parquet(table).collect()) == before

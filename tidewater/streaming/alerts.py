@@ -34,7 +34,7 @@ def hook_alerts(rates: DataFrame, hooks: DataFrame, metric: str) -> DataFrame:
     (window_start, value, optionally scope) of one metric, for streams also window_time; the hooks are a table that is joined to them, broadcast if Spark finds it small.
 
     On a stream a hook that has fired for a scope is quiet about it until the watermark has passed that window by its delay: the state keeps one row a hook and scope, and late or
-    repeated rows add none.
+    repeated rows add none. Of windows that close in one batch any one speaks.
     """
     scoped = rates if "scope" in rates.columns else rates.withColumn("scope", F.lit("all"))
     j = scoped.withColumn("metric", F.lit(metric)).join(hooks, ["metric", "scope"])
