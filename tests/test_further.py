@@ -126,3 +126,27 @@ def test_over_wide_records_with_quoted_newlines(spark, tmp_path):
     rows, wide = readers.read_csv(spark, str(f))
     assert wide == 2 and rows.columns == ["a", "b"]
     assert sorted((r.a, r.b) for r in rows.na.fill("-").collect()) == [("1", 'two, with\nnewline and "quotes", too'), ("2", "x"), ('3,"q",\n,', "y"), ("4", "-"), ("5", "ok")]
+
+
+def test_only_rates_are_quantified(spark):
+    from tidewater.operators import decide
+
+    found = spark.createDataFrame([("branch", "north", 100, 0.1, 0.3, -0.2, "risk"), ("branch", "south", 50, 0.6, 0.3, 0.3, "opportunity"), ("course", "art", 40, 0.34, 0.3, 0.04, "opportunity"), ("nobody", "x", 99, 0.1, 0.3, -0.2, "risk")], "dimension string, segment string, n long, scaled double, baseline double, gap double, kind string")
+    plan = [(r.priority, r.action, r.segment, r.bucket, r.estimate) for r in decide.action_plan(found, "rate", questions=["why?", "why?"]).collect()]
+    assert plan == [(1, "close_gap", "north", "P2", 20.0), (2, "scale_lever", "south", "P1", 15.0), (3, "investigate", "why?", "P4", None)]
+    plain = decide.action_plan(found, "sum", backlog=True).collect()
+    assert [(r.action, r.estimate, r.target, r.quick_win) for r in plain] == [("reduce_backlog", None, None, False), ("scale_lever", None, None, False)]
+    assert decide.action_plan(found.limit(0), "rate").count() == 0
+
+
+def test_cards_and_charts_of_parts(spark):
+    from tidewater.operators import decide
+    from tidewater.operators.metrics import METHODS, Metric, methodology
+
+    head = spark.createDataFrame([(9, 1.0, 0.8, 1.2)], "n long, value double, ci_low double, ci_high double")
+    assert tuple(decide.kpi_card(head).first()) == (1.0, None, "neutral", "medium")
+    moved = spark.createDataFrame([(-0.1,)], "delta_pct double")
+    assert decide.kpi_card(head, moved).first().status == "bad" and decide.kpi_card(head, moved, True).first().status == "good"
+    one = spark.createDataFrame([("2024-01", 3.0)], "month string, value double")
+    assert decide.chart_tables(head=head, monthly=one).select("chart").distinct().collect()[0][0] == "headline"
+    assert all(methodology("x", Metric(k, "a", "b"), ["c"], 3).startswith("x computed as") for k in METHODS)

@@ -265,3 +265,9 @@ REQUIREMENTS = {
     "duplicate_certificate_rate": [["certificate_number"]],
     "certificate_issue_lag_days": [["issue_date", "joining_date"], ["issue_date", "admission_date"]],
 }
+
+# Who owns actions on a dimension, their category, what kinds of action take, and their horizon.
+ACTION_OWNER = {"branch": "branch_manager", "source": "marketing_lead", "faculty": "academic_head", "course": "academics", "course_category": "academics", "pending": "accounts", "amount": "accounts", "paid": "accounts", "certificate": "operations"}
+ACTION_CATEGORY = {"branch": "Branch Management", "source": "Marketing", "faculty": "Operations", "course": "Courses", "course_category": "Courses", "pending": "Finance", "amount": "Finance", "paid": "Revenue", "certificate": "Certificates", "review": "Student Experience"}
+ACTION_EFFORT_RISK = {"close_gap": ("medium", "low"), "scale_lever": ("low", "low"), "investigate": ("low", "low"), "reduce_backlog": ("medium", "medium")}
+ACTION_TIMELINE = {"low": "Short-Term (8-30 Days)", "medium": "Medium-Term (1-3 Months)", "high": "Long-Term (3+ Months)"}

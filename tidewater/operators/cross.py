@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import tables as T
-from tidewater.functions.statistics import two_means, two_proportions, two_sided, wilson
-from tidewater.operators.metrics import Blocked, Metric, sums, value
+from tidewater.functions.statistics import two_means, two_proportions, two_sided
+from tidewater.operators.metrics import Blocked, Metric, interval, sums, value
 from tidewater.operators.roles import reporting_column
 from tidewater.operators.stats import benjamini_hochberg, chi2_independence
 
@@ -67,8 +67,8 @@ def trim_levels(df: DataFrame, dim: str, keep: int = LEVELS) -> DataFrame:
 
 
 def crosstab(df: DataFrame, m: Metric, rows: str, cols: str, min_cell: int = MIN_CELL, levels: int = LEVELS, alpha: float = 0.05) -> DataFrame:
-    """Rows (level, row, col, n, value, ci_low, ci_high, expected, residual, suppressed, row_z, row_q, col_z, col_q,
-    interaction): level is overall, row, column or cell. Cells under ``min_cell`` rows are suppressed: listed
+    """Rows (level, row, col, n, value, ci_low, ci_high, sd, expected, residual, suppressed, row_z, row_q, col_z, col_q,
+    interaction): intervals for rates and means, sd for means; level is overall, row, column or cell. Cells under ``min_cell`` rows are suppressed: listed
     without a value. An interaction beats both its row's and its column's rest after correction.
     """
     if rows == cols:
@@ -82,8 +82,9 @@ def crosstab(df: DataFrame, m: Metric, rows: str, cols: str, min_cell: int = MIN
     # Read once: the cube has (levels + 1) squared rows at most, and is used for cells and all margins.
     cube = df.sparkSession.createDataFrame(cube.collect(), cube.schema)
     keep = ("n", "sy", "sy2", "sx")
-    low, high = wilson(F.col("sy"), F.col("n")) if m.kind == "rate" else (F.lit(None).cast("double"),) * 2
-    part = lambda g, tag: cube.where(F.col("g") == g).select(*([F.col("__r").alias("row")] if g in (0, 1) else []), *([F.col("__c").alias("col")] if g in (0, 2) else []), *[F.col(c).alias(f"{tag}_{c}") for c in keep], value(m).alias(f"{tag}_v"), low.alias(f"{tag}_low"), high.alias(f"{tag}_high"))
+    low, high = interval(m) if m.kind in ("rate", "mean") else (F.lit(None).cast("double"),) * 2
+    spread = F.sqrt(F.greatest(F.try_divide(F.col("sy2") - F.col("sy") * F.col("sy") / F.col("n"), F.col("n") - 1), F.lit(0.0))) if m.kind == "mean" else F.lit(None).cast("double")
+    part = lambda g, tag: cube.where(F.col("g") == g).select(*([F.col("__r").alias("row")] if g in (0, 1) else []), *([F.col("__c").alias("col")] if g in (0, 2) else []), *[F.col(c).alias(f"{tag}_{c}") for c in keep], value(m).alias(f"{tag}_v"), low.alias(f"{tag}_low"), high.alias(f"{tag}_high"), spread.alias(f"{tag}_sd"))
     cells = part(0, "c").join(part(1, "r"), "row").join(part(2, "k"), "col").join(F.broadcast(part(3, "o")))
     shown = F.col("c_n") >= min_cell
 
@@ -101,14 +102,14 @@ def crosstab(df: DataFrame, m: Metric, rows: str, cols: str, min_cell: int = MIN
     tested = cells.withColumn("row_z", against("r")).withColumn("col_z", against("k"))
     for tag in ("row", "col"):
         with_p = tested.withColumn("__p", two_sided(F.col(f"{tag}_z"))).withColumn("__t", F.col(f"{tag}_z").isNotNull())
-        done = benjamini_hochberg(with_p, "__p", ["__t"], alpha)
+        done = benjamini_hochberg(with_p, "__p", ["__t"], alpha, few=True)  # cells of a cube that is bounded
         tested = done.withColumn(f"{tag}_q", F.when(F.col("__t"), F.col("q"))).drop("__p", "__t", "q", "significant")
     expected = F.col("r_v") + F.col("k_v") - F.col("o_v")
     hit = F.coalesce((F.col("row_q") <= alpha) & (F.col("col_q") <= alpha), F.lit(False))
-    cell = tested.select(F.lit("cell").alias("level"), "row", "col", F.col("c_n").alias("n"), F.when(shown, F.col("c_v")).alias("value"), F.when(shown, F.col("c_low")).alias("ci_low"), F.when(shown, F.col("c_high")).alias("ci_high"), F.when(shown, expected).alias("expected"), F.when(shown, F.col("c_v") - expected).alias("residual"), (~shown).alias("suppressed"), "row_z", "row_q", "col_z", "col_q", hit.alias("interaction"))
+    cell = tested.select(F.lit("cell").alias("level"), "row", "col", F.col("c_n").alias("n"), F.when(shown, F.col("c_v")).alias("value"), F.when(shown, F.col("c_low")).alias("ci_low"), F.when(shown, F.col("c_high")).alias("ci_high"), F.when(shown, F.col("c_sd")).alias("sd"), F.when(shown, expected).alias("expected"), F.when(shown, F.col("c_v") - expected).alias("residual"), (~shown).alias("suppressed"), "row_z", "row_q", "col_z", "col_q", hit.alias("interaction"))
     name = F.when(F.col("g") == 3, "overall").when(F.col("g") == 1, "row").otherwise("column")
     none = F.lit(None).cast("double")
-    margins = cube.where("g > 0").select(name.alias("level"), F.col("__r").alias("row"), F.col("__c").alias("col"), "n", value(m).alias("value"), low.alias("ci_low"), high.alias("ci_high"), *[none.alias(c) for c in ("expected", "residual")], F.lit(False).alias("suppressed"), *[none.alias(c) for c in ("row_z", "row_q", "col_z", "col_q")], F.lit(False).alias("interaction"))
+    margins = cube.where("g > 0").select(name.alias("level"), F.col("__r").alias("row"), F.col("__c").alias("col"), "n", value(m).alias("value"), low.alias("ci_low"), high.alias("ci_high"), spread.alias("sd"), *[none.alias(c) for c in ("expected", "residual")], F.lit(False).alias("suppressed"), *[none.alias(c) for c in ("row_z", "row_q", "col_z", "col_q")], F.lit(False).alias("interaction"))
     return margins.unionByName(cell)
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import tables as T
 from tidewater.operators.metrics import THIN
 
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3}
@@ -40,6 +42,78 @@ def actions(found: DataFrame, owners: DataFrame, top: int = 10) -> DataFrame:
     return j.withColumn("priority", F.row_number().over(Window.orderBy("r", F.desc(F.abs("effect")), "action"))).where(F.col("priority") <= top).select("priority", "action", "owner", "dimension", "segment", "severity", "effect")
 
 
+def action_plan(found: DataFrame, kind: str, roles: dict[str, str] | None = None, questions: list[str] = (), backlog: bool = False) -> DataFrame:
+    """Rows (priority, action, dimension, segment, owner, category, effort, risk, timeline, bucket, quick_win, gap, n, estimate, current, target) from findings.
+
+    A risk is a gap to close, an opportunity (1.3 times its baseline and more) a lever to scale. Only rates have an estimate, |gap| x n, and a
+    target, for only there the product means something: gaps of other kinds are dropped, levers stay without figures. Dimensions that nobody owns give no action. A certificate ``backlog`` is
+    one action more, each of the open ``questions`` an investigation, which ranks below all else. ``roles``: dimension column -> role.
+    """
+    spark = found.sparkSession
+    role = F.col("dimension")
+    if roles:
+        role = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in roles.items() for x in kv]), role), role)
+    lever = F.col("kind") == "opportunity"
+    quantified = F.lit(kind == "rate")
+    seen = found.where((~lever & quantified) | (lever & (F.try_divide("scaled", "baseline") >= 1.3)))
+    rows = seen.select(F.when(lever, "scale_lever").otherwise("close_gap").alias("action"), role.alias("role"), "dimension", "segment", *[F.when(quantified, c).alias(name) for c, name in ((F.abs("gap"), "gap"), (F.col("n"), "n"), (F.abs("gap") * F.col("n"), "estimate"), (F.col("scaled"), "current"), (F.col("baseline"), "target"))])
+    fixed = "action string, role string, dimension string, segment string, gap double, n long, estimate double, current double, target double"
+    more = [("reduce_backlog", "certificate", None, None)] * backlog + [("investigate", None, None, q) for q in questions]
+    rows = rows.unionByName(spark.createDataFrame([(*m, None, None, None, None, None) for m in more], fixed)).dropDuplicates(["action", "dimension", "segment"])
+    look = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    effort = look({a: e for a, (e, _) in T.ACTION_EFFORT_RISK.items()}, F.col("action"))
+    risk = look({a: r for a, (_, r) in T.ACTION_EFFORT_RISK.items()}, F.col("action"))
+    owner = F.when(F.col("action") == "investigate", "analytics_team").otherwise(look(T.ACTION_OWNER, F.col("role")))
+    told = rows.withColumns({"owner": owner, "category": F.coalesce(look(T.ACTION_CATEGORY, F.col("role")), F.lit("Operations")), "effort": effort, "risk": risk}).where("owner is not null")
+    known = F.col("estimate").isNotNull()
+    cheap = known & (F.col("effort") == "low") & (F.col("risk") == "low")
+    bucket = F.when(~known, "P4").when(cheap, "P1").when(F.col("risk").isin("low", "medium") & F.col("effort").isin("low", "medium"), "P2").otherwise("P3")
+    score = F.when(F.col("action") == "investigate", -1.0).otherwise(F.coalesce("estimate", F.lit(0.0)))
+    place = F.row_number().over(Window.orderBy(F.desc(score), "action", "dimension", "segment"))  # a row a finding
+    told = told.withColumns({"timeline": look(T.ACTION_TIMELINE, F.col("effort")), "bucket": bucket, "quick_win": cheap, "priority": place})
+    return told.select("priority", "action", "dimension", "segment", "owner", "category", "effort", "risk", "timeline", "bucket", "quick_win", "gap", "n", "estimate", "current", "target")
+
+
+def chart_tables(head: DataFrame | None = None, breakdown: DataFrame | None = None, comparison: DataFrame | None = None, monthly: DataFrame | None = None, steps: DataFrame | None = None, driving: DataFrame | None = None) -> DataFrame:
+    """Tidy rows (chart, place, label, value, low, high, note) of what a report draws: the headline with its interval, one chart a dimension from the highest segment (note: n), prior against
+    current (note: significant), months of a series of two and more, a funnel (low: what was lost since the step before), drivers by size. Parts that are not given are left out.
+    """
+    none = F.lit(None).cast("double")
+    parts = []
+
+    def add(df: DataFrame, chart: Column, order: list, label: Column, v: Column, low: Column = none, high: Column = none, note: Column = F.lit(None).cast("string")) -> None:
+        cut = df.select(chart.alias("chart"), label.cast("string").alias("label"), v.cast("double").alias("value"), low.cast("double").alias("low"), high.cast("double").alias("high"), note.cast("string").alias("note"), *[o.alias(f"o{k}") for k, o in enumerate(order)])
+        by = [F.col(f"o{k}") for k in range(len(order))]
+        parts.append(cut.withColumn("place", F.row_number().over(Window.partitionBy("chart").orderBy(*by))).select("chart", "place", "label", "value", "low", "high", "note"))  # a few rows a chart
+
+    if head is not None:
+        add(head, F.lit("headline"), [F.lit(0)], F.lit("value"), F.col("value"), F.col("ci_low"), F.col("ci_high"), F.col("n"))
+    if breakdown is not None:
+        add(breakdown, F.concat(F.lit("by "), "dimension"), [-F.col("value"), F.col("segment")], F.col("segment"), F.col("value"), F.col("ci_low"), F.col("ci_high"), F.col("n"))
+    if comparison is not None:
+        two = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("period"), F.col(n).cast("double").alias("v")) for k, n in enumerate(("prior", "current"))])).alias("x")
+        add(comparison.select("significant", two), F.lit("comparison"), [F.col("x.k")], F.col("x.period"), F.col("x.v"), note=F.when(F.col("significant"), "significant").otherwise("not significant"))
+    if monthly is not None:
+        enough = monthly.agg((F.count(F.lit(1)) >= 2).alias("enough"))
+        add(monthly.join(F.broadcast(enough)).where("enough"), F.lit("months"), [F.col("month")], F.col("month"), F.col("value"))
+    if steps is not None:
+        add(steps, F.lit("funnel"), [F.col("step_no")], F.col("step"), F.col("n"), F.col("drop_off"))
+    if driving is not None:
+        add(driving, F.lit("drivers"), [-F.abs("contribution"), F.col("segment")], F.concat_ws("=", "dimension", "segment"), F.col("contribution"), note=F.col("n"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def kpi_card(head: DataFrame, comparison: DataFrame | None = None, lower_is_better: bool = False) -> DataFrame:
+    """One row (value, delta_pct, status, confidence): good or bad by the direction of the change, neutral without one; confidence by the interval's width against the value (0.2, 0.5)."""
+    width = F.try_divide(F.abs(F.col("ci_high") - F.col("ci_low")), F.abs("value"))
+    told = head.select("value", F.when(width <= 0.2, "high").when(width <= 0.5, "medium").otherwise("low").alias("confidence"))
+    if comparison is None:
+        return told.select("value", F.lit(None).cast("double").alias("delta_pct"), F.lit("neutral").alias("status"), "confidence")
+    better = F.col("delta_pct") < 0 if lower_is_better else F.col("delta_pct") > 0
+    status = F.when(F.coalesce(F.col("delta_pct"), F.lit(0.0)) == 0, "neutral").when(better, "good").otherwise("bad")
+    return told.join(F.broadcast(comparison.select("delta_pct"))).select("value", "delta_pct", status.alias("status"), "confidence")
+
+
 def funnel(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     """Rows (step_no, step, n, drop_off): rows that satisfy each step's flag, and the share lost since the step before."""
     counts = df.agg(*[F.count_if(F.col(c)).alias(f"s{k}") for k, (_, c) in enumerate(steps)])

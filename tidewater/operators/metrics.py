@@ -167,9 +167,35 @@ def resolve_dimensions(asked: list[str], aliases: dict[str, str], columns: list[
     return list(dict.fromkeys(c for c in found if c in columns))[:most]
 
 
-def caveats(head: DataFrame, segments: DataFrame, comparison: DataFrame, thin: int = THIN) -> DataFrame:
-    """Rows (topic, n) that a reader of a metric should know: few rows, thin segments, an insignificant change, a thin prior period."""
+def caveats(head: DataFrame, segments: DataFrame, comparison: DataFrame, thin: int = THIN, window: DataFrame | None = None) -> DataFrame:
+    """Rows (topic, n) that a reader of a metric should know: few rows, thin segments, an insignificant change, a thin prior period, and rows that a time window (a report row of
+    ``clean.time_window``) left out.
+    """
     few = head.where(F.col("n") < thin).select(F.lit("few_rows").alias("topic"), "n")
     low = segments.agg(F.count_if("low_confidence").alias("n")).where("n > 0").select(F.lit("thin_segments").alias("topic"), "n")
     c = comparison.select(F.explode(F.filter(F.array(F.when(~F.col("significant"), F.struct(F.lit("change_not_significant").alias("topic"), F.col("current_n").alias("n"))), F.when(F.col("prior_n") < thin, F.struct(F.lit("thin_prior_period").alias("topic"), F.col("prior_n").alias("n")))), lambda x: x.isNotNull())).alias("x")).select("x.*")
-    return few.unionByName(low).unionByName(c)
+    out = few.unionByName(low).unionByName(c)
+    if window is not None:
+        out = out.unionByName(window.where("rows_after < rows_before").select(F.lit("outside_window").alias("topic"), (F.col("rows_before") - F.col("rows_after")).alias("n")))
+    return out
+
+
+#: How each kind of metric is computed and compared.
+METHODS = {
+    "rate": ("proportion of a flag, Wilson interval of 95 %", "two-proportion z-test"),
+    "mean": ("mean, normal interval of 95 %", "two-sample z-test"),
+    "sum": ("sum, normal interval of 95 %", "two-sample z-test"),
+    "count": ("number of rows, normal interval of a Poisson count of 95 %", "two-sample z-test"),
+    "ratio": ("ratio of totals, ratio-estimator interval of 95 %", "two-sample z-test"),
+}
+
+
+def methodology(name: str, m: Metric, dims: list[str] = (), months: int | None = None) -> str:
+    """How a metric's figures come about, in one sentence: the estimate, the breakdown and the test of a comparison."""
+    estimate, test = METHODS[m.kind]
+    parts = [f"{name} computed as {estimate}"]
+    if dims:
+        parts.append("broken down by " + ", ".join(dims))
+    if months:
+        parts.append(f"{months} months compared with the {months} before by a {test} (|z| >= 1.96)")
+    return "; ".join(parts) + "."

@@ -16,16 +16,16 @@ from tidewater.operators.ranking import bounds, bucket, free, inversions, invert
 MIN_SIDE = 30
 
 
-def benjamini_hochberg(df: DataFrame, p: str, family: list[str] | None = None, alpha: float = 0.05, rows: int | None = None) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, family: list[str] | None = None, alpha: float = 0.05, rows: int | None = None, few: bool = False) -> DataFrame:
     """Adds q and significant: the running minimum of p m / rank from the largest p down, within each family. Rows without a p count for nothing and have no q.
 
     Equal p are one value with a count. Ranks are places within buckets of p plus what the buckets below hold; the minimum of a bucket's tail meets those of the
-    buckets above it. ``df`` is read three times: hand in a table rather than a computation.
+    buckets above it. ``df`` is read three times: hand in a table rather than a computation. ``few``: the caller knows that one task can hold the distinct p.
     """
     keys = family or []
     n, rank, m, raw, b, low, later = free(df, "n", "rank", "m", "raw", "bucket", "low", "later")
     known = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias(n))
-    at = bounds(known, p, known.count(), rows)
+    at = [] if few else bounds(known, p, known.count(), rows)
     r = running(known, p, n, rank, at, keys)
     own = Window.partitionBy(*keys)
     if not at:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import tables as T
-from tidewater.operators import capability, clean, explore, flags, identity, lifecycle, privacy, roles, stats
+from tidewater.operators import capability, clean, cross, decide, explore, flags, identity, lifecycle, privacy, roles, stats
+from tidewater.operators.metrics import Metric, breakdown, caveats, compare_periods, drivers, headline
 from tidewater.operators.roles import detect
 from tidewater.plans.catalogue import _TWO_SIDED, _WILSON, _orders, _orders_customers, _rounded, _t, query
 
@@ -253,3 +254,64 @@ def c16_levels(spark, d):
 def c16_widened(spark, d):
     t = _keyed(spark, d)
     return clean.drop_repeats(t, clean.natural_key(t, _KEY_ROLES)[0], "line")
+
+
+# Decisions -------------------------------------------------------------------------------------------------------
+
+_ODD = f"oc AS (SELECT *, CASE WHEN c_mktsegment = 'BUILDING' THEN hash_ < 450 WHEN o_orderpriority = '1-URGENT' THEN hash_ < 150 ELSE hash_ < 300 END AS hit FROM (SELECT *, o_orderkey * 7 % 1000 AS hash_ FROM (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)))"
+_FOUND = f"""{_ODD}, b AS (SELECT avg(hit::INT) AS base FROM oc), g AS (SELECT 'c_mktsegment' AS dimension, 'branch' AS role, c_mktsegment AS segment, count(*) AS n, avg(hit::INT) AS v FROM oc GROUP BY ALL UNION ALL SELECT 'o_orderpriority', 'course', o_orderpriority, count(*), avg(hit::INT) FROM oc GROUP BY ALL),
+f AS (SELECT *, v - base AS gap FROM g, b WHERE n >= 30 AND abs(v - base) >= 0.05)"""
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    h = F.pmod(F.col("o_orderkey") * 7, F.lit(1000))
+    hit = F.when(F.col("c_mktsegment") == "BUILDING", h < 450).when(F.col("o_orderpriority") == "1-URGENT", h < 150).otherwise(h < 300)
+    return decide.findings(breakdown(_orders_customers(spark, d).withColumn("hit", hit), Metric("rate", "hit"), ["c_mktsegment", "o_orderpriority"]), "rate")
+
+
+@query(f"""WITH {_FOUND}, a AS (SELECT CASE WHEN gap > 0 THEN 'scale_lever' ELSE 'close_gap' END AS action, dimension, segment, CASE role WHEN 'branch' THEN 'branch_manager' ELSE 'academics' END AS owner, CASE role WHEN 'branch' THEN 'Branch Management' ELSE 'Courses' END AS category, abs(gap) AS gap, n, v AS current, base AS target FROM f WHERE gap < 0 OR v/base >= 1.3
+UNION ALL SELECT 'reduce_backlog', NULL, NULL, 'operations', 'Certificates', NULL, NULL, NULL, NULL UNION ALL SELECT 'investigate', NULL, 'why?', 'analytics_team', 'Operations', NULL, NULL, NULL, NULL),
+s AS (SELECT *, CASE action WHEN 'close_gap' THEN 'medium' WHEN 'reduce_backlog' THEN 'medium' ELSE 'low' END AS effort, CASE action WHEN 'reduce_backlog' THEN 'medium' ELSE 'low' END AS risk, gap * n AS estimate FROM a)
+SELECT row_number() OVER (ORDER BY CASE WHEN action = 'investigate' THEN -1 ELSE coalesce(estimate, 0) END DESC, action, dimension, segment)::INT AS priority, action, dimension, segment, owner, category, effort, risk, CASE effort WHEN 'low' THEN 'Short-Term (8-30 Days)' ELSE 'Medium-Term (1-3 Months)' END AS timeline,
+CASE WHEN estimate IS NULL THEN 'P4' WHEN effort = 'low' AND risk = 'low' THEN 'P1' ELSE 'P2' END AS bucket, estimate IS NOT NULL AND effort = 'low' AND risk = 'low' AS quick_win, round(gap, 6) AS gap, n, round(estimate, 4) AS estimate, round(current, 6) AS current, round(target, 6) AS target FROM s""")
+def o5_plan(spark, d):
+    out = decide.action_plan(_found(spark, d), "rate", {"c_mktsegment": "branch", "o_orderpriority": "course"}, ["why?"], backlog=True)
+    return _rounded(out.withColumn("estimate", F.round("estimate", 4)))
+
+
+@query(f"""WITH oc AS (SELECT *, (o_orderstatus = 'F') AS done FROM orders JOIN customer ON o_custkey = c_custkey), h AS (SELECT count(*) AS n, avg(done::INT) AS p FROM oc), g AS (SELECT c_mktsegment AS s, count(*) AS n, avg(done::INT) AS p FROM oc GROUP BY 1),
+t AS (SELECT max(o_orderdate) AS t FROM oc), p AS (SELECT count(*) FILTER (o_orderdate > t - INTERVAL 12 MONTH) AS cn, count(*) FILTER (o_orderdate > t - INTERVAL 12 MONTH AND done) AS c, count(*) FILTER (o_orderdate <= t - INTERVAL 12 MONTH AND o_orderdate > t - INTERVAL 24 MONTH) AS pn, count(*) FILTER (o_orderdate <= t - INTERVAL 12 MONTH AND o_orderdate > t - INTERVAL 24 MONTH AND done) AS p FROM oc, t),
+k AS (SELECT c/cn AS cv, p/pn AS pv, abs((c/cn - p/pn)/sqrt((c+p)/(cn+pn)*(1-(c+p)/(cn+pn))*(1/cn + 1/pn))) >= 1.96 AS sig FROM p), f AS (SELECT count(*) AS a, count(*) FILTER (done) AS b FROM oc),
+m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*)::DOUBLE AS v FROM oc GROUP BY 1), w AS (SELECT s, n, (p - (SELECT p FROM h))*n/sum(n) OVER () AS c FROM g)
+SELECT 'headline' AS chart, 1 AS place, 'value' AS label, round(p, 6) AS value, round({_WILSON[0]}, 6) AS low, round({_WILSON[1]}, 6) AS high, n::VARCHAR AS note FROM h UNION ALL SELECT 'by c_mktsegment', row_number() OVER (ORDER BY p DESC, s), s, round(p, 6), round({_WILSON[0]}, 6), round({_WILSON[1]}, 6), n::VARCHAR FROM g
+UNION ALL SELECT 'comparison', 1, 'prior', round(pv, 6), NULL, NULL, CASE WHEN sig THEN 'significant' ELSE 'not significant' END FROM k UNION ALL SELECT 'comparison', 2, 'current', round(cv, 6), NULL, NULL, CASE WHEN sig THEN 'significant' ELSE 'not significant' END FROM k
+UNION ALL SELECT 'months', row_number() OVER (ORDER BY month), month, v, NULL, NULL, NULL FROM m UNION ALL SELECT 'funnel', 1, 'all', a, NULL, NULL, NULL FROM f UNION ALL SELECT 'funnel', 2, 'done', b, round(1 - b/a, 6), NULL, NULL FROM f
+UNION ALL SELECT 'drivers', row_number() OVER (ORDER BY abs(c) DESC, s), 'c_mktsegment=' || s, round(c, 6), NULL, NULL, n::VARCHAR FROM w""")
+def o6_charts(spark, d):
+    oc, m = _orders_customers(spark, d).withColumn("all", F.lit(True)), Metric("rate", "done")
+    parts = breakdown(oc, m, ["c_mktsegment"])
+    return _rounded(decide.chart_tables(headline(oc, m), parts, compare_periods(oc, m, "o_orderdate", 12), stats.monthly_series(oc, "o_orderdate"), decide.funnel(oc, [("all", "all"), ("done", "done")]), drivers(oc, m, ["c_mktsegment"], top=99)))
+
+
+@query("""WITH a AS (SELECT count(*) AS n, avg(o_totalprice) AS v, stddev_samp(o_totalprice) AS sd FROM orders), t AS (SELECT max(o_orderdate) AS t FROM orders), p AS (SELECT avg(o_totalprice) FILTER (o_orderdate > t - INTERVAL 12 MONTH) AS c, avg(o_totalprice) FILTER (o_orderdate <= t - INTERVAL 12 MONTH AND o_orderdate > t - INTERVAL 24 MONTH) AS p FROM orders, t)
+SELECT round(v, 4) AS value, round((c - p)/abs(p), 6) AS delta_pct, CASE WHEN c = p THEN 'neutral' WHEN c < p THEN 'good' ELSE 'bad' END AS status, CASE WHEN 2*1.959963984540054*sd/sqrt(n)/v <= 0.2 THEN 'high' WHEN 2*1.959963984540054*sd/sqrt(n)/v <= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM a, p""")
+def o6_card(spark, d):
+    o, m = _orders(spark, d), Metric("mean", "o_totalprice")
+    return _rounded(decide.kpi_card(headline(o, m), compare_periods(o, m, "o_orderdate", 12), lower_is_better=True).withColumn("value", F.round("value", 4)))
+
+
+@query("""WITH oc AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT CASE WHEN grouping(c_mktsegment, o_orderpriority) = 0 THEN 'cell' WHEN grouping(c_mktsegment, o_orderpriority) = 1 THEN 'row' WHEN grouping(c_mktsegment, o_orderpriority) = 2 THEN 'column' ELSE 'overall' END AS level, c_mktsegment AS "row", o_orderpriority AS col, count(*) AS n, avg(o_totalprice) AS v, stddev_samp(o_totalprice) AS sd
+FROM oc GROUP BY GROUPING SETS ((), (c_mktsegment), (o_orderpriority), (c_mktsegment, o_orderpriority))) SELECT level, "row", col, n, round(v, 2) AS value, round(sd, 2) AS sd, round(v - 1.959963984540054*sd/sqrt(n), 2) AS ci_low, round(v + 1.959963984540054*sd/sqrt(n), 2) AS ci_high FROM g""")
+def k2_means(spark, d):
+    out = cross.crosstab(_orders_customers(spark, d), Metric("mean", "o_totalprice"), "c_mktsegment", "o_orderpriority")
+    return _rounded(out.select("level", "row", "col", "n", "value", "sd", "ci_low", "ci_high"), 2)
+
+
+@query("""WITH o AS (SELECT *, (o_orderstatus = 'F') AS done FROM orders), i AS (SELECT * FROM o WHERE o_orderdate >= DATE '1996-01-01'), t AS (SELECT max(o_orderdate) AS t FROM i), p AS (SELECT count(*) FILTER (o_orderdate > t - INTERVAL 1 MONTH) AS cn, count(*) FILTER (o_orderdate > t - INTERVAL 1 MONTH AND done) AS c, count(*) FILTER (o_orderdate <= t - INTERVAL 1 MONTH AND o_orderdate > t - INTERVAL 2 MONTH) AS pn, count(*) FILTER (o_orderdate <= t - INTERVAL 1 MONTH AND o_orderdate > t - INTERVAL 2 MONTH AND done) AS p FROM i, t),
+k AS (SELECT *, coalesce(abs((c/cn - p/pn)/sqrt((c+p)/(cn+pn)*(1-(c+p)/(cn+pn))*(1/cn + 1/pn))) >= 1.96, false) AS sig FROM p)
+SELECT 'few_rows' AS topic, count(*) AS n FROM i HAVING count(*) < 30 UNION ALL SELECT 'thin_segments', count(*) FROM (SELECT o_custkey FROM i GROUP BY 1 HAVING count(*) < 30 ORDER BY count(*) DESC, o_custkey::VARCHAR LIMIT 25) UNION ALL SELECT 'change_not_significant', cn FROM k WHERE NOT sig UNION ALL SELECT 'thin_prior_period', pn FROM k WHERE pn < 30
+UNION ALL SELECT 'outside_window', (SELECT count(*) FROM o) - (SELECT count(*) FROM i) WHERE (SELECT count(*) FROM o) > (SELECT count(*) FROM i)""")
+def j8_window(spark, d):
+    inside, report = clean.time_window(_orders(spark, d), "o_orderdate", "1996-01-01")
+    m = Metric("rate", "done")
+    return caveats(headline(inside, m), breakdown(inside, m, ["o_custkey"]), compare_periods(inside, m, "o_orderdate", 1), window=report)
