@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.statistics import chi2_sf, two_proportions, two_sided, wilson
+from tidewater.operators import ranking
 from tidewater.operators.explore import exact_quantiles
 from tidewater.operators.metrics import Blocked
 from tidewater.operators.ranking import bounds, bucket, free, inversions, inverted_pairs, joined, running, written
@@ -19,13 +20,18 @@ MIN_SIDE = 30
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str] | None = None, alpha: float = 0.05, rows: int | None = None, few: bool = False) -> DataFrame:
     """Adds q and significant: the running minimum of p m / rank from the largest p down, within each family. Rows without a p count for nothing and have no q.
 
-    Equal p are one value with a count. Ranks are places within buckets of p plus what the buckets below hold; the minimum of a bucket's tail meets those of the
-    buckets above it. ``df`` is read three times: hand in a table rather than a computation. ``few``: the caller knows that one task can hold the distinct p.
+    Up to ``rows`` rows (or where the caller says they are ``few``) one window by family does. Beyond, equal p are one value with a count, and ranks are places within buckets of p plus what the buckets below hold; the minimum of a bucket's tail meets those of the
+    buckets above it. ``df`` is read several times: hand in a table rather than a computation.
     """
     keys = family or []
     n, rank, m, raw, b, low, later = free(df, "n", "rank", "m", "raw", "bucket", "low", "later")
+    if few or df.count() <= (rows or ranking.ROWS):
+        own = Window.partitionBy(*keys, F.col(p).isNull())
+        ranked = df.withColumn(rank, F.row_number().over(own.orderBy(p))).withColumn(raw, F.col(p) * F.count(F.lit(1)).over(own) / F.col(rank))
+        q = F.least(F.min(raw).over(own.orderBy(F.desc(rank)).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
+        return ranked.withColumn("q", F.when(F.col(p).isNotNull(), q)).withColumn("significant", F.coalesce(F.col("q") <= alpha, F.lit(False))).drop(rank, raw)
     known = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias(n))
-    at = [] if few else bounds(known, p, known.count(), rows)
+    at = bounds(known, p, known.count(), rows)
     r = running(known, p, n, rank, at, keys)
     own = Window.partitionBy(*keys)
     if not at:
