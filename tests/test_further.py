@@ -150,3 +150,28 @@ def test_cards_and_charts_of_parts(spark):
     one = spark.createDataFrame([("2024-01", 3.0)], "month string, value double")
     assert decide.chart_tables(head=head, monthly=one).select("chart").distinct().collect()[0][0] == "headline"
     assert all(methodology("x", Metric(k, "a", "b"), ["c"], 3).startswith("x computed as") for k in METHODS)
+
+
+def test_group_quantiles_equal_percentiles(spark):
+    from tidewater.operators import explore
+
+    df = spark.range(3000).select((F.col("id") % 4).alias("k"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(500)) / 7).alias("v"), F.lit("x").alias("n")).withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    for q in (0.0, 0.3, 0.5, 1.0):
+        want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", q).alias("q")).collect()}
+        for rows in (None, 100):
+            got = {r.k: r.q for r in explore.group_quantile(df, ["k"], "v", q, rows).collect()}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert explore.group_quantile(df.where("v is null"), ["k"], "v").count() == 0
+
+
+def test_kinds_from_sketches_are_the_exact_ones(spark):
+    from tidewater.operators import roles
+
+    df = spark.range(4000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), (F.col("id") % 50).cast("string").alias("fifty"), (F.col("id") % 51).cast("string").alias("more"), F.when(F.col("id") % 2 == 0, "").alias("blank"), F.concat(F.lit("9"), F.lpad((F.col("id") % 3810).cast("string"), 6, "0")).alias("serial"), (F.col("id") % 3810).alias("number"), F.lit(None).cast("string").alias("none"))
+    text = [c for c in df.columns if c != "number"]
+    want = {r["column"]: r.kind for r in roles.profile(df, text).collect()}
+    got = {r["column"]: r.kind for r in roles.column_kinds(df, text).collect()}
+    assert got == want and got["fifty"] == "numeric" and got["serial"] == "none"
+    exact, sketched = ({r["column"]: r.kind for r in f(df).collect()} for f in (roles.infer_schema, roles.schema_kinds))
+    assert exact == sketched and exact["number"] == "id"
+    assert roles.column_kinds(df.limit(0), text).count() == 0

@@ -59,18 +59,21 @@ def group_quantile(df: DataFrame, keys: list[str], column: str, q: float = 0.5,
 def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], slack: float = 5e-4) -> DataFrame:
     """Rows (column, n, q) of interpolated exact quantiles, q an array in the order of ``qs``; columns without values are absent.
 
-    One pass brackets each quantile by approximate ones; a second counts what lies below a bracket and the values within it, a
+    One pass counts and brackets each quantile by approximate ones; a second counts what lies below a bracket and the values within it, a
     thousandth of the rows, so no task holds a column.
     """
     x = {c: F.col(c).cast("double") for c in columns}
-    n = df.agg(*[F.count(x[c]).alias(f"n{k}") for k, c in enumerate(columns)]).first()
-    some = [(k, c) for k, c in enumerate(columns) if n[k]]
     out = "column string, n long, q array<double>"
+    ends = [min(max(q + side * slack, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    got = df.agg(*[f.alias(f"{name}{k}") for k, c in enumerate(columns) for name, f in (("n", F.count(x[c])), ("lo", F.min(x[c])), ("hi", F.max(x[c])), ("e", F.percentile_approx(x[c], ends, 10_000)))]).first()  # a few numbers a column
+    n = [got[f"n{k}"] for k in range(len(columns))]
+    some = [(k, c) for k, c in enumerate(columns) if n[k]]
     if not some:
         return df.sparkSession.createDataFrame([], out)
-    ends = {c: [min(max(q + side * max(slack, 2 / n[k]), 0.0), 1.0) for q in qs for side in (-1, 1)] for k, c in some}
-    got = df.agg(*[F.percentile_approx(x[c], ends[c], 10_000).alias(f"e{k}") for k, c in some]).first()  # a few numbers a column
-    spots = [(c, i, got[f"e{k}"][2 * i], got[f"e{k}"][2 * i + 1], (n[k] - 1) * q) for k, c in some for i, q in enumerate(qs)]
+    # Of few values a bracket of a share of them may miss its neighbours: all of them are looked at.
+    near_all = {k for k, _ in some if n[k] * slack < 2}
+    bracket = lambda k, i: (got[f"lo{k}"], got[f"hi{k}"]) if k in near_all else (got[f"e{k}"][2 * i], got[f"e{k}"][2 * i + 1])
+    spots = [(c, i, *bracket(k, i), (n[k] - 1) * q) for k, c in some for i, q in enumerate(qs)]
     below = df.agg(*[F.count_if(x[c] < low).alias(f"b{j}") for j, (c, _, low, _, _) in enumerate(spots)]).first()
     each = F.array(*[F.when(x[c].between(low, high), F.struct(F.lit(j).alias("j"), x[c].alias("v"))) for j, (c, _, low, high, _) in enumerate(spots)])
     near = df.select(F.explode(F.filter(each, lambda s: s.isNotNull())).alias("s")).groupBy("s.j", "s.v").agg(F.count(F.lit(1)).alias("c"))
