@@ -106,7 +106,7 @@ def shared_counts(sets: DataFrame, class_col: str, tokens_col: str, total: int |
 
 
 #: 64-bit maps that the tokens of a difference set.
-MAPS = ("m0", "m1", "m2", "m3")
+MAPS = ("m0", "m1", "m2", "m3", "m4", "m5", "m6", "m7")
 
 
 def _maps(diff: str) -> dict[str, Column]:
