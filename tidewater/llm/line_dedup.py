@@ -37,7 +37,7 @@ LARGE, DENSE = 1024, 16
 #: Pairs that a task looks at together.
 PAIRS = 500_000
 #: One entry of a line under one word of its prefix: the word, the line's size and the word's place (both to MOST), the line's
-#: set, 128 bits that its words set. Lines of MOST words and more pass the filters that need the size.
+#: set, 128 bits, each the parity of the words that it stands for. Lines of MOST words and more pass the filters that need the size.
 POST = np.dtype([("t", "<u4"), ("n", "<u2"), ("p", "<u2"), ("cls", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 MOST = 65535
 _NEWLINE = 10
@@ -127,7 +127,7 @@ def _entries(h: np.ndarray, first: np.ndarray, n: np.ndarray, cls: np.ndarray, p
     mine[pick] = True
     bit = (h >> np.uint64(20)) & np.uint64(127)
     one = np.uint64(1) << (bit & np.uint64(63))
-    s0, s1 = (np.bitwise_or.reduceat(np.where((bit >= 64) == up, one, np.uint64(0)), first) for up in (False, True))
+    s0, s1 = (np.bitwise_xor.reduceat(np.where((bit >= 64) == up, one, np.uint64(0)), first) for up in (False, True))
     place = np.arange(len(h)) - np.repeat(first, n)
     at = np.flatnonzero((place < np.repeat(prefix_length(n, percent), n)) & np.repeat(mine, n))
     line = np.repeat(np.arange(len(n)), n)[at]
@@ -176,7 +176,7 @@ def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
     """``(pairs, words, members)`` of a bucket's entries: pairs of classes that pass the length, positional and bit filters, and of
     large or dense groups the members under their word instead of pairs.
 
-    The bits that only one of two lines sets are at most as many as the words in which they differ.
+    Bits that differ are at most as many as the words in which two lines differ; as parities they do not fill up with long lines.
     """
     post = post[np.lexsort((post["cls"], post["n"], post["t"]))]
     post = post[np.concatenate([[True], (post["t"][1:] != post["t"][:-1]) | (post["cls"][1:] != post["cls"][:-1])])]
@@ -208,9 +208,9 @@ def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _maps(w: np.ndarray) -> dict[str, int]:
-    """64-bit maps of a line's words: the bits of two lines that differ are at most as many as the words in which they do."""
+    """64-bit maps of the parities of a line's words: the bits of two lines that differ are at most as many as the words in which they do."""
     out = np.zeros(len(MAPS), np.uint64)
-    np.bitwise_or.at(out, ((w >> np.uint64(26)) % np.uint64(len(MAPS))).astype(np.int64), np.uint64(1) << ((w >> np.uint64(20)) & np.uint64(63)))
+    np.bitwise_xor.at(out, ((w >> np.uint64(26)) % np.uint64(len(MAPS))).astype(np.int64), np.uint64(1) << ((w >> np.uint64(20)) & np.uint64(63)))
     return dict(zip(MAPS, out.view(np.int64).tolist(), strict=True))
 
 

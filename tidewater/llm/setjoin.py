@@ -105,7 +105,7 @@ def shared_counts(sets: DataFrame, class_col: str, tokens_col: str, total: int |
     return packed.groupBy("bucket").applyInArrow(meet, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
-#: 64-bit maps that the tokens of a difference set.
+#: 64-bit maps of the parities of a difference's tokens.
 MAPS = ("m0", "m1", "m2", "m3", "m4", "m5", "m6", "m7")
 
 
@@ -113,7 +113,7 @@ def _maps(diff: str) -> dict[str, Column]:
     """The bits of two maps that differ are at most as many as the tokens that only one of the differences has."""
 
     def lane(k: int) -> Column:
-        bit = lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))
+        bit = lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))
         return F.aggregate(F.filter(diff, lambda t: F.shiftrightunsigned(t, 50).bitwiseAND(len(MAPS) - 1) == k), F.lit(0).cast("long"), bit)
 
     return {m: lane(k) for k, m in enumerate(MAPS)}
