@@ -60,6 +60,7 @@ def test_matches_brute_force(spark):
 
 def test_hot_anchors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "SHARE", 2)
     check(spark, corpus(2), 40, 20)
 
 

@@ -29,6 +29,8 @@ from tidewater.llm.setjoin import BROADCAST_IDS
 WIDTH, GRAM = 400, 200
 #: Contexts of one anchor above which its windows are counted rather than indexed; text bytes of a bucket.
 HOT, BUCKET_BYTES = 3_000, 2_000_000
+#: A key is heavy with more rows than SHARE and than one in HEAVY_KEYS of all rows, so that there are fewer heavy keys than HEAVY_KEYS.
+SHARE, HEAVY_KEYS = 2_000, 100_000
 
 
 def _anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,19 +180,28 @@ def index_bucket(ids: np.ndarray, starts: np.ndarray, bodies: list[bytes], width
     return np.array([j[0] for j in joined], np.int64)[which], a + base, z - 1 + width + base
 
 
+def _counted(rows: DataFrame, keys: list[str], name: str, share: int) -> DataFrame:
+    """The rows with the number of rows that have the same keys. Rows of keys with over ``share`` rows are not brought together: those keys, few
+    as each has that many rows, are broadcast.
+    """
+    counts = saved(rows.groupBy(*keys).agg(F.count("*").alias(name)))
+    heavy = F.broadcast(counts.where(F.col(name) > share))
+    there = rows.join(heavy, keys)
+    return there.unionByName(rows.join(heavy, keys, "left_anti").join(counts.where(F.col(name) <= share), keys).select(there.columns))
+
+
 def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Ranges (id, start, end) whose union is what repeats, of docs (id, text)."""
     grams = saved(docs.where(F.octet_length("text") >= width).select("id", F.explode(anchors(F.col("text"), width, gram)).alias("a")).select("id", "a.*"))
-    twice = grams.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    met = saved(grams.join(twice, "h"))
-    again_a = met.groupBy("fa", "h").agg(F.count("*").alias("c")).where("c > 1").select("fa", "h", F.lit(True).alias("ra"))
-    again_z = met.groupBy("fz", "h").agg(F.count("*").alias("c")).where("c > 1").select("fz", "h", F.lit(True).alias("rz"))
-    met = saved(met.join(again_a, ["fa", "h"], "left").join(again_z, ["fz", "h"], "left").select("id", "h", "pos", "fa", "fz", F.coalesce("ra", F.lit(False)).alias("ra"), F.coalesce("rz", F.lit(False)).alias("rz")))
+    share = max(SHARE, grams.count() // HEAVY_KEYS)
+    met = saved(_counted(grams, ["h"], "c", share).where("c > 1").drop("c"))
+    met = _counted(_counted(met, ["fa", "h"], "ca", share), ["fz", "h"], "cz", share)
+    met = saved(met.select("id", "h", "pos", "fa", "fz", (F.col("ca") > 1).alias("ra"), (F.col("cz") > 1).alias("rz")))
     # One context of each settled kind serves as a partner; unsettled ones are all looked at.
     unsettled = met.where(~(F.col("ra") & F.col("rz")))
     kinds = met.where("ra and rz").groupBy("h", "fa", "fz").agg(F.min(F.struct("id", "pos")).alias("m")).select("h", "m.id", "m.pos")
     both = saved(unsettled.select("h", "id", "pos").unionByName(kinds.join(unsettled.select("h").distinct(), "h", "left_semi")))
-    asked = saved(both.join(both.groupBy("h").agg(F.count("*").alias("load")), "h"))
+    asked = saved(_counted(both, ["h"], "load", share))
     known = met.where("ra or rz").select("id", "pos", "ra", "rz")
     per_doc = asked.groupBy("id").agg(F.collect_list(F.struct("h", "pos", "load")).alias("q"))
     total = asked.count() * (2 * width - gram)
