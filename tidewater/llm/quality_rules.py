@@ -1,10 +1,11 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Each rule votes good (1), bad (0) or abstains (-1). Expectation-maximisation over the counts of vote patterns (at
-most 3 to the number of rules of them, whatever the corpus) estimates each rule's accuracy and the share of good
-documents; the posterior probability of each document replaces all-must-pass filtering. Bad documents are of several
-kinds, and one that a single rule names may look like a good one to all others; so the estimates are anchored: they
-start from, and are held towards, rules that seldom vote against a good document.
+most 3 to the number of rules of them, whatever the corpus) estimates each rule's accuracy on good and on bad documents, where it
+votes, and the share of good documents; the posterior probability of each document replaces all-must-pass filtering. It starts from the share
+of a document's votes that are good. All rules are held alike, by a hundredth of the documents' weight, to one accuracy better than
+chance, which tells which of the two classes is the good one. An abstention says nothing, so a corpus without bad
+documents is not split by what rules abstain on.
 
 Null, empty and wordless texts have no words, so the base rule fails and the document is not kept. Repeated rows are
 judged alike, by their own text; texts of any length are measured whole; an empty table gives an empty result.
@@ -23,9 +24,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Two marks or more in a row, or one that stands alone.
 MARK_RUNS = r"[!-/:-@\[-`{-~]{2,}|(?<!\S)[!-/:-@\[-`{-~](?!\S)"
-#: What the estimates start from and are held towards: P(vote | good) and P(vote | bad) of a rule, the share of good
-#: documents, and the weight of all this as a share of the documents.
-GOOD, BAD, PRIOR, TRUST = {1: 0.85, 0: 0.002, -1: 0.148}, {1: 0.3, 0: 0.3, -1: 0.4}, 0.85, 0.1
+#: The accuracy that every rule is held to, and the weight of that as a share of the documents.
+ACCURACY, TRUST = 0.7, 0.01
 
 
 def _repeat_words(w: Column) -> Column:
@@ -87,32 +87,39 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, trust: float = TRUST) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Share of good documents and, for each rule, P(vote | good) and P(vote | bad), by expectation-maximisation.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, trust: float = TRUST) -> tuple[float, list[tuple[float, float]]]:
+    """Share of good documents and, for each rule, its accuracy where it votes: on good and on bad documents; by expectation-maximisation.
 
-    Rules are taken as independent given the class. GOOD, BAD and PRIOR count like ``trust`` times as many documents as there are.
+    Rules are taken as independent given the class. Without a round every vote counts alike.
     """
     m = len(patterns[0][0]) if patterns else 0
-    prior, table = PRIOR, [{v: (GOOD[v], BAD[v]) for v in (1, 0, -1)} for _ in range(m)]
-    total = float(sum(n for _, n in patterns))
+    total = sum(n for _, n in patterns)
     held = max(1.0, trust * total)
+    good = [(sum(v == 1 for v in votes) + 1) / (sum(v >= 0 for v in votes) + 2) for votes, _ in patterns]
+    share, table = 0.5, [(ACCURACY, ACCURACY)] * m
     for _ in range(rounds if total else 0):
-        good = [{v: held * GOOD[v] for v in GOOD} for _ in range(m)]
-        bad = [{v: held * BAD[v] for v in BAD} for _ in range(m)]
-        g = 0.0
-        for votes, n in patterns:
-            p = posterior(votes, prior, table)
-            g += n * p
+        right = [[held * ACCURACY, held * ACCURACY] for _ in range(m)]
+        cast = [[held, held] for _ in range(m)]
+        for (votes, n), p in zip(patterns, good, strict=True):
             for r, v in enumerate(votes):
-                good[r][v] += n * p
-                bad[r][v] += n * (1 - p)
-        prior = min(max((g + held * PRIOR) / (total + held), 0.02), 0.98)
-        table = [{v: (a[v] / sum(a.values()), b[v] / sum(b.values())) for v in (1, 0, -1)} for a, b in zip(good, bad, strict=True)]
-    return prior, table
+                if v >= 0:
+                    right[r][1 - v] += n * (p if v else 1 - p)
+                    cast[r][0] += n * p
+                    cast[r][1] += n * (1 - p)
+        share = (math.fsum(n * p for (_, n), p in zip(patterns, good, strict=True)) + 1) / (total + 2)
+        table = [(right[r][0] / cast[r][0], right[r][1] / cast[r][1]) for r in range(m)]
+        good = [posterior(votes, share, table) for votes, _ in patterns]
+    return share, table
 
 
-def posterior(votes: tuple[int, ...], prior: float, table: list[dict[int, tuple[float, float]]]) -> float:
-    x = math.log(prior / (1 - prior)) + sum(math.log(table[r][v][0] / table[r][v][1]) for r, v in enumerate(votes))
+def _evidence(vote: int, accuracy: tuple[float, float]) -> float:
+    """Log of how much likelier a vote is for a good document."""
+    on_good, on_bad = accuracy
+    return math.log(on_good / (1 - on_bad)) if vote == 1 else math.log((1 - on_good) / on_bad) if vote == 0 else 0.0
+
+
+def posterior(votes: tuple[int, ...], prior: float, table: list[tuple[float, float]]) -> float:
+    x = math.log(prior / (1 - prior)) + sum(_evidence(v, table[r]) for r, v in enumerate(votes))
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
@@ -125,10 +132,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     prior, table = fit(sorted(patterns) or [((-1,) * len(names), 0)])
     logit = F.lit(math.log(prior / (1 - prior)))
     for r, name in enumerate(names):
-        term = F.lit(0.0)
-        for v in (1, 0, -1):
-            term = F.when(F.col(name) == v, math.log(table[r][v][0] / table[r][v][1])).otherwise(term)
-        logit = logit + term
+        logit = logit + F.when(F.col(name) == 1, _evidence(1, table[r])).when(F.col(name) == 0, _evidence(0, table[r])).otherwise(0.0)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     quality = 1 / (1 + F.exp(-logit))
     return base.select(
