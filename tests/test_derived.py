@@ -1,9 +1,13 @@
+import math
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import classify, clean, cross, decide, explore, flags, link, roles, stats
 from tidewater.operators.metrics import Blocked, Metric, resolve_dimensions
+from tidewater.plans import catalogue, derived
 
 
 def test_exact_quantiles_equal_numpy(spark):
@@ -93,3 +97,30 @@ def test_queries_are_listed_without_a_session():
     root = pathlib.Path(__file__).parent.parent
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_tail_at_any_z():
+    zs = [k / 4 for k in range(-150, 151)]
+    got = duckdb.sql(f"SELECT {derived._TAIL} FROM (SELECT unnest({zs}::DOUBLE[]) AS z)").fetchall()
+    assert [p for (p,) in got] == pytest.approx([math.erfc(abs(z) / math.sqrt(2)) for z in zs], rel=1e-9, abs=0)
+    assert duckdb.sql(f"SELECT {derived._TAIL} FROM (SELECT NULL::DOUBLE AS z)").fetchall() == [(None,)]
+
+
+@pytest.fixture(scope="module")
+def planted(tmp_path_factory):
+    """Orders of which one cell nearly always has the planted flag: a z over 20 from few rows."""
+    d = str(tmp_path_factory.mktemp("planted"))
+    con = duckdb.connect()
+    segments, priorities = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    con.execute(f"CREATE TABLE customer AS SELECT i AS c_custkey, 'c' || i AS c_name, ({segments})[i % 5 + 1] AS c_mktsegment FROM range(25) r(i)")
+    con.execute(f"CREATE TABLE orders AS SELECT CASE WHEN i % 25 = 1 AND i % 100 > 1 THEN 10 * i + 3 ELSE 10 * i + i // 25 % 10 END AS o_orderkey, i % 25 AS o_custkey, ({priorities})[i % 25 // 5 + 1] AS o_orderpriority, 'F' AS o_orderstatus FROM range(5000) r(i)")
+    for t in ("customer", "orders"):
+        con.execute(f"COPY {t} TO '{d}/{t}.parquet'")
+    return d, con
+
+
+def test_interactions_equal_their_sql_where_z_is_large(spark, planted):
+    d, con = planted
+    got = sorted(tuple(r) for r in derived.k4_interactions(spark, d).collect())
+    assert max(r[3] for r in got) > 20 and [r[:2] for r in got if r[5]] == [("BUILDING", "1-URGENT")]
+    assert got == sorted(con.execute(catalogue.ORACLE["k4_interactions"]).fetchall())
