@@ -124,3 +124,10 @@ def test_interactions_equal_their_sql_where_z_is_large(spark, planted):
     got = sorted(tuple(r) for r in derived.k4_interactions(spark, d).collect())
     assert max(r[3] for r in got) > 20 and [r[:2] for r in got if r[5]] == [("BUILDING", "1-URGENT")]
     assert got == sorted(con.execute(catalogue.ORACLE["k4_interactions"]).fetchall())
+
+
+def test_notes_equal_their_sql_where_z_is_large(spark, planted):
+    d, con = planted
+    got = sorted(tuple(r) for r in derived.k8_notes(spark, d).collect())
+    assert ("planted", "interactions") not in [r[:2] for r in got]
+    assert got == sorted(con.execute(catalogue.ORACLE["k8_notes"]).fetchall())

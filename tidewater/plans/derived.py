@@ -404,7 +404,7 @@ t AS (SELECT sum(n) AS tn, sum(x) AS tx, count(*) AS cells FROM g), c AS (SELECT
 pv AS (SELECT low, exp(-chi2/2) * list_sum(list_transform(range(0, dof // 2), lambda i: exp(i*ln(chi2/2) - lgamma(i+1)))) AS p FROM c),
 a AS (SELECT *, sum(n) OVER (PARTITION BY r) AS rn, sum(x) OVER (PARTITION BY r) AS rx, sum(n) OVER (PARTITION BY k) AS kn, sum(x) OVER (PARTITION BY k) AS kx FROM g),
 z AS (SELECT r, k, n, (x/n - (rx-x)/(rn-n)) / sqrt(rx/rn*(1-rx/rn)*(1/n + 1/(rn-n))) AS row_z, (x/n - (kx-x)/(kn-n)) / sqrt(kx/kn*(1-kx/kn)*(1/n + 1/(kn-n))) AS col_z FROM a),
-q0 AS (SELECT *, (SELECT {_TWO_SIDED} FROM (SELECT row_z AS z)) AS rp, (SELECT {_TWO_SIDED} FROM (SELECT col_z AS z)) AS cp FROM z), m AS (SELECT *, row_number() OVER (ORDER BY rp) AS ri, row_number() OVER (ORDER BY cp) AS ci, count(*) OVER () AS m FROM q0),
+q0 AS (SELECT *, (SELECT {_TAIL} FROM (SELECT row_z AS z)) AS rp, (SELECT {_TAIL} FROM (SELECT col_z AS z)) AS cp FROM z), m AS (SELECT *, row_number() OVER (ORDER BY rp, r, k) AS ri, row_number() OVER (ORDER BY cp, r, k) AS ci, count(*) OVER () AS m FROM q0),
 q AS (SELECT *, least(1.0, min(rp*m/ri) OVER (ORDER BY ri DESC ROWS UNBOUNDED PRECEDING)) AS row_q, least(1.0, min(cp*m/ci) OVER (ORDER BY ci DESC ROWS UNBOUNDED PRECEDING)) AS col_q FROM m)
 SELECT '{tag}' AS flag, 'independence' AS topic, CASE WHEN low < 5 THEN 'The grid is too thin for a test.' WHEN p > 0.05 THEN 'The rate looks independent of the combination.' ELSE 'The rate depends on the combination: some cell differs from what its margins predict.' END AS note FROM pv
 UNION ALL SELECT '{tag}', 'interactions', 'No cell beats both of its margins after correction.' FROM q HAVING count(*) FILTER (row_q <= 0.05 AND col_q <= 0.05) = 0)"""
