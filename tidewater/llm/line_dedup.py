@@ -60,7 +60,14 @@ def _line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _distinct(h: np.ndarray, line: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words of each line, lines in order; within a line by ``key`` then hash."""
-    order = np.lexsort((h, line) if key is None else (h, key, line))
+    if int(line[-1] if len(line) else 0) >> 24:
+        order = np.lexsort((h, line) if key is None else (h, key, line))
+    else:  # one sort by line, key (17 bits, for the upper 17 of the hash) and hash, of which 24 bits are left
+        one = (line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24) if key is None else key.astype(np.uint64) << np.uint64(23) | h >> np.uint64(24) & np.uint64((1 << 23) - 1))
+        order = np.argsort(one)
+        same = np.diff(one[order]) == 0
+        if np.any(np.diff(h[order])[same]):
+            order = np.lexsort((h, one))
     h, line = h[order], line[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])]) if len(h) else np.empty(0, bool)
     return h[new], line[new]
@@ -296,7 +303,7 @@ def _large_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     gone = saved(gone.unionByName(similar).distinct())
     post = meeting_points(told, ["at"])
     release(groups.sparkSession)
-    x = post.join(gone, "id", "left_anti").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "d", "s", "p", *MAPS)])
+    x = post.join(gone, "id", "left_anti").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "d", "s", "p", "before", *MAPS)])
     rest = x.join(post, (F.col("h") == F.col("xh")) & (F.col("at") < F.col("x_at")) & may_be_similar(percent)).select(F.col("x_id").alias("a"), F.col("id").alias("b"))
     # Lines that are far from the group's earliest meet those away from it under the group's word.
     placed = saved(held.join(first, "t").join(told.where("away").select("id", "r", "far"), ["id", "r"]).select("id", "t", "n", "at", "far"))

@@ -127,7 +127,7 @@ def _across(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links = saved(told.where("near and not inside").select(F.col("id").alias("a"), F.col("r").alias("b")))
     post = meeting_points(told, ["component"])
     met = post.join(_groups(post, ["h"]), "h")
-    out = met.where("component <> main").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "d", "s", "p", *MAPS)])
+    out = met.where("component <> main").select(F.col("h").alias("xh"), *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "d", "s", "p", "before", *MAPS)])
     once = (F.col("component") == F.col("main")) | (F.col("x_id") < F.col("id"))
     cross = out.join(met, (F.col("h") == F.col("xh")) & (F.col("component") != F.col("x_component")) & once & may_be_similar(percent)).select("x_id", "id")
     # Whatever is far from its group's centre meets those that are away from it under the group's token.
