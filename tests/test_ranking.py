@@ -88,3 +88,14 @@ def test_few_points(spark):
     empty = spark.createDataFrame([(1, None)], "t int, y double")
     assert stats.mann_kendall(empty, "t", "y").first().trend == "insufficient"
     assert stats.theil_sen(empty, "t", "y").count() == 0
+
+
+def test_a_task_holds_few_rows(spark, monkeypatch):
+    dealt, seen = ranking._dealt, []
+    monkeypatch.setattr(ranking, "_dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    n = 400_000
+    df = spark.range(n).select(F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.lit(99_991)).cast("double").alias("y"))
+    values = df.orderBy("x").toPandas()["y"].to_numpy()
+    assert ranking.inversions(df, "x", "y", n) == ranking.count_inverted(values)
+    for by in ("a", "v"):
+        assert max(r["count"] for r in seen[0][0].where(f"{by} % 2 = 0").groupBy(by).count().collect()) < 250_000

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a bucket, bounds at most, and values of the sample for each bound.
 ROWS, MOST, SAMPLED = 1_000_000, 1000, 100
+#: Rows of a bucket that a Python task counts inversions in: it holds several arrays of that length.
+HELD = 125_000
 _FINE = 32
 
 
@@ -155,7 +157,7 @@ def inversions(points: DataFrame, x: str, y: str, n: int, rows: int | None = Non
 
     Pairs of one y bucket and pairs of one x bucket but different y buckets are counted in tasks; all others from the numbers of rows in each pair of buckets.
     """
-    t, many = _dealt(points.select(x, y), x, y, n, rows)
+    t, many = _dealt(points.select(x, y), x, y, n, rows or HELD)
 
     def own(table: pa.Table) -> pa.Table:
         return pa.table({"q": pa.array([count_inverted(_sorted(table, "y")["y"].to_numpy())], pa.int64())})
