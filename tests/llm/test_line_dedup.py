@@ -1,6 +1,11 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
+from tidewater.llm import bytesops as B
 from tidewater.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, line string, cls string, id string"
@@ -87,3 +92,32 @@ def test_repeated_ids(spark):
     df = spark.createDataFrame([(a, b, "l", "c", "i") for a, b in rows], SCHEMA)
     got = sorted((x["doc_id"], x["text"] or "", x["n_removed_lines"]) for x in line_dedup.report(df).collect())
     assert got == [(1, "a b c\nd e f", 0), (1, "a b c\nd e f", 0), (1, "a b c\nx y z", 0), (2, "q", 3), (3, "", 0)]
+
+
+def test_only_wanted_lines_are_read_for_words():
+    # The words of lines that met another were read from whole texts, all lines of them.
+    r = random.Random(4)
+    texts = [None, "", "\n", "a\n\nB é"] + ["".join(r.choice("aB \n\té") for _ in range(r.randint(0, 60))) for _ in range(200)]
+    (_, data, offsets), *more = list(B.text_slices(pa.array(texts)))
+    assert not more
+    lines = [(t or "").encode().split(b"\n") for t in texts]
+    wanted = [(i, k) for i, x in enumerate(lines) for k in range(len(x) + 1) if r.random() < 0.3]
+    r.shuffle(wanted)
+    wanted.sort(key=lambda x: x[0])
+    got, at = line_dedup._pick(data, offsets, *(np.array(x) for x in zip(*wanted, strict=True)))
+    want = [lines[i][k] if k < len(lines[i]) else b"" for i, k in wanted]
+    assert [got[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_entries_of_one_class_are_not_paired():
+    # Words that only one class has were sorted, grouped and looked up with the others; the order under equal upper bits must hold too.
+    r = np.random.default_rng(6)
+    post = np.zeros(4000, line_dedup.POST)
+    post["t"], post["cls"] = r.integers(0, 900, 4000), r.integers(0, 300, 4000) << r.choice([0, 50], 4000)
+    post["n"] = post["cls"] % 7 + 1
+    post = np.concatenate([post, post[:500]])
+    have = {(int(t), int(n), int(c)) for t, n, c in zip(post["t"], post["n"], post["cls"], strict=True)}
+    met = Counter(t for t, _, _ in have)
+    got = line_dedup._shared(post)
+    assert list(zip(got["t"].tolist(), got["n"].tolist(), got["cls"].tolist(), strict=True)) == sorted(x for x in have if met[x[0]] > 1)
+    assert [len(x) for x in line_dedup.near_pairs(post[:1], 80)] == [0, 0, 0]

@@ -36,6 +36,8 @@ LEADERS = 4
 LARGE, DENSE = 1024, 16
 #: Pairs that a task looks at together.
 PAIRS = 500_000
+#: Bytes of text that are parsed at once; the work arrays stay in a core's cache.
+SLICE = 128 << 10
 #: One entry of a line under one word of its prefix: the word, the line's size and the word's place (both to MOST), the line's
 #: set, 128 bits, each the parity of the words that it stands for. Lines of MOST words and more pass the filters that need the size.
 POST = np.dtype([("t", "<u4"), ("n", "<u2"), ("p", "<u2"), ("cls", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
@@ -43,19 +45,21 @@ MOST = 65535
 _NEWLINE = 10
 
 
+def _borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each line of one slice of texts begins and ends, and which line is the first of each text (length: texts + 1)."""
+    breaks = np.flatnonzero(data == _NEWLINE)
+    first = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
+    return np.sort(np.concatenate([offsets[:-1], breaks + 1])), np.sort(np.concatenate([breaks, offsets[1:]])), first
+
+
 def _line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one slice of texts: word hashes, the global line of each word, text of each line, number of each line in its text."""
-    low = B.ascii_lower(data)
-    starts, ends, _ = B.words(low, offsets)
-    h = B.span_hash(B.prefix_hash(low), starts, ends) if len(starts) else np.empty(0, np.uint64)
-    breaks = np.flatnonzero(data == _NEWLINE)
-    doc_of_break = np.searchsorted(offsets, breaks, "right") - 1
-    per_doc = np.bincount(doc_of_break, minlength=len(offsets) - 1) + 1
-    first_line = np.concatenate([[0], np.cumsum(per_doc)])
-    doc_of_word = np.searchsorted(offsets, starts, "right") - 1
-    line_of_word = np.searchsorted(breaks, starts) + doc_of_word
-    doc = np.repeat(np.arange(len(offsets) - 1), per_doc)
-    return h, line_of_word, doc, np.arange(len(doc)) - first_line[doc]
+    starts, ends, _ = B.words(data, offsets)
+    h = B.span_hash(B.prefix_hash(data, B.LOWER_CODE), starts, ends) if len(starts) else np.empty(0, np.uint64)
+    begins, _, first = _borders(data, offsets)
+    line_of_word = np.repeat(np.arange(len(begins)), np.diff(np.append(np.searchsorted(starts, begins), len(starts))))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    return h, line_of_word, doc, np.arange(len(doc)) - first[doc]
 
 
 def _distinct(h: np.ndarray, line: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +104,7 @@ def parse(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for row, data, offsets in B.text_slices(b.column(2)):
+            for row, data, offsets in B.text_slices(b.column(2), SLICE):
                 h, line, doc, no = _line_sets(data, offsets)
                 if not len(h):
                     continue
@@ -163,7 +167,7 @@ def postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
         held: list = []
         size = 0
         for b in batches:
-            for _, data, offsets in B.text_slices(b.column(0)):
+            for _, data, offsets in B.text_slices(b.column(0), SLICE):
                 h, line, _doc, _no = _line_sets(data, offsets)
                 if not len(h):
                     continue
@@ -179,21 +183,39 @@ def postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "bucket int, body binary")
 
 
+def _shared(post: np.ndarray) -> np.ndarray:
+    """The entries of words that two classes have, each once, by word, size and class: one sort by word, size and the upper 16 bits of
+    the class; where these are equal, the rest is sorted too.
+    """
+    cls = post["cls"]
+    key = post["t"].astype(np.uint64) << np.uint64(32) | post["n"].astype(np.uint64) << np.uint64(16) | cls.view(np.uint64) >> np.uint64(47)
+    order = np.argsort(key)
+    same = np.diff(key[order]) == 0
+    mixed = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+    order[mixed] = order[mixed][np.lexsort((cls[order[mixed]], key[order[mixed]]))]
+    t, cls = key[order] >> np.uint64(32), cls[order]
+    once = np.concatenate([[True], (t[1:] != t[:-1]) | (cls[1:] != cls[:-1])])
+    order, t = order[once], t[once]
+    new = np.concatenate([[True], t[1:] != t[:-1], [True]])
+    whole = post.view(np.uint64).reshape(len(post), -1)  # numpy moves rows of longs faster than records
+    return whole.take(order[~(new[1:] & new[:-1])], axis=0).view(POST).ravel()
+
+
 def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(pairs, words, members)`` of a bucket's entries: pairs of classes that pass the length, positional and bit filters, and of
     large or dense groups the members under their word instead of pairs.
 
     Bits that differ are at most as many as the words in which two lines differ; as parities they do not fill up with long lines.
     """
-    post = post[np.lexsort((post["cls"], post["n"], post["t"]))]
-    post = post[np.concatenate([[True], (post["t"][1:] != post["t"][:-1]) | (post["cls"][1:] != post["cls"][:-1])])]
+    post = _shared(post)
     t, n, p = post["t"], post["n"].astype(np.int64), post["p"].astype(np.int64)
-    group = np.cumsum(np.concatenate([[False], t[1:] != t[:-1]])).astype(np.int64)
+    group = np.cumsum(np.concatenate([[False], t[1:] != t[:-1]])[: len(t)]).astype(np.int64)
     size = np.bincount(group)
     large = size > LARGE
     ends = np.searchsorted((group << 32) | n, (group << 32) | (n * 100 // percent), "right")
     count = np.where(large[group], 0, ends - np.arange(len(t)) - 1)
     upto = np.cumsum(count)
+    s0, s1 = post["s0"].copy(), post["s1"].copy()
     found: list = []
     a = 0
     while a < len(t):
@@ -201,7 +223,7 @@ def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
         i = np.repeat(np.arange(a, z), count[a:z])
         j = i + 1 + np.arange(len(i)) - np.repeat(upto[a:z] - count[a:z] - (upto[a - 1] if a else 0), count[a:z])
         need = -(-(n[i] + n[j]) * percent // (100 + percent))
-        differ = np.bitwise_count(post["s0"][i] ^ post["s0"][j]).astype(np.int64) + np.bitwise_count(post["s1"][i] ^ post["s1"][j])
+        differ = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
         ok = (np.minimum(n[i] - p[i], n[j] - p[j]) + np.minimum(p[i], p[j]) >= need) & (differ <= n[i] + n[j] - 2 * need) | (n[j] == MOST)
         found.append((i[ok], j[ok]))
         a = z
@@ -210,38 +232,55 @@ def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
     keep = ~large[group[i]]
     c = post["cls"]
     x, y = c[i[keep]], c[j[keep]]
-    pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
-    return pairs, t[large[group]].astype(np.int64), c[large[group]]
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)]
+    return np.column_stack([x[new], y[new]]), t[large[group]].astype(np.int64), c[large[group]]
+
+
+def _maps(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """64-bit maps of the parities of each line's words: the bits of two lines that differ are at most as many as the words in which they do."""
+    out = np.zeros((len(MAPS), len(n)), np.uint64)
+    np.bitwise_xor.at(out, (((h >> np.uint64(26)) % np.uint64(len(MAPS))).astype(np.int64), np.repeat(np.arange(len(n)), n)), np.uint64(1) << ((h >> np.uint64(20)) & np.uint64(63)))
+    return list(out.view(np.int64))
 
 
-def _maps(w: np.ndarray) -> dict[str, int]:
-    """64-bit maps of the parities of a line's words: the bits of two lines that differ are at most as many as the words in which they do."""
-    out = np.zeros(len(MAPS), np.uint64)
-    np.bitwise_xor.at(out, ((w >> np.uint64(26)) % np.uint64(len(MAPS))).astype(np.int64), np.uint64(1) << ((w >> np.uint64(20)) & np.uint64(63)))
-    return dict(zip(MAPS, out.view(np.int64).tolist(), strict=True))
+def _pick(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of these lines (text and number in it), end to end, and their offsets; a line that is not there is empty."""
+    begins, ends, first = _borders(data, offsets)
+    there = no < np.diff(first)[text]
+    at = np.where(there, first[text] + no, 0)
+    size = np.where(there, ends[at] - begins[at], 0)
+    out = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(begins[at] - out[:-1], size) + np.arange(out[-1])], out
 
 
 def _words_of(text: Column, lines: Column, classes: Column) -> Column:
-    """Class, distinct words and their maps of the wanted lines of a text, where the text has such a line of that class."""
+    """Class, distinct words and their maps of the wanted lines of a text, where the text has such a line of that class. Only those lines are read for words."""
+    kind = pa.struct([("cls", pa.int64()), ("tok", pa.list_(pa.int64())), *[(m, pa.int64()) for m in MAPS]])
 
     @F.arrow_udf(f"array<struct<cls:bigint,tok:array<bigint>,{','.join(f'{m}:bigint' for m in MAPS)}>>")
     def run(texts: pa.Array, wanted: pa.Array, want: pa.Array) -> pa.Array:
         out = []
-        wanted, want = wanted.to_pylist(), want.to_pylist()
-        for row, data, offsets in B.text_slices(texts):
-            h, line, doc, no = _line_sets(data, offsets)
-            h, line = _distinct(h, line)
-            start = np.searchsorted(line, np.arange(len(doc) + 1))
-            border = np.searchsorted(doc, np.arange(len(offsets)))
-            for d in range(len(offsets) - 1):
-                got = []
-                for k, c in zip(wanted[row + d], want[row + d], strict=True):
-                    if border[d] + k < border[d + 1]:
-                        w = h[start[border[d] + k] : start[border[d] + k + 1]]
-                        if len(w) and _class(w, np.array([0]), np.array([len(w)]))[0] == c:
-                            got.append({"cls": c, "tok": w.view(np.int64), **_maps(w)})
-                out.append(got)
-        return pa.array(out, pa.list_(pa.struct([("cls", pa.int64()), ("tok", pa.list_(pa.int64())), *[(m, pa.int64()) for m in MAPS]])))
+        size, wanted, want = wanted.value_lengths().to_numpy(zero_copy_only=False), wanted.flatten().to_numpy(), want.flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(size)])
+        for row, data, offsets in B.text_slices(texts, SLICE):
+            m = len(offsets) - 1
+            text = np.repeat(np.arange(m), size[row : row + m])
+            cls = want[at[row] : at[row + m]]
+            h, line, _doc, _no = _line_sets(*_pick(data, offsets, text, wanted[at[row] : at[row + m]]))
+            if not len(h):
+                out.append(pa.array([[]] * m, pa.list_(kind)))
+                continue
+            h, line, first, n, own = _sorted_lines(h, line)
+            same = own == cls[line[first]]
+            h, text, own, n = h[np.repeat(same, n)], text[line[first[same]]], own[same], n[same]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            tok = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(h.view(np.int64)))
+            items = pa.StructArray.from_arrays([pa.array(own), tok, *map(pa.array, _maps(h, ends[:-1], n))], fields=list(kind))
+            out.append(pa.ListArray.from_arrays(np.searchsorted(text, np.arange(m + 1)).astype(np.int32), items))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(kind))
 
     return run(text, lines, classes)
 
