@@ -121,3 +121,33 @@ def test_entries_of_one_class_are_not_paired():
     got = line_dedup._shared(post)
     assert list(zip(got["t"].tolist(), got["n"].tolist(), got["cls"].tolist(), strict=True)) == sorted(x for x in have if met[x[0]] > 1)
     assert [len(x) for x in line_dedup.near_pairs(post[:1], 80)] == [0, 0, 0]
+
+
+def test_lines_that_share_only_a_common_word_do_not_meet(spark, monkeypatch):
+    # Under each word of a small vocabulary over a thousand unlike lines met; all were read for words and held against each other's leaders.
+    monkeypatch.setattr(line_dedup, "OFTEN", 50, raising=False)
+    seen, plain = [], line_dedup._large_groups
+    monkeypatch.setattr(line_dedup, "_large_groups", lambda groups, *a: seen.append(groups.count()) or plain(groups, *a))
+    r = random.Random(3)
+    rows = [(i, "\n".join(" ".join(r.sample([f"w{k}" for k in range(40)], 10)) for _ in range(50))) for i in range(110)]
+    line_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert seen == [0]
+
+
+def test_pairs_of_common_words_match_brute_force(spark, monkeypatch):
+    # Nearly all words count as often used; lines are short, long, and about as long as those whose words stand alone.
+    monkeypatch.setattr(line_dedup, "OFTEN", 3, raising=False)
+    r = random.Random(8)
+    vocab = [f"w{k}" for k in range(260)]
+    pool = [r.sample(vocab, n) for n in (1, 2, 4, 5, 6, 9, 10, 20, 40, 78, 80, 82, 95, 99, 100, 101, 104, 120, 126) for _ in range(3)]
+    rows = []
+    for i in range(160):
+        lines = []
+        for _ in range(3):
+            w = list(r.choice(pool))
+            for _ in range(r.randint(0, max(1, len(w) // 6))):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            lines.append(" ".join(w[: len(w) - r.randint(0, len(w) // 8)]))
+        rows.append((i, "\n".join(lines)))
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["doc_id"]: x["text"] for x in got.collect()} == brute_all(rows)

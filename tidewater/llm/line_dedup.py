@@ -7,7 +7,11 @@ the match suffice (positional filter) and whose 128-bit word maps do not differ
 Jaccard similarity. A line goes if an equal or similar line stands at an earlier place (id, then line number), whether or not
 that one goes too.
 
-Prefix entries travel packed by ranges of the word hash, whose number follows the count of words. A word's group that is
+Under a word that is often used, lines would meet that have nothing else in common, more of them the more text there is. Such a
+word stands with a second one: if the first word that two similar lines share is an often used one, so is the second (it is
+less rare), and it stands in both prefixes made longer by one word.
+
+Prefix entries travel packed by ranges of the word hash, whose number follows the count of words. A group that is
 large, or holds many near pairs, is not paired: each line is held against the earliest of the group, which settles most;
 those left meet earlier ones by what they differ in from it.
 
@@ -28,14 +32,19 @@ from tidewater.llm import bytesops as B
 from tidewater.llm.common import drop_saved, free, release, saved
 from tidewater.llm.setjoin import BROADCAST_IDS, BUCKET, FLUSH, MAPS, differences, may_be_similar, meeting_points, prefix_length
 
-#: Hash buckets of the word counts that give the rarity order: a table of 64-bit counts of this length is broadcast.
-BUCKETS = 1 << 17
+#: Hash buckets of the word counts that give the rarity order, so many that few rare words share one with a common word. A table
+#: of 16-bit keys of this length is broadcast. Ranges of them that are counted in one group, and words that a task counts at once.
+BITS = 22
+BUCKETS, RANGES, COUNTED = 1 << BITS, 64, 2_000_000
+#: Words with a higher count in their bucket (and one more for each 1 << SHARE words of all lines) stand with a second one, except in
+#: lines of over LONG words, as such entries grow with the square of a line's length.
+OFTEN, SHARE, LONG = 1024, 20, 100
 #: Rounds in which large groups are held against one leader before all earlier lines are looked at.
 LEADERS = 4
 #: Lines of a word's group, and near pairs for each of them, beyond which the group is held against leaders first.
 LARGE, DENSE = 1024, 16
 #: Pairs that a task looks at together.
-PAIRS = 500_000
+PAIRS = 100_000
 #: Bytes of text that are parsed at once; the work arrays stay in a core's cache.
 SLICE = 128 << 10
 #: One entry of a line under one word of its prefix: the word, the line's size and the word's place (both to MOST), the line's
@@ -66,8 +75,8 @@ def _distinct(h: np.ndarray, line: np.ndarray, key: np.ndarray | None = None) ->
     """Distinct words of each line, lines in order; within a line by ``key`` then hash."""
     if int(line[-1] if len(line) else 0) >> 24:
         order = np.lexsort((h, line) if key is None else (h, key, line))
-    else:  # one sort by line, key (17 bits, for the upper 17 of the hash) and hash, of which 24 bits are left
-        one = (line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24) if key is None else key.astype(np.uint64) << np.uint64(23) | h >> np.uint64(24) & np.uint64((1 << 23) - 1))
+    else:  # one sort by line, key (17 bits at most) and the upper bits of the hash
+        one = (line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24) if key is None else key.astype(np.uint64) << np.uint64(23) | h >> np.uint64(41))
         order = np.argsort(one)
         same = np.diff(one[order]) == 0
         if np.any(np.diff(h[order])[same]):
@@ -77,8 +86,8 @@ def _distinct(h: np.ndarray, line: np.ndarray, key: np.ndarray | None = None) ->
     return h[new], line[new]
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 17)).astype(np.int64)
+def _bucket(h: np.ndarray, bits: int = 17) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def _class(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -95,44 +104,73 @@ def _sorted_lines(h: np.ndarray, line: np.ndarray, key: np.ndarray | None = None
 
 
 def parse(rows: DataFrame) -> DataFrame:
-    """Two kinds of rows: (id, rh, lines, classes) of each document, and for each task (buckets, counts) of its words."""
-    names = ["id", "rh", "lines", "classes", "buckets", "counts"]
+    """Two kinds of rows: (id, rh, lines, classes) of each document, and (range, buckets, counts) of some words of a task."""
+    names = ["id", "rh", "lines", "classes", "range", "buckets", "counts"]
 
-    def lists(size: int, at: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    def lists(at: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
         return [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(v)) for v in values]
 
+    def counted(held: list) -> pa.RecordBatch:
+        used, n = np.unique(np.concatenate(held), return_counts=True)
+        at = np.searchsorted(used, np.arange(RANGES + 1) * (BUCKETS // RANGES))
+        none = [pa.nulls(RANGES, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*none, pa.array(np.arange(RANGES, dtype=np.int32)), *lists(at, used, n.astype(np.int32))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        held: list = []
+        size = 0
         for b in batches:
             for row, data, offsets in B.text_slices(b.column(2), SLICE):
                 h, line, doc, no = _line_sets(data, offsets)
                 if not len(h):
                     continue
-                total += np.bincount(_bucket(h), minlength=BUCKETS)
+                held.append(_bucket(h, BITS))
+                size += len(h)
+                if size >= COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
                 _, line, first, _n, cls = _sorted_lines(h, line)
                 ids = line[first]
                 m = len(offsets) - 1
                 at = np.concatenate([[0], np.cumsum(np.bincount(doc[ids], minlength=m))])
-                none = [pa.nulls(m, pa.list_(t)) for t in (pa.int32(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, m), b.column(1).slice(row, m), *lists(m, at, no[ids].astype(np.int32), cls), *none], names)
-        used = np.flatnonzero(total)
-        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*none, *lists(1, np.array([0, len(used)]), used.astype(np.int32), total[used])], names)
+                none = [pa.nulls(m, t) for t in (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, m), b.column(1).slice(row, m), *lists(at, no[ids].astype(np.int32), cls), *none], names)
+        if size:
+            yield counted(held)
 
-    return rows.select("id", "rh", "text").mapInArrow(run, "id long, rh long, lines array<int>, classes array<long>, buckets array<int>, counts array<long>")
+    return rows.select("id", "rh", "text").mapInArrow(run, "id long, rh long, lines array<int>, classes array<long>, range int, buckets array<int>, counts array<int>")
 
 
 def word_counts(parsed: DataFrame) -> np.ndarray:
     """Words of all lines by hash bucket."""
-    each = parsed.where("buckets is not null").select(F.explode(F.arrays_zip("buckets", "counts")).alias("z"))
-    rows = each.groupBy(F.col("z.buckets").alias("bucket")).agg(F.sum("z.counts").alias("n")).toPandas()  # BUCKETS rows at most
+    width = BUCKETS // RANGES
+
+    def add(table: pa.Table) -> pa.Table:
+        k = table.column("range")[0].as_py()
+        total = np.zeros(width, np.int64)
+        for buckets, counts in zip(table.column("buckets").chunks, table.column("counts").chunks, strict=True):
+            np.add.at(total, buckets.flatten().to_numpy() - k * width, counts.flatten().to_numpy())
+        return pa.table({"range": pa.array([k], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
     out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    for r in parsed.where("range is not null").select("range", "buckets", "counts").groupBy("range").applyInArrow(add, "range int, counts binary").collect():  # RANGES rows at most
+        out[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def _entries(h: np.ndarray, first: np.ndarray, n: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix entries of lines, one of each class. ``h``: each line's words in rarity order. ``t`` holds hash bits 8 to 39."""
+def _rarity(counts: np.ndarray) -> np.ndarray:
+    """16-bit keys in the order of the counts; equal ones only for equal counts or large ones that are nearly equal."""
+    half = 1 << 15
+    return np.where(counts < half, counts, half + 1024 * (np.log2(np.maximum(counts, half)) - 15)).astype(np.uint16)
+
+
+def _entries(h: np.ndarray, first: np.ndarray, n: np.ndarray, cls: np.ndarray, percent: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix entries of lines, one of each class, and the upper 24 bits of their hash. ``h``: each line's words in rarity order;
+    ``often``: which are often used; each of these stands with every later word of the prefix and the one that follows it. ``t`` holds hash bits 8 to 39.
+
+    Lines of over LONG words, and what can be similar to them, have often used words alone too, and so have lines so short that one
+    common word could make them similar.
+    """
     _, pick = np.unique(cls, return_index=True)
     mine = np.zeros(len(n), bool)
     mine[pick] = True
@@ -140,17 +178,27 @@ def _entries(h: np.ndarray, first: np.ndarray, n: np.ndarray, cls: np.ndarray, p
     one = np.uint64(1) << (bit & np.uint64(63))
     s0, s1 = (np.bitwise_xor.reduceat(np.where((bit >= 64) == up, one, np.uint64(0)), first) for up in (False, True))
     place = np.arange(len(h)) - np.repeat(first, n)
-    at = np.flatnonzero((place < np.repeat(prefix_length(n, percent), n)) & np.repeat(mine, n))
-    line = np.repeat(np.arange(len(n)), n)[at]
+    of = np.repeat(np.arange(len(n)), n)
+    length = prefix_length(n, percent)
+    prefix = (place < length[of]) & mine[of]
+    alone = (n * 100 >= LONG * percent) | (n * percent < 100 + percent)
+    at = np.flatnonzero(prefix & (~often | alone[of]))
+    a = np.flatnonzero(prefix & often & (n <= LONG)[of])
+    more = np.minimum(length, n - 1)[of[a]] - place[a]
+    x = np.repeat(a, more)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(more) - more, more)
+    own = np.concatenate([h[at], B.mix(h[x] * np.uint64(3) + h[y])])
+    at = np.concatenate([at, y])
+    line = of[at]
     out = np.empty(len(at), POST)
-    out["t"], out["p"] = (h[at] >> np.uint64(8)).astype(np.uint32), np.minimum(place[at], MOST)
+    out["t"], out["p"] = (own >> np.uint64(8)).astype(np.uint32), np.minimum(place[at], MOST)
     out["n"], out["cls"], out["s0"], out["s1"] = np.minimum(n[line], MOST), cls[line], s0[line], s1[line]
-    return out, (h[at] >> np.uint64(40)).astype(np.int64)
+    return out, (own >> np.uint64(40)).astype(np.int64)
 
 
 def postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """Rows (bucket, body): the packed prefix entries of all lines, dealt out by ranges of the word hash."""
-    rank = np.argsort(np.argsort(counts, kind="stable")).astype(np.int32)
+    key, often = _rarity(counts), _rarity(np.array(OFTEN + (int(counts.sum()) >> SHARE)))
     buckets = int(max(8, -(-int(counts.sum()) // (4 * BUCKET))))
 
     def pack(held: list) -> pa.RecordBatch:
@@ -171,8 +219,8 @@ def postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 h, line, _doc, _no = _line_sets(data, offsets)
                 if not len(h):
                     continue
-                h, _, first, n, cls = _sorted_lines(h, line, rank[_bucket(h)])
-                held.append(_entries(h, first, n, cls, percent))
+                h, _, first, n, cls = _sorted_lines(h, line, key[_bucket(h, BITS)])
+                held.append(_entries(h, first, n, cls, percent, key[_bucket(h, BITS)] > often))
                 size += len(held[-1][0])
                 if size >= FLUSH:
                     yield pack(held)
@@ -201,17 +249,20 @@ def _shared(post: np.ndarray) -> np.ndarray:
     return whole.take(order[~(new[1:] & new[:-1])], axis=0).view(POST).ravel()
 
 
-def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(post: np.ndarray, percent: int, more: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(pairs, words, members)`` of a bucket's entries: pairs of classes that pass the length, positional and bit filters, and of
-    large or dense groups the members under their word instead of pairs.
+    large (by ``more`` than LARGE) or dense groups the members under their word instead of pairs.
 
     Bits that differ are at most as many as the words in which two lines differ; as parities they do not fill up with long lines.
     """
     post = _shared(post)
     t, n, p = post["t"], post["n"].astype(np.int64), post["p"].astype(np.int64)
+    apart = np.arange(2 * MOST + 1)  # words in which two lines of so many words together may differ
+    apart -= 2 * -(-apart * percent // (100 + percent))
+    most = n.max(initial=0) == MOST
     group = np.cumsum(np.concatenate([[False], t[1:] != t[:-1]])[: len(t)]).astype(np.int64)
     size = np.bincount(group)
-    large = size > LARGE
+    large = size > LARGE + more
     ends = np.searchsorted((group << 32) | n, (group << 32) | (n * 100 // percent), "right")
     count = np.where(large[group], 0, ends - np.arange(len(t)) - 1)
     upto = np.cumsum(count)
@@ -222,6 +273,10 @@ def near_pairs(post: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
         z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS)))
         i = np.repeat(np.arange(a, z), count[a:z])
         j = i + 1 + np.arange(len(i)) - np.repeat(upto[a:z] - count[a:z] - (upto[a - 1] if a else 0), count[a:z])
+        few = np.bitwise_count(s0[i] ^ s0[j]) <= apart[n[i] + n[j]]  # half of the bits tell most pairs apart
+        if most:
+            few |= n[j] == MOST
+        i, j = i[few], j[few]
         need = -(-(n[i] + n[j]) * percent // (100 + percent))
         differ = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
         ok = (np.minimum(n[i] - p[i], n[j] - p[j]) + np.minimum(p[i], p[j]) >= need) & (differ <= n[i] + n[j] - 2 * need) | (n[j] == MOST)
@@ -356,16 +411,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rh", F.xxhash64("text"))
     parsed = saved(parse(rows))
     release(docs.sparkSession)
-    lines = parsed.where("buckets is null").select("id", "rh", F.explode(F.arrays_zip("lines", "classes")).alias("z")).select("id", "rh", F.col("z.lines").alias("line"), F.col("z.classes").alias("cls"))
+    lines = parsed.where("range is null").select("id", "rh", F.explode(F.arrays_zip("lines", "classes")).alias("z")).select("id", "rh", F.col("z.lines").alias("line"), F.col("z.classes").alias("cls"))
+
+    counts = word_counts(parsed)
+    more = int(counts.sum()) >> SHARE
 
     def meet(table: pa.Table) -> pa.Table:
-        pairs, words, members = near_pairs(np.frombuffer(b"".join(table.column("body").to_pylist()), POST), percent)
+        pairs, words, members = near_pairs(np.frombuffer(b"".join(table.column("body").to_pylist()), POST), percent, more)
         t = words + (table.column("bucket")[0].as_py() << 32)
         none = pa.nulls(len(pairs), pa.int64())
         a = np.concatenate([pairs[:, 0], members])
         return pa.table({"a": a, "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())]), "t": pa.concat_arrays([none, pa.array(t)])})
 
-    met = saved(postings(rows, word_counts(parsed), percent).groupBy("bucket").applyInArrow(meet, "a long, b long, t long"))
+    met = saved(postings(rows, counts, percent).groupBy("bucket").applyInArrow(meet, "a long, b long, t long"))
     release(docs.sparkSession)
     classes = saved(lines.groupBy("cls").agg(F.min(F.struct("id", "line")).alias("at"), F.count("*").alias("c")))
     pairs = met.where("t is null").select("a", "b").distinct()
