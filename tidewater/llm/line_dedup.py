@@ -38,11 +38,11 @@ BITS = 22
 BUCKETS, RANGES, COUNTED = 1 << BITS, 64, 2_000_000
 #: Words with a higher count in their bucket (and one more for each 1 << SHARE words of all lines) stand with a second one, except in
 #: lines of over LONG words, as such entries grow with the square of a line's length.
-OFTEN, SHARE, LONG = 1024, 20, 100
+OFTEN, SHARE, LONG = 4096, 20, 100
 #: Rounds in which large groups are held against one leader before all earlier lines are looked at.
 LEADERS = 4
 #: Lines of a word's group, and near pairs for each of them, beyond which the group is held against leaders first.
-LARGE, DENSE = 1024, 16
+LARGE, DENSE = 4096, 16
 #: Pairs that a task looks at together.
 PAIRS = 100_000
 #: Bytes of text that are parsed at once; the work arrays stay in a core's cache.
